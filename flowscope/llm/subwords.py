@@ -16,9 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHED = 700_000
+CACHED = 600_000
 IDS = np.dtype("<u4")
-_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|  |\\n\\n| \\n|\\n |\\A ")
+_OTHER_BLANK = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _GROUP = 2000
 
 
@@ -28,6 +28,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _odd(text: str) -> bool:
+    """Whether a text has white space other than single blanks and line breaks between words."""
+    return text[0] == " " or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_BLANK.search(text) is not None
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, so that what it keeps serves all of the worker's tasks."""
@@ -70,8 +75,6 @@ class Encoder:
                 for p, b in zip(group, cuts.tolist(), strict=True):
                     new[p] = first + raw[a:b]
                     a = b + IDS.itemsize
-        if len(self.known) + len(new) <= CACHED:
-            self.known.update(new)
         return new
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
@@ -80,7 +83,7 @@ class Encoder:
         whole, split = [], {}
         for i, t in enumerate(texts):
             if t:
-                if not self.parts or _ODD.search(t):
+                if not self.parts or _odd(t):
                     whole.append(i)
                 else:
                     split[i] = t.replace("\n", " \n").split(" ")
@@ -92,19 +95,13 @@ class Encoder:
                 parts[0] = "\n" + parts[0]
             new = set().union(*split.values()).difference(known)
             more = self._learn(list(new)) if new else {}
-            found = known if len(more) == 0 or next(iter(more)) in known else _Both(known, more)
+            known.update(more)
+            look = known.__getitem__
             for i, parts in split.items():
                 # the line break put before the first part goes again
-                out[i] = b"".join([found[p] for p in parts])[len(self.line) :]
+                out[i] = b"".join(map(look, parts))[len(self.line) :]
+            if len(known) > CACHED:  # full: what is new goes again
+                for p in more:
+                    del known[p]
         return out
 
-
-class _Both(dict):
-    """Look in one dictionary, then in another."""
-
-    def __init__(self, first: dict, more: dict):
-        super().__init__(more)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
