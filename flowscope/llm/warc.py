@@ -4,6 +4,8 @@ Records are rendered as text columns and written by Spark's text writer, whose l
 record, so archives go to any file system that Spark reaches. A payload of at least ``least_bytes`` that stands in
 several pages is stored once, by the smallest page_id; the others revisit it.
 
+Archives are gzip files unless another compression is asked for; offsets count the bytes of the archive itself.
+
 Reading parses whole archives by the records' lengths and gives one locally sorted run of index entries for each archive.
 Runs meet in ranges of (URL key, timestamp, page), and each range merges its runs by a loser tree, so that the ranges in
 order are one globally ordered capture history. A URL of any number of captures lies in several ranges.
@@ -14,6 +16,7 @@ Cases: null html is an empty payload; a null url is an empty one; control charac
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -62,11 +65,11 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, page_id: str = "pa
     return rows.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **names) -> None:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip", **names) -> None:
     html = names.get("html", "html")
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0))).alias("m")).first()["m"] or 0
     per_file = max(1, int(archive_bytes / (mean + 600)))
-    records(pages, **names).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    records(pages, **names).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def parse(archive: memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -85,6 +88,12 @@ def parse(archive: memoryview) -> Iterator[tuple[int, int, dict[str, str], memor
         at = end + 4
 
 
+def _plain(content: pa.Buffer) -> memoryview:
+    """The archive itself, whether it was written with or without gzip."""
+    data = memoryview(content).cast("B")
+    return memoryview(gzip.decompress(data)) if data[:2] == b"\x1f\x8b" else data
+
+
 def url_key(url: str) -> str:
     """The host's labels in reverse, then the path: captures of a site stand together."""
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^@/?#]*@)?([^/?#]*)([^#]*)", url)
@@ -111,7 +120,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for at, size, h, block in parse(memoryview(content.as_buffer())):
+                for at, size, h, block in parse(_plain(content.as_buffer())):
                     http = bytes(block).index(b"\r\n\r\n") + 4
                     if h["WARC-Type"] == "response":
                         payload = block[http:]
