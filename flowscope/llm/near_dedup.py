@@ -3,12 +3,13 @@
 A document's set is its distinct word shingles. One hash of each shingle chooses both a bin and a value; a bin's least value is
 its minimum, and empty bins borrow from bins that a fixed hash sequence names (optimal densification). Bands of bins are
 buckets; in each bucket every member is joined to the bucket's smallest document only (a star), which bounds candidate
-pairs by bucket entries. Candidates are confirmed on full sets. A star alone could miss a link between two members that
-its centre is too far from; so a second pass takes buckets whose members are still in several components, and confirms
-pairs across components there. Equal sets are one vertex throughout, so copies are never paired.
+pairs by bucket entries. Candidates are confirmed on full sets: first each document with the smallest of its centres, then
+the stars of buckets whose members are still in several components. A star could miss a link between two members that
+its centre is too far from; so a last pass confirms pairs across the components that a bucket still holds. Equal sets are one vertex throughout, so copies are never paired.
 
-A sketch of two bits a bin discards pairs far below the threshold before sets are fetched (beyond 4.5 standard
-deviations). With the default bands a pair at the threshold meets in no bucket with a probability below 1e-6.
+A bitmap of ``BITS`` bits, each the parity of the shingles that fall on it, differs in at most as many places as two sets
+differ in shingles; so pairs whose bitmaps differ too much are discarded without loss before sets are fetched. With the
+default bands a pair at the threshold meets in no bucket with a probability below 1e-6.
 
 Cases: null text, or text without words, has an empty set, is linked with nothing and kept; with fewer words than a shingle
 the whole sequence is one shingle; rows of an equal id and text are one vertex; an empty table gives no rows.
@@ -17,7 +18,6 @@ the whole sequence is one shingle; rows of an equal id and text are one vertex;
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from .store import staged
 from .words import NOT_BLANK, mix, runs, word_tables
 
 BINS = 192
+BITS = 2048
 _U = np.uint64
 
 
@@ -42,13 +43,6 @@ class Rule:
         """Bins of a band."""
         return 6 if self.percent >= 84 else 5 if self.percent >= 78 else 4
 
-    @property
-    def differing_bits(self) -> int:
-        """The largest distance of two sketches of linked documents, but for 4.5 standard deviations."""
-        j = self.percent / 100
-        spread = sqrt(j * (1 - j) / BINS / 4 + (1 - j) / 4 / (2 * BINS))
-        return int(2 * BINS * ((1 - j) / 2 + 4.5 * spread))
-
 
 def shingle_sets(column: pa.Array, words: int):
     """For each text, in order, the sorted codes of its distinct shingles."""
@@ -103,7 +97,7 @@ def _sketches(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             d1, d2 = (np.array([mix(s + _U(c)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in (1, 2))
             full = np.flatnonzero(n > 0)
-            keys, bits = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), 6), np.int64)
+            keys, bits = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), BITS // 64), np.int64)
             for a in range(0, len(full), 1000):
                 part = full[a : a + 1000]
                 low = minima([sets[i] for i in part])
@@ -111,8 +105,10 @@ def _sketches(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
                 for k in range(rule.rows):
                     value = mix(value + low[:, k : bands * rule.rows : rule.rows] + _U(k))
                 keys[part] = mix(value + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                two = mix(low) & _U(3)
-                bits[part] = np.packbits(np.stack((two & _U(1), two >> _U(1)), 2).reshape(len(part), -1).astype(bool), axis=1).view(np.int64)
+                place = np.concatenate([sets[i] for i in part])
+                place = np.repeat(np.arange(len(part)) * BITS, n[part]) + (mix(place + _U(7)) % _U(BITS)).astype(np.int64)
+                odd = np.bincount(place, minlength=len(part) * BITS) & 1
+                bits[part] = np.packbits(odd.reshape(len(part), BITS).astype(bool), axis=1).view(np.int64)
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), lists(keys), lists(bits)], names=["doc_id", "n", "d1", "d2", "bands", "bits"])
 
@@ -134,10 +130,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _far(rule: Rule, x: str, y: str):
-    """Whether sizes or sketches say that two documents are not linked."""
-    differing = sum((F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(6)), F.lit(0))
+    """Whether sizes or bitmaps prove that two documents are not linked."""
+    differing = sum((F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(BITS // 64)), F.lit(0))
     small, large = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
-    return (small * 100 < large * rule.percent) | (differing > rule.differing_bits)
+    return (small * 100 < large * rule.percent) | (differing * (100 + rule.percent) > (small + large) * (100 - rule.percent))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -161,14 +157,20 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     sketches = staged(_sketches(docs, rule, doc_id, text), "sketches")
     classes = staged(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    entries = classes.select("id", F.explode("bands").alias("bucket"))
+    entries = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     stars = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("entries")).where("entries > 1").select(F.col("bucket").alias("of"), "centre")
-    members = staged(entries.join(stars, entries["bucket"] == stars["of"]).select("bucket", "id", "centre"), "buckets")
+    members = staged(entries.join(stars, entries["bucket"] == stars["of"]).select("band", "bucket", "id", "centre"), "buckets")
+
+    side = lambda x: classes.select(F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"), F.col("bands").alias(f"{x}_bands"))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sizes and sketches allow a link."""
+        return pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where(~_far(rule, "a_", "b_")).select("a", "b")
 
-    side = lambda x: classes.select(F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    star = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    near = star.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where(~_far(rule, "a_", "b_")).select("a", "b")
-    tried = staged(near, "candidates")
+    def marked(labels: DataFrame) -> DataFrame:
+        """Buckets whose members are in several components, with the members' components."""
+        rows = members.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("band", "bucket", "id", "centre", F.coalesce("label", "id").alias("label"))
+        several = rows.groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("of")
+        return staged(rows.join(several, F.col("bucket") == F.col("of")).drop("of"), "mixed-buckets")
 
     # sets of the documents that share a bucket with another
     suspects = members.select(F.col("id").alias("of")).distinct().join(classes.select("id", "d1", "d2"), F.col("of") == F.col("id")).drop("of")
@@ -181,16 +183,28 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "codes"]).filter(pa.array(same, pa.bool_()))
 
     sets = staged(texts.mapInArrow(codes, "id long, codes binary").dropDuplicates(["id"]), "sets")
+    # first every member with the smallest of its centres only: as many pairs as documents at most
+    tried = staged(near(members.where("id != centre").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")), "candidates")
     linked = staged(_confirm(tried, sets, rule), "confirmed")
     labels = components(linked)
 
-    # buckets whose members are still in several components: pairs across components, but for those already tried
-    marked = members.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    held = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = held.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("most")).where("labels > 1").drop("labels")
-    mixed = staged(marked.join(mixed, F.col("bucket") == F.col("of")).drop("of"), "mixed-buckets")
-    across = lambda x: mixed.select(*[F.col(c).alias(f"{x}_{c}") for c in ("bucket", "label", "most")], F.col("id").alias(x)).join(side(x), F.col(x) == F.col(f"{x}_id"))
-    pair = across("p").where("p_label != p_most").join(across("q"), (F.col("p_bucket") == F.col("q_bucket")) & (F.col("p_label") != F.col("q_label")) & ((F.col("q_label") == F.col("p_most")) | (F.col("p") < F.col("q"))) & ~_far(rule, "p_", "q_"))
+    # then the centres of buckets that are still in several components
+    mixed = marked(labels)
+    centres = mixed.where("id = centre").select(F.col("bucket").alias("of"), F.col("label").alias("centre_label"))
+    star = mixed.join(centres, F.col("bucket") == F.col("of")).where("label != centre_label").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    more = staged(near(star.join(tried, ["a", "b"], "left_anti")), "candidates")
+    tried, linked = tried.union(more), staged(linked.union(_confirm(more, sets, rule)), "confirmed")
+    labels = components(linked)
+
+    # then all pairs across the components of a bucket, but for those already tried
+    mixed = marked(labels)
+    held = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    most = held.groupBy(F.col("bucket").alias("of")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"))
+    mixed = mixed.join(most, F.col("bucket") == F.col("of")).drop("of")
+    across = lambda x: mixed.select(*[F.col(c).alias(f"{x}_{c}") for c in ("band", "bucket", "label", "most")], F.col("id").alias(x)).join(side(x), F.col(x) == F.col(f"{x}_id"))
+    apart = (F.col("p_label") != F.col("q_label")) & ((F.col("q_label") == F.col("p_most")) | (F.col("p") < F.col("q")))
+    first = F.array_position(F.zip_with("p_bands", "q_bands", lambda x, y: x == y), True) == F.col("p_band") + 1  # a pair counts in the first bucket that it shares
+    pair = across("p").where("p_label != p_most").join(across("q"), (F.col("p_bucket") == F.col("q_bucket")) & apart & ~_far(rule, "p_", "q_") & first)
     more = pair.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     linked = staged(linked.union(_confirm(more, sets, rule)), "all-links")
     labels = components(linked)
