@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..session import share_code
-from . import chat, decontaminate, near_dedup, packing, sharding, token_files, topk, toxicity, warc
+from . import chat, decontaminate, lm_scoring, near_dedup, packing, sharding, token_files, topk, toxicity, warc
 
 
 def _on(operator, *tables: str):
@@ -21,6 +21,7 @@ QUERIES = {
     "op2_token_files": _on(token_files.digest, "documents"),
     "op3_warc_index_merge": _on(warc.digest, "pages"),
     "op4_best_fit_packing": _on(packing.digest, "documents"),
+    "op5_lm_scoring": _on(lm_scoring.digest, "documents"),
     "op6_chat_perspectives": _on(chat.digest, "conversations"),
     "op7_pivot_top_k": _on(topk.digest, "embeddings"),
     "op8_toxicity_chain": _on(toxicity.digest, "documents", "labels"),
