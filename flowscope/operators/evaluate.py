@@ -197,7 +197,8 @@ def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> tuple
     n = F.when(trials > 0, trials.cast("double"))
     p = successes / n
     middle, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.greatest(F.lit(0.0), (middle - half) / (1 + z * z / n)), F.least(F.lit(1.0), (middle + half) / (1 + z * z / n))
+    low, high = F.greatest(F.lit(0.0), (middle - half) / (1 + z * z / n)), F.least(F.lit(1.0), (middle + half) / (1 + z * z / n))
+    return F.when(trials > 0, low), F.when(trials > 0, high)
 
 
 def intervals(counts: DataFrame, keys: list[str]) -> DataFrame:

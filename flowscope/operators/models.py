@@ -128,12 +128,16 @@ def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int
     low, high = (np.array([span[f"{k}{i}"] for i in range(len(names))]) for k in "ab")
     rng, tries = np.random.default_rng(seed), max(1, int(np.sqrt(len(names))))
     forest = [{"feature": np.array([-1]), "threshold": np.array([0.0]), "left": np.array([0]), "value": np.array([0.5])} for _ in range(trees)]
+    boxes = {(t, 0): (low, high) for t in range(trees)}  # what the splits above leave of each feature's range
     active = {t: [0] for t in range(trees)}
     for _ in range(depth):
         splits = {t: (rng.integers(len(names), size=(len(n), tries)), rng.random((len(n), tries))) for t, n in active.items() if n}
         if not splits:
             break
-        plan = {t: (np.array(active[t]), f, low[f] + u * (high - low)[f]) for t, (f, u) in splits.items()}
+        plan = {}
+        for t, (f, u) in splits.items():
+            a, b = (np.take_along_axis(np.stack([boxes[t, n][k] for n in active[t]]), f, 1) for k in (0, 1))
+            plan[t] = (np.array(active[t]), f, a + u * (b - a))
 
         def sums(batches, forest=forest, plan=plan):
             for pdf in batches:
@@ -166,6 +170,11 @@ def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int
             for key, new in (("feature", [-1, -1]), ("threshold", [0.0, 0.0]), ("left", [0, 0]), ("value", share)):
                 tree[key] = np.concatenate((tree[key], new)).astype(tree[key].dtype)
             active[t] += [n, n + 1]
+            f, cut = tree["feature"][node], tree["threshold"][node]
+            for child, side in ((n, 1), (n + 1, 0)):
+                box = tuple(x.copy() for x in boxes[t, node])
+                box[side][f] = cut
+                boxes[t, child] = box
     pool.unpersist()
     held = rows.sparkSession.sparkContext.broadcast(forest)
 
