@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import contracts, models, windows
+from ..operators import contracts, models, studies, windows
 from ..schemas import FLOW_FEATURES
 from ..sources import binetflow
 from .flows import flows, scores
@@ -129,3 +129,28 @@ def isolation_scores(spark, sf):
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
     return models.calibrated(*_pools(spark, sf), _USED, "random_forest", trees=5, depth=4)
+
+
+@query("ablation")
+def ablation(spark, sf):
+    train, rows = _pools(spark, sf)
+    groups = {"ports": ["dst_port_http", "dst_port_dns"], "protocol": [c for c in _USED if c.startswith("protocol_")]}
+    return studies.ablation(train, rows, _USED, {"model": "decision_tree"}, 0.5, groups)
+
+
+@query("comparison_grid")
+def comparison_grid(spark, sf):
+    train, rows = _pools(spark, sf)
+    return studies.comparison(train, rows, {"1.0.0": _USED}, {"tree": {"model": "decision_tree"}, "regression": {"model": "logistic_regression"}})
+
+
+@query("stability_points")
+def stability_points(spark, sf):
+    train, rows = _pools(spark, sf)
+    return studies.stability(train, rows, _USED, {"tree": {"model": "decision_tree"}, "forest": {"model": "random_forest", "trees": 5, "depth": 4}}, floor=0.3)["operating_points"]
+
+
+@query("detector_status")
+def detector_status(spark, sf):
+    train, rows = _pools(spark, sf)
+    return studies.detector_scores(train, rows, _USED, {"tree": {"model": "decision_tree"}, "none": {"model": "no such model"}})[1].drop("fit_seconds")
