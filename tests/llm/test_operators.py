@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from flowscope.llm import chat, decontaminate, lm_scoring, near_dedup, packing, sharding, store, subwords, token_files, topk, toxicity, warc
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -279,3 +280,9 @@ def test_model_probabilities_sum_to_one():
     joint = np.exp(np.log(np.bincount(m.klass * lm_scoring.MEMBERS + m.member, weights=np.exp(m.share), minlength=lm_scoring.CLASSES * lm_scoring.MEMBERS)))
     held = np.bincount(m.klass * lm_scoring.MEMBERS + m.member, minlength=lm_scoring.CLASSES * lm_scoring.MEMBERS) > 0
     assert np.allclose(joint[held], 1)
+
+
+def test_language_model_beats_the_base_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sums = lm_scoring.digest(docs).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert sums["score"] > sums["base"]
