@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BENIGN, MALICIOUS, UNKNOWN = "benign", "malicious", "unknown"
 FLOOR, CAP = 0.95, 200.0
+WHOLE = 1_000_000
 
 
 def known(scores: DataFrame) -> DataFrame:
@@ -167,18 +168,55 @@ def gains(changes: DataFrame, detectors: list[str]) -> DataFrame:
     return rows.groupBy("detector").agg(F.count_if(now & ~was).alias("gained"), F.count_if(was & ~now).alias("lost"))
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], column: str, fractions: list[float]) -> DataFrame:
+    """keys, fraction, n, lower, value: the value at index floor((n - 1) * fraction), and the one between it and the next.
+
+    A sketch brackets each quantile; then only values inside the bracket are ranked, after a count of all below it, so that no
+    task holds a group. Groups of up to ``WHOLE`` values are bracketed by their least and largest. Nulls are left out.
+    """
+    x, near = F.col(column), 2e-5
+    rows = rows.where(x.isNotNull()).select(*keys, x.alias("_x"))
+    ends = [min(1.0, max(0.0, f + d)) for f in fractions for d in (-near, near)]
+    known_ = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.percentile_approx("_x", ends, 100_000).alias("_p"))
+    small = F.col("n") <= WHOLE
+    each = F.array(*[F.struct(F.lit(f).alias("fraction"), F.when(small, F.col("_a")).otherwise(F.col("_p")[2 * i]).alias("_lo"), F.when(small, F.col("_b")).otherwise(F.col("_p")[2 * i + 1]).alias("_hi")) for i, f in enumerate(fractions)])
+    spans = known_.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", F.explode(each).alias("_s")).select("*", "_s.*").drop("_s")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(F.col(f"_k{i}"))
+    group = [*keys, "fraction", "n"]
+    steps = rows.join(spans, same & (F.col("_x") <= F.col("_hi"))).groupBy(*group, F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    at = (F.col("n") - 1) * F.col("fraction")
+    pick = lambda i: F.min(F.when(F.col("_u") > i, F.col("_v")))
+    found = steps.withColumn("_u", F.sum("_c").over(upto)).groupBy(*group).agg(pick(F.floor(at)).alias("lower"), pick(F.ceil(at)).alias("_next"))
+    return found.select(*group, "lower", (F.col("lower") + (F.col("_next") - F.col("lower")) * (at - F.floor(at))).alias("value"))
+
+
+def _long(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    return rows.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select(group, "v.*")
+
+
 def quartiles(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Exact inclusive quartiles and mean of each feature, by group."""
-    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select(group, "v.*")
-    out = long.groupBy(group, "feature").agg(F.count("x").alias("n"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"), F.avg("x").alias("mean"))
-    return out.select(group, "feature", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
+    """Exact inclusive quartiles and mean of each feature, by group; null where a group has no value."""
+    long = _long(rows, group, columns)
+    means = long.groupBy(F.col(group).alias("_g"), F.col("feature").alias("_f")).agg(F.count("x").alias("_n"), F.avg("x").alias("mean"))
+    pick = lambda f: F.max(F.when(F.col("fraction") == f, F.col("value")))
+    q = exact_quantiles(long, [group, "feature"], "x", [0.25, 0.5, 0.75]).groupBy(group, "feature").agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
+    out = means.join(q, F.col("_g").eqNullSafe(q[group]) & (F.col("_f") == q["feature"]), "left")
+    return out.select(F.col("_g").alias(group), F.col("_f").alias("feature"), F.col("_n").alias("n"), "q1", "median", "q3", "mean")
 
 
 def lower_quantile(rows: DataFrame, group: str, column: str, fraction: float) -> DataFrame:
     """The value at index floor((n - 1) * fraction) of the sorted values."""
-    w = Window.partitionBy(group)
-    ranked = rows.select(group, F.col(column).alias("x"), F.row_number().over(w.orderBy(column)).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("i") == F.floor((F.col("n") - 1) * fraction) + 1).select(group, F.col("x").alias("quantile"))
+    return exact_quantiles(rows, [group], column, [fraction]).select(group, F.col("lower").alias("quantile"))
+
+
+def share_at_or_below(rows: DataFrame, group: str, base: str, columns: list[str], fraction: float = 0.25) -> DataFrame:
+    """Share of each group's values that are at most the lower ``fraction`` quantile of group ``base``, by feature; null if that is empty."""
+    long = _long(rows, group, columns).where("x IS NOT NULL")
+    limits = lower_quantile(long.where(F.col(group) == base), "feature", "x", fraction)
+    return long.join(F.broadcast(limits), "feature", "left").groupBy(group, "feature").agg(F.avg((F.col("x") <= F.col("quantile")).cast("double")).alias("share"))  # a limit a feature
 
 
 def hypothesis(medians: DataFrame, group: str, case: str, base: str, ratios_: dict[str, tuple[str, float]], least_cases: int = 100) -> DataFrame:

@@ -7,9 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from ..schemas import FEATURE_GROUPS
 from . import evaluate as E, models
 
+VOLUME_THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
+#: What a burst of connections to few destinations looks like, as ratios of medians.
+BURST = {"prior_source_connections_300s": (">=", 1.5), "prior_short_connections_60s": (">=", 1.5), "prior_unique_destinations_300s": ("<=", 1.25)}
+
+
+def _score(train: DataFrame, rows: DataFrame, names: list[str], model: str, sigmoid: bool = False, **options) -> tuple[DataFrame, float | None]:
+    if sigmoid:
+        return models.calibrated(train, rows, names, model, **options), None
+    if model in ("extra_trees", "isolation_forest"):
+        return getattr(models, model)(train, rows, names, **options), None
+    return models.fit_and_score(train, rows, names, model, **options)
+
 
 def detector_scores(train: DataFrame, rows: DataFrame, names: list[str], detectors: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
-    """Scores of all detectors (name: options of ``models.fit_and_score``), and a status row for each.
+    """Scores of all detectors (name: options of ``models.fit_and_score``, or of ``extra_trees`` or ``isolation_forest`` with
+    that name as model; ``sigmoid`` asks for calibrated scores), and a status row for each.
 
     A detector that fails is a row with its error and leaves the others alone.
     """
@@ -17,7 +30,7 @@ def detector_scores(train: DataFrame, rows: DataFrame, names: list[str], detecto
     parts, status = None, []
     for name, options in detectors.items():
         try:
-            scored, seconds = models.fit_and_score(train, rows, names, **options)
+            scored, seconds = _score(train, rows, names, **options)
         except Exception as e:  # noqa: BLE001  the failure is the result
             status.append((name, "failed", type(e).__name__, None))
             continue
@@ -46,7 +59,7 @@ def comparison(train: DataFrame, rows: DataFrame, feature_sets: dict[str, list[s
 def ablation(train: DataFrame, rows: DataFrame, names: list[str], options: dict, threshold: float = 0.2, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Metrics with all features, and without each group of them."""
     out = None
-    for group, dropped in {"none": [], **(groups or FEATURE_GROUPS)}.items():
+    for group, dropped in {"none": [], **(FEATURE_GROUPS if groups is None else groups)}.items():
         kept = [n for n in names if n not in set(dropped)]
         scores, _ = detector_scores(train, rows, kept, {"model": options})
         part = E.binary_metrics(scores, threshold).drop("detector").withColumn("without", F.lit(group))
@@ -54,17 +67,94 @@ def ablation(train: DataFrame, rows: DataFrame, names: list[str], options: dict,
     return out
 
 
-def stability(train: DataFrame, rows: DataFrame, names: list[str], detectors: dict[str, dict], floor: float = E.FLOOR, cap: float = E.CAP) -> dict[str, DataFrame]:
-    """Operating points, metrics by scenario, alert volume, disagreement and residuals of several detectors."""
-    scores, status = detector_scores(train, rows, names, detectors)
-    points = E.operating_point(scores, floor, cap)
-    chosen = {r["detector"]: r["threshold"] for r in points.collect()}  # a row a detector
-    cases = E.disagreement(scores, chosen) if chosen else None
-    out = {"status": status, "scores": scores, "operating_points": points}
-    for name, t in chosen.items():
+def with_rules(scores: DataFrame, rows: DataFrame, flags: DataFrame) -> DataFrame:
+    """``scores`` and those of the rules (``rules.flags``); a row without a flag has score 0."""
+    own = rows.select("event_id", "scenario_id", F.col("ground_truth_label").alias("label")).join(flags.select("event_id", "score"), "event_id", "left")
+    return scores.unionByName(own.select("event_id", "scenario_id", F.lit("rules").alias("detector"), "label", F.coalesce("score", F.lit(0.0)).alias("score")))
+
+
+def at_thresholds(scores: DataFrame, thresholds: dict[str, float]) -> dict[str, DataFrame]:
+    """Metrics by scenario, intervals, alert volume, disagreement and residuals, each detector at its own threshold."""
+    out: dict[str, DataFrame] = {}
+    for name, t in thresholds.items():
         own = scores.where(F.col("detector") == name)
         for key, table in (("metrics", E.scenario_metrics(own, t)), ("volume", E.alert_volume(own, t))):
             out[key] = table if key not in out else out[key].unionByName(table)
-    if cases is not None:
+    if thresholds:
+        cases = E.disagreement(scores.where(F.col("detector").isin(list(thresholds))), thresholds)
+        out["intervals"] = E.intervals(out["metrics"], ["detector", "scenario_id"])
         out |= {"cases": cases, "coverage": E.coverage_histogram(cases), "overlap": E.pairwise_overlap(cases), "unique": E.unique_catches(cases), "residuals": E.residuals(cases)}
     return out
+
+
+def _chosen(points: DataFrame) -> dict[str, float]:
+    return {r["detector"]: r["threshold"] for r in points.select("detector", "threshold").collect()}  # a row a detector
+
+
+def stability(train: DataFrame, rows: DataFrame, names: list[str], detectors: dict[str, dict], floor: float = E.FLOOR, cap: float = E.CAP) -> dict[str, DataFrame]:
+    """Several detectors at the operating points that the policy gives."""
+    scores, status = detector_scores(train, rows, names, detectors)
+    points = E.operating_point(scores, floor, cap)
+    return {"status": status, "scores": scores, "operating_points": points} | at_thresholds(scores, _chosen(points))
+
+
+def baselines(train: DataFrame, rows: DataFrame, names: list[str], detectors: dict[str, dict], flags: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Rules and detectors at one fixed threshold, with the area under the precision-recall curve."""
+    scores, status = detector_scores(train, rows, names, detectors)
+    scores = with_rules(scores, rows, flags)
+    return {"status": status, "scores": scores, "pr_auc": E.average_precision(scores)} | at_thresholds(scores, dict.fromkeys((*detectors, "rules"), threshold))
+
+
+def benchmark(train: DataFrame, rows: DataFrame, names: list[str], detectors: dict[str, dict], flags: DataFrame) -> dict[str, DataFrame]:
+    """A family of models, each at the threshold with the best F1, beside the rules at 0.5."""
+    scores, status = detector_scores(train, rows, names, detectors)
+    best = E.best_threshold(E.threshold_grid(scores))
+    chosen = _chosen(best) | {"rules": 0.5}
+    scores = with_rules(scores, rows, flags)
+    return {"status": status, "scores": scores, "thresholds": best, "pr_auc": E.average_precision(scores)} | at_thresholds(scores, chosen)
+
+
+def hardening(train: DataFrame, rows: DataFrame, names: list[str], options: dict, threshold: float = 0.2, thresholds: tuple[float, ...] = VOLUME_THRESHOLDS, groups: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """One model: ablation, calibration raw and by sigmoid, alert volume at several thresholds, metrics at the frozen one."""
+    scores, status = detector_scores(train, rows, names, {"raw": options, "sigmoid": {**options, "sigmoid": True}})
+    raw = scores.where("detector = 'raw'")
+    volume = None
+    for t in thresholds:
+        part = E.alert_volume(raw, t).withColumn("threshold", F.lit(t))
+        volume = part if volume is None else volume.unionByName(part)
+    return {"status": status, "ablation": ablation(train, rows, names, options, threshold, groups), "calibration": E.calibration_scores(scores), "volume": volume, "metrics": E.scenario_metrics(raw, threshold)}
+
+
+def representation(train: DataFrame, rows: DataFrame, reference: list[str], candidate: list[str], detectors: dict[str, dict], floor: float = E.FLOOR, cap: float = E.CAP) -> dict[str, DataFrame]:
+    """The same detectors on two feature lists: both studies, and what the candidate's metrics gain."""
+    both = {k: stability(train, rows, v, detectors, floor, cap) for k, v in (("reference", reference), ("candidate", candidate))}
+    out = {f"{k}_{name}": table for k, v in both.items() for name, table in v.items()}
+    if all("metrics" in v for v in both.values()):
+        whole = [both[k]["metrics"].where("scenario_id IS NULL") for k in ("reference", "candidate")]
+        out["deltas"] = E.metric_deltas(*whole, ["precision", "recall", "f1", "fpr"])
+    return out
+
+
+def unique_coverage(cases: DataFrame, features: DataFrame, detector: str, others: list[str], columns: list[str]) -> dict[str, DataFrame]:
+    """Cases that only ``detector`` caught: counts in all and by scenario, and features beside the other malicious cases'."""
+    only = F.array_contains("caught_by", F.lit(detector))
+    for o in others:
+        only = only & ~F.array_contains("caught_by", F.lit(o))
+    rows = cases.select("event_id", "scenario_id", F.when(only, "unique").otherwise("other").alias("side"))
+    counts = rows.where("side = 'unique'").groupingSets([[], ["scenario_id"]], "scenario_id").agg(F.count("*").alias("n"))
+    wide = features.select("event_id", *columns).join(rows.select("event_id", "side"), "event_id")
+    return {"cases": rows, "counts": counts, "profile": E.quartiles(wide, "side", columns), "low_share": E.share_at_or_below(wide, "side", "other", columns)}
+
+
+def overlap_diagnosis(reference: DataFrame, candidate: DataFrame, features: DataFrame, detectors: list[str], columns: list[str], ratios: dict[str, tuple[str, float]] | None = None) -> dict[str, DataFrame]:
+    """How the cases of two feature versions changed, what the changed groups look like, and whether they are bursts."""
+    changes = E.case_changes(reference, candidate)
+    profile = E.quartiles(features.select("event_id", *columns).join(changes.select("event_id", "change"), "event_id"), "change", columns)
+    return {
+        "changes": changes,
+        "categories": changes.groupingSets([["change"], ["scenario_id", "change"]], "scenario_id", "change").agg(F.count("*").alias("n")),
+        "transitions": E.transitions(changes),
+        "gains": E.gains(changes, detectors),
+        "profile": profile,
+        "hypothesis": E.hypothesis(profile, "change", "candidate_only", "reference_only", BURST if ratios is None else ratios),
+    }

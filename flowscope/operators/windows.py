@@ -8,7 +8,8 @@ opens an interval that closes when the window has passed its last sighting, and
 is the number of values alive. Both are plain window sums, so nothing grows with the number of rows in a window.
 
 Hosts may be busy for a long time. Rows are therefore dealt into time buckets of ``bucket`` seconds; each bucket also gets a
-copy of the rows of the last window before it, and only a bucket's own rows are kept. Hot hosts then spread over tasks.
+copy of the rows of the last window before it, and only a bucket's own rows are kept. Hot hosts then spread over tasks. The
+flow before a bucket's first may be older than the window: the last time of each bucket is carried to the host's next one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from ..functions.flow_features import asymmetry, flow_features, log_or_zero
 SHORT_SECONDS = 1.0
 
 
-
 def _prepared(flows: DataFrame) -> DataFrame:
     src = [F.col(c) for c in ("source_src_address", "src_ip") if c in flows.columns]
     dst = [F.col(c) for c in ("source_dst_address", "dst_ip") if c in flows.columns]
@@ -42,12 +42,14 @@ def prior_features(flows: DataFrame, short: int = 60, long: int = 300, bucket: i
     s, l = f"{short}s", f"{long}s"  # noqa: E741
     micros = {s: short * 1_000_000, l: long * 1_000_000}
     wide = max(bucket, short, long) * 1_000_000
-    last = F.lag("_us").over(Window.partitionBy("scenario_id", "_host").orderBy("_us", "_id"))
-    rows = rows.withColumn("_last", last)
     own = F.floor(F.col("_us") / wide)
     reach = F.floor((F.col("_us") + max(micros.values()) - 1) / wide)
     rows = rows.withColumn("_bucket", F.explode(F.sequence(own, reach))).withColumn("_own", F.col("_bucket") == own)
     group = ["scenario_id", "_host", "_bucket"]
+    ends = rows.where("_own").groupBy(*group).agg(F.max("_us").alias("_end"))  # a row a bucket
+    carried = ends.select(*group, F.lag("_end").over(Window.partitionBy(*group[:2]).orderBy("_bucket")).alias("_carried"))
+    rows = rows.join(carried, group, "left")
+    rows = rows.withColumn("_last", F.coalesce(F.lag("_us").over(Window.partitionBy(*group).orderBy("_us", "_id")), "_carried"))
 
     def prior(value: Column, name: str, *more: str) -> Column:
         keys = [*group, *more]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import contracts, models, studies, windows
+from ..operators import contracts, models, rules, studies, windows
 from ..schemas import FLOW_FEATURES
 from ..sources import binetflow
 from .flows import flows, scores
@@ -154,3 +154,21 @@ def stability_points(spark, sf):
 def detector_status(spark, sf):
     train, rows = _pools(spark, sf)
     return studies.detector_scores(train, rows, _USED, {"tree": {"model": "decision_tree"}, "none": {"model": "no such model"}})[1].drop("fit_seconds")
+
+
+@query("benchmark_metrics")
+def benchmark_metrics(spark, sf):
+    train, rows = _pools(spark, sf)
+    return studies.benchmark(train, rows, _USED, {"tree": {"model": "decision_tree"}, "isolation": {"model": "isolation_forest", "trees": 10}}, rules.flags(flows(spark, sf)))["metrics"]
+
+
+@query("hardening_calibration")
+def hardening_calibration(spark, sf):
+    train, rows = _pools(spark, sf)
+    return studies.hardening(train, rows, _USED, {"model": "random_forest", "trees": 5, "depth": 4}, groups={})["calibration"]
+
+
+@query("representation_deltas")
+def representation_deltas(spark, sf):
+    train, rows = _pools(spark, sf)
+    return studies.representation(train, rows, [c for c in _USED if "missing" not in c], _USED, {"tree": {"model": "decision_tree"}}, floor=0.3)["deltas"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.flow_features import with_flow_features
 from ..functions.ids import EVENTS, event_id
-from ..operators import evaluate as E, rules, windows
+from ..operators import evaluate as E, rules, studies, windows
 from ..schemas import FLOW_FEATURES
 from .flows import flows, flows_sql, scores, scores_sql
 
@@ -321,3 +321,36 @@ def wilson_intervals(spark, sf):
 @query("metric_deltas", f"WITH {F0}, {S0}, {scores_sql('later', 7)}, x AS ({_conf('detector')} GROUP BY detector), y AS ({_conf('detector', source='later')} GROUP BY detector), a AS (SELECT detector, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM x), b AS (SELECT detector, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM y) SELECT detector, round(b.p - a.p, 6) AS precision_delta, round(b.r - a.r, 6) AS recall_delta FROM a JOIN b USING (detector)")
 def metric_deltas(spark, sf):
     return E.metric_deltas(E.binary_metrics(scores(spark, sf), 0.5), E.binary_metrics(scores(spark, sf, 7), 0.5), ["precision", "recall"])
+
+
+_U = "u AS (SELECT event_id, scenario_id, CASE WHEN caught = 'a' THEN 'unique' ELSE 'other' END AS side FROM cases)"
+
+
+def _unique(spark, sf):
+    return studies.unique_coverage(_cases(spark, sf), flows(spark, sf), "a", ["b", "c"], _Q)
+
+
+@query("unique_coverage", f"{_C}, {_U} SELECT scenario_id, count(*) AS n FROM u WHERE side = 'unique' GROUP BY GROUPING SETS ((), (scenario_id))")
+def unique_coverage(spark, sf):
+    return _unique(spark, sf)["counts"]
+
+
+@query("unique_profile", f"{_C}, {_U}, l AS (" + " UNION ALL ".join(f"SELECT side, '{c}' AS feature, {c}::DOUBLE AS x FROM flows JOIN u USING (event_id)" for c in _Q) + ") SELECT side, feature, count(x) AS n, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q3, round(avg(x), 6) AS mean FROM l GROUP BY ALL")
+def unique_profile(spark, sf):
+    return _unique(spark, sf)["profile"]
+
+
+@query("unique_low_share", f"{_C}, {_U}, l AS (" + " UNION ALL ".join(f"SELECT side, '{c}' AS feature, {c}::DOUBLE AS x FROM flows JOIN u USING (event_id) WHERE {c} IS NOT NULL" for c in _Q) + "), q AS (SELECT feature, x AS lim FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x) AS i, count(*) OVER (PARTITION BY feature) AS n FROM l WHERE side = 'other') WHERE i = floor((n - 1) * 0.25) + 1) SELECT side, feature, round(avg((x <= lim)::INT), 6) AS share FROM l JOIN q USING (feature) GROUP BY ALL")
+def unique_low_share(spark, sf):
+    return _unique(spark, sf)["low_share"]
+
+
+@query("scenario_intervals", f"""WITH {F0}, {S0}, c AS ({_conf('detector, scenario_id')} GROUP BY GROUPING SETS ((detector), (detector, scenario_id))), m AS (SELECT detector, scenario_id, 'precision' AS metric, tp AS successes, tp + fp AS trials FROM c UNION ALL SELECT detector, scenario_id, 'recall', tp, tp + fn FROM c UNION ALL SELECT detector, scenario_id, 'fpr', fp, fp + tn FROM c UNION ALL SELECT detector, scenario_id, 'fnr', fn, fn + tp FROM c UNION ALL SELECT detector, scenario_id, 'alert_rate', tp + fp, tp + fp + fn + tn FROM c),
+p AS (SELECT *, successes / trials AS p, {_Z} * {_Z} AS zz FROM m) SELECT detector, scenario_id, metric, successes, trials, round(greatest(0, (p + zz / (2 * trials) - {_Z} * sqrt(p * (1 - p) / trials + zz / (4 * trials * trials))) / (1 + zz / trials)), 6)::DOUBLE AS lower, round(least(1, (p + zz / (2 * trials) + {_Z} * sqrt(p * (1 - p) / trials + zz / (4 * trials * trials))) / (1 + zz / trials)), 6)::DOUBLE AS upper FROM p""")
+def scenario_intervals(spark, sf):
+    return E.intervals(E.scenario_metrics(scores(spark, sf), 0.5), ["detector", "scenario_id"])
+
+
+@query("version_profile", f"{_V}, l AS (" + " UNION ALL ".join(f"SELECT change, '{c}' AS feature, {c}::DOUBLE AS x FROM flows JOIN v USING (event_id)" for c in _Q) + ") SELECT change, feature, count(x) AS n, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q3, round(avg(x), 6) AS mean FROM l GROUP BY ALL")
+def version_profile(spark, sf):
+    return studies.overlap_diagnosis(_cases(spark, sf), _cases(spark, sf, 7), flows(spark, sf), list(LIMITS), _Q)["profile"]

@@ -1,10 +1,11 @@
+import math
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowscope.operators import evaluate as E, models, rules, windows
+from flowscope.operators import evaluate as E, models, rules, studies, windows
 from flowscope.schemas import CAUSAL_FEATURES, FEATURES
 
 COLUMNS = "event_id long, scenario_id string, source_event_id string, observed_at timestamp, source_src_address string, source_dst_address string, src_port long, dst_port long, protocol string, flow_direction string, connection_state string, network_bytes long, orig_bytes long, packet_count long, session_duration_seconds double, ground_truth_label string"
@@ -40,6 +41,8 @@ def test_prior_windows_against_brute_force(flows):
         assert g.prior_short_connections_60s == sum(x[14] is not None and x[14] <= 1 for x in near[60])
         assert g.prior_total_bytes_300s_missing == float(all(x[11] is None for x in near[300]))
         assert g.seconds_since_prior_source_flow_missing == float(not before)
+        gap = (r[3] - max(x[3] for x in before)).total_seconds() if before else 0.0
+        assert g.log_seconds_since_prior_source_flow == pytest.approx(math.log1p(gap))
 
 
 def test_feature_versions(flows):
@@ -99,3 +102,39 @@ def test_models(spark, flows):
     assert E.average_precision(e.withColumn("detector", F.lit("e"))).first().pr_auc > 0.8
     one = spark.createDataFrame([(1.0,), (1.0,)], "score double")
     assert [r.score for r in models.normalise_range(one, one).collect()] == [0.0, 0.0]
+
+
+def test_studies(spark, flows):
+    df, _ = flows
+    rows = windows.features(df, "1.0.0").withColumn("ground_truth_label", F.when(F.col("log_total_bytes") > 15.2, "malicious").when(F.col("event_id") % 5 == 0, "unknown").otherwise("benign"))
+    names = ["log_total_bytes", "duration_seconds", "protocol_tcp"]
+    kinds = {"tree": {"model": "decision_tree"}, "extra": {"model": "extra_trees", "trees": 5, "depth": 4}, "iso": {"model": "isolation_forest", "trees": 5}}
+    b = studies.benchmark(rows, rows, names, kinds, rules.flags(df))
+    assert {r.detector: r.status for r in b["status"].collect()} == dict.fromkeys(kinds, "fitted")
+    assert {r.detector for r in b["metrics"].where("scenario_id IS NULL").collect()} == {*kinds, "rules"}
+    bad = rows.where("ground_truth_label = 'malicious'").count()
+    assert b["coverage"].agg(F.sum("n")).first()[0] == bad
+    h = studies.hardening(rows, rows, names, {"model": "random_forest", "trees": 3, "depth": 3}, groups={"bytes": names[:1]})
+    assert {r.detector for r in h["calibration"].collect()} == {"raw", "sigmoid"} and h["volume"].count() == len(studies.VOLUME_THRESHOLDS)
+    assert h["ablation"].count() == 2
+    cases = b["cases"].withColumn("caught_by", F.when(F.col("event_id") % 2 == 0, F.array(F.lit("iso"))).otherwise(F.array().cast("array<string>")))
+    own = studies.unique_coverage(cases, rows, "iso", ["tree", "extra"], names[:1])
+    assert own["counts"].where("scenario_id IS NULL").first().n == cases.where("event_id % 2 = 0").count()
+    d = studies.overlap_diagnosis(b["cases"], cases, rows, ["iso", "tree"], names)
+    assert d["categories"].where("scenario_id IS NULL").agg(F.sum("n")).first()[0] == bad
+    assert {r.outcome for r in d["hypothesis"].collect()} == set()
+
+
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_exact_quantiles(spark, monkeypatch, whole):
+    monkeypatch.setattr(E, "WHOLE", whole)
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(g, None if g is None and i % 9 == 0 else float(rng.randrange(k)) + rng.choice([0, 0.5])) for g, k in (("a", 10**6), ("b", 5), (None, 30)) for i in range(150_000 if g == "a" else 120_000)]
+    got = {(r.g, r.fraction): r for r in E.exact_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", [0.25, 0.5, 0.9]).collect()}
+    for g in ("a", "b", None):
+        x = np.array([v for k, v in rows if k == g and v is not None])
+        for f in (0.25, 0.5, 0.9):
+            assert (got[g, f].n, got[g, f].lower) == (len(x), np.sort(x)[int((len(x) - 1) * f)])
+            assert got[g, f].value == pytest.approx(np.quantile(x, f))
