@@ -8,8 +8,8 @@ Model. One layer of masked attention over the last ids predicts the class of the
 class it is. Classes are neighbours in the vocabulary's order of spelling; ids beyond the frequent ones share their
 class's last place, by their counts in the training documents. It is trained in numpy on shards of training documents of
 about ``SHARD_TOKENS``: one shard warms the parameters up, then every shard goes on from there, and the parameters are
-averaged, so that they all lie in one basin. The sample of training documents grows with the input (``SAMPLE`` of the
-tokens, and all tokens of a small corpus, up to ``LEAST_TOKENS``). All counts cover all documents.
+averaged, so that they all lie in one basin. The shards hold all training documents, at every size. A task reads its
+shards where the pieces lie, and sends one sum of parameters, in chunks.
 
 Scoring. Each document is cut into windows that overlap by ``CONTEXT`` ids; a window scores its own ``STEP`` ids, each
 once, with attention batched over windows. The text's end is scored too.
@@ -37,8 +37,8 @@ END = 50_256
 CLASSES, MEMBERS = 48, 32
 INPUTS = 4096
 WIDTH, CONTEXT, STEP = 32, 8, 16
-SAMPLE, LEAST_TOKENS = 1 / 40, 4_000_000
 SHARD_TOKENS = 2_000_000
+CHUNK = 4096
 PIECE = 2_000_000
 BUCKET_BYTES = 32_000_000
 _END_WORD = np.array([0x5EED_0F_7E_87_E4_D0], np.uint64)
@@ -129,6 +129,7 @@ class Model:
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.p = {"E": small(INPUTS, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH), "U": small(WIDTH, CLASSES), "b": np.log(whole.sum(1) / whole.sum()).astype(np.float32), "M": small(CLASSES, WIDTH, MEMBERS), "c": np.log(whole / whole.sum(1, keepdims=True)).astype(np.float32), "r": np.zeros(CONTEXT + STEP, np.float32)}
         i, j = np.arange(STEP)[:, None] + CONTEXT, np.arange(CONTEXT + STEP)[None]
+        self.trained = 0  # ids in the shards of the last round
         self.ahead, self.back = j > i, np.clip(i - j, 0, CONTEXT + STEP - 1)
 
     def vector(self) -> np.ndarray:
@@ -262,6 +263,22 @@ def _chosen(ids: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> tuple[np.nd
     return ids[np.repeat(keep, sizes)], sizes[keep]
 
 
+def _shards(batches, size: int):
+    """The training documents of all pieces, in shards of about ``size`` ids: lists of (ids, sizes)."""
+    held, n = [], 0
+    for batch in batches:
+        for ids, sizes, out in _streams(batch):
+            kept = _chosen(ids, sizes, ~out)
+            if len(kept[1]):
+                held.append(kept)
+                n += len(kept[0])
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
 def _fit(subwords: DataFrame, tokenizer: str) -> Model:
     spark = subwords.sparkSession
 
@@ -285,20 +302,11 @@ def _fit(subwords: DataFrame, tokenizer: str) -> Model:
     tokens = int(counts.sum())
     if not tokens:
         return model
-    share = min(1.0, max(SAMPLE, LEAST_TOKENS / tokens))
-    shards = max(1, round(tokens * share / SHARD_TOKENS))
-    limit = int(share * (1 << 32))
+    size = SHARD_TOKENS
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [key[0]], "x": [sum(np.frombuffer(x) for x in pdf["x"]).tobytes()], "n": [pdf["n"].sum()], "ids": [pdf["ids"].sum()]})
 
-    def sample(batches):
-        for batch in batches:
-            for (ids, sizes, out), docs, piece in zip(_streams(batch), batch.column(batch.schema.get_field_index("docs")).to_pylist(), batch.column(batch.schema.get_field_index("piece")).to_pylist(), strict=True):
-                draw = np.array([zlib.crc32(f"train {d} {i}".encode()) for i, d in enumerate(docs)])
-                kept, n = _chosen(ids, sizes, ~out & (draw < limit))
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([kept.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["piece", "a", "b"])
-
-    drawn = staged(subwords.mapInArrow(sample, "piece long, a binary, b binary").repartition(shards, F.xxhash64("piece")), "lm-sample")
-    drawn = drawn.repartition(shards, F.xxhash64("piece"))
     for warm in (True, False):
         now = spark.sparkContext.broadcast((model, model.vector()))
 
@@ -306,20 +314,22 @@ def _fit(subwords: DataFrame, tokenizer: str) -> Model:
             if warm and TaskContext.get().partitionId():
                 return
             own, vector = now.value
-            own.load(vector)
-            # a shard, in whole: ids of two bytes
-            streams = [(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint32)) for batch in batches for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            n = sum(len(ids) for ids, _ in streams)
-            if n:
-                own.train(streams)
-                x = own.vector()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x * n), pa.array(np.full(len(x), n, np.int64))], names=["i", "x", "n"])
-
-        mean = drawn.mapInArrow(learn, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-        rows = mean.toPandas()  # one row a parameter
-        vector = model.vector()
-        vector[rows["i"].to_numpy()] = rows["x"].to_numpy()
-        model.load(vector)
+            total, weight, read = np.zeros(len(vector)), 0, 0
+            for streams in _shards(batches, size):
+                own.load(vector).train(streams)
+                n = sum(len(ids) + len(sizes) for ids, sizes in streams)  # ends are trained too
+                total, weight, read = total + own.vector() * n, weight + n, read + sum(len(ids) for ids, _ in streams)
+                if warm:
+                    break
+            if weight:
+                parts = [total[a : a + CHUNK].tobytes() for a in range(0, len(total), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), weight)), pa.array(np.full(len(parts), read))], names=["chunk", "x", "n", "ids"])
+
+        kind = "chunk long, x binary, n long, ids long"
+        rows = subwords.mapInArrow(learn, kind).groupBy("chunk").applyInPandas(add, kind).toPandas().sort_values("chunk")  # the parameters once
+        if len(rows):
+            model.load(np.concatenate([np.frombuffer(x) / n for x, n in zip(rows["x"], rows["n"])]))
+            model.trained = int(rows["ids"].iloc[0])
     return model
 
 

@@ -286,3 +286,13 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sums = lm_scoring.digest(docs).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert sums["score"] > sums["base"]
+
+
+def test_language_model_learns_from_all_training_documents(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEAST_TOKENS", 0, raising=False)  # formerly a corpus above this size was sampled
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 500)
+    path = subwords.default_path()
+    pieces = lm_scoring._pieces(docs.select("doc_id", "text"), 8, path).where("kind = 2").select("piece", "a", "b", "c", "docs")
+    train = [t for i, t in rows if not lm_scoring.held_out(i)]
+    sizes = [len(s) // 4 for s in subwords.encoder(path)(train)]
+    assert sum(sizes) > 4 * 500 and lm_scoring._fit(pieces, path).trained == sum(sizes)
