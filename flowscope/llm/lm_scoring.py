@@ -5,10 +5,10 @@ its distinct words, packed by hash bucket; a bucket sums each word's counts over
 pieces that asked. A frequent word costs one entry a piece, so nothing grows with its frequency.
 
 Model. One layer of masked attention over the last ids predicts the class of the next id, and then which member of its
-class it is. Classes are neighbours in the vocabulary's order of spelling; ids beyond the frequent ones share their
-class's last place, by their counts in the training documents. It is trained in numpy on shards of training documents of
+class it is. Classes are neighbours in the vocabulary's order of spelling. Every id of the training documents has a place
+and an input row of its own; about as many classes as members are made for them. Ids that never occur share their class's last place. It is trained in numpy on shards of training documents of
 about ``SHARD_TOKENS``: one shard warms the parameters up, then every shard goes on from there, and the parameters are
-averaged, so that they all lie in one basin. The shards hold all training documents, at every size. A task reads its
+averaged, so that they all lie in one basin, in ``ROUNDS`` passes. The shards hold all training documents, at every size. A task reads its
 shards where the pieces lie, and sends one sum of parameters, in chunks.
 
 Scoring. Each document is cut into windows that overlap by ``CONTEXT`` ids; a window scores its own ``STEP`` ids, each
@@ -34,9 +34,10 @@ from .words import NOT_BLANK, word_tables
 
 VOCABULARY = 50_257
 END = 50_256
-CLASSES, MEMBERS = 48, 32
-INPUTS = 4096
-WIDTH, CONTEXT, STEP = 32, 8, 16
+#: Bounds of a model's classes and of their members; it takes as many as its ids need.
+CLASSES, MEMBERS = 256, 256
+WIDTH, CONTEXT, STEP = 32, 16, 16
+ROUNDS = 2
 SHARD_TOKENS = 2_000_000
 CHUNK = 4096
 PIECE = 2_000_000
@@ -111,23 +112,26 @@ class Model:
 
     def __init__(self, counts: np.ndarray, spelling: list[str]):
         order = np.argsort(-counts, kind="stable")
+        seen = int((counts > 0).sum())
+        self.classes = max(1, int(np.ceil(np.sqrt(seen))))
+        self.members, inputs = self.classes + 1, seen + 1
         self.rank = np.empty(VOCABULARY, np.int32)
-        self.rank[order] = np.minimum(np.arange(VOCABULARY), INPUTS - 1)
+        self.rank[order] = np.minimum(np.arange(VOCABULARY), inputs - 1)
         common = np.zeros(VOCABULARY, bool)
-        common[order[: CLASSES * (MEMBERS - 1)]] = True
+        common[order[:seen]] = True
         ranked = np.array(sorted(range(VOCABULARY), key=spelling.__getitem__))
         place = np.cumsum(common[ranked]) - common[ranked]  # common ids that stand before
         self.klass, self.member = np.empty(VOCABULARY, np.int32), np.empty(VOCABULARY, np.int32)
-        self.klass[ranked] = np.minimum(place // (MEMBERS - 1), CLASSES - 1)
-        self.member[ranked] = np.where(common[ranked], place % (MEMBERS - 1), MEMBERS - 1)
+        self.klass[ranked] = np.minimum(place // (self.members - 1), self.classes - 1)
+        self.member[ranked] = np.where(common[ranked], place % (self.members - 1), self.members - 1)
         smooth = counts + 0.5
-        slot = self.klass * MEMBERS + self.member
-        whole = np.bincount(slot, weights=smooth, minlength=CLASSES * MEMBERS)
+        slot = self.klass * self.members + self.member
+        whole = np.bincount(slot, weights=smooth, minlength=self.classes * self.members)
         self.share = np.log(smooth / whole[slot])
-        whole = np.maximum(whole, 1e-3).reshape(CLASSES, MEMBERS)
+        whole = np.maximum(whole, 1e-3).reshape(self.classes, self.members)
         rng = np.random.default_rng(7)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.p = {"E": small(INPUTS, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH), "U": small(WIDTH, CLASSES), "b": np.log(whole.sum(1) / whole.sum()).astype(np.float32), "M": small(CLASSES, WIDTH, MEMBERS), "c": np.log(whole / whole.sum(1, keepdims=True)).astype(np.float32), "r": np.zeros(CONTEXT + STEP, np.float32)}
+        self.p = {"E": small(inputs, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH), "U": small(WIDTH, self.classes), "b": np.log(whole.sum(1) / whole.sum()).astype(np.float32), "M": small(self.classes, WIDTH, self.members), "c": np.log(whole / whole.sum(1, keepdims=True)).astype(np.float32), "r": np.zeros(CONTEXT + STEP, np.float32)}
         i, j = np.arange(STEP)[:, None] + CONTEXT, np.arange(CONTEXT + STEP)[None]
         self.trained = 0  # ids in the shards of the last round
         self.ahead, self.back = j > i, np.clip(i - j, 0, CONTEXT + STEP - 1)
@@ -161,7 +165,7 @@ class Model:
         source, target, begin, stop, first, doc = self.windows(ids, sizes)
         p, bias = self.p, self.bias()
         q, k, v = p["E"] @ p["q"] / np.sqrt(WIDTH).astype(np.float32), p["E"] @ p["k"], p["E"] @ p["v"]
-        one, many, ones = (np.ones(n, np.float32) for n in (CLASSES, MEMBERS, CONTEXT + STEP))
+        one, many, ones = (np.ones(n, np.float32) for n in (self.classes, self.members, CONTEXT + STEP))
         klass, member, share = self.klass[target], self.member[target], self.share[target]
         out, reach, here = np.zeros(len(sizes)), np.arange(-CONTEXT, STEP), np.arange(STEP)
         for a in range(0, len(begin), group):
@@ -184,7 +188,7 @@ class Model:
             logit += p["b"]
             value = logit[np.arange(len(at)), kind] + share[at]
             value -= np.log(np.exp(logit, out=logit) @ one)
-            cuts, place = np.searchsorted(kind, np.arange(CLASSES + 1)), member[at]
+            cuts, place = np.searchsorted(kind, np.arange(self.classes + 1)), member[at]
             for c in np.flatnonzero(np.diff(cuts)):
                 i, j = cuts[c], cuts[c + 1]
                 logit = h[i:j] @ p["M"][c]
@@ -212,7 +216,8 @@ class Model:
                 y, z = self.klass[aim], self.member[aim]
                 x = p["E"][u]
                 xq = x[:, CONTEXT:]
-                q, k, v = xq @ p["q"] * root, x @ p["k"], x @ p["v"]
+                own, wide = np.ascontiguousarray(xq).reshape(-1, WIDTH), x.reshape(-1, WIDTH)  # one product for all windows
+                q, k, v = (own @ (p["q"] * root)).reshape(xq.shape), (wide @ p["k"]).reshape(x.shape), (wide @ p["v"]).reshape(x.shape)
                 att = np.matmul(q, k.transpose(0, 2, 1)) + self.bias()
                 att[first[w], :, :CONTEXT] = -1e9
                 att = np.exp(np.minimum(att, 60))
@@ -226,31 +231,46 @@ class Model:
                 dh = e @ p["U"].T
                 g["M"], g["c"] = np.zeros_like(p["M"]), np.zeros_like(p["c"])
                 by = np.argsort(y, kind="stable")
-                cuts = np.searchsorted(y[by], np.arange(CLASSES + 1))
+                cuts = np.searchsorted(y[by], np.arange(self.classes + 1))
+                hs, zs, part, back, number = h[by], z[by], (good[by] / max(good.sum(), 1)).astype(np.float32), np.empty_like(h), np.arange(len(by))
                 for c in np.flatnonzero(np.diff(cuts)):
-                    rows = by[cuts[c] : cuts[c + 1]]
-                    f = np.exp(np.clip(h[rows] @ p["M"][c] + p["c"][c], -60, 60))
-                    f /= f.sum(1, keepdims=True)
-                    f[np.arange(len(rows)), z[rows]] -= 1
-                    f *= (good[rows] / max(good.sum(), 1)).astype(np.float32)[:, None]
-                    g["M"][c], g["c"][c] = h[rows].T @ f, f.sum(0)
-                    dh[rows] += f @ p["M"][c].T
+                    i, j = cuts[c], cuts[c + 1]
+                    f = hs[i:j] @ p["M"][c]
+                    f += p["c"][c]
+                    np.clip(f, -60, 60, out=f)
+                    np.exp(f, out=f)
+                    f *= (part[i:j] / f.sum(1))[:, None]
+                    f[number[: j - i], zs[i:j]] -= part[i:j]
+                    np.matmul(hs[i:j].T, f, out=g["M"][c])
+                    f.sum(0, out=g["c"][c])
+                    np.matmul(f, p["M"][c].T, out=back[i:j])
+                dh[by] += back
                 dh = dh.reshape(xq.shape)
                 dv, da = np.matmul(att.transpose(0, 2, 1), dh), np.matmul(dh, v.transpose(0, 2, 1))
                 ds = att * (da - (da * att).sum(-1, keepdims=True))
                 g["r"] = np.bincount(self.back.ravel(), weights=np.where(self.ahead, 0, ds.sum(0)).ravel(), minlength=CONTEXT + STEP).astype(np.float32)
                 dq, dk = np.matmul(ds, k) * root, np.matmul(ds.transpose(0, 2, 1), q)
                 flat = lambda z: z.reshape(-1, WIDTH)
-                g["q"], g["k"], g["v"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-                dx = dk @ p["k"].T + dv @ p["v"].T
-                dx[:, CONTEXT:] += dh + dq @ p["q"].T
+                g["q"], g["k"], g["v"] = own.T @ flat(dq), wide.T @ flat(dk), wide.T @ flat(dv)
+                dx = (flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(x.shape)
+                dx[:, CONTEXT:] += dh + (flat(dq) @ p["q"].T).reshape(xq.shape)
                 g["E"] = np.zeros_like(p["E"])
-                np.add.at(g["E"], u.ravel(), flat(dx))
+                at = np.argsort(u.ravel(), kind="stable")
+                row, start = np.unique(u.ravel()[at], return_index=True)
+                g["E"][row] = np.add.reduceat(flat(dx)[at], start)
                 t += 1
                 for name, grad in g.items():
-                    m[name] += 0.1 * (grad - m[name])
-                    s[name] += 0.01 * (grad * grad - s[name])
-                    p[name] = p[name] - rate * max(0.02, 1 - t / steps) * (m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.99**t)) + 1e-8)
+                    m[name] *= 0.9
+                    s[name] *= 0.99
+                    m[name] += np.float32(0.1) * grad
+                    grad *= grad
+                    grad *= np.float32(0.01)
+                    s[name] += grad
+                    np.sqrt(s[name], out=grad)
+                    grad += np.float32(1e-8 * np.sqrt(1 - 0.99**t))
+                    np.divide(m[name], grad, out=grad)
+                    grad *= np.float32(rate * max(0.02, 1 - t / steps) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
+                    p[name] -= grad
 
 
 def _streams(batch: pa.RecordBatch):
@@ -307,7 +327,7 @@ def _fit(subwords: DataFrame, tokenizer: str) -> Model:
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": [key[0]], "x": [sum(np.frombuffer(x) for x in pdf["x"]).tobytes()], "n": [pdf["n"].sum()], "ids": [pdf["ids"].sum()]})
 
-    for warm in (True, False):
+    for warm in (True, *[False] * ROUNDS):
         now = spark.sparkContext.broadcast((model, model.vector()))
 
         def learn(batches, now=now, warm=warm):

@@ -296,3 +296,15 @@ def test_language_model_learns_from_all_training_documents(spark, docs, rows, mo
     train = [t for i, t in rows if not lm_scoring.held_out(i)]
     sizes = [len(s) // 4 for s in subwords.encoder(path)(train)]
     assert sum(sizes) > 4 * 500 and lm_scoring._fit(pieces, path).trained == sum(sizes)
+
+
+def test_model_predicts_every_id_of_the_training_documents():
+    counts = np.zeros(lm_scoring.VOCABULARY, np.int64)
+    seen = np.random.default_rng(1).permutation(lm_scoring.VOCABULARY)[:20_000]
+    counts[seen] = 1 + np.arange(20_000)
+    m = lm_scoring.Model(counts, [f"{i:06}" for i in range(lm_scoring.VOCABULARY)])
+    places = Counter(zip(m.klass.tolist(), m.member.tolist()))
+    assert all(places[m.klass[i], m.member[i]] == 1 for i in seen.tolist()) and not m.share[seen].any()
+    assert len(set(m.rank[seen].tolist())) == 20_000 and lm_scoring.CONTEXT >= 16
+    full = lm_scoring.Model(np.ones(lm_scoring.VOCABULARY, np.int64), [f"{i:06}" for i in range(lm_scoring.VOCABULARY)])
+    assert full.classes <= lm_scoring.CLASSES and full.members <= lm_scoring.MEMBERS
