@@ -12,7 +12,8 @@ differ in shingles; so pairs whose bitmaps differ too much are discarded without
 default bands a pair at the threshold meets in no bucket with a probability below 1e-6.
 
 Cases: null text, or text without words, has an empty set, is linked with nothing and kept; with fewer words than a shingle
-the whole sequence is one shingle; rows of an equal id and text are one vertex; an empty table gives no rows.
+the whole sequence is one shingle; an empty table gives no rows. Ids may be null or repeated: a row is known by its id and
+two hashes of its text (``_KEY``), and of each group the row with the smallest id is kept (a null id comes last, and among texts of one id the hash decides).
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import staged
+from .store import fresh, staged
 from .words import NOT_BLANK, mix, runs, word_tables
 
 BINS = 192
 BITS = 2048
+_KEY = ["doc_id", "h1", "h2"]
 _U = np.uint64
 
 
@@ -86,9 +88,19 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, and hashes of the text."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+
+
+def _same(x: dict, y: dict):
+    """Whether two keys are equal; null ids are."""
+    return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["h1"] == y["h1"]) & (x["h2"] == y["h2"])
+
+
 def _sketches(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), bands, bits."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, h1, h2, n, d1, d2 (a digest of the set), bands, bits."""
+    rows = _keyed(docs, doc_id, text)
     bands = BINS // rule.rows
 
     def sketch(batches):
@@ -110,9 +122,9 @@ def _sketches(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
                 odd = np.bincount(place, minlength=len(part) * BITS) & 1
                 bits[part] = np.packbits(odd.reshape(len(part), BITS).astype(bool), axis=1).view(np.int64)
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), lists(keys), lists(bits)], names=["doc_id", "n", "d1", "d2", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n), pa.array(d1), pa.array(d2), lists(keys), lists(bits)], names=[*_KEY, "n", "d1", "d2", "bands", "bits"])
 
-    return rows.mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, h1 long, h2 int, n long, d1 long, d2 long, bands array<long>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,9 +166,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+    """doc_id, n_shingles, component_id (the group's smallest id), kept: one row for each row of ``docs``; equal rows are kept alike."""
+    return _grouped(docs, rule, doc_id, text).drop("h1", "h2")
+
+
+def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     sketches = staged(_sketches(docs, rule, doc_id, text), "sketches")
-    classes = staged(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    classes = staged(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *_KEY)).alias("row"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).withColumn("id", F.monotonically_increasing_id()), "classes")
     entries = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     stars = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("entries")).where("entries > 1").select(F.col("bucket").alias("of"), "centre")
     members = staged(entries.join(stars, entries["bucket"] == stars["of"]).select("band", "bucket", "id", "centre"), "buckets")
@@ -173,8 +189,8 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
         return staged(rows.join(several, F.col("bucket") == F.col("of")).drop("of"), "mixed-buckets")
 
     # sets of the documents that share a bucket with another
-    suspects = members.select(F.col("id").alias("of")).distinct().join(classes.select("id", "d1", "d2"), F.col("of") == F.col("id")).drop("of")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(suspects, F.col("doc_id") == F.col("id")).select("id", "d1", "text")
+    suspects = members.select(F.col("id").alias("of")).distinct().join(classes.select("id", "d1", "row"), F.col("of") == F.col("id")).drop("of")
+    texts = _keyed(docs, doc_id, text).join(suspects, _same({c: F.col(c) for c in _KEY}, {c: F.col("row")[c] for c in _KEY})).select("id", "d1", "text")
 
     def codes(batches):
         for batch in batches:
@@ -209,23 +225,31 @@ def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: s
     linked = staged(linked.union(_confirm(more, sets, rule)), "all-links")
     labels = components(linked)
 
-    vertex = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "id").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
-    vertex = vertex.select("c1", "c2", "cn", F.coalesce("label", "id").alias("label"))
-    rows = sketches.select("doc_id", "n", "d1", "d2")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id"))
+    vertex = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "row", "id").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
+    vertex = vertex.select("c1", "c2", "cn", "row", F.coalesce("label", "id").alias("label"))
+    best = vertex.groupBy(F.col("label").alias("of")).agg(F.min("row").alias("best"))
+    vertex = vertex.join(best, F.col("label") == F.col("of")).select("c1", "c2", "cn", "best")
+    rows = sketches.select(*_KEY, "n", "d1", "d2")
+    empty = F.col("n") == 0
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    kept = empty | _same({c: F.col(c) for c in _KEY}, {c: F.col("best")[c] for c in _KEY})
     return rows.join(vertex, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        *_KEY, F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")
     )
 
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each group alone; repeated rows of that document stay one."""
-    dropped = groups(docs, rule, doc_id, text).where("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").dropDuplicates([doc_id]) if _repeated(docs, doc_id) else docs.join(dropped, doc_id, "left_anti")
-
-
-def _repeated(docs: DataFrame, doc_id: str) -> bool:
-    return not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    """``docs`` with one row of each group alone: the smallest id. Texts without words stay, but for repeats of an id and text."""
+    marks = staged(_grouped(docs, rule, doc_id, text).groupBy(*_KEY).agg(F.first("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count("*").alias("count")).where("NOT kept OR count > 1 AND (n > 0 OR doc_id IS NOT NULL)"), "dropped")
+    own = [fresh(c, docs.columns) for c in ("key_id", "key_1", "key_2")]
+    theirs = [fresh(c, [*docs.columns, *own]) for c in ("mark_id", "mark_1", "mark_2")]
+    rows = docs.select(*[f"`{c}`" for c in docs.columns], *[c.alias(o) for c, o in zip((F.col(doc_id).cast("long"), F.xxhash64(text), F.hash(text)), own)])
+    same = _same(*[{c: F.col(n) for c, n in zip(_KEY, names)} for names in (own, theirs)])
+    named = lambda which: marks.where(which).select(*[F.col(c).alias(n) for c, n in zip(_KEY, theirs)])
+    out = rows.join(named("true"), same, "left_anti")
+    if not marks.where("kept").isEmpty():
+        out = out.union(rows.join(named("kept"), same, "left_semi").dropDuplicates(own))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

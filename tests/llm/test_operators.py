@@ -308,3 +308,18 @@ def test_model_predicts_every_id_of_the_training_documents():
     assert len(set(m.rank[seen].tolist())) == 20_000 and lm_scoring.CONTEXT >= 16
     full = lm_scoring.Model(np.ones(lm_scoring.VOCABULARY, np.int64), [f"{i:06}" for i in range(lm_scoring.VOCABULARY)])
     assert full.classes <= lm_scoring.CLASSES and full.members <= lm_scoring.MEMBERS
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    say = lambda tag: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (say(x) for x in "abcde")
+    data = [(None, a), (None, a + " more"), (None, b), (7, c), (7, d), (8, d + " more"), (2, e), (7, e + " more"), (None, None), (None, ""), (5, ""), (5, ""), (9, "x y"), (9, "X  Y"), (1, b + " more")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    groups = near_dedup.groups(docs).collect()
+    assert len(groups) == len(data) and {r.component_id for r in groups if r.doc_id == 8} == {7}
+    got = Counter((r.doc_id, r.text) for r in near_dedup.deduplicate(docs).collect())
+    first = [x for x in got if x in ((None, a), (None, a + " more"))]
+    same = [x for x in got if x in ((9, "x y"), (9, "X  Y"))]
+    assert len(first) == len(same) == 1
+    assert got == Counter([first[0], same[0], (7, c), (7, d), (2, e), (1, b + " more"), (None, None), (None, ""), (5, "")])
