@@ -59,8 +59,8 @@ def flags(flows: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def flags_from_features(features: DataFrame) -> DataFrame:
-    """The rules on stored features. Logarithms round: flows exactly at a byte limit are missed, as documented."""
-    bytes_ = F.expm1("log_total_bytes")
-    packets = F.expm1("log_packet_count")
-    hit = (bytes_ >= HIGH_VOLUME_BYTES) | ((F.col("duration_seconds") >= LONG_LIVED_SECONDS) & (bytes_ >= LONG_LIVED_BYTES)) | ((F.col("protocol_icmp") == 1) & (F.round(packets, 6) >= ICMP_BURST_PACKETS))
+    """The rules on stored features. Logarithms round, so bytes and packets are rounded to 6 places: a flow at a limit is flagged."""
+    bytes_ = F.round(F.expm1("log_total_bytes"), 6)
+    packets = F.round(F.expm1("log_packet_count"), 6)
+    hit = (bytes_ >= HIGH_VOLUME_BYTES) | ((F.col("duration_seconds") >= LONG_LIVED_SECONDS) & (bytes_ >= LONG_LIVED_BYTES)) | ((F.col("protocol_icmp") == 1) & (packets >= ICMP_BURST_PACKETS))
     return features.select("event_id", hit.alias("flag"), hit.cast("double").alias("score"))

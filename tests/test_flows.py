@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from flowscope.functions.flow_features import with_flow_features
 from flowscope.operators import evaluate as E, models, rules, studies, windows
 from flowscope.schemas import CAUSAL_FEATURES, FEATURES
 
@@ -61,6 +62,13 @@ def test_rules(spark):
     assert {r.event_id: r.flag for r in rules.flags(df).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_rules_on_features_at_a_limit(spark):
+    at = [(10_000_000, 1.0), (9_999_999, 1.0), (1_000_000, 300.0), (999_999, 300.0), (1_000_000, 299.0), (None, 400.0)]
+    df = spark.createDataFrame([(i, "a", "l", datetime(2024, 1, 1), "h", "d", 1, 2, "tcp", "->", "S", b, 1, 1, s, "benign") for i, (b, s) in enumerate(at)], COLUMNS)
+    got = {r.event_id: r.flag for r in rules.flags_from_features(with_flow_features(df)).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False} == {r.event_id: r.flag for r in rules.flags(df).collect()}
+
+
 def scored(spark, rows):
     return spark.createDataFrame([(i, "s", "d", l, float(s)) for i, (l, s) in enumerate(rows)], "event_id long, scenario_id string, detector string, label string, score double")
 
