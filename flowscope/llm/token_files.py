@@ -5,7 +5,7 @@ The files hold ``doc_id``, ``part`` and ``row`` (place of the document), ``offse
 page indexes, so that a reader takes the columns and rows it asks for: counts and places without ids, or one document.
 
 Cases: null text is empty, so that its document holds the end id alone. Documents of an equal id are kept and follow each
-other in the order of their texts; a null id comes first. An empty table makes no documents.
+other in the order of a hash of their texts, then of the texts, and may lie in several files; a null id comes first. An empty table makes no documents.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .store import new_path
-from .subwords import IDS, default_path, encoder
-from .words import chunks
+from .subwords import IDS, default_path, encoded
 
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true"},
@@ -27,39 +26,22 @@ ENCODINGS = {
 }
 
 
-def encode_texts(column: pa.Array, path: str, end: bytes = b""):
-    """The ids of each text of an Arrow column, a few megabytes of text at a time."""
-    for first, _, offs in chunks(column):
-        for ids in encoder(path)(column.slice(first, len(offs) - 1).to_pylist()):
-            yield ids + end
-
-
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // IDS.itemsize
-    offs = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offs), pa.Array.from_buffers(pa.int32(), int(offs[-1]), [None, pa.py_buffer(b"".join(ids))]))
-
-
 def write_tokens(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20) -> None:
     """Encode ``docs`` and write the files at ``path`` (any file system that Spark writes)."""
     tokenizer = tokenizer or default_path()
-    end = np.array([end_id], IDS).tobytes()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()), rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches):
         part, row, offset = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            texts = batch.column(1)
-            for first, _, offs in chunks(texts):
-                n = len(offs) - 1
-                ids = [x + end for x in encoder(tokenizer)(texts.slice(first, n).to_pylist())]
-                sizes = np.fromiter(map(len, ids), np.int64, n) // IDS.itemsize
-                upto = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(offset + upto - sizes), pa.array(sizes), batch.column(0).slice(first, n), _lists(ids)], names=schema.names)
+            for first, ids, sizes in encoded(batch.column(1), tokenizer, end_id):
+                n, upto = len(sizes), np.cumsum(sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(offset + upto - sizes), pa.array(sizes), batch.column(0).slice(first, n), lists], names=schema.names)
                 row, offset = row + n, offset + int(upto[-1])
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     options = {"compression": "zstd", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), **ENCODINGS[encoding]}
     ordered.mapInArrow(encode, schema).write.options(**options).parquet(path)
 
@@ -69,7 +51,7 @@ def read_places(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # one row for each part written
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    rows = files.join(F.broadcast(base), "part")
+    rows = files.join(base, "part")
     return rows.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", *["ids"] * with_ids)
 
 
