@@ -7,15 +7,20 @@ possible: the first few give it a k-th score, and of all others only those are s
 vector is indexed, so results are exact whatever the pivots.
 
 Pivots are a bounded sample (``pivots`` rows, by a hash of the id); the number of annuli is at most ``annuli`` plus the
-pivots, so that their bounds are a table of known size on the driver. Cases: vectors that are null, or hold null or
-non-finite components, take no part; shorter vectors count as filled up with zeros; rows of an equal vec_id are all
-candidates, but for queries of that id; ties go to the smaller vec_id; an empty table gives no rows.
+pivots, so that their bounds are a table of known size on the driver. An annulus is copied only where more than
+``QUERY_CHUNK`` queries ask for it. A query's vector goes once to each annulus that it searches, which is little beside the
+``annulus_rows`` products or more that it makes there; this holds too where the bounds prune nothing.
+
+Cases: vectors that are null, or hold null or non-finite components, and rows of a null vec_id take no part; shorter vectors
+count as filled up with zeros; rows of an equal vec_id are queries and candidates each, and only a query's own row is no
+candidate of it; ties go to the smaller vec_id; with fewer candidates than k all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .ordering import numbered
@@ -29,10 +34,10 @@ QUERY_CHUNK = 4096
 
 
 def integer_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component, where all components are finite numbers."""
+    """row (a number of the row; store the table before it is used), vec_id, v: floor(scale * x) of each component, where all are finite numbers."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = embeddings.where(F.col(embedding).isNotNull() & finite)
-    return rows.select(F.col(vec_id).alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    rows = embeddings.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite)
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -52,7 +57,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, annuli: int = ANNULI, annulus_rows: int = ANNULUS_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score for each row of ``queries`` against all ``vectors`` (both vec_id, v; stored tables)."""
+    """query_id, rank, vec_id, score for each row of ``queries`` against all ``vectors`` (both row, vec_id, v; stored tables)."""
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     shape = vectors.select(F.size("v").alias("d"), norm.alias("n"), F.array_max(F.transform("v", F.abs)).alias("m")).agg(F.count("*").alias("rows"), F.max("d").alias("dims"), F.max("n").alias("norm"), F.max("m").alias("most")).first()
@@ -72,69 +77,70 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
             own = np.sqrt(np.maximum(0, top - np.square(x).sum(1)))
             far = np.sqrt(np.maximum(0, 2 * top - 2 * (x @ centre.T + np.outer(own, lift))))
             near = far.argmin(1)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": near.astype(np.int32), "distance": far[np.arange(len(x)), near]})
+            yield pdf.assign(pivot=near.astype(np.int32), distance=far[np.arange(len(x)), near])
 
-    index = vectors.mapInPandas(keyed, "vec_id long, v array<long>, pivot int, distance double")
+    index = vectors.select("row", "vec_id", "v").mapInPandas(keyed, "row long, vec_id long, v array<long>, pivot int, distance double")
     rows = max(annulus_rows, -(-shape["rows"] // annuli))
-    placed = numbered(index, ["pivot"], ["distance", "vec_id"], "place")
+    placed = numbered(index, ["pivot"], ["distance", "vec_id", "row"], "place")
     placed = staged(placed.withColumn("annulus", F.concat_ws("-", "pivot", F.floor(F.col("place") / rows))), "annuli")
     bounds = placed.groupBy("annulus", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far")).orderBy("annulus").toPandas()
     names, at = bounds["annulus"].to_numpy(), bounds["pivot"].to_numpy()
     near, far = bounds["near"].to_numpy(), bounds["far"].to_numpy()
-    chunks = -(-queries.count() // QUERY_CHUNK) or 1
-
     def pairs(first: bool):
         """The annuli that a query searches; ``least`` is the k-th score that it has so far."""
         def choose(batches):
-            for pdf in batches:
-                q = _matrix(pdf["v"], dims)
+            for batch in batches:
+                q = _matrix(batch.column(1).to_pandas(), dims)
                 norms = np.square(q).sum(1)
                 d = np.sqrt(np.maximum(0, (norms + top)[:, None] - 2 * q @ centre.T))[:, at]
                 gap = np.maximum(0, np.maximum(d - far, near - d) - 1e-7 * (1 + d))
                 most = ((norms + top)[:, None] - np.square(gap)) / 2 + slack
-                order = np.argsort(-most, axis=1, kind="stable")
-                out = []
-                for i in range(len(pdf)):
-                    if first:
-                        mine = order[i, :FIRST]
-                    else:
-                        rest = order[i, FIRST:]
-                        mine = rest[most[i, rest] >= pdf["least"].iloc[i]]  # sorted: it stops at the first below
-                    out.append(pd.DataFrame({"annulus": names[mine], "query_id": pdf["vec_id"].iloc[i], "q": [pdf["v"].iloc[i]] * len(mine)}))
-                if out:
-                    yield pd.concat(out).assign(chunk=lambda x: (x["query_id"] // 100 % chunks).astype(np.int32))[["annulus", "chunk", "query_id", "q"]]
+                early = np.zeros(most.shape, bool)
+                np.put_along_axis(early, np.argsort(-most, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+                asked = early if first else ~early & (most >= batch.column(2).to_numpy()[:, None])
+                who, which = np.nonzero(asked)
+                who = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(names[which].tolist(), pa.string()), batch.column(0).take(who), batch.column(1).take(who)], names=["annulus", "query", "q"])
 
         return choose
 
     def search(_, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
         if block.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return none
         kind = np.float64 if exact else object
-        x, ids = _matrix(block["v"], dims) if exact else np.array([[int(c) for c in v] + [0] * (dims - len(v)) for v in block["v"]], dtype=kind), block["vec_id"].to_numpy()
-        out = []
+        whole = lambda v: _matrix(v, dims) if exact else np.array([[int(c) for c in x] + [0] * (dims - len(x)) for x in v], dtype=kind)
+        x, ids, own = whole(block["v"]), block["vec_id"].to_numpy(), block["row"].to_numpy()
+        out = [none]
         for a in range(0, len(asked), 256):
             part = asked.iloc[a : a + 256]
-            q = _matrix(part["q"], dims) if exact else np.array([[int(c) for c in v] + [0] * (dims - len(v)) for v in part["q"]], dtype=kind)
-            scores = (q @ x.T).astype(np.int64)
-            for i, own in enumerate(part["query_id"].to_numpy()):
-                others = np.flatnonzero(ids != own)
+            scores = (whole(part["q"]) @ x.T).astype(np.int64)
+            for i, query in enumerate(part["query"].to_numpy()):
+                others = np.flatnonzero(own != query)
                 best = others[_best(scores[i, others], ids[others], k)]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": scores[i, best]}))
+                out.append(pd.DataFrame({"query": query, "vec_id": ids[best], "score": scores[i, best]}))
         return pd.concat(out)
 
-    copies = placed.select("annulus", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v")
-    blocks = copies.groupBy("annulus", "chunk")
+    def found(asking: DataFrame, first: bool) -> DataFrame:
+        """query, vec_id, score: the best of each annulus that a query asks for."""
+        asked = staged(asking.mapInArrow(pairs(first), "annulus string, query long, q array<long>"), "asked-annuli")
+        chunks = asked.groupBy("annulus").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))  # a row an annulus
+        dealt = asked.join(chunks, "annulus").withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).drop("chunks")
+        copies = placed.join(chunks, "annulus").select("annulus", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "row", "vec_id", "v")
+        return copies.groupBy("annulus", "chunk").cogroup(dealt.groupBy("annulus", "chunk")).applyInPandas(search, "query long, vec_id long, score long")
 
-    def found(asked: DataFrame, first: bool) -> DataFrame:
-        chosen = asked.mapInPandas(pairs(first), "annulus string, chunk int, query_id long, q array<long>")
-        return blocks.cogroup(chosen.groupBy("annulus", "chunk")).applyInPandas(search, "query_id long, vec_id long, score long")
+    def ranked(rows: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    early = staged(found(queries.select("vec_id", "v"), True).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first-annuli")
-    least = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    more = queries.select("vec_id", "v").join(least, "vec_id", "left").fillna(float("-inf"), ["least"])
-    late = found(more, False)
-    return early.drop("rank").unionByName(late).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nothing = F.lit(float("-inf"))
+    asking = queries.select(F.col("row").alias("query"), "v", nothing.alias("least"))
+    early = staged(ranked(found(asking, True)), "first-annuli")
+    least = early.where(F.col("rank") == k).select("query", F.col("score").cast("double").alias("found"))
+    late = found(asking.join(least, "query", "left").select("query", "v", F.coalesce("found", nothing).alias("least")), False)
+    out = ranked(early.drop("rank").unionByName(late))
+    named = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return out.join(named, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
@@ -145,11 +151,11 @@ def digest(embeddings: DataFrame) -> DataFrame:
 
 DIGEST_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  SELECT row_number() OVER () AS row, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
