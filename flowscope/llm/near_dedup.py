@@ -5,7 +5,8 @@ its minimum, and empty bins borrow from bins that a fixed hash sequence names (o
 buckets; in each bucket every member is joined to the bucket's smallest document only (a star), which bounds candidate
 pairs by bucket entries. Candidates are confirmed on full sets: first each document with the smallest of its centres, then
 the stars of buckets whose members are still in several components. A star could miss a link between two members that
-its centre is too far from; so a last pass confirms pairs across the components that a bucket still holds. Equal sets are one vertex throughout, so copies are never paired.
+its centre is too far from; so a last pass confirms pairs across the components that a bucket still holds, in blocks of ``BLOCK`` members,
+so that a large bucket is spread over tasks. Equal sets are one vertex throughout, so copies are never paired.
 
 A bitmap of ``BITS`` bits, each the parity of the shingles that fall on it, differs in at most as many places as two sets
 differ in shingles; so pairs whose bitmaps differ too much are discarded without loss before sets are fetched. With the
@@ -29,6 +30,8 @@ from .words import NOT_BLANK, mix, runs, word_tables
 
 BINS = 192
 BITS = 2048
+#: Members of a bucket that meet as many others in one task.
+BLOCK = 512
 _KEY = ["doc_id", "h1", "h2"]
 _U = np.uint64
 
@@ -212,15 +215,23 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     tried, linked = tried.union(more), staged(linked.union(_confirm(more, sets, rule)), "confirmed")
     labels = components(linked)
 
-    # then all pairs across the components of a bucket, but for those already tried
+    # then pairs across the components of a bucket, but for those already tried; members of a large bucket meet in blocks
     mixed = marked(labels)
     held = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    most = held.groupBy(F.col("bucket").alias("of")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"))
+    most = held.groupBy(F.col("bucket").alias("of")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     mixed = mixed.join(most, F.col("bucket") == F.col("of")).drop("of")
-    across = lambda x: mixed.select(*[F.col(c).alias(f"{x}_{c}") for c in ("band", "bucket", "label", "most")], F.col("id").alias(x)).join(side(x), F.col(x) == F.col(f"{x}_id"))
+
+    def across(x: str, other: str) -> DataFrame:
+        """Members with what tells far pairs, each in its own block and once for every block of the other side."""
+        rows = mixed.select(*[F.col(c).alias(f"{x}_{c}") for c in ("band", "bucket", "label", "most")], F.col("id").alias(x), "blocks")
+        rows = rows.withColumn(f"{x}_{x}", F.pmod(F.xxhash64(x), F.col("blocks")).cast("int")).withColumn(f"{x}_{other}", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.drop("blocks").join(side(x), F.col(x) == F.col(f"{x}_id"))
+
+    meet = (F.col("p_bucket") == F.col("q_bucket")) & (F.col("p_p") == F.col("q_p")) & (F.col("p_q") == F.col("q_q"))
+    # one of the two lies outside the bucket's largest component
     apart = (F.col("p_label") != F.col("q_label")) & ((F.col("q_label") == F.col("p_most")) | (F.col("p") < F.col("q")))
     first = F.array_position(F.zip_with("p_bands", "q_bands", lambda x, y: x == y), True) == F.col("p_band") + 1  # a pair counts in the first bucket that it shares
-    pair = across("p").where("p_label != p_most").join(across("q"), (F.col("p_bucket") == F.col("q_bucket")) & apart & ~_far(rule, "p_", "q_") & first)
+    pair = across("p", "q").where("p_label != p_most").join(across("q", "p"), meet & apart & ~_far(rule, "p_", "q_") & first)
     more = pair.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     linked = staged(linked.union(_confirm(more, sets, rule)), "all-links")
     labels = components(linked)
