@@ -1,17 +1,20 @@
 """WARC archives of web pages, and a merged index of their captures.
 
-Records are rendered as text columns and written by Spark's text writer, whose line separator is the blank lines that end a
-record, so archives go to any file system that Spark reaches. A payload of at least ``least_bytes`` that stands in
-several pages is stored once, by the smallest page_id; the others revisit it.
-
-Archives are gzip files unless another compression is asked for; offsets count the bytes of the archive itself.
+A payload of at least ``least_bytes`` that stands in several pages is stored once, by the smallest page_id; the others
+revisit it. Each record is a gzip member of its own (several, above ``MEMBER_BYTES``), so that an index entry's offset and
+length are the bytes to read for one record. Archives are written by Spark's text writer, so they go to any file system
+that Spark reaches: a member's last byte is the highest of its size, which is zero, and serves as the line separator.
 
 Reading parses whole archives by the records' lengths and gives one locally sorted run of index entries for each archive.
 Runs meet in ranges of (URL key, timestamp, page), and each range merges its runs by a loser tree, so that the ranges in
 order are one globally ordered capture history. A URL of any number of captures lies in several ranges.
 
-Cases: null html is an empty payload; a null url is an empty one; control characters in a url are dropped; repeated pages
-(equal id and payload) are responses each; an empty table gives no records.
+A join with the shared payloads deals pages by digest; small pages get keys of their own, and adaptive execution splits a
+digest of very many pages.
+
+Cases: null html is an empty payload; a null url is an empty one; control characters in a url are dropped; of rows of the
+smallest page_id and an equal payload, one is the response and the others revisit it; a null page_id comes after all others
+and is named by null; an empty table gives no records; a very large page is one record in several members.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,6 +33,7 @@ from .store import new_path, staged
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 32 << 20
+MEMBER_BYTES = 8 << 20
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Captures without a time of their own are dated from here, by their id.
@@ -40,12 +45,15 @@ def _line(name: str, value: Column) -> Column:
 
 
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One column, ``value``: each page's record without the blank lines that end it."""
+    """One column, ``value``: each page's record. ``pages`` is read twice and its rows are numbered; give a stored table."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\x00-\x1f\x7f]", "").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
-    shared = rows.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, rows["digest"] == shared["of"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") != F.col("page_id")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    lead = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row"))
+    shared = rows.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("of")).agg(lead.alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("key", F.when(F.col("bytes") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("row").cast("string"))))
+    rows = rows.join(shared, rows["key"] == shared["of"], "left").withColumn("first", F.col("lead.page_id"))
+    revisit = F.col("lead").isNotNull() & (F.col("lead.row") != F.col("row"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
@@ -62,36 +70,58 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, page_id: str = "pa
         _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(F.concat(head, block, F.lit(_END)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip", **names) -> None:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **names) -> None:
     html = names.get("html", "html")
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0))).alias("m")).first()["m"] or 0
     per_file = max(1, int(archive_bytes / (mean + 600)))
-    records(pages, **names).write.option("lineSep", _END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+
+    def compress(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column(0):
+                raw = memoryview(x.as_buffer())
+                members = [gzip.compress(raw[a : a + MEMBER_BYTES], 6, mtime=0) for a in range(0, len(raw), MEMBER_BYTES)]
+                out.append(b"".join(members)[:-1])  # the line separator is the last byte
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    members = records(pages, **names).mapInArrow(compress, "value binary").select(F.col("value").cast("string"))
+    # the members are compressed already; Hadoop knows them by their ending only, so they have none
+    members.write.option("lineSep", "\x00").option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
+
+
+def members(archive: memoryview, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member from byte ``at`` on."""
+    while at < len(archive):
+        inflate, parts, end = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            if end >= len(archive):
+                raise ValueError(f"the member at byte {at} is cut off")
+            parts.append(inflate.decompress(archive[end : end + 16_384]))
+            end = min(end + 16_384, len(archive))
+        end -= len(inflate.unused_data)
+        yield at, end - at, b"".join(parts)
+        at = end
 
 
 def parse(archive: memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
-    """Offset, length, headers and block of each record."""
-    at, data = 0, bytes(archive)
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head].decode().split("\r\n")
+    """Offset and length in the archive, headers and block of each record."""
+    rest = members(archive)
+    for at, size, data in rest:
+        head = data.index(b"\r\n\r\n")
+        version, *lines = data[:head].decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = dict(x.split(": ", 1) for x in lines)
         end = head + 4 + int(headers["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
+        while len(data) < end + 4:  # a large record's further members
+            _, more, part = next(rest)
+            size, data = size + more, data + part
+        if data[end:] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has a wrong length")
-        yield at, end + 4 - at, headers, archive[head + 4 : end]
-        at = end + 4
-
-
-def _plain(content: pa.Buffer) -> memoryview:
-    """The archive itself, whether it was written with or without gzip."""
-    data = memoryview(content).cast("B")
-    return memoryview(gzip.decompress(data)) if data[:2] == b"\x1f\x8b" else data
+        yield at, size, headers, memoryview(data)[head + 4 : end]
 
 
 def url_key(url: str) -> str:
@@ -120,7 +150,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for at, size, h, block in parse(_plain(content.as_buffer())):
+                for at, size, h, block in parse(memoryview(content.as_buffer())):
                     http = bytes(block).index(b"\r\n\r\n") + 4
                     if h["WARC-Type"] == "response":
                         payload = block[http:]
