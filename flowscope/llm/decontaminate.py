@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .store import fresh, staged
 from .words import ALNUM, runs, word_tables
 
-#: Text bytes of benchmark items in one broadcast.
-BLOCK_BYTES = 16_000_000
+#: Text bytes of benchmark items in one broadcast, which takes about six times as many bytes (some 30 for each window).
+BLOCK_BYTES = 8_000_000
 
 REPORT = T.StructType(
     [
@@ -36,43 +36,63 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("
 
 
 class WindowSet:
-    """Windows of some items by length: sorted codes, the words of each, and the items that hold it."""
+    """Windows of some items by length: sorted codes, the first word of each, and its item; and the words themselves, in one block."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+        self.items = [i for i, _ in items]
+        text, starts, ends, found = [], [], [], defaultdict(list)
+        size_before = words_before = 0
         for w in word_tables(pa.array([t for _, t in items], pa.string()), ALNUM):
-            low = w.lower.tobytes()
-            for k in range(w.texts):
-                a, b = w.bounds[k], w.bounds[k + 1]
-                if a == b:
-                    continue
-                size = min(n, b - a)
-                for i, code in enumerate(runs(w.codes[a:b], size).tolist(), start=a):
-                    words = b" ".join(low[s:e] for s, e in zip(w.starts[i : i + size], w.ends[i : i + size], strict=True))
-                    found[int(size)][code][words].add(items[w.first + k][0])
+            count = np.diff(w.bounds)
+            for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+                codes = runs(w.codes, size)
+                at = np.arange(len(codes))
+                own = count[w.text[at]]
+                at = at[(w.text[at] == w.text[at + size - 1]) & ((own >= n) if size == n else (own == size))]
+                found[size].append((codes[at], (at + words_before).astype(np.int32), (w.first + w.text[at]).astype(np.int32)))
+            text.append(w.lower.tobytes())
+            starts.append(w.starts + size_before)
+            ends.append(w.ends + size_before)
+            size_before, words_before = size_before + len(w.lower), words_before + len(w.codes)
+        self.text = b"".join(text)
+        self.starts, self.ends = (np.concatenate(x or [np.empty(0, np.int64)]).astype(np.int32) for x in (starts, ends))
         self.sizes = {}
-        for size, by_code in sorted(found.items()):
-            codes = np.sort(np.array(list(by_code), np.uint64))
-            bits = max(16, (len(codes) * 16).bit_length())
-            self.sizes[size] = (codes, bits, [dict(by_code[int(c)]) for c in codes])
+        for size, parts in sorted(found.items()):
+            codes, at, item = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((item, codes))
+            codes, at, item = codes[order], at[order], item[order]
+            again = np.flatnonzero(codes[1:] == codes[:-1])
+            odd = {int(codes[i]) for i in again.tolist() if self.words(at[i], size) != self.words(at[i + 1], size)}
+            self.sizes[size] = (codes, at, item, max(16, (len(codes) * 4).bit_length()), odd)
         self._seen: dict[int, np.ndarray] = {}
 
-    def candidates(self, codes: np.ndarray, size: int) -> Iterator[tuple[int, dict[bytes, set[str]]]]:
-        known, bits, words = self.sizes[size]
+    def words(self, first: int, size: int) -> bytes:
+        return b" ".join([self.text[s:e] for s, e in zip(self.starts[first : first + size].tolist(), self.ends[first : first + size].tolist(), strict=True)])
+
+    def candidates(self, codes: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        """Places in ``codes`` of windows that may be known, and from where to where windows of the code stand."""
+        known, _, _, bits, _ = self.sizes[size]
         if size not in self._seen:  # a small table in front of the sorted codes
             seen = np.zeros(1 << bits, bool)
             seen[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
             self._seen[size] = seen
         at = np.flatnonzero(self._seen[size][(codes >> np.uint64(64 - bits)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(known, codes[at]), len(known) - 1)
-        for i, p in zip(at[same := known[place] == codes[at]].tolist(), place[same].tolist(), strict=True):
-            yield i, words[p]
+        low, high = (np.searchsorted(known, codes[at], side=side) for side in ("left", "right"))
+        hit = high > low
+        yield from zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True)
 
-    def __getstate__(self):
-        return self.sizes
+    def verified(self, words: bytes, size: int, low: int, high: int) -> list[tuple[int, int, int]]:
+        """Those windows among ``low`` .. ``high`` of one code that consist of ``words``: (size, from, to)."""
+        codes, at, _, _, odd = self.sizes[size]
+        if int(codes[low]) not in odd:  # all windows of the code have the same words
+            return [(size, low, high)] if self.words(at[low], size) == words else []
+        return [(size, k, k + 1) for k in range(low, high) if self.words(at[k], size) == words]
 
-    def __setstate__(self, sizes):
-        self.sizes, self._seen = sizes, {}
+    def owners(self, held: set[tuple[int, int, int]]) -> list[str]:
+        return sorted({self.items[i] for size, low, high in held for i in self.sizes[size][2][low:high].tolist()})
+
+    def __getstate__(self):
+        return self.__dict__ | {"_seen": {}}
 
 
 def _scan(batch: pa.RecordBatch, text: str, windows: WindowSet) -> pa.Array:
@@ -83,18 +103,18 @@ def _scan(batch: pa.RecordBatch, text: str, windows: WindowSet) -> pa.Array:
     for w in word_tables(batch.column(batch.schema.get_field_index(text)), ALNUM):
         n, low = len(w.codes), None
         change = np.zeros(n + 1, np.int32)
-        held: dict[int, set[str]] = defaultdict(set)
+        held: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for size in windows.sizes:
             codes = runs(w.codes, size)
-            for i, known in windows.candidates(codes, size):
+            for i, a, b in windows.candidates(codes, size):
                 if w.text[i] != w.text[i + size - 1]:
                     continue
                 low = w.lower.tobytes() if low is None else low
-                owners = known.get(b" ".join([low[s:e] for s, e in zip(w.starts[i : i + size].tolist(), w.ends[i : i + size].tolist(), strict=True)]))
-                if owners:
+                mine = b" ".join([low[s:e] for s, e in zip(w.starts[i : i + size].tolist(), w.ends[i : i + size].tolist(), strict=True)])
+                if found := windows.verified(mine, size, a, b):
                     change[i] += 1
                     change[i + size] -= 1
-                    held[int(w.text[i])].update(owners)
+                    held[int(w.text[i])].update(found)
         counts += np.diff(w.bounds).tolist()
         mine = [[] for _ in range(w.texts)]
         if held:
@@ -104,7 +124,7 @@ def _scan(batch: pa.RecordBatch, text: str, windows: WindowSet) -> pa.Array:
                 edge = np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))
                 mine[k] = np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), 1).ravel().tolist()
         spans += mine
-        items += [sorted(held[k]) if k in held else [] for k in range(w.texts)]
+        items += [windows.owners(held[k]) if k in held else [] for k in range(w.texts)]
     return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], fields=list(_ARROW))
 
 
