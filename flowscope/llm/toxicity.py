@@ -30,6 +30,9 @@ LABELLED = 20_000
 SELECTED = 2048
 BITS = 20
 FOLDS = 3
+#: Training steps at most, and the largest part of the gradient at which they end sooner.
+STEPS = 600
+GRADIENT = 1e-5
 PREFIXES = (4, 5, 6)
 #: In the order of the chain: what a label row says of a document.
 CATEGORIES = {"low_quality": "CAST(quality = 0 AS INT)", "toxic": "CAST(toxic = 1 AS INT)"}
@@ -65,14 +68,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on present features and dense columns, by accelerated gradient steps."""
+    """Logistic regression on present features and dense columns, by accelerated gradient steps, until the gradient is small (``STEPS`` at most)."""
     n = len(y)
     base = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     w, d, b = np.zeros(width), np.zeros(dense.shape[1]), base
     per_row = np.bincount(rows, minlength=n)
     step = 4.0 / (1 + np.quantile(per_row, 0.98) + dense.shape[1])
     now, last, t = (w, d, b), (w, d, b), 1.0
-    for _ in range(120 if n > 5000 else 600):
+    for _ in range(STEPS):
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         look = [x + (before - 1) / t * (x - p) for x, p in zip(now, last, strict=True)]
         z = look[2] + dense @ look[1] + np.bincount(rows, weights=look[0][cols], minlength=n)
@@ -80,6 +83,8 @@ def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, width: int, y: n
         grad = (np.bincount(cols, weights=error[rows], minlength=width) + ridge * look[0]) / n, (dense.T @ error + ridge * look[1]) / n, error.mean()
         rate = step * np.array([n / max(y.sum(), 1), 1, 1]).clip(1, 12)
         last, now = now, tuple(x - r * g for x, r, g in zip(look, rate, grad, strict=True))
+        if max(np.abs(g).max(initial=0) for g in grad) < GRADIENT:
+            break
     return now
 
 
