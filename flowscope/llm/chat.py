@@ -3,6 +3,9 @@
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant and all others as
 named users; the mask marks the characters to learn: the speaker's own words and the end mark after them.
 
+Marks inside a role or a text cannot begin or end a turn: their bars are doubled (``<||im_start||>``), and line breaks in a role are
+blanks. There is a rendering for each participant, so the output has turns x participants turns in all.
+
 A rendering is a list of chunks of up to ``chunk_turns`` turns in order (nearly always one), so that a conversation of
 any length is rendered whole without meeting in one row or task. Cases: a null role is the participant ``unknown``; null
 text is empty; turns of an equal number follow by role, then text; a null turn comes first; a null conv_id is one
@@ -27,9 +30,16 @@ def _other(role: Column) -> Column:
     return F.concat(F.lit(f"{START}user name="), role, F.lit("\n"))
 
 
+def _plain(c: Column) -> Column:
+    """``c`` with its start and end marks made harmless."""
+    for mark in (START, END):
+        c = F.replace(c, F.lit(mark), F.lit(mark.replace("|", "||")))
+    return c
+
+
 def perspectives(turns: DataFrame, chunk_turns: int = CHUNK_TURNS, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, perspective, chunk, n_turns, rendered, mask (spans of characters of ``rendered``)."""
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.translate(_plain(F.coalesce(F.col(role), F.lit("unknown"))), "\r\n", "  ").alias("role"), _plain(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     placed = numbered(rows, ["conv_id"], ["turn", "role", "text"], "place")
     chunk = F.floor(F.col("place") / chunk_turns).alias("chunk")
     chunks = placed.groupBy("conv_id", chunk).agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
@@ -64,10 +74,11 @@ def digest(turns: DataFrame) -> DataFrame:
 
 
 DIGEST_SQL = """
-WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place
+WITH c AS (
+  SELECT conv_id, turn, translate(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>'), chr(13) || chr(10), '  ') AS role,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>') AS text
   FROM conversations),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM c),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t),
 r AS (
   SELECT t.conv_id, p.perspective, t.place // 64 AS chunk, t.place, t.role = p.perspective AS own,
