@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, a new local one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new local one, but only if driver and executors are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext.getCheckpointDir()
         if found:
             return found
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="flowscope-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext.getCheckpointDir()

@@ -130,7 +130,7 @@ def test_packing(spark, docs, rows):
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(3)
     sizes = np.sort(rng.integers(1, 2048, 500)).astype(np.int32)
-    a, b = (packing.first_packing(sizes, 2048, rng, blur) for blur in (0.0, 0.1))
+    a, b = packing.decreasing_packing(sizes, 2048), packing.random_packing(sizes, 2048, rng)
     for _ in range(20):
         c = packing.crossover(a, b, sizes, 2048, rng)
         assert np.bincount(c, weights=sizes).max() <= 2048 and len(np.unique(c)) == c.max() + 1
