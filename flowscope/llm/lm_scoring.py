@@ -4,12 +4,11 @@ Words. Counts of all training tokens are made without a row for each token: ever
 its distinct words, packed by hash bucket; a bucket sums each word's counts over all pieces and sends them back to the
 pieces that asked. A frequent word costs one entry a piece, so nothing grows with its frequency.
 
-Model. One layer of masked attention over the last ids predicts the class of the next id, and then which member of its
-class it is. Classes are neighbours in the vocabulary's order of spelling. Every id of the training documents has a place
-and an input row of its own; about as many classes as members are made for them. Ids that never occur share their class's last place. It is trained in numpy on shards of training documents of
-about ``SHARD_TOKENS``: one shard warms the parameters up, then every shard goes on from there, and the parameters are
-averaged, so that they all lie in one basin, in ``ROUNDS`` passes. The shards hold all training documents, at every size. A task reads its
-shards where the pieces lie, and sends one sum of parameters, in chunks.
+Model (``attention``). One layer of masked self-attention over the last ids. Every id of the training documents has a place and an
+input row of its own. It is trained in numpy on all training documents, at every size: the first ``SHARD_TOKENS`` ids warm the
+parameters up, so that all tasks go on in one basin; then each task learns from the pieces that it reads, one after the
+other, and the parameters are averaged by the ids learnt, in ``ROUNDS`` passes, each over another part of every document's
+windows, so that each id is learnt once (those of the warm-up twice). A task sends one set of parameters, in chunks.
 
 Scoring. Each document is cut into windows that overlap by ``CONTEXT`` ids; a window scores its own ``STEP`` ids, each
 once, with attention batched over windows. The text's end is scored too.
@@ -28,18 +27,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .attention import CONTEXT, Model
 from .store import new_path, staged
 from .subwords import default_path, encoder
 from .words import NOT_BLANK, word_tables
 
+#: Ids of the default tokenizer; another tokenizer may have up to 65,535.
 VOCABULARY = 50_257
-END = 50_256
 #: Bounds of a model's classes and of their members; it takes as many as its ids need.
-CLASSES, MEMBERS = 256, 256
-WIDTH, CONTEXT, STEP = 32, 16, 16
+CLASSES, MEMBERS = 256, 257
+#: Passes over the pieces; ids of the warm-up; rates of the warm-up, the first and the last pass.
 ROUNDS = 2
 SHARD_TOKENS = 2_000_000
-CHUNK = 4096
+WARM_RATE, FIRST_RATE, LAST_RATE = 0.02, 0.012, 0.003
+CHUNK = 1024
 PIECE = 2_000_000
 BUCKET_BYTES = 32_000_000
 _END_WORD = np.array([0x5EED_0F_7E_87_E4_D0], np.uint64)
@@ -71,9 +72,8 @@ def _pieces(docs: DataFrame, buckets: int, tokenizer: str) -> DataFrame:
                 edges = np.searchsorted(((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
                 rows = [(0, number, k, words[a:b].tobytes(), train[a:b].tobytes(), None, None) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                 rows.append((1, number, -1, word.astype(np.uint32).tobytes(), text.astype(np.uint32).tobytes(), tf.astype(np.uint32).tobytes(), None))
-                sub = encoder(tokenizer)(batch.column(1).slice(w.first, n).to_pylist())
-                sizes = np.fromiter((len(s) // 4 for s in sub), np.uint32, n)
-                rows.append((2, number, -1, np.frombuffer(b"".join(sub), "<u4").astype(np.uint16).tobytes(), sizes.tobytes(), mine.astype(np.uint8).tobytes(), ids[w.first : w.first + n]))
+                sub, sizes = encoder(tokenizer)(batch.column(1).slice(w.first, n))
+                rows.append((2, number, -1, sub.astype(np.uint16).tobytes(), sizes.astype(np.uint32).tobytes(), mine.astype(np.uint8).tobytes(), ids[w.first : w.first + n]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=["kind", "piece", "bucket", "a", "b", "c", "docs"])
                 number += 1
 
@@ -107,172 +107,6 @@ def _base(all_tokens: int, distinct: int):
     return score
 
 
-class Model:
-    """``rank``: input row of an id; ``klass`` and ``member``: its places; ``share``: log of its share of a place. The rest is trained."""
-
-    def __init__(self, counts: np.ndarray, spelling: list[str]):
-        order = np.argsort(-counts, kind="stable")
-        seen = int((counts > 0).sum())
-        self.classes = max(1, int(np.ceil(np.sqrt(seen))))
-        self.members, inputs = self.classes + 1, seen + 1
-        self.rank = np.empty(VOCABULARY, np.int32)
-        self.rank[order] = np.minimum(np.arange(VOCABULARY), inputs - 1)
-        common = np.zeros(VOCABULARY, bool)
-        common[order[:seen]] = True
-        ranked = np.array(sorted(range(VOCABULARY), key=spelling.__getitem__))
-        place = np.cumsum(common[ranked]) - common[ranked]  # common ids that stand before
-        self.klass, self.member = np.empty(VOCABULARY, np.int32), np.empty(VOCABULARY, np.int32)
-        self.klass[ranked] = np.minimum(place // (self.members - 1), self.classes - 1)
-        self.member[ranked] = np.where(common[ranked], place % (self.members - 1), self.members - 1)
-        smooth = counts + 0.5
-        slot = self.klass * self.members + self.member
-        whole = np.bincount(slot, weights=smooth, minlength=self.classes * self.members)
-        self.share = np.log(smooth / whole[slot])
-        whole = np.maximum(whole, 1e-3).reshape(self.classes, self.members)
-        rng = np.random.default_rng(7)
-        small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.p = {"E": small(inputs, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH), "U": small(WIDTH, self.classes), "b": np.log(whole.sum(1) / whole.sum()).astype(np.float32), "M": small(self.classes, WIDTH, self.members), "c": np.log(whole / whole.sum(1, keepdims=True)).astype(np.float32), "r": np.zeros(CONTEXT + STEP, np.float32)}
-        i, j = np.arange(STEP)[:, None] + CONTEXT, np.arange(CONTEXT + STEP)[None]
-        self.trained = 0  # ids in the shards of the last round
-        self.ahead, self.back = j > i, np.clip(i - j, 0, CONTEXT + STEP - 1)
-
-    def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p.values()]).astype(np.float64)
-
-    def load(self, vector: np.ndarray) -> Model:
-        a = 0
-        for name, x in self.p.items():
-            self.p[name] = vector[a : a + x.size].reshape(x.shape).astype(np.float32)
-            a += x.size
-        return self
-
-    def windows(self, ids: np.ndarray, sizes: np.ndarray):
-        """Inputs and targets of documents one after the other, and where windows begin and end: each document's ids, after an end, then its end."""
-        n = sizes.astype(np.int64) + 1
-        stop = np.cumsum(n)
-        target = np.insert(ids.astype(np.int32), np.cumsum(sizes.astype(np.int64)), END)
-        source = np.concatenate(([END], target[:-1]))
-        per = -(-n // STEP)
-        doc = np.repeat(np.arange(len(n)), per)
-        inside = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STEP
-        return self.rank[source], target, (stop - n)[doc] + inside, stop[doc], inside == 0, doc
-
-    def bias(self) -> np.ndarray:
-        return np.where(self.ahead, np.float32(-1e9), self.p["r"][self.back]).astype(np.float32)
-
-    def score(self, ids: np.ndarray, sizes: np.ndarray, group: int = 512) -> np.ndarray:
-        """log10 probability of each document."""
-        source, target, begin, stop, first, doc = self.windows(ids, sizes)
-        p, bias = self.p, self.bias()
-        q, k, v = p["E"] @ p["q"] / np.sqrt(WIDTH).astype(np.float32), p["E"] @ p["k"], p["E"] @ p["v"]
-        one, many, ones = (np.ones(n, np.float32) for n in (self.classes, self.members, CONTEXT + STEP))
-        klass, member, share = self.klass[target], self.member[target], self.share[target]
-        out, reach, here = np.zeros(len(sizes)), np.arange(-CONTEXT, STEP), np.arange(STEP)
-        for a in range(0, len(begin), group):
-            s = begin[a : a + group]
-            u = source[np.clip(s[:, None] + reach, 0, len(source) - 1)]
-            mine = u[:, CONTEXT:]
-            att = np.matmul(q.take(mine, axis=0), k.take(u, axis=0).transpose(0, 2, 1))
-            att += bias
-            att[first[a : a + group], :, :CONTEXT] = -1e9
-            np.exp(att, out=att)
-            seen = np.matmul(att, v.take(u, axis=0))
-            seen /= (att.reshape(-1, CONTEXT + STEP) @ ones).reshape(len(s), STEP, 1)
-            h = (p["E"].take(mine, axis=0) + seen).reshape(-1, WIDTH)
-            at = s[:, None] + here
-            good = (at < stop[a : a + group, None]).ravel()
-            at = np.minimum(at, len(target) - 1).ravel()
-            by = np.argsort(klass[at].astype(np.int16), kind="stable")
-            h, at, kind = h.take(by, axis=0), at[by], klass[at[by]]
-            logit = h @ p["U"]
-            logit += p["b"]
-            value = logit[np.arange(len(at)), kind] + share[at]
-            value -= np.log(np.exp(logit, out=logit) @ one)
-            cuts, place = np.searchsorted(kind, np.arange(self.classes + 1)), member[at]
-            for c in np.flatnonzero(np.diff(cuts)):
-                i, j = cuts[c], cuts[c + 1]
-                logit = h[i:j] @ p["M"][c]
-                logit += p["c"][c]
-                value[i:j] += logit[np.arange(j - i), place[i:j]]
-                value[i:j] -= np.log(np.exp(logit, out=logit) @ many)
-            out += np.bincount(np.repeat(doc[a : a + group], STEP)[by], weights=np.where(good[by], value, 0), minlength=len(sizes))
-        return out / np.log(10)
-
-    def train(self, streams, batch: int = 64, rate: float = 0.015) -> None:
-        """Adam on the windows of each stream (ids, sizes), at a rate that falls to a fiftieth over all of them."""
-        steps = sum(-(-int((-(-(sizes.astype(np.int64) + 1) // STEP)).sum()) // batch) for _, sizes in streams)
-        p = self.p
-        m, s, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        reach, here, root = np.arange(-CONTEXT, STEP), np.arange(STEP), np.float32(1 / np.sqrt(WIDTH))
-        for ids, sizes in streams:
-            source, target, begin, stop, first, _ = self.windows(ids, sizes)
-            order = np.random.default_rng(len(begin)).permutation(len(begin))
-            for a in range(0, len(order), batch):
-                w = order[a : a + batch]
-                u = source[np.clip(begin[w][:, None] + reach, 0, len(source) - 1)]
-                at = begin[w][:, None] + here
-                good = (at < stop[w][:, None]).ravel()
-                aim = target[np.minimum(at, len(target) - 1).ravel()]
-                y, z = self.klass[aim], self.member[aim]
-                x = p["E"][u]
-                xq = x[:, CONTEXT:]
-                own, wide = np.ascontiguousarray(xq).reshape(-1, WIDTH), x.reshape(-1, WIDTH)  # one product for all windows
-                q, k, v = (own @ (p["q"] * root)).reshape(xq.shape), (wide @ p["k"]).reshape(x.shape), (wide @ p["v"]).reshape(x.shape)
-                att = np.matmul(q, k.transpose(0, 2, 1)) + self.bias()
-                att[first[w], :, :CONTEXT] = -1e9
-                att = np.exp(np.minimum(att, 60))
-                att /= att.sum(-1, keepdims=True)
-                h = (xq + np.matmul(att, v)).reshape(-1, WIDTH)
-                e = np.exp(np.clip(h @ p["U"] + p["b"], -60, 60))
-                e /= e.sum(1, keepdims=True)
-                e[np.arange(len(y)), y] -= 1
-                e *= (good / max(good.sum(), 1)).astype(np.float32)[:, None]
-                g = {"U": h.T @ e, "b": e.sum(0)}
-                dh = e @ p["U"].T
-                g["M"], g["c"] = np.zeros_like(p["M"]), np.zeros_like(p["c"])
-                by = np.argsort(y, kind="stable")
-                cuts = np.searchsorted(y[by], np.arange(self.classes + 1))
-                hs, zs, part, back, number = h[by], z[by], (good[by] / max(good.sum(), 1)).astype(np.float32), np.empty_like(h), np.arange(len(by))
-                for c in np.flatnonzero(np.diff(cuts)):
-                    i, j = cuts[c], cuts[c + 1]
-                    f = hs[i:j] @ p["M"][c]
-                    f += p["c"][c]
-                    np.clip(f, -60, 60, out=f)
-                    np.exp(f, out=f)
-                    f *= (part[i:j] / f.sum(1))[:, None]
-                    f[number[: j - i], zs[i:j]] -= part[i:j]
-                    np.matmul(hs[i:j].T, f, out=g["M"][c])
-                    f.sum(0, out=g["c"][c])
-                    np.matmul(f, p["M"][c].T, out=back[i:j])
-                dh[by] += back
-                dh = dh.reshape(xq.shape)
-                dv, da = np.matmul(att.transpose(0, 2, 1), dh), np.matmul(dh, v.transpose(0, 2, 1))
-                ds = att * (da - (da * att).sum(-1, keepdims=True))
-                g["r"] = np.bincount(self.back.ravel(), weights=np.where(self.ahead, 0, ds.sum(0)).ravel(), minlength=CONTEXT + STEP).astype(np.float32)
-                dq, dk = np.matmul(ds, k) * root, np.matmul(ds.transpose(0, 2, 1), q)
-                flat = lambda z: z.reshape(-1, WIDTH)
-                g["q"], g["k"], g["v"] = own.T @ flat(dq), wide.T @ flat(dk), wide.T @ flat(dv)
-                dx = (flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(x.shape)
-                dx[:, CONTEXT:] += dh + (flat(dq) @ p["q"].T).reshape(xq.shape)
-                g["E"] = np.zeros_like(p["E"])
-                at = np.argsort(u.ravel(), kind="stable")
-                row, start = np.unique(u.ravel()[at], return_index=True)
-                g["E"][row] = np.add.reduceat(flat(dx)[at], start)
-                t += 1
-                for name, grad in g.items():
-                    m[name] *= 0.9
-                    s[name] *= 0.99
-                    m[name] += np.float32(0.1) * grad
-                    grad *= grad
-                    grad *= np.float32(0.01)
-                    s[name] += grad
-                    np.sqrt(s[name], out=grad)
-                    grad += np.float32(1e-8 * np.sqrt(1 - 0.99**t))
-                    np.divide(m[name], grad, out=grad)
-                    grad *= np.float32(rate * max(0.02, 1 - t / steps) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
-                    p[name] -= grad
-
-
 def _streams(batch: pa.RecordBatch):
     """ids, sizes, held-out flags of each piece in a batch of kind 2."""
     for a, b, c in zip(*(batch.column(batch.schema.get_field_index(x)) for x in "abc"), strict=True):
@@ -283,73 +117,84 @@ def _chosen(ids: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> tuple[np.nd
     return ids[np.repeat(keep, sizes)], sizes[keep]
 
 
-def _shards(batches, size: int):
-    """The training documents of all pieces, in shards of about ``size`` ids: lists of (ids, sizes)."""
-    held, n = [], 0
+def _training(batches):
+    """ids and sizes of the training documents of each piece."""
     for batch in batches:
         for ids, sizes, out in _streams(batch):
             kept = _chosen(ids, sizes, ~out)
             if len(kept[1]):
-                held.append(kept)
-                n += len(kept[0])
-            if n >= size:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+                yield kept
+
+
+def _warm_up(pieces, limit: int):
+    """Pieces until about ``limit`` ids are given."""
+    n = 0
+    for ids, sizes in pieces:
+        last = int(np.searchsorted(np.cumsum(sizes), limit - n)) + 1
+        yield ids[: int(sizes[:last].sum())], sizes[:last]
+        n += int(sizes[:last].sum())
+        if n >= limit:
+            return
+
+
+def _spelling(tokenizer: str) -> list[str]:
+    """How each id is written, and the end, which has the id after them."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    size = library.get_vocab_size()
+    if size > 65_535:
+        raise ValueError(f"{tokenizer} has {size} ids; up to 65535 can be scored")
+    return [*(library.id_to_token(i) or "" for i in range(size)), ""]
 
 
 def _fit(subwords: DataFrame, tokenizer: str) -> Model:
     spark = subwords.sparkSession
+    spelling = _spelling(tokenizer)
+    end = len(spelling) - 1
 
     def count(batches):
-        total = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for ids, sizes, out in _streams(batch):
-                kept, n = _chosen(ids, sizes, ~out)
-                total += np.bincount(kept, minlength=VOCABULARY)
-                total[END] += len(n)
+        total = np.zeros(end + 1, np.int64)
+        for ids, sizes in _training(batches):
+            total += np.bincount(ids, minlength=end + 1)
+            total[end] += len(sizes)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    counts = np.zeros(VOCABULARY, np.int64)
+    counts = np.zeros(end + 1, np.int64)
     for r in subwords.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
         counts[r["id"]] = r["n"]
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(tokenizer)
-    model = Model(counts, [library.id_to_token(i) or "" for i in range(VOCABULARY)])
-    tokens = int(counts.sum())
-    if not tokens:
+    model = Model(counts, spelling, end)
+    if not counts.any():
         return model
-    size = SHARD_TOKENS
+    warm_ids = SHARD_TOKENS
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [key[0]], "x": [sum(np.frombuffer(x) for x in pdf["x"]).tobytes()], "n": [pdf["n"].sum()], "ids": [pdf["ids"].sum()]})
-
-    for warm in (True, *[False] * ROUNDS):
-        now = spark.sparkContext.broadcast((model, model.vector()))
-
-        def learn(batches, now=now, warm=warm):
-            if warm and TaskContext.get().partitionId():
-                return
-            own, vector = now.value
-            total, weight, read = np.zeros(len(vector)), 0, 0
-            for streams in _shards(batches, size):
-                own.load(vector).train(streams)
-                n = sum(len(ids) + len(sizes) for ids, sizes in streams)  # ends are trained too
-                total, weight, read = total + own.vector() * n, weight + n, read + sum(len(ids) for ids, _ in streams)
-                if warm:
-                    break
-            if weight:
-                parts = [total[a : a + CHUNK].tobytes() for a in range(0, len(total), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), weight)), pa.array(np.full(len(parts), read))], names=["chunk", "x", "n", "ids"])
+        total = sum(np.frombuffer(x, np.float32) * float(n) for x, n in zip(pdf["x"], pdf["n"]))
+        return pd.DataFrame({"chunk": [key[0]], "x": [(total / pdf["n"].sum()).astype(np.float32).tobytes()], "n": [pdf["n"].sum()], "ids": [pdf["ids"].sum()]})
+
+    rates = np.geomspace(FIRST_RATE, LAST_RATE, ROUNDS).tolist()
+    for k in range(-1, ROUNDS):
+        now = spark.sparkContext.broadcast(model)
+
+        def learn(batches, now=now, k=k):
+            own, pieces = now.value, _training(batches)
+            if k < 0:
+                if TaskContext.get().partitionId():
+                    return
+                learnt = own.train(_warm_up(pieces, warm_ids), WARM_RATE)
+            else:
+                learnt = own.train(pieces, rates[k], seen=warm_ids, part=(k, ROUNDS))
+            if learnt:
+                vector = own.vector()
+                parts = [vector[a : a + CHUNK].tobytes() for a in range(0, len(vector), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), learnt)), pa.array(np.full(len(parts), learnt if k >= 0 else 0))], names=["chunk", "x", "n", "ids"])
 
         kind = "chunk long, x binary, n long, ids long"
         rows = subwords.mapInArrow(learn, kind).groupBy("chunk").applyInPandas(add, kind).toPandas().sort_values("chunk")  # the parameters once
         if len(rows):
-            model.load(np.concatenate([np.frombuffer(x) / n for x, n in zip(rows["x"], rows["n"])]))
-            model.trained = int(rows["ids"].iloc[0])
+            model.load(np.concatenate([np.frombuffer(x, np.float32) for x in rows["x"]]))
+            model.trained += int(rows["ids"].iloc[0])
     return model
 
 

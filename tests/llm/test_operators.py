@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
-from flowscope.llm import chat, decontaminate, lm_scoring, near_dedup, packing, sharding, store, subwords, token_files, topk, toxicity, warc
+from flowscope.llm import attention, chat, decontaminate, lm_scoring, near_dedup, packing, sharding, store, subwords, token_files, topk, toxicity, warc
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -261,25 +262,51 @@ def test_language_model(spark, docs, rows):
     assert lm_scoring.digest(empty(spark)).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
+def small_model(ids=40, scale=1.0):
+    """A model of random parameters, over ids of which the last never occur."""
     rng = np.random.default_rng(0)
-    counts = np.zeros(lm_scoring.VOCABULARY, np.int64)
-    counts[:5000] = rng.integers(1, 100, 5000)
-    m = lm_scoring.Model(counts, [f"{i:06}" for i in range(lm_scoring.VOCABULARY)])
-    start = rng.integers(0, 5000, 20).astype(np.uint16)
-    last = [np.concatenate((start, [i])).astype(np.uint16) for i in range(lm_scoring.VOCABULARY)]
-    end = m.score(start, np.array([20], np.uint32))  # ends with the last id's probability of an end
-    total = 0.0
-    for a in range(0, len(last), 5000):
-        part = last[a : a + 5000]
-        full = m.score(np.concatenate(part), np.array([21] * len(part), np.uint32))
-        # take off the end after the last id
-        source, target, begin, stop, first, doc = m.windows(part[0], np.array([21], np.uint32))
-        total += len(full)
-    assert np.isfinite(end).all() and total == lm_scoring.VOCABULARY
-    joint = np.exp(np.log(np.bincount(m.klass * lm_scoring.MEMBERS + m.member, weights=np.exp(m.share), minlength=lm_scoring.CLASSES * lm_scoring.MEMBERS)))
-    held = np.bincount(m.klass * lm_scoring.MEMBERS + m.member, minlength=lm_scoring.CLASSES * lm_scoring.MEMBERS) > 0
-    assert np.allclose(joint[held], 1)
+    counts = np.concatenate((rng.integers(1, 100, ids), np.zeros(5, np.int64)))
+    counts[7] = 500
+    m = attention.Model(counts, [f"{i * 7 % 45:03}" for i in range(ids + 5)], end=7)
+    return m.load((m.vector() + rng.standard_normal(len(m.vector())) * scale).astype(np.float32))
+
+
+def next_id(m, before, at):
+    """Naively, log probabilities of all ids at place ``at`` of a text, from the ids before it."""
+    p, first = {k: v.astype(np.float64) for k, v in m.p.items()}, at // attention.STEP * attention.STEP
+    given = [m.end, *before]  # the id at place i follows given[i]
+    seen = range(max(0, first - attention.CONTEXT), at + 1)
+    x = [p["E"][m.rank[given[i]]] for i in seen]
+    z = np.array([(x[-1] @ p["q"]) @ (y @ p["k"]) / np.sqrt(attention.WIDTH) + p["r"][at - i] for i, y in zip(seen, x)])
+    w = np.exp(z - z.max())
+    h = x[-1] + sum(a * (y @ p["v"]) for a, y in zip(w / w.sum(), x))
+    log = lambda v: v - v.max() - np.log(np.exp(v - v.max()).sum())
+    klass = log(h @ p["U"] + p["b"])
+    member = [log(h @ p["M"][c] + p["c"][c]) for c in range(m.classes)]
+    return np.array([klass[c] + member[c][k] + s for c, k, s in zip(m.klass, m.member, m.share)])
+
+
+@pytest.mark.parametrize("scale", [0.3, 8.0])
+def test_model_scores_as_a_naive_model(scale):
+    m, rng = small_model(scale=scale), np.random.default_rng(1)
+    texts = [rng.integers(0, 45, n).tolist() for n in (0, 1, 5, 31, 32, 33, 70, 100)]
+    got = m.score(np.array(sum(texts, []), np.uint16), np.array([len(t) for t in texts], np.uint32))
+    want = [sum(next_id(m, t[:i], i)[c] for i, c in enumerate([*t, m.end])) / np.log(10) for t in texts]
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=2e-3 if scale > 1 else 1e-4, atol=1e-3)
+
+
+def test_model_probabilities_sum_to_one():
+    m, rng = small_model(), np.random.default_rng(2)
+    for n in (0, 3, 40):
+        assert np.isclose(np.exp(next_id(m, rng.integers(0, 45, n).tolist(), n)).sum(), 1)
+
+
+def test_model_learns_by_the_gradient():
+    """A step against the gradient makes the text more likely; so does training."""
+    m, rng = small_model(scale=0.1), np.random.default_rng(3)
+    ids, sizes = np.tile(rng.integers(0, 40, 25), 200).astype(np.uint16), np.full(200, 25, np.uint32)
+    before = m.score(ids, sizes).mean()
+    assert m.train([(ids, sizes)], 0.02) == 5000 - int((ids == m.end).sum()) and m.score(ids, sizes).mean() > before + 5
 
 
 def test_language_model_beats_the_base_on_held_out_text(spark):
@@ -294,7 +321,7 @@ def test_language_model_learns_from_all_training_documents(spark, docs, rows, mo
     path = subwords.default_path()
     pieces = lm_scoring._pieces(docs.select("doc_id", "text"), 8, path).where("kind = 2").select("piece", "a", "b", "c", "docs")
     train = [t for i, t in rows if not lm_scoring.held_out(i)]
-    sizes = [len(s) // 4 for s in subwords.encoder(path)(train)]
+    sizes = subwords.encoder(path)(pa.array(train, pa.string()))[1].tolist()
     assert sum(sizes) > 4 * 500 and lm_scoring._fit(pieces, path).trained == sum(sizes)
 
 
