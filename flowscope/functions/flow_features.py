@@ -27,7 +27,7 @@ def asymmetry() -> tuple[Column, Column]:
 
 
 def flow_features() -> dict[str, Column]:
-    protocol, direction = F.lower(F.trim("protocol")), F.trim("flow_direction")
+    protocol, direction = F.lower("protocol"), F.col("flow_direction")
     out = {"duration_seconds": F.coalesce("session_duration_seconds", F.lit(0.0)), "duration_missing": missing("session_duration_seconds")}
     for name, column in (("total_bytes", "network_bytes"), ("packet_count", "packet_count"), ("source_bytes", "orig_bytes")):
         out |= {f"log_{name}": log_or_zero(F.col(column)), f"{name}_missing": missing(column)}

@@ -6,6 +6,8 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .contracts import guard_scores
+
 BENIGN, MALICIOUS, UNKNOWN = "benign", "malicious", "unknown"
 FLOOR, CAP = 0.95, 200.0
 WHOLE = 1_000_000
@@ -33,7 +35,7 @@ def binary_metrics(scores: DataFrame, threshold: float, by: tuple[str, ...] = ("
     return ratios(known(scores).groupBy(*by).agg(*_confusion(threshold)))
 
 
-def scenario_metrics(scores: DataFrame, threshold: float) -> DataFrame:
+def scenario_metrics(scores: DataFrame, threshold: float | Column) -> DataFrame:
     """For each detector, all scenarios together (scenario_id null) and each alone, in one pass."""
     rows = known(scores).groupingSets([["detector"], ["detector", "scenario_id"]], "detector", "scenario_id")
     return ratios(rows.agg(*_confusion(threshold)))
@@ -54,8 +56,9 @@ def threshold_grid(scores: DataFrame, steps: int = 20, first: int = 1, last: int
     bin_ = F.when(bin_ / F.lit(float(steps)) > F.col("score"), bin_ - 1).when((bin_ + 1) / F.lit(float(steps)) <= F.col("score"), bin_ + 1).otherwise(bin_).cast("int")
     bad = F.col("label") == MALICIOUS
     bins = scores.groupBy("detector", bin_.alias("bin")).agg(F.count_if(bad).alias("p"), F.count_if(F.col("label") == BENIGN).alias("n"), F.count("*").alias("all"))
-    detectors = scores.select("detector").distinct()
-    grid = detectors.select("detector", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin")).join(bins, ["detector", "bin"], "left").fillna(0)
+    held = bins.groupBy("detector").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("p", "n", "all")))).alias("m"))  # an entry a bin
+    grid = held.select("detector", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin"), "m")
+    grid = grid.select("detector", "bin", *[F.coalesce(F.col("m")[F.col("bin")][c], F.lit(0)).alias(c) for c in ("p", "n", "all")])
     suffix = Window.partitionBy("detector").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("detector")
     rows = grid.withColumns({"tp": F.sum("p").over(suffix), "fp": F.sum("n").over(suffix), "alerts": F.sum("all").over(suffix), "tot_p": F.sum("p").over(whole), "tot_n": F.sum("n").over(whole)})
@@ -87,18 +90,31 @@ def operating_point(scores: DataFrame, floor: float = FLOOR, cap: float = CAP, s
     return chosen.select("detector", F.when(F.col("met"), "policy_met").otherwise("fallback").alias("status"), F.when(F.col("met"), F.col("e")).otherwise(F.col("f")).alias("b")).select("detector", "status", "b.*")
 
 
-def alert_volume(scores: DataFrame, threshold: float) -> DataFrame:
+def each_threshold(thresholds: dict[str, float]) -> Column:
+    """The threshold of a row's detector; null for a detector that has none."""
+    return F.coalesce(*[F.when(F.col("detector") == n, F.lit(float(t))) for n, t in thresholds.items()], F.lit(None).cast("double"))
+
+
+def alert_volume(scores: DataFrame, threshold: float | Column) -> DataFrame:
     """Alerts among labelled rows, unlabelled rows, and all; per 1,000 labelled rows."""
     hit, lab = F.col("score") >= threshold, F.col("label") != UNKNOWN
     rows = scores.groupBy("detector").agg(F.count_if(hit & lab).alias("known_alerts"), F.count_if(hit & ~lab).alias("unknown_alerts"), F.count_if(hit).alias("all_alerts"), F.count_if(lab).alias("labelled"))
     return rows.withColumn("alerts_per_1000", F.try_divide(F.col("known_alerts") * 1000.0, "labelled"))
 
 
+def alert_volumes(scores: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """``alert_volume`` at several thresholds, in one pass."""
+    each = scores.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    hit, lab = F.col("score") >= F.col("threshold"), F.col("label") != UNKNOWN
+    rows = each.groupBy("detector", "threshold").agg(F.count_if(hit & lab).alias("known_alerts"), F.count_if(hit & ~lab).alias("unknown_alerts"), F.count_if(hit).alias("all_alerts"), F.count_if(lab).alias("labelled"))
+    return rows.withColumn("alerts_per_1000", F.try_divide(F.col("known_alerts") * 1000.0, "labelled"))
+
+
 def calibration_bins(scores: DataFrame, bins: int = 10) -> DataFrame:
     if bins < 2:
         raise ValueError("two bins at least")
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
-    return known(scores).groupBy("detector", b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg((F.col("label") == MALICIOUS).cast("double")).alias("positive_rate"))
+    return known(guard_scores(scores)).groupBy("detector", b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg((F.col("label") == MALICIOUS).cast("double")).alias("positive_rate"))
 
 
 def calibration_scores(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -128,10 +144,14 @@ def coverage_histogram(cases: DataFrame) -> DataFrame:
     return cases.groupBy(F.size("caught_by").alias("detectors")).agg(F.count("*").alias("n"))
 
 
-def pairwise_overlap(cases: DataFrame) -> DataFrame:
-    """Cases that two detectors both caught (left <= right)."""
+def pairwise_overlap(cases: DataFrame, detectors: list[str] | None = None) -> DataFrame:
+    """Cases that two detectors both caught (left <= right); with ``detectors``, every pair of them, also where that is none."""
     both = cases.select(F.explode("caught_by").alias("left"), "caught_by").select("left", F.explode("caught_by").alias("right"))
-    return both.where("left <= right").groupBy("left", "right").agg(F.count("*").alias("n"))
+    found = both.where("left <= right").groupBy("left", "right").agg(F.count("*").alias("n"))
+    if detectors is None:
+        return found
+    pairs = [(a, b) for a in detectors for b in detectors if a <= b]
+    return cases.sparkSession.createDataFrame(pairs, "left string, right string").join(found, ["left", "right"], "left").fillna(0, ["n"])
 
 
 def unique_catches(cases: DataFrame) -> DataFrame:
@@ -144,6 +164,37 @@ def residuals(cases: DataFrame) -> DataFrame:
     return cases.where(F.size("caught_by") == 0).groupBy("scenario_id").agg(F.count("*").alias("n"))
 
 
+def overlap_class(caught_by: Column, detectors: list[str]) -> Column:
+    """Of the detectors named: shared (all caught it), ``<name>_only``, none, or several."""
+    caught = F.array_intersect(caught_by, F.array(*[F.lit(d) for d in detectors]))
+    return F.when(F.size(caught) == len(detectors), "shared").when(F.size(caught) == 0, "none").when(F.size(caught) == 1, F.concat(caught[0], F.lit("_only"))).otherwise("several")
+
+
+def residual_profile(cases: DataFrame, features: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """Cases that no detector caught: counts by scenario (0 too), and their features beside those of all cases."""
+    missed = F.size("caught_by") == 0
+    counts = cases.groupBy("scenario_id").agg(F.count_if(missed).alias("n"))
+    rows = features.select("event_id", *columns).join(cases.select("event_id", F.explode(F.when(missed, F.array(F.lit("missed"), F.lit("all"))).otherwise(F.array(F.lit("all")))).alias("side")), "event_id")
+    return {"counts": counts, "profile": quartiles(rows, "side", columns)}
+
+
+def protocol_mix(features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of each protocol flag, that is the share of flows of each protocol."""
+    return features.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("protocol_tcp", "protocol_udp", "protocol_icmp", "protocol_other", "protocol_missing")])
+
+
+def group_profile(rows: DataFrame, group: str, groups: list[str], columns: list[str]) -> DataFrame:
+    """scenario_id (null: all together), group, feature, n, quartiles and mean: a row for every scenario, group and feature, also without values."""
+    pooled = rows.select("scenario_id", group, *columns).withColumn("_in", F.explode(F.array(F.col("scenario_id"), F.lit(None).cast("string"))))
+    keyed = pooled.withColumn("_key", F.struct(F.col("_in").alias("scenario_id"), F.col(group).alias("group")))
+    found = quartiles(keyed, "_key", columns).select("_key.*", "feature", "n", "q1", "median", "q3", "mean")
+    spark = rows.sparkSession
+    places = rows.select("scenario_id").distinct().union(spark.createDataFrame([(None,)], "scenario_id string"))
+    dense = places.join(F.broadcast(spark.createDataFrame([(g, c) for g in groups for c in columns], "g string, f string")))  # the few named groups and features
+    same = dense["scenario_id"].eqNullSafe(found["scenario_id"]) & (F.col("g") == F.col("group")) & (F.col("f") == F.col("feature"))
+    return dense.join(found, same, "left").select(dense["scenario_id"], F.col("g").alias(group), F.col("f").alias("feature"), F.coalesce("n", F.lit(0)).alias("n"), "q1", "median", "q3", "mean")
+
+
 def case_changes(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """Each case of two feature versions with its change; raises if the versions hold different cases."""
     a = reference.select("event_id", "scenario_id", F.col("caught_by").alias("before"))
@@ -230,7 +281,11 @@ def hypothesis(medians: DataFrame, group: str, case: str, base: str, ratios_: di
 
 
 def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> tuple[Column, Column]:
-    """Bounds of a proportion; null without trials."""
+    """Bounds of a proportion; null without trials. Fails on more successes than trials, or fewer than none."""
+    if not 0 < confidence < 1:
+        raise ValueError("confidence must be between 0 and 1")
+    wrong = (successes < 0) | (trials < 0) | (successes > trials)
+    trials = F.when(wrong, F.raise_error(F.lit("successes must be between 0 and the trials")).cast("long")).otherwise(trials)
     z = NormalDist().inv_cdf((1 + confidence) / 2)
     n = F.when(trials > 0, trials.cast("double"))
     p = successes / n

@@ -7,6 +7,7 @@ and the isolation forest are built by Spark jobs whose partial sums or samples a
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import contracts
+
 SEED = 42
 BAD = "malicious"
 
@@ -63,13 +66,20 @@ def make(model: str, weight_sum: float = 1.0, c: float = 1.0, trees: int = 200,
     raise ValueError(f"no model {model}")
 
 
+def labelled_scores(records: DataFrame, scores: DataFrame) -> DataFrame:
+    """``records`` with their score; fails if one has none."""
+    score = F.col("score")
+    joined = records.join(scores.select("event_id", "score"), "event_id", "left")
+    return joined.where(F.assert_true(score.isNotNull(), F.concat(F.lit("no score for "), F.col("event_id").cast("string"))).isNull())
+
+
 def _assembled(rows: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="x").transform(rows)
 
 
 def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: str, balanced: bool = True, **options) -> tuple[DataFrame, float]:
     """event_id, label, score of ``rows`` by a model fitted on the known rows of ``train``; and the seconds that fitting took."""
-    pool = known(train)
+    pool = contracts.guard_training(known(train))
     if model in ("logistic_regression", "linear_svm"):
         rows, pool = standardise(rows, names, pool), standardise(pool, names)
     weights = balanced_weights(pool) if balanced else pool.select("ground_truth_label", F.lit(1.0).alias("weight")).distinct()
@@ -108,80 +118,125 @@ def calibrated(train: DataFrame, rows: DataFrame, names: list[str], model: str =
 # -- extra trees: random thresholds, no bootstrap, one job a level --
 
 
-def _route(x: np.ndarray, tree: dict) -> np.ndarray:
-    node = np.zeros(len(x), np.int64)
-    while True:
-        f = tree["feature"][node]
-        inner = f >= 0
-        if not inner.any():
-            return node
-        right = x[np.arange(len(x)), np.maximum(f, 0)] > tree["threshold"][node]
-        node = np.where(inner, tree["left"][node] + right, node)
+@dataclass
+class Tree:
+    """Arrays over nodes; a leaf has feature -1; the right child follows the left one."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(rows := rows[self.feature[node[rows]] >= 0]):
+            at = node[rows]
+            node[rows] = self.left[at] + (x[rows, self.feature[at]] > self.threshold[at])
+        return node
+
+
+@dataclass
+class Growth:
+    """The nodes of a tree that may be split, and their random candidate splits: a row a node, a column a candidate."""
+
+    nodes: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+
+    def sums(self, tree: Tree, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Weight of each (node, candidate, side, class)."""
+        place = np.full(len(tree.feature), -1)
+        place[self.nodes] = np.arange(len(self.nodes))
+        at = place[tree.route(x)]
+        rows = np.flatnonzero(at >= 0)
+        at, y, w, tries = at[rows], y[rows], w[rows], self.feature.shape[1]
+        out = np.zeros(len(self.nodes) * tries * 4)
+        for c in range(tries):
+            right = x[rows, self.feature[at, c]] > self.cut[at, c]
+            out += np.bincount(((at * tries + c) * 2 + right) * 2 + y, weights=w, minlength=len(out))
+        return out.reshape(-1, tries, 2, 2)
+
+    def best(self, sums: np.ndarray) -> np.ndarray:
+        """candidate, l0, l1, r0, r1 of the best split of each node, and -1 for a node without a gain."""
+        side = sums.sum(-1)
+        purity = (np.square(sums) / np.maximum(side, 1e-12)[..., None]).sum((-1, -2))
+        purity[(side <= 0).any(-1)] = -1.0
+        pick = purity.argmax(1)
+        rows = np.arange(len(pick))
+        whole = sums[:, 0].sum(1)
+        parent = np.square(whole).sum(1) / np.maximum(whole.sum(1), 1e-12)
+        gains = purity[rows, pick] > parent + 1e-9
+        return np.column_stack((np.where(gains, pick, -1), sums[rows, pick].reshape(-1, 4)))
 
 
 def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int = 200, depth: int = 12, seed: int = SEED) -> DataFrame:
-    """Class weights of all (tree, node, candidate split) are summed on executors; the driver keeps the best split of each node."""
-    weights = {r["ground_truth_label"]: r["weight"] for r in balanced_weights(train).collect()}
+    """Class weights of all (tree, node, candidate split) are summed on executors, which choose the best split of each node.
+
+    A task sends one array of sums a tree; the driver gets five numbers a node.
+    """
+    pool = contracts.guard_training(known(train))
+    weights = {r["ground_truth_label"]: r["weight"] for r in balanced_weights(pool).collect()}
     weight = F.coalesce(*[F.when(F.col("ground_truth_label") == k, v) for k, v in weights.items()])
-    pool = known(train).select(*names, target().alias("_y"), weight.alias("_w")).cache()
+    pool = pool.select(*names, target().alias("_y"), weight.alias("_w")).cache()
     span = pool.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("a", F.min), ("b", F.max))]).first()
-    low, high = (np.array([span[f"{k}{i}"] for i in range(len(names))]) for k in "ab")
+    low, high = (np.array([span[f"{k}{i}"] for i in range(len(names))], float) for k in "ab")
     rng, tries = np.random.default_rng(seed), max(1, int(np.sqrt(len(names))))
-    forest = [{"feature": np.array([-1]), "threshold": np.array([0.0]), "left": np.array([0]), "value": np.array([0.5])} for _ in range(trees)]
-    boxes = {(t, 0): (low, high) for t in range(trees)}  # what the splits above leave of each feature's range
-    active = {t: [0] for t in range(trees)}
+    forest = [Tree(np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.full(1, 0.5)) for _ in range(trees)]
+    boxes = [(low[None], high[None])] * trees  # of the nodes that may be split: what the splits above leave of each feature's range
+    active = [np.zeros(1, np.int64)] * trees
     for _ in range(depth):
-        splits = {t: (rng.integers(len(names), size=(len(n), tries)), rng.random((len(n), tries))) for t, n in active.items() if n}
-        if not splits:
-            break
         plan = {}
-        for t, (f, u) in splits.items():
-            a, b = (np.take_along_axis(np.stack([boxes[t, n][k] for n in active[t]]), f, 1) for k in (0, 1))
-            plan[t] = (np.array(active[t]), f, a + u * (b - a))
+        for t, nodes in enumerate(active):
+            if len(nodes):
+                f = rng.integers(len(names), size=(len(nodes), tries))
+                a, b = (np.take_along_axis(x, f, 1) for x in boxes[t])
+                plan[t] = Growth(nodes, f, a + rng.random(f.shape) * (b - a))
+        if not plan:
+            break
 
         def sums(batches, forest=forest, plan=plan):
+            total = {}
             for pdf in batches:
-                x, y, w = pdf[names].to_numpy(float), pdf["_y"].to_numpy(), pdf["_w"].to_numpy()
-                out = []
-                for t, (nodes, feature, cut) in plan.items():
-                    at = _route(x, forest[t])
-                    for i, node in enumerate(nodes):
-                        mine = at == node
-                        for c in range(feature.shape[1]):
-                            right = x[mine, feature[i, c]] > cut[i, c]
-                            cell = np.bincount((right * 2 + y[mine]).astype(int), weights=w[mine], minlength=4)
-                            out.append((t, int(node), c, *cell))
-                yield pd.DataFrame(out, columns=["t", "node", "c", "l0", "l1", "r0", "r1"])
-
-        found = pool.mapInPandas(sums, "t int, node int, c int, l0 double, l1 double, r0 double, r1 double").groupBy("t", "node", "c").agg(*[F.sum(s).alias(s) for s in ("l0", "l1", "r0", "r1")]).toPandas()
-        l, r = found.l0 + found.l1, found.r0 + found.r1  # noqa: E741
-        found["gain"] = np.where((l > 0) & (r > 0), (found.l1**2 + found.l0**2) / l.clip(lower=1e-12) + (found.r1**2 + found.r0**2) / r.clip(lower=1e-12), -1.0)
-        active = {t: [] for t in range(trees)}
-        for (t, node), part in found.groupby(["t", "node"]):
-            tree, b = forest[t], part.loc[part["gain"].idxmax()]
-            ones, all_ = b.l1 + b.r1, b.l0 + b.l1 + b.r0 + b.r1
-            tree["value"][node] = ones / all_ if all_ else 0.5
-            parent = (ones**2 + (all_ - ones) ** 2) / all_ if all_ else 0.0
-            if b.gain <= parent + 1e-9:
+                x, y, w = pdf[names].to_numpy(float), pdf["_y"].to_numpy(int), pdf["_w"].to_numpy()
+                for t, growth in plan.items():
+                    part = growth.sums(forest[t], x, y, w)
+                    total[t] = total[t] + part if t in total else part
+            yield pd.DataFrame({"t": list(total), "x": [x.tobytes() for x in total.values()]})
+
+        def choose(key, pdf):  # it runs before the next level is planned
+            t = int(key[0])
+            whole = sum(np.frombuffer(x) for x in pdf["x"]).reshape(-1, tries, 2, 2)
+            return pd.DataFrame({"t": [t], "x": [plan[t].best(whole).tobytes()]})
+
+        found = pool.mapInPandas(sums, "t int, x binary").groupBy("t").applyInPandas(choose, "t int, x binary").collect()
+        active = [np.empty(0, np.int64)] * trees
+        for t, x in found:
+            best, tree, growth = np.frombuffer(x).reshape(-1, 5), forest[t], plan[t]
+            weigh = best[:, 1:].reshape(-1, 2, 2)
+            held = weigh.sum((1, 2))
+            tree.value[growth.nodes] = np.where(held > 0, weigh[:, :, 1].sum(1) / np.maximum(held, 1e-12), 0.5)
+            split = np.flatnonzero(best[:, 0] >= 0)
+            if not len(split):
                 continue
-            i, n = list(plan[t][0]).index(node), len(tree["feature"])
-            tree["feature"][node], tree["threshold"][node], tree["left"][node] = plan[t][1][i, int(b.c)], plan[t][2][i, int(b.c)], n
-            share = [b.l1 / (b.l0 + b.l1), b.r1 / (b.r0 + b.r1)]
-            for key, new in (("feature", [-1, -1]), ("threshold", [0.0, 0.0]), ("left", [0, 0]), ("value", share)):
-                tree[key] = np.concatenate((tree[key], new)).astype(tree[key].dtype)
-            active[t] += [n, n + 1]
-            f, cut = tree["feature"][node], tree["threshold"][node]
-            for child, side in ((n, 1), (n + 1, 0)):
-                box = tuple(x.copy() for x in boxes[t, node])
-                box[side][f] = cut
-                boxes[t, child] = box
+            nodes, pick, n = growth.nodes[split], best[split, 0].astype(int), len(tree.feature)
+            children = n + 2 * np.arange(len(split))
+            tree.feature[nodes], tree.threshold[nodes], tree.left[nodes] = growth.feature[split, pick], growth.cut[split, pick], children
+            share = weigh[split, :, 1] / np.maximum(weigh[split].sum(2), 1e-12)
+            grow = lambda old, new: np.concatenate((old, new)).astype(old.dtype)
+            forest[t] = Tree(grow(tree.feature, np.full(2 * len(split), -1)), grow(tree.threshold, np.zeros(2 * len(split))), grow(tree.left, np.zeros(2 * len(split))), grow(tree.value, share.ravel()))
+            active[t] = n + np.arange(2 * len(split))
+            lows, highs = (np.repeat(x[split], 2, axis=0) for x in boxes[t])
+            at, f, cut = np.arange(len(split)) * 2, tree.feature[nodes], tree.threshold[nodes]
+            highs[at, f], lows[at + 1, f] = cut, cut
+            boxes[t] = (lows, highs)
     pool.unpersist()
     held = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
         for pdf in batches:
             x = pdf[names].to_numpy(float)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "label": pdf["ground_truth_label"], "score": np.mean([t["value"][_route(x, t)] for t in held.value], axis=0)})
+            yield pd.DataFrame({"event_id": pdf["event_id"], "label": pdf["ground_truth_label"], "score": np.mean([t.value[t.route(x)] for t in held.value], axis=0)})
 
     return rows.select("event_id", "ground_truth_label", *names).mapInPandas(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
 
@@ -194,12 +249,16 @@ def _path(n: float) -> float:
 
 
 def isolation_forest(train: DataFrame, rows: DataFrame, names: list[str], trees: int = 100, sample: int = 256, seed: int = SEED) -> DataFrame:
-    """Scores 2^(-E(h)/c(n)) by trees that are grown from ``sample`` known rows each, then by the training range."""
+    """Scores 2^(-E(h)/c(n)) by trees that are grown from ``sample`` known rows each, then by the training range.
+
+    The trees' rows are drawn from ``trees`` x ``sample`` known rows, the first by a hash of the id.
+    """
     pool = known(train)
-    n = max(pool.count(), 1)
+    drawing = pool.orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id").limit(trees * sample).cache()
+    n = max(drawing.count(), 1)
     chance = min(1.0, (sample * 1.3 + 50) / n)
     key = F.xxhash64("event_id", "tree", F.lit(seed))
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < int(chance * (1 << 30)))
+    drawn = drawing.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < int(chance * (1 << 30)))
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("key").head(sample)[names].to_numpy(float)
@@ -222,6 +281,7 @@ def isolation_forest(train: DataFrame, rows: DataFrame, names: list[str], trees:
         return pd.DataFrame(nodes, columns=["f", "cut", "left", "value"]).assign(tree=int(key[0]), node=range(len(nodes)), size=len(x))
 
     grown = drawn.groupBy("tree").applyInPandas(grow, "f int, cut double, left int, value double, tree int, node int, size int").toPandas()
+    drawing.unpersist()
     forest = [g.sort_values("node") for _, g in grown.groupby("tree")]
     held = rows.sparkSession.sparkContext.broadcast([(g["f"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["value"].to_numpy(), int(g["size"].iloc[0])) for g in forest])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import manifest_id
 from ..sources.binetflow import conform
+from .evaluate import each_threshold
 
 
 def write_events(events: DataFrame, schema: str, path: str, mode: str = "errorifexists") -> None:
@@ -21,6 +22,35 @@ def write_json(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
 
+def write_ordered(rows: DataFrame, path: str, keys: list[str], mode: str = "errorifexists") -> None:
+    """JSON lines in the order of ``keys``, over the files and within them, so that equal tables give equal files."""
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).json(path)
+
+
+def predictions(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """event_id, scenario_id, model_name, ground_truth_label, score, prediction: each detector at its threshold."""
+    hit = F.col("score") >= each_threshold(thresholds)
+    return scores.where(F.col("detector").isin(list(thresholds))).select("event_id", "scenario_id", F.col("detector").alias("model_name"), F.col("label").alias("ground_truth_label"), "score", F.when(hit, "malicious").otherwise("benign").alias("prediction"))
+
+
+def write_predictions(scores: DataFrame, thresholds: dict[str, float], path: str, mode: str = "errorifexists") -> None:
+    predictions(scores, thresholds).write.mode(mode).option("compression", "zstd").partitionBy("model_name").parquet(path)
+
+
+def write_summary(sections: dict[str, DataFrame], study_id: str, path: str, mode: str = "errorifexists", leave: tuple[str, ...] = ("scores", "cases")) -> None:
+    """The result tables of a study as ordered JSON lines, a folder a section, each row with the study's id; row-level tables are left to Parquet."""
+    for name, table in sections.items():
+        if name not in leave:
+            keys = [c for c, t in table.dtypes if t in ("string", "int", "bigint")] or table.columns[:1]
+            write_ordered(table.withColumn("study_id", F.lit(study_id)), f"{path}/{name}", keys, mode)
+
+
+def write_quality(report: DataFrame, missing: DataFrame, distributions: DataFrame, spreads: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The quality report of a parsed source: row accounting, missing fields, distributions and spreads."""
+    for name, table, keys in (("rows", report, ["rows_seen"]), ("missing", missing, ["field"]), ("distributions", distributions, ["field", "value"]), ("spreads", spreads, ["field"])):
+        write_ordered(table, f"{path}/{name}", keys, mode)
+
+
 def manifest(digests: DataFrame, events: DataFrame, name: str, version: str, source: str) -> DataFrame:
     """One row: id, files with digests, counts, labels, time range."""
     files = digests.agg(F.array_sort(F.collect_list(F.struct(F.regexp_extract("file", r"([^/]+)$", 1).alias("relative_path"), "sha256", "size_bytes"))).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("checksum"))

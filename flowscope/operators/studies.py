@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import FEATURE_GROUPS
-from . import evaluate as E, models
+from ..schemas import FEATURE_GROUPS, FEATURES
+from ..sources import stored
+from ..store import staged
+from . import contracts, evaluate as E, models, rules
 
 VOLUME_THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
 #: What a burst of connections to few destinations looks like, as ratios of medians.
@@ -24,22 +28,25 @@ def detector_scores(train: DataFrame, rows: DataFrame, names: list[str], detecto
     """Scores of all detectors (name: options of ``models.fit_and_score``, or of ``extra_trees`` or ``isolation_forest`` with
     that name as model; ``sigmoid`` asks for calibrated scores), and a status row for each.
 
-    A detector that fails is a row with its error and leaves the others alone.
+    A detector that cannot be fitted is a row with its error and leaves the others alone. Scores are stored, so that each
+    detector scores once however many tables are made of them.
     """
     place = rows.select("event_id", "scenario_id")
     parts, status = None, []
     for name, options in detectors.items():
         try:
             scored, seconds = _score(train, rows, names, **options)
-        except Exception as e:  # noqa: BLE001  the failure is the result
-            status.append((name, "failed", type(e).__name__, None))
+            scored = staged(scored, "scores")
+        except (ValueError, ArithmeticError, PySparkException, Py4JJavaError) as e:  # what a fit raises; the failure is the result
+            status.append((name, "failed", type(e).__name__, str(e).splitlines()[0][:200], None))
             continue
         part = scored.join(place, "event_id").select("event_id", "scenario_id", F.lit(name).alias("detector"), "label", "score")
         parts = part if parts is None else parts.unionByName(part)
-        status.append((name, "fitted", None, seconds))
+        status.append((name, "fitted", None, None, seconds))
     spark = rows.sparkSession
-    parts = spark.createDataFrame([], "event_id long, scenario_id string, detector string, label string, score double") if parts is None else parts
-    return parts, spark.createDataFrame(status, "detector string, status string, error string, fit_seconds double")
+    kind = f"event_id {dict(rows.dtypes)['event_id']}, scenario_id string, detector string, label string, score double"
+    parts = spark.createDataFrame([], kind) if parts is None else parts
+    return parts, spark.createDataFrame(status, "detector string, status string, error string, message string, fit_seconds double")
 
 
 def comparison(train: DataFrame, rows: DataFrame, feature_sets: dict[str, list[str]], kinds: dict[str, dict]) -> DataFrame:
@@ -76,14 +83,12 @@ def with_rules(scores: DataFrame, rows: DataFrame, flags: DataFrame) -> DataFram
 def at_thresholds(scores: DataFrame, thresholds: dict[str, float]) -> dict[str, DataFrame]:
     """Metrics by scenario, intervals, alert volume, disagreement and residuals, each detector at its own threshold."""
     out: dict[str, DataFrame] = {}
-    for name, t in thresholds.items():
-        own = scores.where(F.col("detector") == name)
-        for key, table in (("metrics", E.scenario_metrics(own, t)), ("volume", E.alert_volume(own, t))):
-            out[key] = table if key not in out else out[key].unionByName(table)
     if thresholds:
-        cases = E.disagreement(scores.where(F.col("detector").isin(list(thresholds))), thresholds)
+        own, limit = scores.where(F.col("detector").isin(list(thresholds))), E.each_threshold(thresholds)
+        out |= {"metrics": E.scenario_metrics(own, limit), "volume": E.alert_volume(own, limit)}
+        cases = staged(E.disagreement(own, thresholds), "cases")
         out["intervals"] = E.intervals(out["metrics"], ["detector", "scenario_id"])
-        out |= {"cases": cases, "coverage": E.coverage_histogram(cases), "overlap": E.pairwise_overlap(cases), "unique": E.unique_catches(cases), "residuals": E.residuals(cases)}
+        out |= {"cases": cases, "coverage": E.coverage_histogram(cases), "overlap": E.pairwise_overlap(cases, sorted(thresholds)), "unique": E.unique_catches(cases), "residuals": E.residuals(cases)}
     return out
 
 
@@ -118,13 +123,37 @@ def hardening(train: DataFrame, rows: DataFrame, names: list[str], options: dict
     """One model: ablation, calibration raw and by sigmoid, alert volume at several thresholds, metrics at the frozen one."""
     scores, status = detector_scores(train, rows, names, {"raw": options, "sigmoid": {**options, "sigmoid": True}})
     raw = scores.where("detector = 'raw'")
-    volume = None
-    for t in thresholds:
-        part = E.alert_volume(raw, t).withColumn("threshold", F.lit(t))
-        volume = part if volume is None else volume.unionByName(part)
+    volume = E.alert_volumes(raw, thresholds)
     return {"status": status, "ablation": ablation(train, rows, names, options, threshold, groups), "calibration": E.calibration_scores(scores), "volume": volume, "metrics": E.scenario_metrics(raw, threshold)}
 
 
+def scenario_split(train: DataFrame, validation: DataFrame, test: DataFrame, names: list[str], detectors: dict[str, dict], flags: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Detectors fitted on one split of whole scenarios, and the rules, on the known rows of two others: metrics and predictions by split."""
+    splits = {"train": train, "validation": validation, "test": test}
+    contracts.guard_splits(splits)
+    contracts.guard_training(models.known(train))
+    rows = None
+    for name in ("validation", "test"):
+        part = models.known(splits[name]).withColumn("split", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    scores, status = detector_scores(train, rows, names, detectors)
+    scores = with_rules(scores, rows, flags).join(rows.select("event_id", "split"), "event_id")
+    metrics = E.binary_metrics(scores, threshold, ("detector", "split"))
+    by_split = scores.withColumn("detector", F.concat_ws("/", "detector", "split"))
+    auc = E.average_precision(by_split).select(F.split("detector", "/")[0].alias("detector"), F.split("detector", "/")[1].alias("split"), "pr_auc")
+    return {"status": status, "scores": scores, "metrics": metrics.join(auc, ["detector", "split"])}
+
+
+def stored_study(spark: SparkSession, path: str, version: str, training: list[str], validation: list[str], detectors: dict[str, dict], sealed: tuple[str, ...] = (), raw_files: dict[str, str] | None = None, floor: float = E.FLOOR, cap: float = E.CAP) -> dict[str, DataFrame]:
+    """Stability from stored features: only labelled rows are scored; the rules come from the features, too."""
+    rows = stored.features(spark, path, version, [*training, *validation], sealed, raw_files)
+    pool, own = rows.where(F.col("scenario_id").isin(training)), models.known(rows.where(F.col("scenario_id").isin(validation)))
+    contracts.guard_splits({"training": pool, "validation": own})
+    out = stability(pool, own, FEATURES[version], detectors, floor, cap)
+    flags = with_rules(out["scores"].limit(0), own, rules.flags_from_features(own))
+    return out | {"rules": E.scenario_metrics(flags, 0.5), "labels": stored.label_counts(rows), "mix": E.protocol_mix(own, ("scenario_id",)), "residual": E.residual_profile(out["cases"], own, FEATURES[version])["profile"]}
+
+
 def representation(train: DataFrame, rows: DataFrame, reference: list[str], candidate: list[str], detectors: dict[str, dict], floor: float = E.FLOOR, cap: float = E.CAP) -> dict[str, DataFrame]:
     """The same detectors on two feature lists: both studies, and what the candidate's metrics gain."""
     both = {k: stability(train, rows, v, detectors, floor, cap) for k, v in (("reference", reference), ("candidate", candidate))}
@@ -146,15 +175,32 @@ def unique_coverage(cases: DataFrame, features: DataFrame, detector: str, others
     return {"cases": rows, "counts": counts, "profile": E.quartiles(wide, "side", columns), "low_share": E.share_at_or_below(wide, "side", "other", columns)}
 
 
-def overlap_diagnosis(reference: DataFrame, candidate: DataFrame, features: DataFrame, detectors: list[str], columns: list[str], ratios: dict[str, tuple[str, float]] | None = None) -> dict[str, DataFrame]:
-    """How the cases of two feature versions changed, what the changed groups look like, and whether they are bursts."""
-    changes = E.case_changes(reference, candidate)
-    profile = E.quartiles(features.select("event_id", *columns).join(changes.select("event_id", "change"), "event_id"), "change", columns)
+CHANGES = ["both", "candidate_only", "reference_only", "residual"]
+
+
+def overlap_diagnosis(reference: DataFrame, candidate: DataFrame, features: DataFrame, detectors: list[str], columns: list[str], ratios: dict[str, tuple[str, float]] | None = None, reference_features: DataFrame | None = None) -> dict[str, DataFrame]:
+    """How the cases of two feature versions changed, what the changed groups look like (together and by scenario), and whether they are bursts.
+
+    Raises unless the features hold each case once, and, where the reference's are given, if a shared feature differs.
+    """
+    changes = staged(E.case_changes(reference, candidate), "changes")
+    own = contracts.same_ids(features, changes)
+    if reference_features is not None:
+        shared = [c for c in columns if c in reference_features.columns]
+        contracts.guard_drift(contracts.same_ids(reference_features, changes), own, shared)
+    changes = changes.withColumns({"overlap_before": E.overlap_class(F.col("before"), detectors), "overlap_after": E.overlap_class(F.col("after"), detectors)})
+    wide = own.select("event_id", *columns).join(changes.select("event_id", "scenario_id", "change"), "event_id")
+    profile = E.quartiles(wide, "change", columns)
+    kept = changes.groupBy("scenario_id").agg(F.count_if(F.size("after") > 0).alias("successes"), F.count("*").alias("trials"))
+    low, high = E.wilson(F.col("successes"), F.col("trials"))
     return {
         "changes": changes,
         "categories": changes.groupingSets([["change"], ["scenario_id", "change"]], "scenario_id", "change").agg(F.count("*").alias("n")),
+        "overlap": changes.groupBy("overlap_before", "overlap_after").agg(F.count("*").alias("n")),
         "transitions": E.transitions(changes),
         "gains": E.gains(changes, detectors),
+        "caught": kept.withColumns({"lower": low, "upper": high}),
         "profile": profile,
+        "scenario_profile": E.group_profile(wide, "change", CHANGES, columns),
         "hypothesis": E.hypothesis(profile, "change", "candidate_only", "reference_only", BURST if ratios is None else ratios),
     }

@@ -1,7 +1,7 @@
 """Features of what a source host did before each flow.
 
 A row sees the rows of its (scenario, host) that stand strictly before it by (observed_at, event_id as text) and are
-younger than the window: observed_at > t - w. A missing host is a host of its own.
+younger than the window: observed_at > t - w. A missing host is a host of its own; an empty address or protocol is missing.
 
 Counts and sums are range frames minus the ties that stand at or after the row. Distinct counts are a sweep: each value
 opens an interval that closes when the window has passed its last sighting, and the running sum of openings and closings
@@ -22,15 +22,15 @@ SHORT_SECONDS = 1.0
 
 
 def _prepared(flows: DataFrame) -> DataFrame:
-    src = [F.col(c) for c in ("source_src_address", "src_ip") if c in flows.columns]
-    dst = [F.col(c) for c in ("source_dst_address", "dst_ip") if c in flows.columns]
+    src = [F.nullif(F.col(c), F.lit("")) for c in ("source_src_address", "src_ip") if c in flows.columns]
+    dst = [F.nullif(F.col(c), F.lit("")) for c in ("source_dst_address", "dst_ip") if c in flows.columns]
     return flows.where(F.col("scenario_id").isNotNull()).withColumns(
         {
             "_id": F.col("event_id").cast("string"),
             "_host": F.coalesce(*src, F.concat(F.lit("missing:"), F.col("event_id").cast("string"))),
             "_us": F.unix_micros(F.col("observed_at").cast("timestamp")),
             "_dst": F.coalesce(*dst, F.lit("missing:")),
-            "_proto": F.coalesce(F.lower("protocol"), F.lit("missing:")),
+            "_proto": F.coalesce(F.nullif(F.lower("protocol"), F.lit("")), F.lit("missing:")),
             "_brief": F.coalesce((F.col("session_duration_seconds") <= SHORT_SECONDS).cast("long"), F.lit(0)),
         }
     )
@@ -122,9 +122,13 @@ def features(flows: DataFrame, version: str, short: int = 60, long: int = 300) -
     return rows.withColumns(flow_features()).select(*meta, F.lit(version).alias("feature_version"), *named)
 
 
-def audit(flows: DataFrame, version: str = "1.2.0", short: int = 60, long: int = 300) -> DataFrame:
-    """Rows whose features change when one later flow is added to each scenario: none, if features look back only."""
+def audit(flows: DataFrame, version: str = "1.2.0", short: int = 60, long: int = 300, make=None) -> DataFrame:
+    """Rows whose features change when one later flow is added to each scenario: none, if features look back only.
+
+    ``make`` gives the features of flows (event_id first); those of ``version`` unless it is given.
+    """
+    make = make or (lambda rows: features(rows, version, short, long))
     latest = flows.where(F.col("scenario_id").isNotNull()).groupBy("scenario_id").agg(F.max_by(F.struct(*flows.columns), F.struct("observed_at", F.col("event_id").cast("string"))).alias("r")).select("r.*")
     future = latest.withColumns({"event_id": (F.lit(-1) - F.col("event_id")) if dict(flows.dtypes)["event_id"] != "string" else F.concat(F.col("event_id"), F.lit("-future")), "observed_at": F.col("observed_at") + F.expr("INTERVAL 1 SECOND")})
-    before, after = features(flows, version, short, long), features(flows.unionByName(future), version, short, long)
+    before, after = make(flows), make(flows.unionByName(future))
     return before.exceptAll(after)

@@ -25,6 +25,7 @@ CAUSAL_FEATURES = [
     "log_seconds_since_prior_source_flow", "seconds_since_prior_source_flow_missing",
 ]
 FEATURES = {"1.0.0": FLOW_FEATURES, "1.1.0": BEHAVIORAL_FEATURES, "1.2.0": CAUSAL_FEATURES}
+# Groups that an ablation leaves out.
 FEATURE_GROUPS = {
     "connection_rate": ["prior_source_connections_60s"],
     "destination_diversity": ["prior_unique_destinations_300s"],

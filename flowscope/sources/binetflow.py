@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import parsing as P
 from ..functions.ids import event_id
 from ..schemas import BINETFLOW_EVENTS, EVENT_VERSION
-from .lines import numbered_lines
+from .lines import numbered_lines, require_accepted
 
 # The header of the format.
 FIELDS = ["StartTime", "Dur", "Proto", "SrcAddr", "Sport", "Dir", "DstAddr", "Dport", "State", "sTos", "dTos", "TotPkts", "TotBytes", "SrcBytes", "Label"]
-MESSAGES = {"malformed_row": "row has the wrong number of fields or broken quotes", "bad_header": "header is not that of the format", "duplicate_source_record": "row repeats an earlier row", "invalid_record": "a field is missing or out of range"}
+MESSAGES = {"invalid_encoding": "row is not UTF-8", "malformed_row": "row has the wrong number of fields or broken quotes", "bad_header": "header is not that of the format", "duplicate_source_record": "row repeats an earlier row", "invalid_record": "a field is missing or out of range"}
 #: One field: quoted text with doubled quotes, or text that does not begin with a quote.
 _FIELD = r',("(?:[^"]|"")*"[^,]*|[^,"][^,]*|)'
 
@@ -28,19 +28,22 @@ def classify(lines: DataFrame) -> DataFrame:
     """Lines of files with fields, missing counts and issue; blank lines are skipped, headers checked by file."""
     rows = lines.where(P.strip(F.col("value")) != "")
     head = rows.where("line_no = 1").select("file", (F.transform(F.split("value", ","), P.strip) == F.array(*[F.lit(f) for f in FIELDS])).alias("good"))
-    rows = rows.join(F.broadcast(head), "file", "left").withColumn("good", F.coalesce("good", F.lit(False))).where("NOT (line_no = 1)")
+    rows = rows.join(head, "file", "left").withColumn("good", F.coalesce("good", F.lit(False))).where("NOT (line_no = 1)")
     rows = rows.withColumn("f", split_csv(F.col("value")))
-    rows = rows.withColumn("shape", F.when(~F.col("good"), "bad_header").when(F.col("f").isNull() | (F.size("f") != len(FIELDS)), "malformed_row"))
+    rows = rows.withColumn("shape", F.when(~F.col("good"), "bad_header").when(~F.col("decoded"), "invalid_encoding").when(F.col("f").isNull() | (F.size("f") != len(FIELDS)), "malformed_row"))
     shaped = F.col("shape").isNull()
     field = lambda i: F.when(shaped, P.clean(F.get("f", F.lit(i)), P.FLOW_MISSING))
-    rows = rows.select("file", "line_no", "shape", *[field(i).alias(name) for i, name in enumerate(FIELDS)], F.sha2(F.array_join(F.transform("f", P.strip), "\x1f"), 256).alias("print"))
-    again = F.row_number().over(Window.partitionBy("file", "print", F.col("shape").isNull()).orderBy("line_no")) > 1
-    return rows.withColumn("again", again & F.col("shape").isNull())
+    rows = rows.select("file", "line_no", "shape", *[field(i).alias(name) for i, name in enumerate(FIELDS)], F.when(shaped, F.sha2(F.array_join(F.transform("f", P.strip), "\x1f"), 256)).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string"))).alias("print"))
+    # a broken line has a print of its own
+    return rows.withColumn("again", F.row_number().over(Window.partitionBy("file", "print").orderBy("line_no")) > 1)
 
 
-def parse(spark: SparkSession, path: str | list[str], scenario: Column | str, ingested_at: str, dataset: str = "flows", version: str = "1", zone: str = "Europe/Prague", adapter: str = "binetflow", transformation: str = "1.0.0") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accepted events, issues (file, line_no, issue_type, message), and classified rows for counts."""
-    lines = numbered_lines(spark, path)
+def parse(spark: SparkSession, path: str | list[str], scenario: Column | str, ingested_at: str, dataset: str = "flows", version: str = "1", zone: str = "Europe/Prague", adapter: str = "binetflow", transformation: str = "1.0.0", strict_text: bool = False, fail_on_rejects: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted events, issues (file, line_no, issue_type, message), and classified rows for counts.
+
+    With ``strict_text`` a file that is not UTF-8 fails the job; with ``fail_on_rejects`` any issue does.
+    """
+    lines = numbered_lines(spark, path, strict_text)
     rows = classify(lines)
     number = {"src_port": P.to_port(F.col("Sport")), "dst_port": P.to_port(F.col("Dport")), "orig_bytes": P.to_int(F.col("SrcBytes")), "network_bytes": P.to_int(F.col("TotBytes")), "packet_count": P.to_int(F.col("TotPkts")), "source_tos": P.to_int(F.col("sTos")), "destination_tos": P.to_int(F.col("dTos")), "session_duration_seconds": P.to_float(F.col("Dur"))}
     raw = {"src_port": "Sport", "dst_port": "Dport", "orig_bytes": "SrcBytes", "network_bytes": "TotBytes", "packet_count": "TotPkts", "source_tos": "sTos", "destination_tos": "dTos", "session_duration_seconds": "Dur"}
@@ -69,7 +72,7 @@ def parse(spark: SparkSession, path: str | list[str], scenario: Column | str, in
     issues = rows.where("issue_type IS NOT NULL").select("file", "line_no", "issue_type")
     heads = lines.where("line_no = 1").where(~F.coalesce(F.transform(F.split("value", ","), P.strip) == F.array(*[F.lit(f) for f in FIELDS]), F.lit(False))).select("file", "line_no", F.lit("bad_header").alias("issue_type"))
     issues = issues.unionByName(heads).withColumn("message", text_of[F.col("issue_type")])
-    return events, issues, rows
+    return events, require_accepted(issues) if fail_on_rejects else issues, rows
 
 
 def conform(rows: DataFrame, schema: str) -> DataFrame:

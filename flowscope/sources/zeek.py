@@ -8,9 +8,9 @@ from ..functions import parsing as P
 from ..functions.ids import event_id
 from ..schemas import EVENT_VERSION, ZEEK_EVENTS
 from .binetflow import conform
-from .lines import numbered_lines
+from .lines import numbered_lines, require_accepted
 
-MESSAGES = {"malformed_row": "row has the wrong number of fields", "missing_fields": "no field names stand before the row", "invalid_record": "a field is missing or out of range", "duplicate_source_record": "row repeats an earlier record"}
+MESSAGES = {"invalid_encoding": "row is not UTF-8", "malformed_row": "row has the wrong number of fields", "missing_fields": "no field names stand before the row", "invalid_record": "a field is missing or out of range", "duplicate_source_record": "row repeats an earlier record"}
 _COUNTS = ["orig_bytes", "resp_bytes", "missed_bytes", "orig_pkts", "resp_pkts"]
 
 
@@ -27,16 +27,17 @@ def directives(lines: DataFrame) -> DataFrame:
     return d.select("file", "line_no", "sep", F.last(fields, ignorenulls=True).over(w).alias("fields"), F.coalesce(F.lead("line_no").over(w), F.lit(2**62)).alias("until"))
 
 
-def parse(spark: SparkSession, path: str | list[str], scenario: str | None, ingested_at: str, dataset: str = "zeek", version: str = "1", transformation: str = "1.0.0") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accepted events, issues, classified rows."""
-    lines = numbered_lines(spark, path)
+def parse(spark: SparkSession, path: str | list[str], scenario: str | None, ingested_at: str, dataset: str = "zeek", version: str = "1", transformation: str = "1.0.0", strict_text: bool = False, fail_on_rejects: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted events, issues, classified rows. With ``strict_text`` a file that is not UTF-8 fails the job; with ``fail_on_rejects`` any issue does."""
+    lines = numbered_lines(spark, path, strict_text)
     ruled = directives(lines).select(F.col("file").alias("of"), F.col("line_no").alias("since"), "until", "sep", "fields")  # a few rows a file
     body = lines.where(~F.col("value").startswith("#") & (P.strip(F.col("value")) != ""))
-    rows = body.join(F.broadcast(ruled), (F.col("file") == F.col("of")) & (F.col("line_no") > F.col("since")) & (F.col("line_no") < F.col("until")), "left").drop("of", "since", "until")
+    rows = body.join(ruled, (F.col("file") == F.col("of")) & (F.col("line_no") > F.col("since")) & (F.col("line_no") < F.col("until")), "left").drop("of", "since", "until")
     values = F.split("value", F.concat(F.lit("\\Q"), F.coalesce("sep", F.lit("\t")), F.lit("\\E")), -1)
-    rows = rows.withColumn("v", values).withColumn("shape", F.when(F.col("fields").isNull(), "missing_fields").when(F.size("fields") != F.size("v"), "malformed_row"))
-    rows = rows.withColumn("m", F.when(F.col("shape").isNull(), F.map_from_arrays("fields", "v")))
-    get = lambda name: P.clean(F.col("m")[name], P.ZEEK_MISSING, stripped=False)
+    rows = rows.withColumn("v", values).withColumn("shape", F.when(~F.col("decoded"), "invalid_encoding").when(F.col("fields").isNull(), "missing_fields").when(F.size("fields") != F.size("v"), "malformed_row"))
+    # the last column of a name counts, where a name is repeated; position 0 (no such column) gives null
+    place = lambda name: F.size("fields") - F.nullif(F.array_position(F.reverse("fields"), name), F.lit(0)).cast("int")
+    get = lambda name: P.clean(F.when(F.col("shape").isNull(), F.get("v", place(name))), P.ZEEK_MISSING, stripped=False)
     rows = rows.withColumns({f"raw_{n}": get(n) for n in ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "conn_state", "history", "tunnel_parents", "label", "detailed-label", *_COUNTS]} )
     r = lambda n: F.col(f"`raw_{n}`")
     rows = rows.withColumns(
@@ -74,4 +75,10 @@ def parse(spark: SparkSession, path: str | list[str], scenario: str | None, inge
     none = lines.select("file").distinct().join(ruled.where("fields IS NOT NULL").select(F.col("of").alias("file")).distinct(), "file", "left_anti").select("file", F.lit(1).cast("long").alias("line_no"), F.lit("missing_fields").alias("issue_type"))
     text_of = F.create_map(*[x for k, v in MESSAGES.items() for x in (F.lit(k), F.lit(v))])
     issues = rows.where("issue_type IS NOT NULL").select("file", "line_no", "issue_type").unionByName(none).withColumn("message", text_of[F.col("issue_type")])
-    return events, issues, rows
+    return events, require_accepted(issues) if fail_on_rejects else issues, rows
+
+
+def source_labels(rows: DataFrame) -> DataFrame:
+    """Accepted rows of each label that the source gives: the detailed one, else the plain one."""
+    label = F.coalesce("`raw_detailed-label`", "raw_label")
+    return rows.where("issue_type IS NULL").where(label.isNotNull()).groupBy(label.alias("source_label")).agg(F.count("*").alias("n"))

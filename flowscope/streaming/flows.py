@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.flow_features import asymmetry
 from ..operators import rules
+from ..operators.windows import _prepared
 
 
 def detect(stream: DataFrame, own_rules: list[rules.Rule] | None = None) -> DataFrame:
@@ -23,22 +27,57 @@ def first_occurrences(stream: DataFrame, columns: list[str], time: str = "observ
     return stream.withWatermark(time, delay).withColumn("fingerprint", mark).dropDuplicatesWithinWatermark(["fingerprint"]).drop("fingerprint")
 
 
-PRIOR = "event_id long, scenario_id string, prior_connections_short long, prior_connections_long long, prior_destinations_short long, prior_destinations_long long, prior_ports_long long, prior_protocols_long long, prior_brief_long long, prior_bytes_long long, seconds_since_prior double"
+def prior_columns(short: int = 60, long: int = 300) -> list[str]:
+    """The feature columns, named and ordered as ``windows.prior_features`` has them."""
+    s, l = f"{short}s", f"{long}s"  # noqa: E741
+    return [
+        f"prior_source_connections_{s}", f"prior_unique_destinations_{l}", f"prior_unique_destination_ports_{l}", "source_traffic_asymmetry", "source_traffic_asymmetry_missing",
+        f"prior_repeated_short_connections_{l}", f"prior_source_connections_{l}", f"prior_unique_destinations_{s}", f"prior_unique_destination_ports_{s}", f"prior_unique_protocols_{l}",
+        f"prior_destination_reuse_{l}", f"prior_destination_port_reuse_{l}", f"prior_short_connections_{s}", f"log_prior_total_bytes_{l}", f"prior_total_bytes_{l}_missing",
+        f"log_prior_packet_count_{l}", f"prior_packet_count_{l}_missing", "log_seconds_since_prior_source_flow", "seconds_since_prior_source_flow_missing",
+    ]
+
+
+class Window:
+    """Counts of the flows of one window; flows enter at its end and leave at its start, each once."""
+
+    def __init__(self) -> None:
+        self.flows = self.brief = self.bytes = self.bytes_seen = self.packets = self.packets_seen = 0
+        self.destinations, self.ports, self.protocols = Counter(), Counter(), Counter()
+
+    def move(self, row: tuple, sign: int) -> None:
+        _, _, _, destination, port, protocol, brief, size, packets, _, _ = row
+        self.flows += sign
+        self.brief += sign * brief
+        for held, value in ((self.destinations, destination), (self.ports, port), (self.protocols, protocol)):
+            if value is not None:
+                held[value] += sign
+                if not held[value]:
+                    del held[value]
+        if size is not None:
+            self.bytes, self.bytes_seen = self.bytes + sign * size, self.bytes_seen + sign
+        if packets is not None:
+            self.packets, self.packets_seen = self.packets + sign * packets, self.packets_seen + sign
+
+
 _STATE = "waiting binary, recent binary, last long"
 
 
 def prior_features(stream: DataFrame, short: int = 60, long: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """Prior-window counts of each flow, released in (observed_at, id) order once the watermark has passed it.
+    """event_id, scenario_id and all prior features of each flow, released in (observed_at, id) order once the watermark has passed it.
 
-    State of a (scenario, host): flows that wait, flows of the last window, and the last time seen. Rows that come later than the
-    watermark are dropped by the engine and counted in its metrics.
+    State of a (scenario, host): flows that wait, flows of the last window, and the last time seen. A flow enters and leaves
+    a window once, so the work is in proportion to the flows. Rows that come later than the watermark are dropped by the engine
+    and counted in its metrics. Ids may be numbers or text.
     """
     w_short, w_long = short * 1_000_000, long * 1_000_000
-    host = F.coalesce("source_src_address", F.concat(F.lit("missing:"), F.col("event_id").cast("string")))
-    rows = stream.withWatermark("observed_at", delay).select(
-        "event_id", "scenario_id", host.alias("host"), "observed_at", F.unix_micros("observed_at").alias("us"), F.coalesce("source_dst_address", F.lit("missing:")).alias("dst"), "dst_port",
-        F.coalesce(F.lower("protocol"), F.lit("missing:")).alias("proto"), F.coalesce((F.col("session_duration_seconds") <= 1.0).cast("int"), F.lit(0)).alias("brief"), "network_bytes",
+    share, unknown = asymmetry()
+    rows = _prepared(stream.withWatermark("observed_at", delay)).select(
+        "event_id", "scenario_id", F.col("_host").alias("host"), "observed_at", F.col("_us").alias("us"), F.col("_id").alias("id"), F.col("_dst").alias("dst"), "dst_port",
+        F.col("_proto").alias("proto"), F.col("_brief").alias("brief"), "network_bytes", "packet_count", share.alias("share"), unknown.alias("unknown"),
     )
+    names = prior_columns(short, long)
+    schema = f"event_id {dict(stream.dtypes)['event_id']}, scenario_id string, " + ", ".join(f"{c} double" for c in names)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, recent, last = [], [], -1
@@ -47,20 +86,36 @@ def prior_features(stream: DataFrame, short: int = 60, long: int = 300, delay: s
             waiting, recent = pickle.loads(bytes(a)), pickle.loads(bytes(b))
         for pdf in batches:
             pdf = pdf.astype(object).where(pdf.notna(), None)
-            waiting += list(zip(pdf["us"], map(str, pdf["event_id"]), pdf["event_id"], pdf["dst"], pdf["dst_port"], pdf["proto"], pdf["brief"], pdf["network_bytes"], strict=True))
+            waiting += list(zip(*(pdf[c] for c in ("us", "id", "event_id", "dst", "dst_port", "proto", "brief", "network_bytes", "packet_count", "share", "unknown")), strict=True))
         mark = state.getCurrentWatermarkMs() * 1000
         waiting.sort(key=lambda r: r[:2])
-        out = []
-        while waiting and waiting[0][0] < mark:
-            r = waiting.pop(0)
-            recent = [x for x in recent if x[0] > r[0] - w_long]
-            near = [x for x in recent if x[0] > r[0] - w_short]
-            out.append((r[2], key[0], len(near), len(recent), len({x[3] for x in near}), len({x[3] for x in recent}), len({x[4] for x in recent if x[4] is not None}), len({x[5] for x in recent}), sum(x[6] for x in recent), sum(x[7] or 0 for x in recent), (r[0] - last) / 1e6 if last >= 0 else None))
-            recent.append(r)
+        count = sum(r[0] < mark for r in waiting)
+        flows, out = recent + waiting[:count], []
+        near, wide = Window(), Window()
+        for r in recent:
+            near.move(r, 1)
+            wide.move(r, 1)
+        first = {id(near): 0, id(wide): 0}
+        for r in waiting[:count]:
+            for window, width in ((near, w_short), (wide, w_long)):
+                k = first[id(window)]
+                while k < len(flows) and flows[k][0] <= r[0] - width:
+                    window.move(flows[k], -1)
+                    k += 1
+                first[id(window)] = k
+            log = lambda x: math.log1p(x)
+            out.append((
+                r[2], key[0], near.flows, len(wide.destinations), len(wide.ports), r[9], r[10], wide.brief, wide.flows, len(near.destinations), len(near.ports), len(wide.protocols),
+                wide.destinations[r[3]], wide.ports[r[4]] if r[4] is not None else 0, near.brief, log(wide.bytes), float(not wide.bytes_seen), log(wide.packets), float(not wide.packets_seen),
+                log((r[0] - last) / 1e6) if last >= 0 else 0.0, float(last < 0),
+            ))
+            near.move(r, 1)
+            wide.move(r, 1)
             last = r[0]
+        waiting, recent = waiting[count:], [r for r in flows if r[0] > mark - w_long]
         state.update((pickle.dumps(waiting), pickle.dumps(recent), int(last)))
         if waiting:
             state.setTimeoutTimestamp(max(int(waiting[0][0] // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PRIOR.split(", ")])
+        yield pd.DataFrame(out, columns=["event_id", "scenario_id", *names]).astype(dict.fromkeys(names, float))
 
-    return rows.groupBy("scenario_id", "host").applyInPandasWithState(step, PRIOR, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("scenario_id", "host").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,3 +1,4 @@
+import pytest
 from flowscope.operators import rules, windows
 from flowscope.plans.flows import flows_from_events
 from flowscope.streaming import flows as S
@@ -25,4 +26,19 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {r.event_id: r for r in run(spark, S.prior_features(stream, 86400, 604800), "prior").collect() if r.event_id >= 0}
     want = {r.event_id: r for r in windows.prior_features(df, 86400, 604800).collect()}
     assert set(got) == set(want)
-    assert all(got[k].prior_connections_long == want[k].prior_source_connections_604800s and got[k].prior_destinations_short == want[k].prior_unique_destinations_86400s for k in want)
+    for column in S.prior_columns(86400, 604800):
+        assert all(got[k][column] == pytest.approx(want[k][column]) for k in want), column
+
+
+def test_stream_of_text_ids_with_ties(spark, tmp_path):
+    """Ids as both sources make them, several flows at one time, short windows, and a host without an address."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    df = flows_from_events(events, ties=True).drop("k").withColumns({"event_id": F.sha1(F.col("event_id").cast("string")), "observed_at": F.col("observed_at").cast("timestamp")})
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    df.limit(1).withColumns({"observed_at": F.expr("timestamp'2030-01-01'"), "event_id": F.lit("last")}).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r.event_id: r for r in run(spark, S.prior_features(stream, 7200, 86400), "ties").collect() if r.event_id != "last"}
+    want = {r.event_id: r for r in windows.prior_features(df, 7200, 86400).collect()}
+    assert set(got) == set(want)
+    for column in S.prior_columns(7200, 86400):
+        assert all(got[k][column] == pytest.approx(want[k][column]) for k in want), column
