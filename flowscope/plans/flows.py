@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PORTS = [80, 443, 8080, 53, 22, 6667, 5000]
 PROTOCOLS = ["tcp", "udp", "ICMP", "arp"]
 DIRECTIONS = ["->", "<-", "<->", "<?>"]
+STATES = ["CON", "S_RA", "FSPA_FSPA", "INT"]
 MULTIPLIERS = {"a": 37, "b": 53, "c": 71}
 
 
@@ -23,11 +24,11 @@ def flows_from_events(events: DataFrame, ties: bool = False) -> DataFrame:
         (F.date_trunc("hour", "ts") if ties else F.col("ts")).alias("observed_at"),
         but(97, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("source_src_address"),
         but(31, F.concat(F.lit("d"), (k % 20).cast("string"))).alias("source_dst_address"),
-        F.lit(None).cast("long").alias("src_port"),
+        but(11, (k * 379) % 60000).cast("long").alias("src_port"),
         but(13, pick(PORTS, k % 7)).cast("long").alias("dst_port"),
         but(29, pick(PROTOCOLS, e % 4)).alias("protocol"),
         but(37, pick(DIRECTIONS, k % 4)).alias("flow_direction"),
-        F.lit(None).cast("string").alias("connection_state"),
+        but(43, pick(STATES, e % 4)).alias("connection_state"),
         bytes_.alias("network_bytes"),
         but(19, F.floor(bytes_ / 3)).alias("orig_bytes"),
         but(23, F.col("value").cast("long")).alias("packet_count"),
@@ -57,11 +58,11 @@ flows AS (
     {at} AS observed_at, epoch_us({at}) AS us,
     CASE WHEN event_id % 97 <> 0 THEN 'u' || user_id END AS source_src_address,
     CASE WHEN event_id % 31 <> 0 THEN 'd' || (k % 20) END AS source_dst_address,
-    CAST(NULL AS BIGINT) AS src_port,
+    CASE WHEN event_id % 11 <> 0 THEN CAST((k * 379) % 60000 AS BIGINT) END AS src_port,
     CASE WHEN event_id % 13 <> 0 THEN CAST([80, 443, 8080, 53, 22, 6667, 5000][k % 7 + 1] AS BIGINT) END AS dst_port,
     CASE WHEN event_id % 29 <> 0 THEN ['tcp', 'udp', 'ICMP', 'arp'][event_id % 4 + 1] END AS protocol,
     CASE WHEN event_id % 37 <> 0 THEN ['->', '<-', '<->', '<?>'][k % 4 + 1] END AS flow_direction,
-    CAST(NULL AS VARCHAR) AS connection_state,
+    CASE WHEN event_id % 43 <> 0 THEN ['CON', 'S_RA', 'FSPA_FSPA', 'INT'][event_id % 4 + 1] END AS connection_state,
     CASE WHEN event_id % 17 <> 0 THEN CAST(trunc(value * 100000) AS BIGINT) END AS network_bytes,
     CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 THEN CAST(trunc(value * 100000) AS BIGINT) // 3 END AS orig_bytes,
     CASE WHEN event_id % 23 <> 0 THEN CAST(trunc(value) AS BIGINT) END AS packet_count,

@@ -48,10 +48,9 @@ def rule_flags(spark, sf):
     return rules.flags(flows(spark, sf))
 
 
-@query("rule_flags_from_features", f"WITH {F0} SELECT event_id, flag, CASE WHEN flag THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT event_id, coalesce(network_bytes > 10000000 OR (session_duration_seconds >= 300 AND network_bytes > 1000000), false) OR coalesce(lower(protocol) = 'icmp' AND packet_count >= 100, false) AS flag FROM flows WHERE coalesce(network_bytes, 0) NOT IN (10000000, 1000000))")
+@query("rule_flags_from_features", f"WITH {F0} SELECT event_id, flag, CASE WHEN flag THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT event_id, coalesce(network_bytes >= 10000000 OR (session_duration_seconds >= 300 AND network_bytes >= 1000000), false) OR coalesce(lower(protocol) = 'icmp' AND packet_count >= 100, false) AS flag FROM flows)")
 def rule_flags_from_features(spark, sf):
-    rows = flows(spark, sf).where(~F.coalesce("network_bytes", F.lit(0)).isin(10_000_000, 1_000_000))  # at a limit the logarithm decides
-    return rules.flags_from_features(with_flow_features(rows))
+    return rules.flags_from_features(with_flow_features(flows(spark, sf)))
 
 
 def _flag(c: str) -> str:

@@ -106,8 +106,11 @@ def spreads(events: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def render(flows: DataFrame) -> DataFrame:
-    """Flows as lines of the format, with the line number that each is to have."""
-    t = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    """Flows as lines of the format, by event_id; texts with commas or quotes are quoted."""
+    def t(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit("-"))
+        return F.when(text.rlike('[,"]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
     label = F.when(F.col("ground_truth_label") == "malicious", "flow=From-Botnet-1").when(F.col("ground_truth_label") == "benign", "flow=From-Normal-1").otherwise("flow=Background")
     cells = [F.date_format("observed_at", "yyyy/MM/dd HH:mm:ss.SSSSSS"), t("session_duration_seconds"), t("protocol"), t("source_src_address"), t("src_port"), t("flow_direction"), t("source_dst_address"), t("dst_port"), t("connection_state"), F.lit("0"), F.lit("-"), t("packet_count"), t("network_bytes"), t("orig_bytes"), label]
     return flows.select("event_id", F.concat_ws(",", *cells).alias("value"))

@@ -64,7 +64,9 @@ def canonical_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame,
     details = {c: t for c, t in wanted.items() if c not in outside} | {"flow_direction": "string", "source_src_address": "string", "source_dst_address": "string", "source_label": "string", "source_tos": "long", "destination_tos": "long"}
     flat = [c for c in _TOP if c not in ("source", "details", "provenance")]
     schema = f"{', '.join(f'{c} string' for c in flat)}, source struct<{source}>, details struct<{', '.join(f'{c}: {t}' for c, t in details.items())}>, provenance struct<adapter_name: string, adapter_version: string, transformation_version: string, quality_flags: string>"
-    raw = lines.select(F.col(value).alias("_value"), F.from_json(value, schema).alias("_r"), F.map_keys(F.from_json(value, "map<string, string>")).alias("_keys"))
+    # exploded, so that a record is parsed once and not for every column taken from it
+    parsed = F.struct(F.from_json(value, schema).alias("_r"), F.map_keys(F.from_json(value, "map<string, string>")).alias("_keys"))
+    raw = lines.select(F.col(value).alias("_value"), F.explode(F.array(parsed)).alias("_p")).select("_value", "_p.*")
     zone = r"(Z|[+-]\d{2}:?\d{2})$"
     rows = raw.select(
         "_value", "_keys", *[F.col(f"_r.{c}").alias(f"_{c}" if c == "event_id" or c.endswith("_at") else c) for c in flat], "_r.source.*", "_r.details.*", "_r.provenance.*",

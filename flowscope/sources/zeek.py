@@ -78,6 +78,18 @@ def parse(spark: SparkSession, path: str | list[str], scenario: str | None, inge
     return events, require_accepted(issues) if fail_on_rejects else issues, rows
 
 
+def render(flows: DataFrame, fields: list[str]) -> DataFrame:
+    """Flows as tab-separated lines of ``fields``, by event_id."""
+    t = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    known = F.col("ground_truth_label")
+    cells = {
+        "ts": F.format_string("%.6f", F.unix_micros(F.col("observed_at").cast("timestamp")) / 1e6), "uid": F.concat(F.lit("C"), F.col("event_id").cast("string")), "id.orig_p": t("src_port"), "id.resp_p": t("dst_port"), "proto": t("protocol"),
+        "duration": t("session_duration_seconds"), "orig_bytes": t("orig_bytes"), "resp_bytes": t("network_bytes"), "orig_pkts": t("packet_count"), "conn_state": t("connection_state"),
+        "label": F.when(known == "malicious", "Malicious").when(known == "benign", "Benign").otherwise("-"), "detailed-label": F.when(known == "malicious", "C&C").otherwise("-"),
+    }
+    return flows.select("event_id", F.concat_ws("\t", *[cells.get(f, F.lit("-")) for f in fields]).alias("value"))
+
+
 def source_labels(rows: DataFrame) -> DataFrame:
     """Accepted rows of each label that the source gives: the detailed one, else the plain one."""
     label = F.coalesce("`raw_detailed-label`", "raw_label")
