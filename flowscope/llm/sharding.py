@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .store import staged
 
 SHARDS = 16
-#: Ranges that the splitters make, and keys drawn to choose them (expected number).
-RANGES = 512
-DRAWS = 16_384
+#: Ranges that the splitters make: one for each so many bytes, within these bounds; and keys drawn for each range (expected number).
+RANGE_BYTES = 256_000_000
+RANGES = 512, 8192
+DRAWS = 32
 #: A range of more than so many times its share is subdivided into so many.
 OVERFULL = 2
 SUBRANGES = 16
@@ -39,7 +40,7 @@ def _uniform(*cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("draw"), *cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", ranges: int = RANGES, draws: int = DRAWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None, draws: int = DRAWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     body = F.coalesce(F.col(text), F.lit(""))
     records = staged(
@@ -53,8 +54,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     )
     total = records.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
 
+    ranges = ranges or min(max(RANGES[0], total // RANGE_BYTES), RANGES[1])
     # keys drawn in proportion to size; a record above the drawing step is drawn several times
-    drawn = records.withColumn("copies", F.floor(F.col("size") * (draws / max(total, 1)) + _uniform("doc_id", "text_crc32"))).where("copies > 0")
+    drawn = records.withColumn("copies", F.floor(F.col("size") * (draws * ranges / max(total, 1)) + _uniform("doc_id", "text_crc32"))).where("copies > 0")
     fractions = [i / ranges for i in range(1, ranges)]
     quantiles = drawn.agg(F.percentile("key", fractions, F.col("copies")).alias("q")).first()["q"] or []
     splitters = sorted({int(q) for q in quantiles})
