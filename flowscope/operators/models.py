@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import contracts
 
 SEED = 42
+#: Numbers of a part of a training pool; a fit passes over the pool many times.
+PART_VALUES = 4_000_000
 BAD = "malicious"
 
 
@@ -58,7 +60,7 @@ def make(model: str, weight_sum: float = 1.0, c: float = 1.0, trees: int = 200,
     if model == "decision_tree":
         return DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=20, seed=SEED, **at)
     if model == "random_forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **at)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, seed=SEED, **at)
     if model == "gradient_boosting":
         return GBTClassifier(maxIter=iterations, stepSize=0.1, maxDepth=5, maxBins=255, seed=SEED, **at)
     if model == "linear_svm":
@@ -83,7 +85,10 @@ def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: st
     if model in ("logistic_regression", "linear_svm"):
         rows, pool = standardise(rows, names, pool), standardise(pool, names)
     weights = balanced_weights(pool) if balanced else pool.select("ground_truth_label", F.lit(1.0).alias("weight")).distinct()
-    pool = _assembled(pool.join(F.broadcast(weights), "ground_truth_label"), names).select("x", target().alias("y"), F.col("weight").alias("w")).cache()
+    pool = _assembled(pool.join(F.broadcast(weights), "ground_truth_label"), names).select("x", target().alias("y"), F.col("weight").alias("w"))
+    # a fit passes over the pool many times: parts for all cores, and of a bounded size
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    pool = pool.repartition(max(cores, -(-pool.count() * len(names) // PART_VALUES))).cache()
     total = pool.agg(F.sum("w").alias("t")).first()["t"] or 1.0
     began = time.perf_counter()
     fitted = make(model, weight_sum=total, **options).fit(pool)

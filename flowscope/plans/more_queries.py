@@ -155,24 +155,24 @@ def _model(name: str, model: str, **options):
 
 _model("logistic_scores", "logistic_regression")
 _model("tree_scores", "decision_tree")
-_model("forest_scores", "random_forest", trees=20, depth=6)
-_model("boosted_scores", "gradient_boosting", iterations=5)
+_model("forest_scores", "random_forest")
+_model("boosted_scores", "gradient_boosting")
 _model("svm_scores", "linear_svm")
 
 
 @query("extra_tree_scores")
 def extra_tree_scores(spark, sf):
-    return models.extra_trees(*_pools(spark, sf), FLOW_FEATURES, trees=10, depth=4)
+    return models.extra_trees(*_pools(spark, sf), FLOW_FEATURES)
 
 
 @query("isolation_scores")
 def isolation_scores(spark, sf):
-    return models.isolation_forest(*_pools(spark, sf), FLOW_FEATURES, trees=25)
+    return models.isolation_forest(*_pools(spark, sf), FLOW_FEATURES)
 
 
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
-    return models.calibrated(*_pools(spark, sf), FLOW_FEATURES, "random_forest", trees=5, depth=4)
+    return models.calibrated(*_pools(spark, sf), FLOW_FEATURES, "random_forest")
 
 
 @query("ablation")
@@ -191,25 +191,25 @@ def comparison_grid(spark, sf):
 @query("stability_points")
 def stability_points(spark, sf):
     train, rows = _pools(spark, sf)
-    return studies.stability(train, rows, FLOW_FEATURES, {"tree": {"model": "decision_tree"}, "forest": {"model": "random_forest", "trees": 5, "depth": 4}}, floor=0.3)["operating_points"]
+    return studies.stability(train, rows, FLOW_FEATURES, {"tree": {"model": "decision_tree"}, "forest": {"model": "random_forest"}}, floor=0.3)["operating_points"]
 
 
 @query("detector_status")
 def detector_status(spark, sf):
     train, rows = _pools(spark, sf)
-    return studies.detector_scores(train, rows, FLOW_FEATURES, {"tree": {"model": "decision_tree"}, "none": {"model": "no such model"}})[1].drop("fit_seconds")
+    return studies.detector_scores(train, rows, FLOW_FEATURES, {"tree": {"model": "decision_tree"}, "none": {"model": "no such model"}})[1].drop("fit_seconds", "message")
 
 
 @query("benchmark_metrics")
 def benchmark_metrics(spark, sf):
     train, rows = _pools(spark, sf)
-    return studies.benchmark(train, rows, FLOW_FEATURES, {"tree": {"model": "decision_tree"}, "isolation": {"model": "isolation_forest", "trees": 10}}, rules.flags(flows(spark, sf)))["metrics"]
+    return studies.benchmark(train, rows, FLOW_FEATURES, {"tree": {"model": "decision_tree"}, "isolation": {"model": "isolation_forest"}}, rules.flags(flows(spark, sf)))["metrics"]
 
 
 @query("hardening_calibration")
 def hardening_calibration(spark, sf):
     train, rows = _pools(spark, sf)
-    return studies.hardening(train, rows, FLOW_FEATURES, {"model": "random_forest", "trees": 5, "depth": 4}, groups={})["calibration"]
+    return studies.hardening(train, rows, FLOW_FEATURES, {"model": "random_forest"}, groups={})["calibration"]
 
 
 @query("representation_deltas")
