@@ -230,3 +230,19 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(f"{report}.items", ","), 256).alias("items_sha256"),
         (hits > 0).alias("contaminated"),
     )
+
+
+DIGEST_SQL = r"""
+WITH low AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+known AS (SELECT DISTINCT id, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+windows AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, (SELECT DISTINCT n FROM known) WHERE len(w) >= n)),
+hits AS (SELECT r, n, i, id FROM windows JOIN known USING (n, k)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r),
+owned AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN covered USING (r) LEFT JOIN owned USING (r)
+"""

@@ -266,3 +266,18 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", te
 def digest(docs: DataFrame) -> DataFrame:
     """Three-word shingles, similarity 0.85."""
     return groups(docs, Rule(words=3, percent=85))
+
+
+#: By an exact join of shingles; for tables of a few thousand documents.
+DIGEST_SQL = r"""
+WITH RECURSIVE low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM low WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (k) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM low UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+least_ AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT low.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, low.doc_id = component_id AS kept FROM low LEFT JOIN n USING (doc_id) JOIN least_ USING (doc_id)
+"""

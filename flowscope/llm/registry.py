@@ -28,4 +28,10 @@ QUERIES = {
     "op9_sampled_shards": _on(sharding.digest, "documents"),
     "op10_minhash_near_dedup": _on(near_dedup.digest, "documents"),
 }
-SQL = {"op6_chat_perspectives": chat.DIGEST_SQL, "op7_pivot_top_k": topk.DIGEST_SQL}
+SQL = {
+    "op1_decontamination": decontaminate.DIGEST_SQL,
+    "op3_warc_index_merge": warc.DIGEST_SQL,
+    "op10_minhash_near_dedup": near_dedup.DIGEST_SQL,
+    "op6_chat_perspectives": chat.DIGEST_SQL,
+    "op7_pivot_top_k": topk.DIGEST_SQL,
+}

@@ -23,6 +23,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from itertools import accumulate
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -223,10 +224,31 @@ def capture_history(runs: DataFrame) -> DataFrame:
     return ranges.mapInArrow(merge, INDEX + ", part int, place long")
 
 
+def with_global_place(history: DataFrame) -> DataFrame:
+    """``history`` with its place among all entries, in place of part and place."""
+    # a row a part: as a local table its size is known, so that it is broadcast only while it is small
+    sizes = sorted(history.groupBy("part").count().collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    base = history.sparkSession.createDataFrame([(part, b) for (part, _), b in zip(sizes, before)], "part int, base long")
+    return history.join(base, "part").withColumn("place", F.col("base") + F.col("place")).drop("part", "base")
+
+
 def digest(pages: DataFrame) -> DataFrame:
     """Per page, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to; and its place in the history."""
     spark = pages.sparkSession
     path = new_path(spark, "archives")
     write_archives(pages, path)
-    history = capture_history(staged(capture_runs(spark, path), "captures"))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "part", "place")
+    history = with_global_place(staged(capture_history(staged(capture_runs(spark, path), "captures")), "history"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "place")
+
+
+DIGEST_SQL = r"""
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\x00-\x1f\x7f]', '', 'g') AS url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, octet_length(encode(html)) AS n, sha256(html) AS digest,
+        regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^@/?#]*@)?([^/?#]*)([^#]*)', 1) AS host,
+        regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^@/?#]*@)?([^/?#]*)([^#]*)', 2) AS path FROM p),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first, strftime(make_timestamp((1704067200 + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') AS stamp,
+        array_to_string(list_reverse(string_split(regexp_replace(lower(host), ':[0-9]+$', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, url_key, stamp AS timestamp, row_number() OVER (ORDER BY url_key, stamp, page_id) - 1 AS place FROM k
+"""

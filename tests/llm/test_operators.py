@@ -151,7 +151,8 @@ def test_warc(spark):
         again = len(p) >= 100 and first[h or ""] != i
         want[(i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first[h] if again else None)] += 1
     assert got == want
-    h = sorted(warc.digest(df).collect(), key=lambda r: (r.part, r.place))
+    h = sorted(warc.digest(df).collect(), key=lambda r: r.place)
+    assert [r.place for r in h] == list(range(len(pages)))
     assert [(r.url_key, r.timestamp, r.page_id) for r in h] == sorted((r.url_key, r.timestamp, r.page_id) for r in h)
     assert warc.digest(df.limit(0)).count() == 0
 
