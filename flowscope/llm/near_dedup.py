@@ -32,6 +32,8 @@ BINS = 192
 BITS = 2048
 #: Members of a bucket that meet as many others in one task.
 BLOCK = 512
+#: Rows (of two or three numbers) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 _KEY = ["doc_id", "h1", "h2"]
 _U = np.uint64
 
@@ -168,6 +170,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, stored, and broadcast while there are few, so that a large bucket that is joined with them stays where its rows are."""
+    rows = staged(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the group's smallest id), kept: one row for each row of ``docs``; equal rows are kept alike."""
     return _grouped(docs, rule, doc_id, text).drop("h1", "h2")
@@ -188,7 +196,8 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     def marked(labels: DataFrame) -> DataFrame:
         """Buckets whose members are in several components, with the members' components."""
         rows = members.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("band", "bucket", "id", "centre", F.coalesce("label", "id").alias("label"))
-        several = rows.groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("of")
+        rows = staged(rows, "bucket-labels")
+        several = _counted(rows.groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("of"), "several")
         return staged(rows.join(several, F.col("bucket") == F.col("of")).drop("of"), "mixed-buckets")
 
     # sets of the documents that share a bucket with another
@@ -209,7 +218,7 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
 
     # then the centres of buckets that are still in several components
     mixed = marked(labels)
-    centres = mixed.where("id = centre").select(F.col("bucket").alias("of"), F.col("label").alias("centre_label"))
+    centres = _counted(mixed.where("id = centre").select(F.col("bucket").alias("of"), F.col("label").alias("centre_label")), "centres")
     star = mixed.join(centres, F.col("bucket") == F.col("of")).where("label != centre_label").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     more = staged(near(star.join(tried, ["a", "b"], "left_anti")), "candidates")
     tried, linked = tried.union(more), staged(linked.union(_confirm(more, sets, rule)), "confirmed")
@@ -218,7 +227,7 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     # then pairs across the components of a bucket, but for those already tried; members of a large bucket meet in blocks
     mixed = marked(labels)
     held = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    most = held.groupBy(F.col("bucket").alias("of")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    most = _counted(held.groupBy(F.col("bucket").alias("of")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "largest")
     mixed = mixed.join(most, F.col("bucket") == F.col("of")).drop("of")
 
     def across(x: str, other: str) -> DataFrame:
