@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.flow_features import asymmetry, flow_features, log_or_zero
+from ..schemas import FEATURES
+from .contracts import guard_one_scenario
 
 SHORT_SECONDS = 1.0
 
@@ -112,10 +114,13 @@ def prior_features(flows: DataFrame, short: int = 60, long: int = 300, bucket: i
     return out.withColumns({k: v.cast("double") for k, v in features.items()}).select(*flows.columns, *features)
 
 
-def features(flows: DataFrame, version: str, short: int = 60, long: int = 300) -> DataFrame:
-    """Metadata and the features of a version: 1.0.0 (flow), 1.1.0 (behavioural) or 1.2.0 (causal)."""
-    from ..schemas import FEATURES
+def features(flows: DataFrame, version: str, short: int = 60, long: int = 300, one_scenario: bool = False) -> DataFrame:
+    """Metadata and the features of a version: 1.0.0 (flow), 1.1.0 (behavioural) or 1.2.0 (causal).
 
+    Scenarios never see each other's flows; with ``one_scenario``, flows of more than one are an error.
+    """
+    if one_scenario:
+        guard_one_scenario(flows)
     named = [c.replace("_60s", f"_{short}s").replace("_300s", f"_{long}s") for c in FEATURES[version]]
     rows = flows if version == "1.0.0" else prior_features(flows, short, long)
     meta = [c for c in ("event_id", "scenario_id", "source_event_id", "ground_truth_label") if c in flows.columns]

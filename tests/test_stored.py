@@ -149,6 +149,16 @@ def test_split_and_stored_studies(spark, flows, features, tmp_path):
     assert order == sorted(order) and len(order) == rows.count()
 
 
+def test_one_scenario(spark, flows):
+    with pytest.raises(ValueError, match="more than one scenario"):
+        windows.features(flows, "1.0.0", one_scenario=True)
+    assert windows.features(flows.where("scenario_id = 'cap-0'"), "1.0.0", one_scenario=True).count() > 0
+    assert contracts.guard_sealed_names(["cap-1", "/data/cap-10/x"], ["cap-2"])
+    for name in ("cap-2", "/data/cap-2/x.parquet", "data\\scenario_id=cap-2", "cap-2_behavioral.parquet"):
+        with pytest.raises(ValueError, match="sealed"):
+            contracts.guard_sealed_names([name], ["cap-2"])
+
+
 def test_empty_addresses_are_missing(spark, flows):
     rows = flows.limit(20).withColumns({"source_src_address": F.lit(""), "protocol": F.lit("")})
     out = windows.prior_features(rows.withColumn("observed_at", F.col("observed_at").cast("timestamp")))
