@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ids import event_id
 from ..operators import contracts, evaluate as E, models, rules, sinks, windows
-from ..schemas import BINETFLOW_EVENTS, FLOW_FEATURES
-from ..sources import lines, stored
+from ..schemas import BINETFLOW_EVENTS, FLOW_FEATURES, ZEEK_EVENTS
+from ..sources import binetflow, lines, stored
 from ..store import new_path
 from ..streaming import flows as S
 from .flows import flows, scores
-from .more_queries import _parsed
+from .more_queries import _LINES, _ZEEK_ROWS, _parsed, _zeek
 from .queries import _BEHAVIOUR, _CAUSAL, _FIRED, _FLOW_SQL, _LAST, DAY, F0, LIMITS, S0, WEEK, _flag, _prior_sql, query
 
 _SHOWN = ["duration_seconds", "log_total_bytes", "dst_port_http", "protocol_missing"]
@@ -160,6 +160,25 @@ def stored_events(spark, sf):
     return back.groupBy("scenario_id").agg(F.count("*").alias("n"), F.sum("network_bytes").alias("bytes"), F.lit(len(back.columns)).alias("columns"))
 
 
+@query("stored_zeek_events", f"{_ZEEK_ROWS} SELECT 'z' AS scenario_id, count(*) AS n, CAST(sum(dst_port) AS BIGINT) AS ports, 37 AS columns FROM c WHERE issue IS NULL")
+def stored_zeek_events(spark, sf):
+    """Parsed connection logs as stored Parquet by scenario, read back."""
+    path = new_path(spark, "zeek-events")
+    sinks.write_events(_zeek(spark, sf)[0], ZEEK_EVENTS, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("scenario_id").agg(F.count("*").alias("n"), F.sum("dst_port").alias("ports"), F.lit(len(back.columns)).alias("columns"))
+
+
+@query("quality_report", f"{_LINES} SELECT count(*) AS rows_seen, count(*) FILTER (issue IS NULL) AS accepted, count(*) FILTER (issue = 'duplicate_source_record') AS duplicates, count(*) FILTER (issue IS NOT NULL) AS rejected, 15 AS fields FROM c")
+def quality_report(spark, sf):
+    """The report of a parsed source, written as JSON lines and read back."""
+    path = new_path(spark, "quality")
+    events, issues, rows = _parsed(spark, sf)
+    sinks.write_quality(binetflow.quality(rows, issues), binetflow.missing_counts(rows), binetflow.distributions(events, ["protocol"]), binetflow.spreads(events, ["network_bytes"]), path)
+    fields = spark.read.json(f"{path}/missing").agg(F.count("*").cast("int").alias("fields"))
+    return spark.read.json(f"{path}/rows").select("rows_seen", "accepted", "duplicates", "rejected").crossJoin(fields)  # one row each
+
+
 @query("manifest", f"WITH {F0} SELECT count(*) AS record_count, count(*) FILTER (ground_truth_label = 'malicious') AS malicious, count(*) FILTER (ground_truth_label = 'benign') AS benign, epoch_us(min(observed_at)) AS start, epoch_us(max(observed_at)) AS stop, true AS digests FROM flows")
 def manifest(spark, sf):
     path = _written(spark, sf)
