@@ -148,7 +148,7 @@ _STATE = "block long, island int, sizes binary, bins binary, children int"
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """``items`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id, offset and children (crossovers on the best island of its block)."""
+    """``items`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id, offset and children (crossovers of its block, on the island that bred most)."""
     row, block = fresh("row", items.columns), fresh("block", items.columns)
     stored = staged(items.withColumn(row, F.monotonically_increasing_id()), "pieces")
     blocks = -(-stored.count() // block_items) or 1

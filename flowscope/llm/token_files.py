@@ -11,14 +11,13 @@ other in the order of a hash of their texts, then of the texts, and may lie in s
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .store import new_path
+from .store import after_parts, new_path
 from .subwords import IDS, default_path, encoded
 
 ENCODINGS = {
@@ -50,11 +49,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id"
 def read_places(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens; ids only when asked for."""
     files = spark.read.parquet(path)
-    # one row for each part written: as a local table its size is known, so that it is broadcast only while it is small
-    totals = sorted(files.groupBy("part").agg(F.sum("n_tokens").alias("total")).collect())
-    before = accumulate((t for _, t in totals), initial=0)
-    base = spark.createDataFrame([(part, b) for (part, _), b in zip(totals, before)], "part int, base long")
-    rows = files.join(base, "part")
+    rows = after_parts(files, "part", files.groupBy("part").agg(F.sum("n_tokens")), "base")
     return rows.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", *["ids"] * with_ids)
 
 

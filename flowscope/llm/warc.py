@@ -23,14 +23,13 @@ import gzip
 import hashlib
 import re
 import zlib
-from itertools import accumulate
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .store import new_path, staged
+from .store import after_parts, new_path, staged
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 32 << 20
@@ -226,11 +225,7 @@ def capture_history(runs: DataFrame) -> DataFrame:
 
 def with_global_place(history: DataFrame) -> DataFrame:
     """``history`` with its place among all entries, in place of part and place."""
-    # a row a part: as a local table its size is known, so that it is broadcast only while it is small
-    sizes = sorted(history.groupBy("part").count().collect())
-    before = accumulate((n for _, n in sizes), initial=0)
-    base = history.sparkSession.createDataFrame([(part, b) for (part, _), b in zip(sizes, before)], "part int, base long")
-    return history.join(base, "part").withColumn("place", F.col("base") + F.col("place")).drop("part", "base")
+    return after_parts(history, "part", history.groupBy("part").count(), "base").withColumn("place", F.col("base") + F.col("place")).drop("part", "base")
 
 
 def digest(pages: DataFrame) -> DataFrame:
