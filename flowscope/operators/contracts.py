@@ -40,7 +40,7 @@ def label_checks() -> dict[str, Column]:
 
 
 def detection_checks() -> dict[str, Column]:
-    return {"score_range": between("score", 0, 1), "no_rule": filled("rule_id"), "no_evidence": F.size("evidence") > 0, "severity_value": F.col("severity").isin("low", "medium", "high", "critical")}
+    return {"score_range": between("score", 0, 1), "no_rule": filled("rule_id"), "no_evidence": F.size("evidence") > 0, "severity_value": F.col("severity").isin("informational", "low", "medium", "high", "critical")}
 
 
 def manifest_checks() -> dict[str, Column]:
@@ -48,13 +48,15 @@ def manifest_checks() -> dict[str, Column]:
     return {"absolute_path": ~F.exists("files", lambda f: f["relative_path"].startswith("/")), "checksum": F.forall("files", lambda f: f["sha256"].rlike(SHA256)), "one_sided_range": start.isNull() == end.isNull(), "range_order": start <= end, "label_sum": F.aggregate(F.map_values("label_distribution"), F.lit(0).cast("long"), lambda a, x: a + x) <= F.col("record_count")}
 
 
-def feature_contract(features: DataFrame, names: list[str]) -> None:
-    """Raises unless the feature columns are there in order, as doubles without nulls."""
+def feature_contract(features: DataFrame, names: list[str]) -> DataFrame:
+    """``features``; raises unless the feature columns are there in order, as doubles, and fails as soon as one that is read is null.
+
+    Each column carries its own check, so that the table is read once and only the columns that are asked for.
+    """
     held = [c for c in features.columns if c in set(names)]
     if held != names or any(t != "double" for c, t in features.dtypes if c in set(names)):
         raise ValueError("feature columns are missing, out of order, or no doubles")
-    if not features.where(" OR ".join(f"`{c}` IS NULL" for c in names)).isEmpty():
-        raise ValueError("features must not be null")
+    return features.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"features must not be null: {c}")).cast("double")) for c in names})
 
 
 def guard_sealed(rows: DataFrame, sealed: list[str]) -> DataFrame:
@@ -84,6 +86,12 @@ def guard_training(rows: DataFrame, label: str = "ground_truth_label") -> DataFr
     return rows
 
 
+def guard_classes(good: int, bad: int, odd: int = 0) -> None:
+    """Raises unless counts of known rows show both classes and no other."""
+    if not good or not bad or odd:
+        raise ValueError("training needs both classes")
+
+
 def guard_splits(splits: dict[str, DataFrame], label: str = "ground_truth_label") -> None:
     """Raises if a split has no known row."""
     for name, rows in splits.items():

@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..ordering import running_sums
 from .contracts import guard_scores
 
 BENIGN, MALICIOUS, UNKNOWN = "benign", "malicious", "unknown"
@@ -42,10 +43,12 @@ def scenario_metrics(scores: DataFrame, threshold: float | Column) -> DataFrame:
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
-    """Step-wise area under the precision-recall curve by detector; null with one class only. Equal scores are one step."""
+    """Step-wise area under the precision-recall curve by detector; null with one class only. Equal scores are one step.
+
+    Steps of a detector lie in many parts, in the order of the scores (see ``running_sums``), since continuous scores make as many steps as rows.
+    """
     steps = known(scores).groupBy("detector", "score").agg(F.count_if(F.col("label") == MALICIOUS).alias("p"), F.count("*").alias("n"))
-    upto = Window.partitionBy("detector").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumns({"tp": F.sum("p").over(upto), "all": F.sum("n").over(upto)})
+    steps = running_sums(steps, ["detector"], {"score": True}, {"tp": "p", "all": "n"})
     return steps.groupBy("detector").agg(F.when((F.sum("p") > 0) & (F.sum("p") < F.sum("n")), F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.sum("p")).alias("pr_auc"))
 
 

@@ -1,7 +1,7 @@
 """Detectors that are fitted on known rows of a training pool and score every row.
 
-Tables hold event_id, ground_truth_label and feature columns. MLlib does the fitting where it has the model; extra trees
-and the isolation forest are built by Spark jobs whose partial sums or samples are of bounded size.
+Tables hold event_id, ground_truth_label and feature columns. Linear models (``linear``) and boosting (``boosting``) pass over packed pools, MLlib fits
+the tree and the forest; extra trees and the isolation forest are built by Spark jobs whose partial sums or samples are of bounded size.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import contracts
+from ..ordering import running_sums
+from ..store import staged
+from ..together import all_together
+from . import boosting, contracts, linear
 
 SEED = 42
 #: Numbers of a part of a training pool; a fit passes over the pool many times.
@@ -53,18 +56,12 @@ def normalise_range(scores: DataFrame, training: DataFrame, column: str = "score
     return scores.withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - r["a"]) / (r["b"] - r["a"]))))
 
 
-def make(model: str, weight_sum: float = 1.0, c: float = 1.0, trees: int = 200, depth: int = 12, iterations: int = 200):
+def make(model: str, trees: int = 200, depth: int = 12):
     at = {"featuresCol": "x", "labelCol": "y", "weightCol": "w"}
-    if model == "logistic_regression":
-        return LogisticRegression(regParam=1 / (c * weight_sum), standardization=False, maxIter=100, **at)
     if model == "decision_tree":
         return DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=20, seed=SEED, **at)
     if model == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, seed=SEED, **at)
-    if model == "gradient_boosting":
-        return GBTClassifier(maxIter=iterations, stepSize=0.1, maxDepth=5, maxBins=255, seed=SEED, **at)
-    if model == "linear_svm":
-        return LinearSVC(regParam=1 / (c * weight_sum), maxIter=100, **at)
     raise ValueError(f"no model {model}")
 
 
@@ -79,43 +76,98 @@ def _assembled(rows: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="x").transform(rows)
 
 
-def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: str, balanced: bool = True, **options) -> tuple[DataFrame, float]:
-    """event_id, label, score of ``rows`` by a model fitted on the known rows of ``train``; and the seconds that fitting took."""
-    pool = contracts.guard_training(known(train))
+def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: str, balanced: bool | None = None, **options) -> tuple[DataFrame, float]:
+    """event_id, label, score of ``rows`` by a model fitted on the known rows of ``train``; and the seconds that fitting took.
+
+    Classes are balanced unless said otherwise, but for boosting, which weighs rows alike. Options: ``c`` of the linear models, those of
+    ``boosting.Options`` and ``early``, ``trees`` and ``depth``.
+    """
+    balanced = model != "gradient_boosting" if balanced is None else balanced
+    shown = ["event_id", F.col("ground_truth_label").alias("label")]
+    began = time.perf_counter()
+    if model == "gradient_boosting":
+        fitted = boosting.fit(train, names, balanced, options.pop("early", None), boosting.Options(**options))
+        return fitted.scores(rows), time.perf_counter() - began
     if model in ("logistic_regression", "linear_svm"):
-        rows, pool = standardise(rows, names, pool), standardise(pool, names)
+        fitted = linear.fit(train, names, linear.LOGISTIC if model == "logistic_regression" else linear.SQUARED_HINGE, balanced=balanced, **options)
+        seconds = time.perf_counter() - began
+        if model == "logistic_regression":
+            return rows.select(*shown, fitted.probability().alias("score")), seconds
+        margin = fitted.margin().alias("score")
+        return normalise_range(rows.select(*shown, margin), known(train).select(margin)), seconds
+    pool = contracts.guard_training(known(train))
     weights = balanced_weights(pool) if balanced else pool.select("ground_truth_label", F.lit(1.0).alias("weight")).distinct()
     pool = _assembled(pool.join(F.broadcast(weights), "ground_truth_label"), names).select("x", target().alias("y"), F.col("weight").alias("w"))
     # a fit passes over the pool many times: parts for all cores, and of a bounded size
     cores = rows.sparkSession.sparkContext.defaultParallelism
     pool = pool.repartition(max(cores, -(-pool.count() * len(names) // PART_VALUES))).cache()
-    total = pool.agg(F.sum("w").alias("t")).first()["t"] or 1.0
+    pool.count()
     began = time.perf_counter()
-    fitted = make(model, weight_sum=total, **options).fit(pool)
+    fitted = make(model, **options).fit(pool)
     seconds = time.perf_counter() - began
-    out = fitted.transform(_assembled(rows, names))
-    if model == "linear_svm":
-        margin = vector_to_array("rawPrediction")[1]
-        scored = out.select("event_id", F.col("ground_truth_label").alias("label"), margin.alias("score"))
-        scored = normalise_range(scored, fitted.transform(pool).select(margin.alias("score")))
-    else:
-        scored = out.select("event_id", F.col("ground_truth_label").alias("label"), vector_to_array("probability")[1].alias("score"))
     pool.unpersist()
-    return scored, seconds
+    return fitted.transform(_assembled(rows, names)).select(*shown, vector_to_array("probability")[1].alias("score")), seconds
+
+
+def with_folds(pool: DataFrame, folds: int, name: str = "fold") -> DataFrame:
+    """``pool`` with a fold for each row: rows of each class are dealt in turn, in the order of a hash of their ids."""
+    rows = pool.withColumns({"_one": F.lit(1), "_hash": F.xxhash64("event_id", F.lit(SEED))})
+    placed = running_sums(rows, ["ground_truth_label"], {"_hash": False}, {"_place": "_one"})
+    return placed.withColumn(name, F.pmod("_place", F.lit(folds)).cast("int")).drop("_one", "_hash", "_place")
+
+
+def sigmoid(scores: DataFrame, passes: int = 100) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(a * score + b)) by Newton steps over the known rows, with the targets (n+ + 1) / (n+ + 2) and 1 / (n- + 2).
+
+    Each step sums a few numbers in the JVM, the loss at several step lengths among them.
+    """
+    rows = scores.where("label <> 'unknown' AND score IS NOT NULL").select("score", (F.col("label") == BAD).alias("bad"))
+    n = rows.agg(F.count_if("bad").alias("bad"), F.count("*").alias("all")).first()
+    bad, good = n["bad"], n["all"] - n["bad"]
+    contracts.guard_classes(good, bad)
+    x, t = F.col("score"), F.when(F.col("bad"), F.lit((bad + 1) / (bad + 2))).otherwise(F.lit(1 / (good + 2)))
+    rows = rows.select(x, t.alias("t")).cache()
+    here, step, was = np.array([0.0, np.log((good + 1) / (bad + 1))]), np.zeros(2), np.inf
+    shares = [1.0, 0.5, 0.25, 0.1, 0.01, 0.0]
+    for _ in range(passes):
+        def loss(a: float, b: float) -> Column:  # -(t log p + (1 - t) log(1 - p)), p = 1 / (1 + exp(z))
+            z = x * float(a) + float(b)
+            return F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - (1 - F.col("t")) * z)
+
+        at = here + step
+        z = x * float(at[0]) + float(at[1])
+        p = F.when(z > 0, F.exp(-F.greatest(z, F.lit(0.0))) / (1 + F.exp(-F.greatest(z, F.lit(0.0))))).otherwise(1 / (1 + F.exp(F.least(z, F.lit(0.0)))))
+        slope, curve = F.col("t") - p, p * (1 - p)
+        r = rows.agg(F.sum(slope * x), F.sum(slope), F.sum(curve * x * x), F.sum(curve * x), F.sum(curve), *[loss(*(here + s * step)) for s in shares]).first()
+        values = np.array(r[5:], float)
+        taken = int(values.argmin())
+        if taken and values[0] > min(values[-1], was):
+            if shares[taken] == 0:
+                break
+            here, step, was = here + shares[taken] * step, np.zeros(2), values[taken]
+            continue
+        here, was = at, values[0]
+        step = -np.linalg.solve(np.array([[r[2], r[3]], [r[3], r[4]]]) + 1e-12 * np.eye(2), np.array(r[:2], float))
+        if np.abs(step).max() <= 1e-9 * max(1.0, np.abs(here).max()):
+            break
+    rows.unpersist()
+    return float(here[0]), float(here[1])
 
 
 def calibrated(train: DataFrame, rows: DataFrame, names: list[str], model: str = "random_forest", folds: int = 3, **options) -> DataFrame:
-    """Sigmoid calibration: each fold's model is calibrated on the rows it was not fitted on; probabilities are averaged."""
-    pool = known(train).withColumn("fold", F.pmod(F.xxhash64("event_id", F.lit(SEED)), F.lit(folds)))
-    parts = None
-    for k in range(folds):
+    """Sigmoid calibration: each fold's model is calibrated on the rows it was not fitted on; probabilities are averaged. Folds are fitted side by side."""
+    pool = staged(with_folds(known(train).select("event_id", "ground_truth_label", *names), folds), "folds")
+    rows = rows.select("event_id", "ground_truth_label", *names)
+
+    def one(k: int) -> DataFrame:
         rest, held = pool.where(F.col("fold") != k).drop("fold"), pool.where(F.col("fold") == k).drop("fold")
-        both = held.withColumn("held", F.lit(True)).unionByName(rows.withColumn("held", F.lit(False)), allowMissingColumns=True).withColumn("event_id", F.struct("event_id", "held"))
-        scored, _ = fit_and_score(rest, both, names, model, **options)
-        scored = scored.select("event_id.*", "label", "score").select("*", F.array("score").alias("a"))
-        scored = VectorAssembler(inputCols=["score"], outputCol="x").transform(scored)
-        platt = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.0).fit(scored.where("held").select("x", (F.col("label") == BAD).cast("double").alias("y")))
-        part = platt.transform(scored.where("NOT held")).select("event_id", "label", vector_to_array("probability")[1].alias("score"))
+        both = held.withColumn("held", F.lit(True)).unionByName(rows.withColumn("held", F.lit(False))).withColumn("event_id", F.struct("event_id", "held"))
+        scored = staged(fit_and_score(rest, both, names, model, **options)[0].select("event_id.*", "label", "score"), "fold-scores")
+        a, b = sigmoid(scored.where("held"))
+        return scored.where("NOT held").select("event_id", "label", (1 / (1 + F.exp(F.col("score") * a + b))).alias("score"))
+
+    parts = None
+    for part in all_together(rows.sparkSession, [lambda k=k: one(k) for k in range(folds)]):
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("event_id", "label").agg(F.avg("score").alias("score"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import manifest_id
+from ..schemas import RULE_VERSION
 from ..sources.binetflow import conform
+from .contracts import detection_checks, violations
 from .evaluate import each_threshold
 
 
@@ -22,6 +24,20 @@ def write_json(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
 
+def detection_records(detections: DataFrame, created_at: str, note: str) -> DataFrame:
+    """``value``: each detection as a JSON record with its rule and evidence; ``records.detections`` reads it back."""
+    fixed = {"schema_version": F.lit(RULE_VERSION), "event_id": F.col("event_id").cast("string"), "triggered_rules": F.array("rule_id"), "supporting_evidence": F.col("evidence"), "created_at": F.lit(created_at), "note": F.lit(note)}
+    kept = ["detection_id", "detector_type", "detector_name", "detector_version", "severity", "score"]
+    return detections.select(F.to_json(F.struct(*[F.col(c) for c in kept], *[v.alias(k) for k, v in fixed.items()])).alias("value"), "detection_id")
+
+
+def write_detections(detections: DataFrame, path: str, created_at: str, note: str, mode: str = "errorifexists") -> None:
+    """Detections that keep their contract as JSON lines in the order of their ids; fails on one that breaks it."""
+    checked = violations(detections, detection_checks())
+    fine = checked.where(F.assert_true(F.size("violations") == 0, F.concat(F.lit("broken detection: "), F.array_join("violations", ", "))).isNull())
+    detection_records(fine, created_at, note).repartitionByRange("detection_id").sortWithinPartitions("detection_id").select("value").write.mode(mode).text(path)
+
+
 def write_ordered(rows: DataFrame, path: str, keys: list[str], mode: str = "errorifexists") -> None:
     """JSON lines in the order of ``keys``, over the files and within them, so that equal tables give equal files."""
     rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).json(path)

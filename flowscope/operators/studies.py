@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..schemas import FEATURE_GROUPS, FEATURES
 from ..sources import stored
 from ..store import staged
+from ..together import all_together, together
 from . import contracts, evaluate as E, models, rules
 
 VOLUME_THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
@@ -28,21 +29,29 @@ def detector_scores(train: DataFrame, rows: DataFrame, names: list[str], detecto
     """Scores of all detectors (name: options of ``models.fit_and_score``, or of ``extra_trees`` or ``isolation_forest`` with
     that name as model; ``sigmoid`` asks for calibrated scores), and a status row for each.
 
-    A detector that cannot be fitted is a row with its error and leaves the others alone. Scores are stored, so that each
-    detector scores once however many tables are made of them.
+    A detector that cannot be fitted is a row with its error and leaves the others alone. Detectors are fitted side by side. Scores are stored,
+    so that each detector scores once however many tables are made of them.
     """
     place = rows.select("event_id", "scenario_id")
+    if len(detectors) > 1:  # the pool and the rows are prepared once for all
+        kept = ["event_id", "ground_truth_label", *names]
+        train, rows = staged(models.known(train).select(kept), "pool"), staged(rows.select("scenario_id", *kept), "rows")
+        place = rows.select("event_id", "scenario_id")
+
+    def one(options: dict) -> tuple[DataFrame, float | None]:
+        scored, seconds = _score(train, rows, names, **options)
+        return staged(scored, "scores"), seconds
+
     parts, status = None, []
-    for name, options in detectors.items():
-        try:
-            scored, seconds = _score(train, rows, names, **options)
-            scored = staged(scored, "scores")
-        except (ValueError, ArithmeticError, PySparkException, Py4JJavaError) as e:  # what a fit raises; the failure is the result
-            status.append((name, "failed", type(e).__name__, str(e).splitlines()[0][:200], None))
+    for name, done in zip(detectors, together(rows.sparkSession, [lambda o=o: one(o) for o in detectors.values()])):
+        if isinstance(done, (ValueError, ArithmeticError, PySparkException, Py4JJavaError)):  # what a fit raises; the failure is the result
+            status.append((name, "failed", type(done).__name__, str(done).splitlines()[0][:200], None))
             continue
-        part = scored.join(place, "event_id").select("event_id", "scenario_id", F.lit(name).alias("detector"), "label", "score")
+        if isinstance(done, Exception):
+            raise done
+        part = done[0].join(place, "event_id").select("event_id", "scenario_id", F.lit(name).alias("detector"), "label", "score")
         parts = part if parts is None else parts.unionByName(part)
-        status.append((name, "fitted", None, None, seconds))
+        status.append((name, "fitted", None, None, done[1]))
     spark = rows.sparkSession
     kind = f"event_id {dict(rows.dtypes)['event_id']}, scenario_id string, detector string, label string, score double"
     parts = spark.createDataFrame([], kind) if parts is None else parts
@@ -51,26 +60,34 @@ def detector_scores(train: DataFrame, rows: DataFrame, names: list[str], detecto
 
 def comparison(train: DataFrame, rows: DataFrame, feature_sets: dict[str, list[str]], kinds: dict[str, dict]) -> DataFrame:
     """Metrics of every model, weighting and feature set, at 0.5 and at the tuned threshold."""
-    out = None
-    for version, names in feature_sets.items():
+    def one(version: str, names: list[str]) -> DataFrame:
         runs = {f"{k}/{'balanced' if b else 'unweighted'}": {**o, "balanced": b} for k, o in kinds.items() for b in (True, False)}
         scores, _ = detector_scores(train, rows, names, runs)
         grid = E.threshold_grid(scores)
         fixed = grid.where("threshold = 0.5").withColumn("choice", F.lit("fixed"))
         tuned = grid.join(E.best_threshold(grid).select("detector", "threshold"), ["detector", "threshold"]).withColumn("choice", F.lit("tuned"))
-        part = fixed.unionByName(tuned).withColumn("features", F.lit(version))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return fixed.unionByName(tuned).withColumn("features", F.lit(version))
+
+    return _union(all_together(rows.sparkSession, [lambda v=v, n=n: one(v, n) for v, n in feature_sets.items()], 2))
 
 
 def ablation(train: DataFrame, rows: DataFrame, names: list[str], options: dict, threshold: float = 0.2, groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """Metrics with all features, and without each group of them."""
-    out = None
-    for group, dropped in {"none": [], **(FEATURE_GROUPS if groups is None else groups)}.items():
-        kept = [n for n in names if n not in set(dropped)]
-        scores, _ = detector_scores(train, rows, kept, {"model": options})
-        part = E.binary_metrics(scores, threshold).drop("detector").withColumn("without", F.lit(group))
-        out = part if out is None else out.unionByName(part)
+    """Metrics with all features, and without each group of them; the pool is prepared once, and the fits run side by side."""
+    kept = ["event_id", "ground_truth_label", *names]
+    train, rows = staged(models.known(train).select(kept), "pool"), staged(rows.select("scenario_id", *kept), "rows")
+
+    def one(group: str, dropped: list[str]) -> DataFrame:
+        scores, _ = detector_scores(train, rows, [n for n in names if n not in set(dropped)], {"model": options})
+        return E.binary_metrics(scores, threshold).drop("detector").withColumn("without", F.lit(group))
+
+    runs = {"none": [], **(FEATURE_GROUPS if groups is None else groups)}
+    return _union(all_together(rows.sparkSession, [lambda g=g, d=d: one(g, d) for g, d in runs.items()]))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 

@@ -8,7 +8,8 @@ opens an interval that closes when the window has passed its last sighting, and
 is the number of values alive. Both are plain window sums, so nothing grows with the number of rows in a window.
 
 Hosts may be busy for a long time. Rows are therefore dealt into time buckets of ``bucket`` seconds; each bucket also gets a
-copy of the rows of the last window before it, and only a bucket's own rows are kept. Hot hosts then spread over tasks. The
+copy of the rows of the last window before it, and only a bucket's own rows are kept. Hot hosts then spread over tasks. Where a host has more than
+``most`` flows in a bucket, the bucket is cut where its flows, counted by slots, fill so many; a slot (a 4,096th of a bucket) is not cut. The
 flow before a bucket's first may be older than the window: the last time of each bucket is carried to the host's next one.
 """
 
@@ -18,9 +19,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.flow_features import asymmetry, flow_features, log_or_zero
 from ..schemas import FEATURES
+from ..store import staged
 from .contracts import guard_one_scenario
 
 SHORT_SECONDS = 1.0
+#: Own flows of a bucket before it is cut, and slots in which the flows of a bucket are counted for that.
+MOST = 500_000
+SLOTS = 4096
 
 
 def _prepared(flows: DataFrame) -> DataFrame:
@@ -38,15 +43,45 @@ def _prepared(flows: DataFrame) -> DataFrame:
     )
 
 
-def prior_features(flows: DataFrame, short: int = 60, long: int = 300, bucket: int = 3600) -> DataFrame:
+def _cuts(rows: DataFrame, wide: int, most: int) -> DataFrame | None:
+    """Host hours of more than ``most`` flows, with the times at which they are cut; none without such hours (a count over three columns tells)."""
+    cell = ["scenario_id", "_host", "_cell"]
+    rows = rows.select(*cell[:2], "_us", F.floor(F.col("_us") / wide).alias("_cell"))
+    busy = rows.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    if busy.isEmpty():
+        return None
+    busy, slot = staged(busy.select(*cell), "busy"), max(1, wide // SLOTS)
+    slots = rows.join(busy, cell, "left_semi").groupBy(*cell, (F.floor(F.col("_us") / slot) * slot).alias("_at")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*cell).orderBy("_at")  # at most SLOTS rows and one
+    slots = slots.withColumn("full", F.floor(F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / most))
+    cuts = slots.withColumn("was", F.lag("full", 1, 0).over(upto)).where((F.col("full") > F.col("was")) & (F.col("_at") > F.col("_cell") * wide))
+    return staged(cuts.groupBy(*cell).agg(F.array_sort(F.collect_list("_at")).alias("_cuts")), "cuts")
+
+
+def _dealt(rows: DataFrame, wide: int, window: int, most: int) -> DataFrame:
+    """Each row in its own bucket (``_own``) and in those whose window it stands in; ``_bucket`` is the time at which a bucket begins."""
+    us = F.col("_us")
+    own, reach = F.floor(us / wide), F.floor((us + window - 1) / wide)
+    cuts = _cuts(rows, wide, most)
+    rows = rows.withColumn("_cell", F.explode(F.sequence(own, reach)))
+    if cuts is None:
+        rows = rows.withColumn("_bucket", F.col("_cell") * wide)
+    else:
+        starts = F.concat(F.array(F.col("_cell") * wide), F.coalesce("_cuts", F.array().cast("array<bigint>")))
+        rows = rows.join(cuts, ["scenario_id", "_host", "_cell"], "left").withColumn("_starts", starts)
+        end = lambda i: F.coalesce(F.get("_starts", i + 1), (F.col("_cell") + 1) * wide)
+        mine = F.filter("_starts", lambda s, i: (s <= us + window - 1) & (end(i) > us))
+        rows = rows.withColumn("_bucket", F.explode(mine)).drop("_starts", "_cuts")
+    return rows.withColumn("_own", F.when(F.col("_cell") == own, F.col("_bucket") <= us).otherwise(F.lit(False))).drop("_cell")
+
+
+def prior_features(flows: DataFrame, short: int = 60, long: int = 300, bucket: int = 3600, most: int = MOST) -> DataFrame:
     """``flows`` with all prior features of both windows (seconds); names carry the window."""
     rows = _prepared(flows)
     s, l = f"{short}s", f"{long}s"  # noqa: E741
     micros = {s: short * 1_000_000, l: long * 1_000_000}
     wide = max(bucket, short, long) * 1_000_000
-    own = F.floor(F.col("_us") / wide)
-    reach = F.floor((F.col("_us") + max(micros.values()) - 1) / wide)
-    rows = rows.withColumn("_bucket", F.explode(F.sequence(own, reach))).withColumn("_own", F.col("_bucket") == own)
+    rows = _dealt(rows, wide, max(micros.values()), most)
     group = ["scenario_id", "_host", "_bucket"]
     ends = rows.where("_own").groupBy(*group).agg(F.max("_us").alias("_end"))  # a row a bucket
     carried = ends.select(*group, F.lag("_end").over(Window.partitionBy(*group[:2]).orderBy("_bucket")).alias("_carried"))

@@ -108,7 +108,7 @@ def zeek_source_labels(spark, sf):
     return zeek.source_labels(_zeek(spark, sf)[2])
 
 
-@query("flow_distributions", f"WITH {F0} SELECT 'protocol' AS field, protocol AS value, count(*) AS n FROM flows WHERE protocol IS NOT NULL GROUP BY protocol UNION ALL SELECT 'flow_direction', flow_direction, count(*) FROM flows WHERE flow_direction IS NOT NULL GROUP BY flow_direction UNION ALL SELECT 'ground_truth_label', ground_truth_label, count(*) FROM flows GROUP BY ground_truth_label")
+@query("flow_distributions", f"WITH {F0} SELECT 'protocol' AS field, protocol AS value, count(*) AS n FROM flows WHERE protocol IS NOT NULL GROUP BY protocol UNION ALL SELECT 'flow_direction', flow_direction, count(*) FROM flows WHERE flow_direction IS NOT NULL GROUP BY flow_direction UNION ALL SELECT 'ground_truth_label', ground_truth_label, count(*) FROM flows GROUP BY ground_truth_label UNION ALL SELECT 'connection_state', connection_state, count(*) FROM flows WHERE connection_state IS NOT NULL GROUP BY connection_state")
 def flow_distributions(spark, sf):
     return binetflow.distributions(flows(spark, sf), ["protocol", "flow_direction", "ground_truth_label", "connection_state"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.ids import event_id
 from ..operators import contracts, evaluate as E, models, rules, sinks, windows
 from ..schemas import BINETFLOW_EVENTS, FLOW_FEATURES, ZEEK_EVENTS
-from ..sources import binetflow, lines, stored
+from ..sources import binetflow, lines, records, stored
 from ..store import new_path
 from ..streaming import flows as S
 from .flows import flows, scores
@@ -125,30 +125,65 @@ def study_artifact(spark, sf):
     return stored.study_metrics(stored.read_artifact(spark, path))
 
 
-_BAD = {1: "event_id_mismatch", 2: "observed_at_without_zone", 3: "dst_port_range", 4: "known_label_without_source", 5: "unknown_key", 6: "not_json"}
+#: What is wrong with the records of a fiftieth of the flows, by the id's remainder.
+_BAD = {
+    1: "event_id_mismatch", 2: "observed_at_without_zone", 3: "dst_port_range", 4: "known_label_without_source", 5: "unknown_key", 6: "not_json", 8: "missed_bytes_type", 9: "missed_bytes_type", 10: "details_unknown_key",
+    11: "source_unknown_key", 12: "src_ip_address", 13: "source_dataset_missing", 14: "provenance_missing", 15: "processed_at_without_zone", 16: "kind_missing", 17: "quality_flags_value", 18: "adapter_version_value",
+    19: "source_type_value", 20: "protocol_type", 21: "ground_truth_label_null", 22: "source_label_missing", 23: "provenance_unknown_key", 24: "session_duration_seconds_range", 25: "raw_payload_reference_empty",
+}
+#: Text of a record and what stands there instead.
+_BROKEN = {
+    5: ('"event_type":', '"no_such_key":1,"event_type":'), 8: ('"missed_bytes":0', '"missed_bytes":"abc"'), 9: ('"missed_bytes":0', '"missed_bytes":80.5'), 10: ('"missed_bytes":0', '"missed_bytes":0,"no_such_key":null'),
+    11: ('"source_type":', '"no_such_key":"","source_type":'), 12: ('"missed_bytes":0', '"missed_bytes":0,"src_ip":"999.1.1.1"'), 13: ('"source_dataset":"driver",', ""), 16: ('"kind":"network",', ""), 17: ('["parsed"]', '["parsed"," "]'),
+    18: ('"adapter_version":"1.0.0"', '"adapter_version":"1.0"'), 19: ('"source_type":"synthetic"', '"source_type":"flow"'), 20: ('"missed_bytes":0', '"missed_bytes":0,"service":"-","protocol":7'), 22: ('"kind":"network"', '"kind":"ctu13_flow"'),
+    23: ('"adapter_name":', '"more":{},"adapter_name":'), 24: ('"missed_bytes":0', '"missed_bytes":"0","session_duration_seconds":-0.5'), 25: ('"raw_payload_reference":"a"', '"raw_payload_reference":"  "'),
+    30: ('"missed_bytes":0', '"missed_bytes":0.0,"src_ip":"2001:DB8::1"'), 31: ('"missed_bytes":0', '"missed_bytes":" 0 ","tunnel_parents":["C1"]'),
+}
 
 
 @query("canonical_events", f"""WITH {F0}, c AS (SELECT *, CASE event_id % 50 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _BAD.items() if k != 4)} WHEN 4 THEN CASE WHEN ground_truth_label <> 'unknown' THEN '{_BAD[4]}' ELSE 'accepted' END ELSE 'accepted' END AS outcome FROM flows)
-SELECT outcome, count(*) AS n, CAST(sum(CASE WHEN outcome = 'accepted' THEN coalesce(network_bytes, 0) + epoch_us(observed_at) % 1000003 END) AS BIGINT) AS total FROM c GROUP BY outcome""")
+SELECT outcome, count(*) AS n, CAST(sum(CASE WHEN outcome = 'accepted' THEN coalesce(network_bytes, 0) + epoch_us(observed_at) % 1000003 END) AS BIGINT) AS total,
+count(*) FILTER (outcome = 'accepted' AND event_id % 50 = 30) AS addresses, count(*) FILTER (outcome = 'accepted' AND event_id % 50 = 31) AS parents FROM c GROUP BY outcome""")
 def canonical_events(spark, sf):
-    """Flows as canonical JSON records, most without an id, some broken; read back, with the ids filled in."""
+    """Flows as canonical JSON records, most without an id, some broken at one of three depths; read back, with the ids filled in."""
     bad = F.col("event_id") % 50
-    reference = [F.lit("flow"), F.lit("driver"), F.col("scenario_id"), F.lit("1"), F.col("source_event_id")]
+    reference = [F.lit("synthetic"), F.lit("driver"), F.col("scenario_id"), F.lit("1.0.0"), F.col("source_event_id")]
     made = event_id(*reference)
-    rows = flows(spark, sf)
-    source = F.struct(*[c.alias(n) for c, n in zip(reference, ("source_type", "source_dataset", "scenario_id", "dataset_version", "source_event_id"))])
-    details = F.struct(F.when(bad == 3, F.lit(70000)).otherwise(F.col("dst_port")).alias("dst_port"), "src_port", "protocol", "network_bytes", "connection_state")
-    zone = F.when(bad == 2, "").otherwise("Z")
+    source = F.struct(*[c.alias(n) for c, n in zip(reference, ("source_type", "source_dataset", "scenario_id", "dataset_version", "source_event_id"))], F.lit("a").alias("raw_payload_reference"))
+    details = F.struct(F.lit("network").alias("kind"), F.when(bad == 3, F.lit(70000)).otherwise(F.col("dst_port")).alias("dst_port"), "src_port", F.when(bad != 20, F.col("protocol")).alias("protocol"), "network_bytes", "connection_state", F.lit(0).alias("missed_bytes"))
+    stamp = lambda hit: F.concat(F.lit("2024-01-01T00:00:00"), F.when(bad == hit, "").otherwise("Z"))
+    provenance = F.struct(F.lit("driver").alias("adapter_name"), F.lit("1.0.0").alias("adapter_version"), F.lit("1.0.0").alias("transformation_version"), stamp(15).alias("processed_at"), F.array(F.lit("parsed")).alias("quality_flags"))
     known = F.col("ground_truth_label") != "unknown"
-    record = F.struct(
-        F.when(bad == 1, "00000000-0000-5000-8000-000000000000").when(bad == 7, made).alias("event_id"), source.alias("source"), details.alias("details"), "ground_truth_label",
-        F.concat(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone).alias("observed_at"), F.lit("2024-01-01T00:00:00Z").alias("ingested_at"), F.lit("network_flow").alias("event_type"),
-        F.when(known & (bad != 4), "source_label").alias("label_source"), F.when(bad == 5, "?").alias("no_such_key"),
-    )
-    good, wrong = stored.canonical_events(rows.select(F.when(bad == 6, "{").otherwise(F.to_json(record)).alias("value")))
+    record = F.to_json(F.struct(
+        F.when(bad == 1, "00000000-0000-5000-8000-000000000000").when(bad == 7, F.upper(made)).alias("event_id"), source.alias("source"), details.alias("details"), F.when(bad != 21, F.col("ground_truth_label")).alias("ground_truth_label"),
+        F.concat(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(bad == 2, "").otherwise("+00:00")).alias("observed_at"), stamp(-1).alias("ingested_at"), F.lit("network_flow").alias("event_type"),
+        F.when(known & (bad != 4), "source_label").alias("label_source"), F.when(bad != 14, provenance).alias("provenance"),
+    ))
+    record = F.when(bad == 21, F.regexp_replace(record, r"^\{", '{"ground_truth_label":null,')).otherwise(record)
+    pairs = F.create_map(*[x for k, (a, b) in _BROKEN.items() for x in (F.lit(k), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    rows = flows(spark, sf).select(F.explode(F.array(F.struct(record.alias("record"), bad.alias("bad")))).alias("r")).select("r.*")  # a record is made once
+    pair = pairs[F.col("bad").cast("int")]
+    broken = F.when(F.col("bad") == 6, "{").when(pair.isNotNull(), F.replace("record", pair["a"], pair["b"])).otherwise(F.col("record"))
+    good, wrong = records.canonical_events(rows.select(broken.alias("value")))
     total = F.sum(F.coalesce("network_bytes", F.lit(0)) + F.unix_micros("observed_at") % 1000003).alias("total")
-    accepted = good.groupBy(F.lit("accepted").alias("outcome")).agg(F.count("*").alias("n"), total)
-    return accepted.unionByName(wrong.groupBy(F.col("violations")[0].alias("outcome")).agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("total")))
+    accepted = good.groupBy(F.lit("accepted").alias("outcome")).agg(F.count("*").alias("n"), total, F.count_if(F.col("src_ip") == "2001:db8::1").alias("addresses"), F.count_if(F.col("tunnel_parents") == '["C1"]').alias("parents"))
+    none = F.lit(0).cast("long")
+    return accepted.unionByName(wrong.groupBy(F.array_join("violations", "+").alias("outcome")).agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("total"), none.alias("addresses"), none.alias("parents")))
+
+
+@query("detection_records", f"""WITH {F0}, {_FIRED}, d AS (SELECT *, CASE event_id % 10 WHEN 1 THEN 'score_range' WHEN 2 THEN 'evidence_incomplete' WHEN 3 THEN 'no_rule' WHEN 4 THEN 'severity_value' ELSE 'accepted' END AS outcome FROM fired)
+SELECT outcome, CASE WHEN outcome = 'accepted' THEN rule_id END AS rule_id, count(*) AS n FROM d GROUP BY ALL""")
+def detection_records(spark, sf):
+    """Detections written as JSON with their evidence, some broken, and read back under the contract; evidence is seen whole."""
+    path = new_path(spark, "detections")
+    sinks.write_detections(rules.detections(flows(spark, sf)), path, "2024-01-01T00:00:00Z", "a rule fired")
+    bad = F.regexp_extract("value", r'"event_id":"(\d+)"', 1).cast("long") % 10
+    broken = {1: ('"score":1.0', '"score":1.5'), 2: ('"predicate":', '"predicated":'), 4: ('"severity":"medium"', '"severity":"severe"')}
+    value = F.coalesce(*[F.when(bad == k, F.replace("value", F.lit(a), F.lit(b))) for k, (a, b) in broken.items()], F.when(bad == 3, F.regexp_replace("value", r'"triggered_rules":\[[^\]]*\]', '"triggered_rules":[]')), F.col("value"))
+    good, wrong = records.detections(spark.read.text(path).select(value.alias("value")))
+    whole = F.forall("supporting_evidence", lambda e: e["observed_value"].isNotNull() & (F.length(e["predicate"]) > 3))
+    accepted = good.where(whole).groupBy(F.lit("accepted").alias("outcome"), F.col("triggered_rules")[0].alias("rule_id")).agg(F.count("*").alias("n"))
+    return accepted.unionByName(wrong.groupBy(F.array_join("violations", "+").alias("outcome"), F.lit(None).cast("string").alias("rule_id")).agg(F.count("*").alias("n")))
 
 
 @query("stored_events", f"""WITH {F0} SELECT scenario_id, count(*) AS n, CAST(sum(network_bytes) AS BIGINT) AS bytes, 43 AS columns FROM (SELECT *, 's-' || (event_id // 20000) AS s FROM flows WHERE event_id % 500 NOT IN (7, 8)) t(event_id, scenario_0, source_event_id, observed_at, us, a, b, src_port, dst_port, protocol, d, st, network_bytes, ob, pk, du, l, k, scenario_id) GROUP BY scenario_id""")

@@ -11,8 +11,8 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution; ``conf`` keys use ``__`` for dots."""
-    builder = SparkSession.builder.appName("flowscope").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A UTC session with adaptive execution and fair shares; ``conf`` keys use ``__`` for dots."""
+    builder = SparkSession.builder.appName("flowscope").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.scheduler.mode", "FAIR")
     if master:
         builder = builder.master(master)
     for k, v in conf.items():

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import parsing as P
 from ..functions.ids import event_id
 from ..schemas import BINETFLOW_EVENTS, EVENT_VERSION
+from ..store import measured
 from .lines import numbered_lines, require_accepted
 
 # The header of the format.
@@ -28,7 +29,7 @@ def classify(lines: DataFrame) -> DataFrame:
     """Lines of files with fields, missing counts and issue; blank lines are skipped, headers checked by file."""
     rows = lines.where(P.strip(F.col("value")) != "")
     head = rows.where("line_no = 1").select("file", (F.transform(F.split("value", ","), P.strip) == F.array(*[F.lit(f) for f in FIELDS])).alias("good"))
-    rows = rows.join(head, "file", "left").withColumn("good", F.coalesce("good", F.lit(False))).where("NOT (line_no = 1)")
+    rows = rows.join(measured(head, "headers"), "file", "left").withColumn("good", F.coalesce("good", F.lit(False))).where("NOT (line_no = 1)")
     rows = rows.withColumn("f", split_csv(F.col("value")))
     rows = rows.withColumn("shape", F.when(~F.col("good"), "bad_header").when(~F.col("decoded"), "invalid_encoding").when(F.col("f").isNull() | (F.size("f") != len(FIELDS)), "malformed_row"))
     shaped = F.col("shape").isNull()

@@ -7,6 +7,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..store import measured
+
 #: Files up to this size are hashed in the JVM; larger ones are streamed.
 WHOLE_FILE_BYTES = 64 << 20
 _CHUNK = 1 << 20
@@ -16,7 +18,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str], strict: bool = Fa
     """file, line_no (from 1), value, decoded (whether the line is valid UTF-8; with ``strict`` one that is not fails the job).
 
     Rows of a split are read in order, so a line's number is its distance from the split's first row, plus the lines of the
-    file's earlier splits. Only a row for each split is shuffled.
+    file's earlier splits. Only a row for each split is shuffled, once, and lines stay where they are read.
     """
     raw = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
@@ -26,7 +28,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str], strict: bool = Fa
         raw = raw.where(F.assert_true("decoded", F.concat(F.col("file"), F.lit(" is not UTF-8"))).isNull())
     counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select("file", "block", (before - F.col("first") + 1).alias("base"))  # a row a split of a file
+    base = measured(counts.select("file", "block", (before - F.col("first") + 1).alias("base")), "splits")  # a row a split of a file
     return raw.join(base, ["file", "block"]).select("file", (F.col("base") + F.col("at")).cast("long").alias("line_no"), "value", "decoded")
 
 

@@ -1,19 +1,18 @@
-"""Stored tables and artifacts that are read back: features, canonical events as JSON, study results."""
+"""Stored tables and artifacts that are read back: features and study results; JSON records are read by ``records``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ids import event_id
 from ..operators import contracts
-from ..schemas import FEATURES, ZEEK_EVENTS
+from ..schemas import FEATURES
 from .lines import file_digests
 
 
 def features(spark: SparkSession, path: str, version: str, scenarios: list[str] | None = None, sealed: tuple[str, ...] = (), raw_files: dict[str, str] | None = None) -> DataFrame:
     """event_id, scenario_id, ground_truth_label and the columns of a version, of the scenarios asked for; nothing else is read.
 
-    Raises on a sealed scenario, on wrong feature columns, and if a raw file that ``raw_files`` names for a scenario is missing.
+    Raises on a sealed scenario, on wrong feature columns (on null features as soon as they are read, without a pass of its own), and if a raw file that ``raw_files`` names for a scenario is missing.
     """
     contracts.guard_sealed_names([*(scenarios or []), path], list(sealed))
     stored = spark.read.parquet(path)
@@ -25,7 +24,7 @@ def features(spark: SparkSession, path: str, version: str, scenarios: list[str]
     for name, raw in (raw_files or {}).items():
         if scenarios is None or name in scenarios:
             spark.read.format("binaryFile").load(raw)  # fails here if there is none
-    contracts.feature_contract(rows, FEATURES[version])
+    rows = contracts.feature_contract(rows, FEATURES[version])
     return contracts.guard_sealed(rows, list(sealed)) if sealed else rows
 
 
@@ -47,47 +46,6 @@ def wanted_features(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return contracts.same_ids(rows, wanted)
 
 
-_SOURCE = "source_type string, source_dataset string, scenario_id string, dataset_version string, source_event_id string, raw_payload_reference string, raw_checksum string"
-#: What a canonical event's JSON may hold, apart from the fields of its details.
-_TOP = ["event_id", "source", "schema_version", "observed_at", "ingested_at", "event_type", "session_id", "details", "ground_truth_label", "label_source", "attack_category", "provenance"]
-
-
-def canonical_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Valid events and rejected records (value, violations) of canonical event JSON, one record a row.
-
-    A record that gives no event_id gets the one of its source reference; one that gives another is rejected, as are
-    times without a zone, keys that are not of the schema, and rows that break the event contract.
-    """
-    source = ", ".join(f"{c.split()[0]}: string" for c in _SOURCE.split(", "))
-    wanted = dict(c.rsplit(" ", 1) for c in ZEEK_EVENTS.split(", "))
-    outside = {"event_id", *[c.split()[0] for c in _SOURCE.split(", ")], *_TOP, "adapter_name", "adapter_version", "transformation_version", "quality_flags"}
-    details = {c: t for c, t in wanted.items() if c not in outside} | {"flow_direction": "string", "source_src_address": "string", "source_dst_address": "string", "source_label": "string", "source_tos": "long", "destination_tos": "long"}
-    flat = [c for c in _TOP if c not in ("source", "details", "provenance")]
-    schema = f"{', '.join(f'{c} string' for c in flat)}, source struct<{source}>, details struct<{', '.join(f'{c}: {t}' for c, t in details.items())}>, provenance struct<adapter_name: string, adapter_version: string, transformation_version: string, quality_flags: string>"
-    # exploded, so that a record is parsed once and not for every column taken from it
-    parsed = F.struct(F.from_json(value, schema).alias("_r"), F.map_keys(F.from_json(value, "map<string, string>")).alias("_keys"))
-    raw = lines.select(F.col(value).alias("_value"), F.explode(F.array(parsed)).alias("_p")).select("_value", "_p.*")
-    zone = r"(Z|[+-]\d{2}:?\d{2})$"
-    rows = raw.select(
-        "_value", "_keys", *[F.col(f"_r.{c}").alias(f"_{c}" if c == "event_id" or c.endswith("_at") else c) for c in flat], "_r.source.*", "_r.details.*", "_r.provenance.*",
-    )
-    made = event_id(*[F.coalesce(F.col(c), F.lit("")) for c in ("source_type", "source_dataset", "scenario_id", "dataset_version", "source_event_id")])
-    rows = rows.withColumns(
-        {
-            "event_id": F.coalesce("_event_id", made), "observed_at": F.try_to_timestamp("_observed_at"), "ingested_at": F.try_to_timestamp("_ingested_at"),
-            "ground_truth_label": F.coalesce("ground_truth_label", F.lit("unknown")),
-        }
-    )
-    checks = {
-        "not_json": F.col("_keys").isNotNull(), "unknown_key": F.size(F.array_except("_keys", F.array(*[F.lit(c) for c in _TOP]))) == 0,
-        "observed_at_without_zone": F.col("_observed_at").rlike(zone), "ingested_at_without_zone": F.col("_ingested_at").rlike(zone),
-        **contracts.event_checks(made), **contracts.label_checks(),
-    }
-    checked = contracts.violations(rows, checks)
-    good = checked.where(F.size("violations") == 0).drop("violations", *[c for c in checked.columns if c.startswith("_")])
-    return good, checked.where(F.size("violations") > 0).select(F.col("_value").alias(value), "violations")
-
-
 def study_metrics(artifact: DataFrame) -> DataFrame:
     """model, scenario_id, metric, value of study artifacts (``value`` holds one JSON document): models, their scenarios, their metrics."""
     kind = "struct<models: map<string, struct<scenarios: map<string, map<string, double>>>>>"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import parsing as P
 from ..functions.ids import event_id
 from ..schemas import EVENT_VERSION, ZEEK_EVENTS
+from ..store import measured
 from .binetflow import conform
 from .lines import numbered_lines, require_accepted
 
@@ -30,7 +31,8 @@ def directives(lines: DataFrame) -> DataFrame:
 def parse(spark: SparkSession, path: str | list[str], scenario: str | None, ingested_at: str, dataset: str = "zeek", version: str = "1", transformation: str = "1.0.0", strict_text: bool = False, fail_on_rejects: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted events, issues, classified rows. With ``strict_text`` a file that is not UTF-8 fails the job; with ``fail_on_rejects`` any issue does."""
     lines = numbered_lines(spark, path, strict_text)
-    ruled = directives(lines).select(F.col("file").alias("of"), F.col("line_no").alias("since"), "until", "sep", "fields")  # a few rows a file
+    # a few rows a file, each with the lines for which it is in force: lines of later splits find theirs without a shuffle of lines
+    ruled = measured(directives(lines).select(F.col("file").alias("of"), F.col("line_no").alias("since"), "until", "sep", "fields"), "directives")
     body = lines.where(~F.col("value").startswith("#") & (P.strip(F.col("value")) != ""))
     rows = body.join(ruled, (F.col("file") == F.col("of")) & (F.col("line_no") > F.col("since")) & (F.col("line_no") < F.col("until")), "left").drop("of", "since", "until")
     values = F.split("value", F.concat(F.lit("\\Q"), F.coalesce("sep", F.lit("\t")), F.lit("\\E")), -1)

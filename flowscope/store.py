@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Rows of a measured table that is broadcast at most; rows of such tables are of a few hundred bytes.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a stored table that joins broadcast, if it has ``BROADCAST_ROWS`` at most; a larger one is joined as Spark sees fit."""
+    small = staged(rows, name)
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like ``name`` that is not among ``taken`` (whatever the case)."""
     low = {c.lower() for c in taken}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowscope.operators import contracts, evaluate as E, models, rules, sinks, studies, windows
 from flowscope.plans.flows import flows_from_events
 from flowscope.schemas import FLOW_FEATURES
-from flowscope.sources import binetflow, lines, stored, zeek
+from flowscope.sources import binetflow, lines, records, stored, zeek
 
 
 @pytest.fixture(scope="module")
@@ -119,16 +119,86 @@ def test_study_artifacts(spark, tmp_path):
             stored.study_cases(held, version, sealed)
 
 
+SOURCE = {"source_type": "synthetic", "source_dataset": "d", "dataset_version": "1.0.0", "source_event_id": "e1", "raw_payload_reference": "a/b.json", "raw_checksum": None}
+PROVENANCE = {"adapter_name": "x", "adapter_version": "1.0.0", "transformation_version": "1.0.0", "processed_at": "2026-09-20T12:00:01Z", "quality_flags": []}
+DETAILS = {"kind": "network", "src_ip": "192.0.2.10", "dst_ip": "2001:DB8::1", "src_port": 1, "dst_port": "443", "session_duration_seconds": 1.25, "network_bytes": 80.0, "tunnel_parents": ["a", " b "]}
+EVENT = {"schema_version": "1.0.0", "source": SOURCE, "observed_at": "2026-09-20T12:00:00+02:00", "ingested_at": "2026-09-20T12:00:00Z", "event_type": " x ", "session_id": None, "ground_truth_label": "benign", "label_source": "l", "details": DETAILS, "provenance": PROVENANCE}
+
+
+def without(d, *keys):
+    return {k: v for k, v in d.items() if k not in keys}
+
+
+BAD_EVENTS = [
+    ({**EVENT, "observed_at": "2026-09-20T12:00:00"}, "observed_at_without_zone"),
+    ({**EVENT, "observed_at": "2026-13-20T12:00:00Z"}, "observed_at_value"),
+    ({**EVENT, "details": {**DETAILS, "src_port": 70000}}, "src_port_range"),
+    ({**EVENT, "details": {**DETAILS, "dst_port": "abc"}}, "dst_port_type"),
+    ({**EVENT, "details": {**DETAILS, "dst_port": 80.5}}, "dst_port_type"),
+    ({**EVENT, "details": {**DETAILS, "dst_port": [80]}}, "dst_port_type"),
+    ({**EVENT, "details": {**DETAILS, "more": 1}}, "details_unknown_key"),
+    ({**EVENT, "details": {**DETAILS, "source_label": "x"}}, "details_unknown_key"),
+    ({**EVENT, "details": {**DETAILS, "src_ip": "999.1.1.1"}}, "src_ip_address"),
+    ({**EVENT, "details": {**DETAILS, "src_ip": 7}}, "src_ip_type"),
+    ({**EVENT, "details": {**DETAILS, "tunnel_parents": ["a", 1]}}, "tunnel_parents_value"),
+    ({**EVENT, "details": {**DETAILS, "tunnel_parents": None}}, "tunnel_parents_null"),
+    ({**EVENT, "details": {**DETAILS, "network_bytes": -1}}, "network_bytes_range"),
+    ({**EVENT, "details": {**DETAILS, "protocol": "  "}}, "protocol_empty"),
+    ({**EVENT, "details": without(DETAILS, "kind")}, "kind_missing"),
+    ({**EVENT, "details": {"kind": "other"}}, "kind_value"),
+    ({**EVENT, "details": {"kind": "command"}}, "command_missing"),
+    ({**EVENT, "details": {"kind": "command", "command": "x" * 8193}}, "command_length"),
+    ({**EVENT, "details": {"kind": "authentication", "outcome": None}}, "outcome_null"),
+    ({**EVENT, "details": {"kind": "ctu13_flow"}}, "source_label_missing"),
+    ({**EVENT, "details": "text"}, "details_type"),
+    ({**EVENT, "source": {**SOURCE, "more": None}}, "source_unknown_key"),
+    ({**EVENT, "source": without(SOURCE, "source_dataset")}, "source_dataset_missing"),
+    ({**EVENT, "source": {**SOURCE, "source_event_id": None}}, "source_event_id_null"),
+    ({**EVENT, "source": {**SOURCE, "raw_checksum": "ab"}}, "raw_checksum_value"),
+    ({**EVENT, "source": {**SOURCE, "source_type": "flow"}}, "source_type_value"),
+    (without(EVENT, "source"), "source_missing"),
+    (without(EVENT, "provenance"), "provenance_missing"),
+    ({**EVENT, "provenance": {**PROVENANCE, "processed_at": "2026-09-20T12:00:01"}}, "processed_at_without_zone"),
+    ({**EVENT, "provenance": {**PROVENANCE, "adapter_version": "1"}}, "adapter_version_value"),
+    ({**EVENT, "provenance": {**PROVENANCE, "more": 1}}, "provenance_unknown_key"),
+    ({**EVENT, "label_source": None}, "known_label_without_source"),
+    ({**EVENT, "more": 1}, "unknown_key"),
+    ({**EVENT, "event_id": "x"}, "event_id_value"),
+    ({**EVENT, "event_id": "00000000-0000-5000-8000-000000000000"}, "event_id_mismatch"),
+    ({**EVENT, "ground_truth_label": "unknown", "attack_category": "c"}, "unknown_label_with_category"),
+    ({**EVENT, "ground_truth_label": None}, "ground_truth_label_null"),
+    ({**EVENT, "event_type": 5}, "event_type_type"),
+    ([], "not_json"),
+]
+
+
 def test_canonical_events(spark):
-    source = {"source_type": "flow", "source_dataset": "d", "scenario_id": "s", "dataset_version": "1", "source_event_id": "e1"}
-    good = {"source": source, "observed_at": "2026-09-20T12:00:00+02:00", "ingested_at": "2026-09-20T12:00:00Z", "event_type": "x", "ground_truth_label": "benign", "label_source": "l", "details": {"src_port": 1}}
-    bad = [{**good, "observed_at": "2026-09-20T12:00:00"}, {**good, "details": {"src_port": 70000}}, {**good, "label_source": None}, {**good, "more": 1}, {**good, "event_id": "x"}, {**good, "ground_truth_label": "unknown", "attack_category": "c"}]
-    rows = spark.createDataFrame([(json.dumps(r),) for r in [good, *bad]] + [("{",), (None,)], "value string")
-    events, wrong = stored.canonical_events(rows)
-    e = events.first()
-    assert events.count() == 1 and e.observed_at.isoformat() == "2026-09-20T10:00:00" and len(e.event_id) == 36 and e.src_port == 1
-    found = {v for r in wrong.collect() for v in r.violations}
-    assert wrong.count() == 8 and found >= {"observed_at_without_zone", "src_port_range", "known_label_without_source", "unknown_key", "event_id_mismatch", "unknown_label_with_category", "not_json"}
+    fine = [EVENT, without(EVENT, "schema_version", "session_id"), {**EVENT, "details": None}, {**EVENT, "details": {"kind": "http", "method": "GET"}}, {**EVENT, "details": {"kind": "generic", "fields": {"a": [1]}}}]
+    fine += [{**EVENT, "details": {**DETAILS, "kind": "ctu13_flow", "source_label": "flow=x", "source_tos": 0}}, {**without(EVENT, "ground_truth_label"), "label_source": None}]
+    events, _ = records.canonical_events(spark.createDataFrame([(json.dumps(r),) for r in fine], "value string"))
+    rows = events.collect()
+    assert len(rows) == len(fine) and len({r.event_id for r in rows}) == 1
+    e = rows[0]
+    assert (e.observed_at.isoformat(), e.event_type, e.src_port, e.dst_port, e.network_bytes, e.dst_ip, e.tunnel_parents, e.quality_flags) == ("2026-09-20T10:00:00", "x", 1, 443, 80, "2001:db8::1", '["a","b"]', "[]")
+    assert [r.details_kind for r in rows] == ["network", "network", None, "http", "generic", "ctu13_flow", "network"] and json.loads(rows[4].details_json)["fields"] == {"a": [1]}
+    again, _ = records.canonical_events(spark.createDataFrame([(json.dumps({**EVENT, "event_id": f"{{{e.event_id.upper()}}}"}),)], "value string"))
+    assert again.count() == 1
+    rows = spark.createDataFrame([(json.dumps(r),) for r, _ in BAD_EVENTS] + [("{",), (None,), ("",)], "value string")
+    good, wrong = records.canonical_events(rows)
+    found = {r.value: r.violations for r in wrong.collect()}
+    assert good.isEmpty() and {found[json.dumps(r)][0]: len(found[json.dumps(r)]) for r, _ in BAD_EVENTS} == {v: 1 for _, v in BAD_EVENTS}
+    assert all(found[json.dumps(r)] == [v] for r, v in BAD_EVENTS) and found[None] == found[""] == found["{"] == ["not_json"]
+
+
+def test_detection_records(spark, flows, tmp_path):
+    made = rules.detections(flows)
+    sinks.write_detections(made, str(tmp_path / "d"), "2024-01-01T00:00:00Z", "note")
+    good, wrong = records.detections(spark.read.text(str(tmp_path / "d")))
+    assert wrong.isEmpty() and good.count() == made.count() > 0
+    r = good.where("array_contains(triggered_rules, 'icmp_packet_burst')").first()
+    assert [e.field for e in r.supporting_evidence] == ["protocol", "packet_count"] and r.severity == "medium"
+    with pytest.raises(Exception, match="broken detection: score_range"):
+        sinks.write_detections(made.withColumn("score", F.lit(2.0)), str(tmp_path / "e"), "2024-01-01T00:00:00Z", "note")
 
 
 def test_split_and_stored_studies(spark, flows, features, tmp_path):
