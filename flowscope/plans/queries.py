@@ -78,7 +78,7 @@ def flow_features(spark, sf):
     return windows.features(flows(spark, sf), "1.0.0").select("event_id", "feature_version", *FLOW_FEATURES)
 
 
-def _prior_sql(ties: bool, columns: list[str]) -> str:
+def _prior_sql(ties: bool, columns: list[str], DAY: int = DAY, WEEK: int = WEEK) -> str:  # noqa: N803
     day, week = DAY * 1_000_000, WEEK * 1_000_000
     d = f"p.us > f.us - {day}"
     every = {
