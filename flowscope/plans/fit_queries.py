@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import boosting, evaluate as E, linear, models, packed, sinks, windows
+from ..operators import boosting, evaluate as E, linear, models, packed, sinks, studies, windows
 from ..schemas import BEHAVIORAL_FEATURES, CAUSAL_FEATURES, FLOW_FEATURES
 from ..sources import stored
 from ..store import new_path
@@ -15,7 +15,7 @@ _PAIR = ["log_total_bytes", "duration_seconds"]
 _STEPS = 40
 
 
-def _solved(rows: str, slope: str, curve: str) -> str:
+def _solved(rows: str, slope: str, curve: str, name: str = "") -> str:
     """Newton steps from nothing over ``rows`` (x, y, s, weight): weights a, b of two standardised features and c of a constant one, all of which count in the penalty."""
     sums = {"g1": "a + sum(w * (SLOPE) * s * x)", "g2": "b + sum(w * (SLOPE) * s * y)", "g3": "c + sum(w * (SLOPE) * s)"}
     sums |= {"h11": "1 + sum(w * (CURVE) * x * x)", "h22": "1 + sum(w * (CURVE) * y * y)", "h33": "1 + sum(w * (CURVE))", "h12": "sum(w * (CURVE) * x * y)", "h13": "sum(w * (CURVE) * x)", "h23": "sum(w * (CURVE) * y)"}
@@ -24,12 +24,12 @@ def _solved(rows: str, slope: str, curve: str) -> str:
     d1 = "(g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3))"
     d2 = "(h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13))"
     d3 = "(h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13))"
-    return f"""steps AS (
+    return f"""steps{name} AS (
   SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
   UNION ALL
   SELECT k + 1, a - {d1} / {det}, b - {d2} / {det}, c - {d3} / {det} FROM (
-    SELECT k, a, b, c, {shown} FROM (SELECT *, s * (a * x + b * y + c) AS z FROM steps, {rows} WHERE k < {_STEPS}) GROUP BY k, a, b, c)),
-fitted AS (SELECT a, b, c FROM steps WHERE k = {_STEPS})"""
+    SELECT k, a, b, c, {shown} FROM (SELECT *, s * (a * x + b * y + c) AS z FROM steps{name}, {rows} WHERE k < {_STEPS}) GROUP BY k, a, b, c)),
+fitted{name} AS (SELECT a, b, c FROM steps{name} WHERE k = {_STEPS})"""
 
 
 _LINEAR_ROWS = f"""f AS (SELECT event_id, ground_truth_label AS label, {', '.join(f'{_FLOW_SQL[c]} AS {c}' for c in _PAIR)} FROM flows),
@@ -83,6 +83,65 @@ def sigmoid_scores(spark, sf):
     return _four(rows.withColumn("score", 1 / (1 + F.exp(F.col("score") * a + b))))
 
 
+#: Slope and curvature of each loss at z.
+_LOSSES = {"svm": ("-2 * greatest(0, 1 - z)", "CASE WHEN z < 1 THEN 2.0 ELSE 0.0 END"), "regression": ("-1 / (1 + exp(z))", "1 / (1 + exp(z)) * (1 - 1 / (1 + exp(z)))")}
+_TRAIN = "scenario_id = 'cap-0'"
+
+
+def _studied(detectors: dict[str, tuple[str, bool, str]]) -> str:
+    """``scores`` of all flows by linear detectors (name: loss, balanced, columns x and y as they are used), fitted on one scenario's known rows."""
+    out = [f"""f AS (SELECT event_id, scenario_id, ground_truth_label AS label, {', '.join(f'{_FLOW_SQL[c]} AS {c}' for c in _PAIR)} FROM flows),
+n AS (SELECT count(*) FILTER (label = 'malicious') AS bad, count(*) FILTER (label = 'benign') AS good, {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS d{i}' for i, c in enumerate(_PAIR))} FROM f WHERE label <> 'unknown' AND {_TRAIN}),
+z AS (SELECT event_id, scenario_id, label, ({_PAIR[0]} - m0) / d0 AS x, ({_PAIR[1]} - m1) / d1 AS y FROM f, n)"""]
+    parts = []
+    for i, (name, (loss, balanced, used)) in enumerate(detectors.items()):
+        weight = "(bad + good) / (2.0 * CASE WHEN label = 'malicious' THEN bad ELSE good END)" if balanced else "1.0"
+        out.append(f"pool{i} AS (SELECT {used}, CASE WHEN label = 'malicious' THEN 1.0 ELSE -1.0 END AS s, {weight} AS w FROM z, n WHERE label <> 'unknown' AND {_TRAIN})")
+        out.append(_solved(f"pool{i}", *_LOSSES[loss], str(i)))
+        out.append(f"m{i} AS (SELECT event_id, scenario_id, label, a * x + b * y + c AS v FROM (SELECT event_id, scenario_id, label, {used} FROM z), fitted{i})")
+        score = "1 / (1 + exp(-v))" if loss == "regression" else f"greatest(0, least(1, (v - (SELECT min(v) FROM m{i} WHERE label <> 'unknown' AND {_TRAIN})) / (SELECT max(v) - min(v) FROM m{i} WHERE label <> 'unknown' AND {_TRAIN})))"
+        parts.append(f"SELECT '{name}' AS detector, event_id, scenario_id, label, {score} AS score FROM m{i}")
+    return ", ".join(out) + f", scores AS ({' UNION ALL '.join(parts)})"
+
+
+_BOTH = {f"{k}/{w}": (k, w == "balanced", "x, y") for k in _LOSSES for w in ("balanced", "unweighted")}
+_KINDS = {"svm": {"model": "linear_svm"}, "regression": {"model": "logistic_regression"}}
+_OLD = f"WITH {F0}, {S0}"
+
+
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = windows.features(flows(spark, sf), "1.0.0").select("event_id", "scenario_id", "ground_truth_label", *[F.round(c, 6).alias(c) for c in _PAIR])
+    return rows.where(_TRAIN), rows
+
+
+_BEST = SQL["best_threshold"].removeprefix(_OLD).replace("SELECT detector, threshold, f1, recall, precision FROM r WHERE i = 1", "")
+
+
+@query("study_comparison", f"WITH RECURSIVE {F0}, {_studied(_BOTH)}{_BEST}, chosen AS (SELECT detector, threshold FROM r WHERE i = 1) SELECT m.*, 'fixed' AS choice, 'pair' AS features FROM m WHERE threshold = 0.5 UNION ALL SELECT m.*, 'tuned', 'pair' FROM m JOIN chosen USING (detector, threshold)")
+def study_comparison(spark, sf):
+    """Two models, balanced or not, each at a fixed and at the tuned threshold."""
+    return studies.comparison(*_split(spark, sf), {"pair": _PAIR}, _KINDS)
+
+
+@query("study_operating_points", SQL["operating_point"].replace(_OLD, f"WITH RECURSIVE {F0}, {_studied({k: (k, True, 'x, y') for k in _LOSSES})}"))
+def study_operating_points(spark, sf):
+    return studies.stability(*_split(spark, sf), _PAIR, _KINDS, floor=0.3)["operating_points"]
+
+
+@query("study_volume", SQL["alert_volume"].replace(_OLD, f"WITH RECURSIVE {F0}, {_studied({k: (k, True, 'x, y') for k in _LOSSES})}"))
+def study_volume(spark, sf):
+    return studies.at_thresholds(studies.detector_scores(*_split(spark, sf), _PAIR, _KINDS)[0], dict.fromkeys(_KINDS, 0.5))["volume"]
+
+
+_DROPPED = {"none": "x, y", "bytes": "0.0 AS x, y", "duration": "x, 0.0 AS y"}
+
+
+@query("study_ablation", SQL["binary_metrics"].replace(_OLD, f"WITH RECURSIVE {F0}, {_studied({k: ('regression', True, u) for k, u in _DROPPED.items()})}").replace("SELECT *, round", "SELECT detector AS without, tp, fp, fn, tn, round"))
+def study_ablation(spark, sf):
+    """Metrics with both features, and without each."""
+    return studies.ablation(*_split(spark, sf), _PAIR, _KINDS["regression"], 0.5, {"bytes": _PAIR[:1], "duration": _PAIR[1:]})
+
+
 _FLAGS = ["duration_missing", "total_bytes_missing", "src_port_missing", "dst_port_http", "dst_port_dns", "protocol_tcp", "protocol_udp", "protocol_icmp", "direction_forward", "direction_reverse", "direction_other", "state_missing"]
 _L2, _RATE = boosting.Options.l2, boosting.Options.rate
 
