@@ -20,9 +20,9 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, size:
     within = Window.partitionBy(part, *group).orderBy(*order)
     counts = cut.groupBy(part, *group).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select(F.col(part).alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], before.alias("_base"), F.sum("n").over(Window.partitionBy(*group)).alias("_size"))
+    base = counts.select(F.col(part).alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], before.alias("_base"), *([F.sum("n").over(Window.partitionBy(*group)).alias("_size")] if size else []))
     placed = cut.withColumn(name, (F.row_number().over(within) - 1).cast("long"))
     same = placed[part] == base["_p"]
     for i, c in enumerate(group):
         same &= placed[c].eqNullSafe(base[f"_g{i}"])
-    return placed.join(base, same).select(*[placed[c] for c in df.columns], (placed[name] + base["_base"]).alias(name), *[base["_size"].alias(size)] * bool(size))
+    return placed.join(base, same).select(*[placed[c] for c in df.columns], (placed[name] + base["_base"]).alias(name), *([base["_size"].alias(size)] if size else []))

@@ -11,6 +11,8 @@ pivots, so that their bounds are a table of known size on the driver. An annulus
 ``QUERY_CHUNK`` queries ask for it. A query's vector goes once to each annulus that it searches, which is little beside the
 ``annulus_rows`` products or more that it makes there; this holds too where the bounds prune nothing.
 
+Scores are 64-bit: the sum of squares of a vector's integer components must stay below ``LIMIT``, and so does every score then; a longer vector raises with its vec_id.
+
 Cases: vectors that are null, or hold null or non-finite components, and rows of a null vec_id take no part; shorter vectors
 count as filled up with zeros; rows of an equal vec_id are queries and candidates each, and only a query's own row is no
 candidate of it; ties go to the smaller vec_id; with fewer candidates than k all are returned; an empty table gives no rows.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import numbered
 from .store import staged
@@ -31,13 +33,23 @@ ANNULI = 8192
 ANNULUS_ROWS = 1024
 FIRST = 4
 QUERY_CHUNK = 4096
+#: Largest sum of squares of a vector: a little below 2^63, for it is summed in double precision.
+LIMIT = float((1 << 63) - (1 << 30))
+#: Queries whose bounds of all annuli are in memory at once.
+BOUNDED = 256
 
 
 def integer_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """row (a number of the row; store the table before it is used), vec_id, v: floor(scale * x) of each component, where all are finite numbers."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = embeddings.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite)
-    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: _floor(x.cast("double") * scale, F.col(vec_id))).alias("v"))
+
+
+def _floor(x: Column, vec_id: Column) -> Column:
+    """The integer below; a component beyond 2^32 has a square beyond the limit."""
+    long = F.raise_error(F.concat(F.lit("scores of vector "), vec_id.cast("string"), F.lit(" would not fit 64 bits"))).cast("long")
+    return F.when(F.abs(x) < float(1 << 32), F.floor(x)).otherwise(long)
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -60,11 +72,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     """query_id, rank, vec_id, score for each row of ``queries`` against all ``vectors`` (both row, vec_id, v; stored tables)."""
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    shape = vectors.select(F.size("v").alias("d"), norm.alias("n"), F.array_max(F.transform("v", F.abs)).alias("m")).agg(F.count("*").alias("rows"), F.max("d").alias("dims"), F.max("n").alias("norm"), F.max("m").alias("most")).first()
+    shape = vectors.select("vec_id", F.size("v").alias("d"), norm.alias("n"), F.array_max(F.transform("v", F.abs)).alias("m")).agg(F.count("*").alias("rows"), F.max("d").alias("dims"), F.max("n").alias("norm"), F.max_by("vec_id", "n").alias("longest"), F.max("m").alias("most")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not shape["rows"]:
         return empty
     dims, top = max(shape["dims"], 1), float(shape["norm"])
+    if top >= LIMIT:
+        raise ValueError(f"scores of vector {shape['longest']} would not fit 64 bits")
     exact = dims * float(shape["most"] or 0) ** 2 < 2**52  # then sums of products are whole in double precision
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     centre = np.unique(_matrix(pd.Series([r["v"] for r in sample]), dims), axis=0)
@@ -89,18 +103,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     def pairs(first: bool):
         """The annuli that a query searches; ``least`` is the k-th score that it has so far."""
         def choose(batches):
-            for batch in batches:
-                q = _matrix(batch.column(1).to_pandas(), dims)
-                norms = np.square(q).sum(1)
-                d = np.sqrt(np.maximum(0, (norms + top)[:, None] - 2 * q @ centre.T))[:, at]
-                gap = np.maximum(0, np.maximum(d - far, near - d) - 1e-7 * (1 + d))
-                most = ((norms + top)[:, None] - np.square(gap)) / 2 + slack
-                early = np.zeros(most.shape, bool)
-                np.put_along_axis(early, np.argsort(-most, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-                asked = early if first else ~early & (most >= batch.column(2).to_numpy()[:, None])
-                who, which = np.nonzero(asked)
-                who = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(names[which].tolist(), pa.string()), batch.column(0).take(who), batch.column(1).take(who)], names=["annulus", "query", "q"])
+            for whole in batches:
+                for batch in (whole.slice(a, BOUNDED) for a in range(0, whole.num_rows, BOUNDED)):
+                    q = _matrix(batch.column(1).to_pandas(), dims)
+                    norms = np.square(q).sum(1)
+                    d = np.sqrt(np.maximum(0, (norms + top)[:, None] - 2 * q @ centre.T))[:, at]
+                    gap = np.maximum(0, np.maximum(d - far, near - d) - 1e-7 * (1 + d))
+                    most = ((norms + top)[:, None] - np.square(gap)) / 2 + slack
+                    early = np.zeros(most.shape, bool)
+                    np.put_along_axis(early, np.argsort(-most, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+                    asked = early if first else ~early & (most >= batch.column(2).to_numpy()[:, None])
+                    who, which = np.nonzero(asked)
+                    who = pa.array(who)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[which].tolist(), pa.string()), batch.column(0).take(who), batch.column(1).take(who)], names=["annulus", "query", "q"])
 
         return choose
 

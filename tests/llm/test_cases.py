@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -226,3 +227,16 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         store.shared_dir(Session())
+
+
+def test_vectors_at_the_edge_of_64_bits(spark):
+    """Scores near 2^63 are exact; a longer vector raises with its id."""
+    big = 2.0**20  # 2^30 as an integer component, so that five make 5 * 2^60 in a score
+    rows = [(0, [big] * 5), (1, [big] * 4 + [big / 2]), (2, [-big] * 5), (3, [1.0] * 5), (4, [big] * 4 + [big / 2 - 1 / 1024])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in topk.digest(df).collect()}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    assert got == {i: sum(a * b for a, b in zip(whole[0], whole[i])) for i in (1, 2, 3, 4)} and got[1] - got[4] == 2**30
+    for bad in ([1e15] * 3, [1e30], [2.0**22 - 1] * 2):
+        with pytest.raises(Exception, match="vector 77 would not fit 64 bits"):
+            topk.digest(df.unionByName(spark.createDataFrame([(77, bad)], df.schema))).collect()
