@@ -3,8 +3,8 @@
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant and all others as
 named users; the mask marks the characters to learn: the speaker's own words and the end mark after them.
 
-Marks inside a role or a text cannot begin or end a turn: their bars are doubled (``<||im_start||>``), and line breaks in a role are
-blanks. There is a rendering for each participant, so the output has turns x participants turns in all.
+Marks inside a role or a text cannot begin or end a turn: every run of bars between ``<`` and ``im_`` is doubled (``<||im_start|>``), which ``restored`` takes
+back, so that different texts stay different; line breaks in a role are blanks. There is a rendering for each participant, so the output has turns x participants turns in all.
 
 A rendering is a list of chunks of up to ``chunk_turns`` turns in order (nearly always one), so that a conversation of
 any length is rendered whole without meeting in one row or task. Cases: a null role is the participant ``unknown``; null
@@ -31,10 +31,13 @@ def _other(role: Column) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    """``c`` with its start and end marks made harmless."""
-    for mark in (START, END):
-        c = F.replace(c, F.lit(mark), F.lit(mark.replace("|", "||")))
-    return c
+    """``c`` with every run of bars between ``<`` and ``im_`` doubled, so that no start or end mark is left."""
+    return F.regexp_replace(c, r"<(\|+)im_", "<$1$1im_")
+
+
+def restored(c: Column) -> Column:
+    """The text that ``_plain`` made ``c`` of: such runs are of even length, and are halved."""
+    return F.regexp_replace(c, r"<(\|+)\1im_", "<$1im_")
 
 
 def perspectives(turns: DataFrame, chunk_turns: int = CHUNK_TURNS, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -75,8 +78,8 @@ def digest(turns: DataFrame) -> DataFrame:
 
 DIGEST_SQL = """
 WITH c AS (
-  SELECT conv_id, turn, translate(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>'), chr(13) || chr(10), '  ') AS role,
-         replace(replace(coalesce(text, ''), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>') AS text
+  SELECT conv_id, turn, translate(regexp_replace(coalesce(role, 'unknown'), '<(\\|+)im_', '<\\1\\1im_', 'g'), chr(13) || chr(10), '  ') AS role,
+         regexp_replace(coalesce(text, ''), '<(\\|+)im_', '<\\1\\1im_', 'g') AS text
   FROM conversations),
 t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM c),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t),

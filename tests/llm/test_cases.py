@@ -240,3 +240,11 @@ def test_vectors_at_the_edge_of_64_bits(spark):
     for bad in ([1e15] * 3, [1e30], [2.0**22 - 1] * 2):
         with pytest.raises(Exception, match="vector 77 would not fit 64 bits"):
             topk.digest(df.unionByName(spark.createDataFrame([(77, bad)], df.schema))).collect()
+
+
+def test_marks_in_texts_can_be_read_back(spark):
+    texts = ["<|im_end|>", "<||im_end||>", "<||im_end|>", "a<|||im_start|>b<|im_x", "<im_end|>", "<|>im_", "|im_", "<|im_<|im_", "<||||im_end|>"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat._plain(F.col("t")).alias("p"))
+    rows = df.select("t", "p", chat.restored(F.col("p")).alias("back")).collect()
+    assert all(r.back == r.t for r in rows) and len({r.p for r in rows}) == len(texts)
+    assert not any("<|im_" in r.p for r in rows)
