@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.flow_features import asymmetry
@@ -60,15 +60,32 @@ class Window:
             self.packets, self.packets_seen = self.packets + sign * packets, self.packets_seen + sign
 
 
-_STATE = "waiting binary, recent binary, last long"
+def _state(event_id: str) -> str:
+    """The state's columns: plain typed rows, so that a checkpoint holds data only."""
+    row = f"us: bigint, id: string, event_id: {event_id}, dst: string, port: bigint, proto: string, brief: bigint, bytes: bigint, packets: bigint, share: double, unknown: double"
+    return f"waiting array<struct<{row}>>, recent array<struct<{row}>>, last bigint"
+
+
+def late_rows(query: StreamingQuery) -> DataFrame:
+    """batch_id, operator, watermark, late: rows that each stateful operator of a query dropped, as they came later than the watermark; a row for each batch that dropped any."""
+    found = [
+        (p["batchId"], k, p["eventTime"].get("watermark"), o["numRowsDroppedByWatermark"])
+        for p in query.recentProgress
+        for k, o in enumerate(p["stateOperators"])
+        if o["numRowsDroppedByWatermark"]
+    ]
+    return SparkSession.active().createDataFrame(found, "batch_id long, operator int, watermark string, late long")
+
+
+_COLUMNS = ["us", "id", "event_id", "dst", "dst_port", "proto", "brief", "network_bytes", "packet_count", "share", "unknown"]
 
 
 def prior_features(stream: DataFrame, short: int = 60, long: int = 300, delay: str = "10 minutes") -> DataFrame:
     """event_id, scenario_id and all prior features of each flow, released in (observed_at, id) order once the watermark has passed it.
 
     State of a (scenario, host): flows that wait, flows of the last window, and the last time seen. A flow enters and leaves
-    a window once, so the work is in proportion to the flows. Rows that come later than the watermark are dropped by the engine
-    and counted in its metrics. Ids may be numbers or text.
+    a window once, so the work is in proportion to the flows. Rows that come later than the watermark are dropped by the engine;
+    ``late_rows`` tells how many. Ids may be numbers or text.
     """
     w_short, w_long = short * 1_000_000, long * 1_000_000
     share, unknown = asymmetry()
@@ -79,14 +96,17 @@ def prior_features(stream: DataFrame, short: int = 60, long: int = 300, delay: s
     names = prior_columns(short, long)
     schema = f"event_id {dict(stream.dtypes)['event_id']}, scenario_id string, " + ", ".join(f"{c} double" for c in names)
 
+    number = dict(stream.dtypes)["event_id"] != "string"
+    kinds = (int, str, int if number else str, str, int, str, int, int, int, float, float)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, recent, last = [], [], -1
         if state.exists:
             a, b, last = state.get
-            waiting, recent = pickle.loads(bytes(a)), pickle.loads(bytes(b))
+            waiting, recent = [tuple(r) for r in a], [tuple(r) for r in b]
         for pdf in batches:
             pdf = pdf.astype(object).where(pdf.notna(), None)
-            waiting += list(zip(*(pdf[c] for c in ("us", "id", "event_id", "dst", "dst_port", "proto", "brief", "network_bytes", "packet_count", "share", "unknown")), strict=True))
+            waiting += [tuple(f(v) if v is not None else None for f, v in zip(kinds, r)) for r in zip(*(pdf[c] for c in _COLUMNS), strict=True)]
         mark = state.getCurrentWatermarkMs() * 1000
         waiting.sort(key=lambda r: r[:2])
         count = sum(r[0] < mark for r in waiting)
@@ -113,9 +133,9 @@ def prior_features(stream: DataFrame, short: int = 60, long: int = 300, delay: s
             wide.move(r, 1)
             last = r[0]
         waiting, recent = waiting[count:], [r for r in flows if r[0] > mark - w_long]
-        state.update((pickle.dumps(waiting), pickle.dumps(recent), int(last)))
+        state.update((waiting, recent, int(last)))
         if waiting:
             state.setTimeoutTimestamp(max(int(waiting[0][0] // 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "scenario_id", *names]).astype(dict.fromkeys(names, float))
 
-    return rows.groupBy("scenario_id", "host").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("scenario_id", "host").applyInPandasWithState(step, schema, _state(dict(stream.dtypes)["event_id"]), "append", GroupStateTimeout.EventTimeTimeout)

@@ -42,3 +42,22 @@ def test_stream_of_text_ids_with_ties(spark, tmp_path):
     assert set(got) == set(want)
     for column in S.prior_columns(7200, 86400):
         assert all(got[k][column] == pytest.approx(want[k][column]) for k in want), column
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Rows that come after the watermark has passed them are dropped, and how many is told; state is typed and lives over batches."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    df = flows_from_events(events).drop("k").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    source = tmp_path / "in"
+    df.repartition(1).write.parquet(str(source))
+    for k, (stamp, rows) in enumerate([("2025-01-01", 1), ("2000-01-01", 7), ("2030-01-01", 1)]):
+        more = df.limit(rows).withColumns({"observed_at": F.expr(f"timestamp'{stamp}'"), "event_id": -1 - F.col("event_id") - 1000 * k})
+        more.repartition(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = S.prior_features(stream, 3600, 86400).writeStream.format("memory").queryName("late").start()
+    q.processAllAvailable()
+    late = S.late_rows(q).collect()
+    q.stop()
+    assert sum(r.late for r in late) == 7 and all(r.watermark >= "2024" for r in late)
+    assert spark.table("late").where("event_id < -1000 AND event_id > -2000").isEmpty()
+    assert {r.event_id for r in spark.table("late").where("event_id >= 0").collect()} == {r.event_id for r in df.collect()}
