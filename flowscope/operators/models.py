@@ -7,6 +7,7 @@ the tree and the forest; extra trees and the isolation forest are built by Spark
 from __future__ import annotations
 
 import time
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..ordering import running_sums
 from ..store import staged
 from ..together import all_together
-from . import boosting, contracts, linear
+from . import boosting, contracts, linear, packed
 
 SEED = 42
 #: Numbers of a part of a training pool; a fit passes over the pool many times.
@@ -172,7 +173,7 @@ def calibrated(train: DataFrame, rows: DataFrame, names: list[str], model: str =
     return parts.groupBy("event_id", "label").agg(F.avg("score").alias("score"))
 
 
-# -- extra trees: random thresholds, no bootstrap, one job a level --
+# -- extra trees: random thresholds, no bootstrap --
 
 
 @dataclass
@@ -216,39 +217,88 @@ class Growth:
 
     def best(self, sums: np.ndarray) -> np.ndarray:
         """candidate, l0, l1, r0, r1 of the best split of each node, and -1 for a node without a gain."""
-        side = sums.sum(-1)
-        purity = (np.square(sums) / np.maximum(side, 1e-12)[..., None]).sum((-1, -2))
+        side, whole = sums.sum(-1), sums[:, 0].sum(1)
+        all_ = np.maximum(whole.sum(1), 1e-12)
+        # of a node's weight, and rounded, so that equal splits are equal in whatever order their rows are summed: the first counts
+        purity = np.round((np.square(sums) / np.maximum(side, 1e-12)[..., None]).sum((-1, -2)) / all_[:, None], 10)
         purity[(side <= 0).any(-1)] = -1.0
         pick = purity.argmax(1)
         rows = np.arange(len(pick))
-        whole = sums[:, 0].sum(1)
-        parent = np.square(whole).sum(1) / np.maximum(whole.sum(1), 1e-12)
-        gains = purity[rows, pick] > parent + 1e-9
+        gains = purity[rows, pick] > np.square(whole / all_[:, None]).sum(1) + 1e-9
         return np.column_stack((np.where(gains, pick, -1), sums[rows, pick].reshape(-1, 4)))
 
 
-def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int = 200, depth: int = 12, seed: int = SEED) -> DataFrame:
+class Growing:
+    """A tree as it grows level by level; its random candidates depend on its number alone, wherever it grows."""
+
+    def __init__(self, seed: int, number: int, low: np.ndarray, high: np.ndarray):
+        self.rng, self.tries = np.random.default_rng([seed, number]), max(1, int(np.sqrt(len(low))))
+        self.tree = Tree(np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.full(1, 0.5))
+        self.boxes = low[None], high[None]  # of the nodes that may be split: what the splits above leave of each feature's range
+        self.active, self.growth = np.zeros(1, np.int64), None
+
+    def plan(self) -> Growth | None:
+        """The next level's candidates; none when no node may be split."""
+        self.growth = None
+        if len(self.active):
+            f = self.rng.integers(self.boxes[0].shape[1], size=(len(self.active), self.tries))
+            a, b = (np.take_along_axis(x, f, 1) for x in self.boxes)
+            self.growth = Growth(self.active, f, a + self.rng.random(f.shape) * (b - a))
+        return self.growth
+
+    def split(self, best: np.ndarray) -> None:
+        """Take the best splits (rows of ``Growth.best``)."""
+        tree, growth = self.tree, self.growth
+        weigh = best[:, 1:].reshape(-1, 2, 2)
+        held = weigh.sum((1, 2))
+        tree.value[growth.nodes] = np.where(held > 0, weigh[:, :, 1].sum(1) / np.maximum(held, 1e-12), 0.5)
+        at = np.flatnonzero(best[:, 0] >= 0)
+        if not len(at):
+            self.active = np.empty(0, np.int64)
+            return
+        nodes, pick, n = growth.nodes[at], best[at, 0].astype(int), len(tree.feature)
+        children = n + 2 * np.arange(len(at))
+        tree.feature[nodes], tree.threshold[nodes], tree.left[nodes] = growth.feature[at, pick], growth.cut[at, pick], children
+        share = weigh[at, :, 1] / np.maximum(weigh[at].sum(2), 1e-12)
+        grow = lambda old, new: np.concatenate((old, new)).astype(old.dtype)
+        self.tree = Tree(grow(tree.feature, np.full(2 * len(at), -1)), grow(tree.threshold, np.zeros(2 * len(at))), grow(tree.left, np.zeros(2 * len(at))), grow(tree.value, share.ravel()))
+        self.active = n + np.arange(2 * len(at))
+        lows, highs = (np.repeat(x[at], 2, axis=0) for x in self.boxes)
+        row, f, cut = np.arange(len(at)) * 2, tree.feature[nodes], tree.threshold[nodes]
+        highs[row, f], lows[row + 1, f] = cut, cut
+        self.boxes = lows, highs
+
+
+def _forest_of_a_small_pool(pool: DataFrame, names: list[str], growing: list[Growing], depth: int) -> list[Tree]:
+    """Each tree grows in a task of its own, on a pool of ``boosting.ONE_PART`` values at most, which is broadcast."""
+    spark = pool.sparkSession
+    rows = pool.toPandas()
+    held = spark.sparkContext.broadcast((rows[names].to_numpy(float), rows["_y"].to_numpy(int), rows["_w"].to_numpy(float), growing))
+
+    def run(batches):
+        x, y, w, growing = held.value
+        for pdf in batches:
+            for t in pdf["id"].tolist():
+                own = deepcopy(growing[t])  # a task may run again
+                for _ in range(depth):
+                    if (growth := own.plan()) is None:
+                        break
+                    own.split(growth.best(growth.sums(own.tree, x, y, w)))
+                yield pd.DataFrame({"id": [t], "f": [own.tree.feature.astype(float)], "c": [own.tree.threshold], "l": [own.tree.left.astype(float)], "v": [own.tree.value]})
+
+    tasks = min(len(growing), 4 * spark.sparkContext.defaultParallelism)
+    made = spark.range(0, len(growing), 1, tasks).mapInPandas(run, "id long, f array<double>, c array<double>, l array<double>, v array<double>").collect()  # a row a tree
+    return [Tree(np.array(r.f, np.int64), np.array(r.c), np.array(r.l, np.int64), np.array(r.v)) for r in sorted(made, key=lambda r: r.id)]
+
+
+def _forest_by_levels(pool: DataFrame, names: list[str], growing: list[Growing], depth: int) -> list[Tree]:
     """Class weights of all (tree, node, candidate split) are summed on executors, which choose the best split of each node.
 
-    A task sends one array of sums a tree; the driver gets five numbers a node.
+    A task sends one array of sums a tree and level; the driver gets five numbers a node.
     """
-    pool = contracts.guard_training(known(train))
-    weights = {r["ground_truth_label"]: r["weight"] for r in balanced_weights(pool).collect()}
-    weight = F.coalesce(*[F.when(F.col("ground_truth_label") == k, v) for k, v in weights.items()])
-    pool = pool.select(*names, target().alias("_y"), weight.alias("_w")).cache()
-    span = pool.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("a", F.min), ("b", F.max))]).first()
-    low, high = (np.array([span[f"{k}{i}"] for i in range(len(names))], float) for k in "ab")
-    rng, tries = np.random.default_rng(seed), max(1, int(np.sqrt(len(names))))
-    forest = [Tree(np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.full(1, 0.5)) for _ in range(trees)]
-    boxes = [(low[None], high[None])] * trees  # of the nodes that may be split: what the splits above leave of each feature's range
-    active = [np.zeros(1, np.int64)] * trees
     for _ in range(depth):
-        plan = {}
-        for t, nodes in enumerate(active):
-            if len(nodes):
-                f = rng.integers(len(names), size=(len(nodes), tries))
-                a, b = (np.take_along_axis(x, f, 1) for x in boxes[t])
-                plan[t] = Growth(nodes, f, a + rng.random(f.shape) * (b - a))
+        plan = {t: growth for t, g in enumerate(growing) if (growth := g.plan()) is not None}
+        forest = [g.tree for g in growing]
         if not plan:
             break
 
@@ -263,30 +313,23 @@ def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int
 
         def choose(key, pdf):  # it runs before the next level is planned
             t = int(key[0])
-            whole = sum(np.frombuffer(x) for x in pdf["x"]).reshape(-1, tries, 2, 2)
+            whole = sum(np.frombuffer(x) for x in pdf["x"]).reshape(-1, plan[t].feature.shape[1], 2, 2)
             return pd.DataFrame({"t": [t], "x": [plan[t].best(whole).tobytes()]})
 
-        found = pool.mapInPandas(sums, "t int, x binary").groupBy("t").applyInPandas(choose, "t int, x binary").collect()
-        active = [np.empty(0, np.int64)] * trees
-        for t, x in found:
-            best, tree, growth = np.frombuffer(x).reshape(-1, 5), forest[t], plan[t]
-            weigh = best[:, 1:].reshape(-1, 2, 2)
-            held = weigh.sum((1, 2))
-            tree.value[growth.nodes] = np.where(held > 0, weigh[:, :, 1].sum(1) / np.maximum(held, 1e-12), 0.5)
-            split = np.flatnonzero(best[:, 0] >= 0)
-            if not len(split):
-                continue
-            nodes, pick, n = growth.nodes[split], best[split, 0].astype(int), len(tree.feature)
-            children = n + 2 * np.arange(len(split))
-            tree.feature[nodes], tree.threshold[nodes], tree.left[nodes] = growth.feature[split, pick], growth.cut[split, pick], children
-            share = weigh[split, :, 1] / np.maximum(weigh[split].sum(2), 1e-12)
-            grow = lambda old, new: np.concatenate((old, new)).astype(old.dtype)
-            forest[t] = Tree(grow(tree.feature, np.full(2 * len(split), -1)), grow(tree.threshold, np.zeros(2 * len(split))), grow(tree.left, np.zeros(2 * len(split))), grow(tree.value, share.ravel()))
-            active[t] = n + np.arange(2 * len(split))
-            lows, highs = (np.repeat(x[split], 2, axis=0) for x in boxes[t])
-            at, f, cut = np.arange(len(split)) * 2, tree.feature[nodes], tree.threshold[nodes]
-            highs[at, f], lows[at + 1, f] = cut, cut
-            boxes[t] = (lows, highs)
+        for t, x in pool.mapInPandas(sums, "t int, x binary").groupBy("t").applyInPandas(choose, "t int, x binary").collect():
+            growing[t].split(np.frombuffer(x).reshape(-1, 5))
+    return [g.tree for g in growing]
+
+
+def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int = 200, depth: int = 12, seed: int = SEED, one_part: int = boosting.ONE_PART) -> DataFrame:
+    """Trees with random thresholds, without bootstrap. Pools of up to ``one_part`` values grow their trees side by side, larger ones level by level; the trees are the same."""
+    s = packed.summary(train, names)
+    good, bad = s.weights(True)
+    weight = F.when(F.col("ground_truth_label") == BAD, bad).otherwise(good)
+    pool = known(train).select(*names, target().alias("_y"), weight.alias("_w")).cache()
+    growing = [Growing(seed, t, s.low, s.high) for t in range(trees)]
+    grow = _forest_of_a_small_pool if (s.good + s.bad) * len(names) <= one_part else _forest_by_levels
+    forest = grow(pool, names, growing, depth)
     pool.unpersist()
     held = rows.sparkSession.sparkContext.broadcast(forest)
 

@@ -204,3 +204,13 @@ def test_busy_hosts_are_cut_into_buckets(spark):
     plain, cut = windows.prior_features(rows, most=10**9), windows.prior_features(rows, most=500)
     assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
     assert cut.agg(F.max("prior_source_connections_300s")).first()[0] > 500 and math.isfinite(cut.agg(F.sum("log_seconds_since_prior_source_flow")).first()[0])
+
+
+def test_extra_trees_of_small_and_large_pools_are_the_same(spark):
+    x, y, label = table(600, seed=7, known=False)
+    df = frame(spark, x, label)
+    small, large = ({r.event_id: r.score for r in models.extra_trees(df, df, NAMES, trees=6, depth=5, one_part=k).collect()} for k in (10**6, 0))
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k], abs=1e-12) for k in small)
+    assert len(set(small.values())) > 50
+    with pytest.raises(ValueError, match="both classes"):
+        models.extra_trees(df.where("ground_truth_label <> 'benign'"), df, NAMES, trees=2)
