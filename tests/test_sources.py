@@ -100,3 +100,26 @@ def test_contracts_and_manifest(spark, tmp_path):
     assert contracts.violations(m, contracts.manifest_checks()).first().violations == [] and m.first().record_count == 2
     sinks.write_events(df, BINETFLOW_EVENTS, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_directives_change_across_splits(spark, tmp_path):
+    """Separator and fields change inside a file that is read in many splits; each line obeys what is in force, and lines are not shuffled."""
+    blocks = [("\\x09", "\t", ["ts", "uid", "proto"]), (",", ",", ["uid", "ts", "proto", "service"]), ("\\x09", "\t", ["proto", "uid", "ts"])]
+    lines, want, n = [], {}, 0
+    for k, (shown, sep, fields) in enumerate(blocks * 3):
+        lines += [f"#separator {shown}", sep.join(["#fields", *fields]) if sep == "\t" else "#fields " + sep.join(fields)]
+        for _ in range(200):
+            n += 1
+            cells = {"ts": f"{n}.5", "uid": f"C{n}", "proto": f"p{k}", "service": f"s{n}"}
+            lines.append(sep.join(cells[f] for f in fields))
+            want[f"C{n}"] = (f"p{k}", f"s{n}" if "service" in fields else None)
+    (tmp_path / "conn.log").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        events, issues, _ = zeek.parse(spark, str(tmp_path), "z", "2024-01-01 00:00:00")
+        got = {r.source_event_id: (r.protocol, r.service) for r in events.collect()}
+        plan = events._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and issues.isEmpty()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
