@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import boosting, evaluate as E, linear, models, packed, sinks, studies, windows
+from ..operators import boosting, evaluate as E, linear, models, packed, rules, sinks, studies, windows
 from ..schemas import BEHAVIORAL_FEATURES, CAUSAL_FEATURES, FLOW_FEATURES
 from ..sources import stored
 from ..store import new_path
 from .flows import flows, scores
-from .queries import _FLOW_SQL, F0, S0, SQL, _prior_sql, query
+from .queries import _FIRED, _FLOW_SQL, _RATIOS, F0, S0, SQL, _conf, _prior_sql, query
 
 _PAIR = ["log_total_bytes", "duration_seconds"]
 _STEPS = 40
@@ -133,6 +133,36 @@ def study_volume(spark, sf):
     return studies.at_thresholds(studies.detector_scores(*_split(spark, sf), _PAIR, _KINDS)[0], dict.fromkeys(_KINDS, 0.5))["volume"]
 
 
+_TWO = {k: (k, True, "x, y") for k in _LOSSES}
+
+
+@query("study_baselines", f"""WITH RECURSIVE {F0}, {_FIRED}, {_studied(_TWO)},
+every AS (SELECT * FROM scores UNION ALL SELECT 'rules', event_id, scenario_id, ground_truth_label, CASE WHEN event_id IN (SELECT event_id FROM fired) THEN 1.0 ELSE 0.0 END FROM flows),
+parts AS (SELECT detector, CASE scenario_id WHEN 'cap-1' THEN 'validation' ELSE 'test' END AS split, label, score FROM every WHERE label <> 'unknown' AND scenario_id IN ('cap-1', 'cap-2')),
+c AS ({_conf('detector, split', source='parts')} GROUP BY detector, split),
+g AS (SELECT detector, split, score, count(*) FILTER (label = 'malicious') AS p, count(*) AS n FROM parts GROUP BY ALL),
+u AS (SELECT detector, split, p, sum(p) OVER w AS tp, sum(n) OVER w AS n FROM g WINDOW w AS (PARTITION BY detector, split ORDER BY score DESC)),
+auc AS (SELECT detector, split, round(sum(p * tp / n) / sum(p), 6) AS pr_auc FROM u GROUP BY detector, split)
+SELECT c.*, {_RATIOS}, pr_auc FROM c JOIN auc USING (detector, split)""")
+def study_baselines(spark, sf):
+    """Detectors fitted on one scenario, and the rules, on the known rows of two others, with the area under the precision-recall curve."""
+    train, rows = _split(spark, sf)
+    parts = [rows.where(f"scenario_id = 'cap-{k}'") for k in (1, 2)]
+    return studies.scenario_split(train, *parts, _PAIR, _KINDS, rules.flags(flows(spark, sf)))["metrics"]
+
+
+_POINTS = SQL["operating_point"].removeprefix(_OLD).rpartition("SELECT detector")[0]
+
+
+@query("study_deltas", f"""WITH RECURSIVE {F0}, {_studied({'reference': ('regression', True, 'x, 0.0 AS y'), 'candidate': ('regression', True, 'x, y')})}{_POINTS},
+v AS (SELECT detector, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q, coalesce(fp / nullif(fp + tn, 0), 0) AS f, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS h FROM r WHERE i = 1)
+SELECT 'regression' AS detector, round(c.p - a.p, 6) AS precision_delta, round(c.q - a.q, 6) AS recall_delta, round(c.h - a.h, 6)::DOUBLE AS f1_delta, round(c.f - a.f, 6) AS fpr_delta
+FROM v a, v c WHERE a.detector = 'reference' AND c.detector = 'candidate'""")
+def study_deltas(spark, sf):
+    """One model on one feature and on two, each at its operating point: what the second gains."""
+    return studies.representation(*_split(spark, sf), _PAIR[:1], _PAIR, {"regression": _KINDS["regression"]}, floor=0.3)["deltas"]
+
+
 _DROPPED = {"none": "x, y", "bytes": "0.0 AS x, y", "duration": "x, 0.0 AS y"}
 
 
