@@ -34,8 +34,6 @@ from .words import NOT_BLANK, word_tables
 
 #: Ids of the default tokenizer; another tokenizer may have up to 65,535.
 VOCABULARY = 50_257
-#: Bounds of a model's classes and of their members; it takes as many as its ids need.
-CLASSES, MEMBERS = 256, 257
 #: Passes over the pieces; ids of the warm-up; rates of the warm-up, the first and the last pass.
 ROUNDS = 2
 SHARD_TOKENS = 2_000_000
