@@ -1,7 +1,7 @@
 """Detectors that are fitted on known rows of a training pool and score every row.
 
-Tables hold event_id, ground_truth_label and feature columns. Linear models (``linear``) and boosting (``boosting``) pass over packed pools, MLlib fits
-the tree and the forest; extra trees and the isolation forest are built by Spark jobs whose partial sums or samples are of bounded size.
+Tables hold event_id, ground_truth_label and feature columns. Linear models (``linear``), boosting (``boosting``) and the random forest (``forest``) pass
+over packed pools, MLlib fits the tree; extra trees and the isolation forest are built by Spark jobs whose partial sums or samples are of bounded size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..ordering import running_sums
 from ..store import staged
 from ..together import all_together
-from . import boosting, contracts, linear, packed
+from . import boosting, contracts, forest, linear, packed
 
 SEED = 42
 #: Numbers of a part of a training pool; a fit passes over the pool many times.
@@ -57,12 +57,9 @@ def normalise_range(scores: DataFrame, training: DataFrame, column: str = "score
     return scores.withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - r["a"]) / (r["b"] - r["a"]))))
 
 
-def make(model: str, trees: int = 200, depth: int = 12):
-    at = {"featuresCol": "x", "labelCol": "y", "weightCol": "w"}
+def make(model: str):
     if model == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=20, seed=SEED, **at)
-    if model == "random_forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, seed=SEED, **at)
+        return DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=20, seed=SEED, featuresCol="x", labelCol="y", weightCol="w")
     raise ValueError(f"no model {model}")
 
 
@@ -89,6 +86,9 @@ def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: st
     if model == "gradient_boosting":
         fitted = boosting.fit(train, names, balanced, options.pop("early", None), boosting.Options(**options))
         return fitted.scores(rows), time.perf_counter() - began
+    if model == "random_forest":
+        fitted = forest.fit(train, names, balanced, seed=SEED, **options)
+        return fitted.scores(rows), time.perf_counter() - began
     if model in ("logistic_regression", "linear_svm"):
         fitted = linear.fit(train, names, linear.LOGISTIC if model == "logistic_regression" else linear.SQUARED_HINGE, balanced=balanced, **options)
         seconds = time.perf_counter() - began

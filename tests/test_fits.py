@@ -214,3 +214,50 @@ def test_extra_trees_of_small_and_large_pools_are_the_same(spark):
     assert len(set(small.values())) > 50
     with pytest.raises(ValueError, match="both classes"):
         models.extra_trees(df.where("ground_truth_label <> 'benign'"), df, NAMES, trees=2)
+
+
+def test_forest_splits_as_brute_force():
+    """Counts of drawn rows and the best split of each node, against loops over all splits."""
+    from flowscope.operators import forest
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 2, 9])
+    x = np.column_stack([rng.integers(0, s, 400) for s in sizes]).astype(np.uint8)
+    y = ((x[:, 2] > 4) ^ (rng.random(400) < 0.2)).astype(np.uint8)
+    keys = forest.keys_of([x[:150], x[150:]])
+    times = forest.drawn(keys, 42, 7)
+    assert abs(times.mean() - 1) < 0.2 and (times != forest.drawn(keys, 42, 8)).any()
+    assert (keys == np.concatenate([forest.keys_of([x[:150]]), forest.keys_of([x[150:]])])).all()
+    grown, weights = forest.Growing(42, 7, 3), (0.7, 1.6)
+    for depth in range(3):
+        level = grown.plan()
+        found = forest.counts(grown.tree, level, depth, sizes, x.ravel(), y, times)
+        best = forest.best_splits(level, sizes, found.astype(np.int64), weights)
+        at = grown.tree.route(x.ravel(), np.arange(400) * 3, depth)
+        for node, tried, (feature, cut, *sides) in zip(level.nodes, level.tried, best):
+            feature, cut = int(feature), int(cut)
+
+            def gain(f, c):
+                parts = [[weights[k] * times[(at == node) & (y == k) & ((x[:, f] > c) == right)].sum() for k in (0, 1)] for right in (False, True)]
+                whole = np.sum(parts, axis=0)
+                return sum(np.square(p).sum() / max(sum(p), 1e-12) for p in parts) / whole.sum() - np.square(whole).sum() / whole.sum() ** 2, parts
+            all_ = {(f, c): gain(f, c)[0] for f in tried for c in range(sizes[f] - 1)}
+            if feature < 0:
+                assert max(all_.values()) < 1e-9
+            else:
+                assert np.isclose(all_[feature, cut], max(all_.values())) and np.allclose(np.ravel(gain(feature, cut)[1]), sides)
+        grown.split(level, best)
+
+
+def test_forest_of_many_parts(spark):
+    """A fit over several parts is the same each time it runs, and learns."""
+    from pyspark.sql import functions as F
+
+    from flowscope.operators import models
+
+    rows = spark.range(4000).select("id", F.col("id").alias("event_id"), ((F.col("id") * 7919) % 101).cast("double").alias("a"), ((F.col("id") * 104729) % 7).cast("double").alias("b"))
+    rows = rows.withColumn("ground_truth_label", F.when(F.col("id") % 10 == 0, "unknown").when((F.col("a") > 40) & (F.col("b") > 2), "malicious").otherwise("benign"))
+    runs = [{r.event_id: r.score for r in models.fit_and_score(rows, rows, ["a", "b"], "random_forest", trees=12, depth=6)[0].collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 4000
+    right = [(runs[0][r.event_id] >= 0.5) == (r.ground_truth_label == "malicious") for r in rows.where("ground_truth_label <> 'unknown'").collect()]
+    assert np.mean(right) > 0.99
