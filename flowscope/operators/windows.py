@@ -11,6 +11,8 @@ Hosts may be busy for a long time. Rows are therefore dealt into time buckets of
 copy of the rows of the last window before it, and only a bucket's own rows are kept. Hot hosts then spread over tasks. Where a host has more than
 ``most`` flows in a bucket, the bucket is cut where its flows, counted by slots, fill so many; a slot (a 4,096th of a bucket) is not cut. The
 flow before a bucket's first may be older than the window: the last time of each bucket is carried to the host's next one.
+
+The flows are counted, and buckets are dealt to so many tasks that each has about ``TASK_ROWS`` of them, however large the table is.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ SHORT_SECONDS = 1.0
 #: Own flows of a bucket before it is cut, and slots in which the flows of a bucket are counted for that.
 MOST = 500_000
 SLOTS = 4096
+#: Rows of a task, about: a task sorts its rows several times, wide as they are.
+TASK_ROWS = 100_000
+
+
+def _spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows``, about ``n``, dealt by ``keys`` to so many tasks that each has about ``TASK_ROWS``."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *keys)
 
 
 def _prepared(flows: DataFrame) -> DataFrame:
@@ -83,6 +92,8 @@ def prior_features(flows: DataFrame, short: int = 60, long: int = 300, bucket: i
     wide = max(bucket, short, long) * 1_000_000
     rows = _dealt(rows, wide, max(micros.values()), most)
     group = ["scenario_id", "_host", "_bucket"]
+    # counted over three columns: the copies are among them
+    rows = _spread(rows, rows.select(*group).count(), *group)
     ends = rows.where("_own").groupBy(*group).agg(F.max("_us").alias("_end"))  # a row a bucket
     carried = ends.select(*group, F.lag("_end").over(Window.partitionBy(*group[:2]).orderBy("_bucket")).alias("_carried"))
     rows = rows.join(carried, group, "left")
@@ -171,4 +182,7 @@ def audit(flows: DataFrame, version: str = "1.2.0", short: int = 60, long: int =
     latest = flows.where(F.col("scenario_id").isNotNull()).groupBy("scenario_id").agg(F.max_by(F.struct(*flows.columns), F.struct("observed_at", F.col("event_id").cast("string"))).alias("r")).select("r.*")
     future = latest.withColumns({"event_id": (F.lit(-1) - F.col("event_id")) if dict(flows.dtypes)["event_id"] != "string" else F.concat(F.col("event_id"), F.lit("-future")), "observed_at": F.col("observed_at") + F.expr("INTERVAL 1 SECOND")})
     before, after = make(flows), make(flows.unionByName(future))
-    return before.exceptAll(after)
+    # the rows that are there more often before than after, compared in tasks of bounded size
+    both = before.withColumn("_more", F.lit(1)).unionByName(after.withColumn("_more", F.lit(-1)))
+    more = _spread(both, 2 * flows.count(), "event_id").groupBy(*before.columns).agg(F.sum("_more").alias("_more")).where("_more > 0")
+    return more.withColumn("_more", F.explode(F.sequence(F.lit(1), F.col("_more").cast("int")))).drop("_more")

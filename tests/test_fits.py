@@ -261,3 +261,20 @@ def test_forest_of_many_parts(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 4000
     right = [(runs[0][r.event_id] >= 0.5) == (r.ground_truth_label == "malicious") for r in rows.where("ground_truth_label <> 'unknown'").collect()]
     assert np.mean(right) > 0.99
+
+
+def test_window_tasks_grow_with_the_flows(spark, monkeypatch):
+    """Buckets are dealt to tasks by the number of flows, and the features and the audit are the same."""
+    from pyspark.sql import functions as F
+
+    events = spark.range(3000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 700).alias("ts"), (F.col("id") % 40).alias("user_id"), F.lit("error").alias("event_type"), (F.col("id") % 90 + 0.5).alias("value"), F.concat(F.lit('{"k": '), (F.col("id") % 100).cast("string"), F.lit("}")).alias("props"))
+    flows = flows_from_events(events).drop("k")
+    made = []
+    for most in (100_000, 200):
+        monkeypatch.setattr(windows, "TASK_ROWS", most)
+        made.append(windows.features(flows, "1.2.0", 86_400, 604_800))
+    assert made[0].rdd.getNumPartitions() <= 4 and made[1].rdd.getNumPartitions() >= 15
+    assert made[0].exceptAll(made[1]).isEmpty() and made[0].count() == made[1].count() == 3000
+    assert windows.audit(flows.limit(500)).isEmpty()
+    twice = lambda rows: rows.crossJoin(rows.agg(F.count("*").alias("n"))).select(F.col("event_id"), "n", F.explode(F.array(F.lit(1), F.lit(1))))
+    assert windows.audit(flows.limit(5), make=twice).count() == 10  # repeated rows are repeated
