@@ -89,13 +89,13 @@ def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: st
     if model == "random_forest":
         fitted = forest.fit(train, names, balanced, seed=SEED, **options)
         return fitted.scores(rows), time.perf_counter() - began
-    if model in ("logistic_regression", "linear_svm"):
-        fitted = linear.fit(train, names, linear.LOGISTIC if model == "logistic_regression" else linear.SQUARED_HINGE, balanced=balanced, **options)
+    if model == "logistic_regression":
+        fitted = linear.fit(train, names, linear.LOGISTIC, balanced=balanced, **options)
+        return rows.select(*shown, fitted.probability().alias("score")), time.perf_counter() - began
+    if model == "linear_svm":
+        fitted = linear.fit(train, names, linear.SQUARED_HINGE, balanced=balanced, **options)
         seconds = time.perf_counter() - began
-        if model == "logistic_regression":
-            return rows.select(*shown, fitted.probability().alias("score")), seconds
-        margin = fitted.margin().alias("score")
-        return normalise_range(rows.select(*shown, margin), known(train).select(margin)), seconds
+        return margin_scores(fitted, train, rows)[0], seconds
     pool = contracts.guard_training(known(train))
     weights = balanced_weights(pool) if balanced else pool.select("ground_truth_label", F.lit(1.0).alias("weight")).distinct()
     pool = _assembled(pool.join(F.broadcast(weights), "ground_truth_label"), names).select("x", target().alias("y"), F.col("weight").alias("w"))
@@ -110,6 +110,20 @@ def fit_and_score(train: DataFrame, rows: DataFrame, names: list[str], model: st
     return fitted.transform(_assembled(rows, names)).select(*shown, vector_to_array("probability")[1].alias("score")), seconds
 
 
+def margin_scores(fitted: linear.Linear, train: DataFrame, rows: DataFrame) -> tuple[DataFrame, float]:
+    """event_id, label, score of ``rows``: margins by the range of the training margins; and the score of margin 0, at which the model decides.
+
+    That range grows with the pool's outliers, so that margin 0 may be far from 0.5.
+    """
+    margin = fitted.margin().alias("score")
+    low, high = known(train).select(margin).agg(F.min("score"), F.max("score")).first()
+    scored = rows.select("event_id", F.col("ground_truth_label").alias("label"), margin)
+    if low is None or low == high:
+        return scored.withColumn("score", F.lit(0.0)), 0.0
+    score = lambda z: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (z - low) / (high - low)))
+    return scored.withColumn("score", score(F.col("score"))), min(1.0, max(0.0, -low / (high - low)))
+
+
 def with_folds(pool: DataFrame, folds: int, name: str = "fold") -> DataFrame:
     """``pool`` with a fold for each row: rows of each class are dealt in turn, in the order of a hash of their ids."""
     rows = pool.withColumns({"_one": F.lit(1), "_hash": F.xxhash64("event_id", F.lit(SEED))})

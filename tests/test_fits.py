@@ -278,3 +278,17 @@ def test_window_tasks_grow_with_the_flows(spark, monkeypatch):
     assert windows.audit(flows.limit(500)).isEmpty()
     twice = lambda rows: rows.crossJoin(rows.agg(F.count("*").alias("n"))).select(F.col("event_id"), "n", F.explode(F.array(F.lit(1), F.lit(1))))
     assert windows.audit(flows.limit(5), make=twice).count() == 10  # repeated rows are repeated
+
+
+def test_margins_beside_outliers(spark):
+    """One far training flow moves the range of the margins, not the side on which the support vector machine puts flows."""
+    x, y, label = table(400)
+    x = np.vstack([x, [[400.0, 0, 2]]])
+    rows = frame(spark, x, np.append(label, "malicious"))
+    fitted = linear.fit(rows, NAMES)
+    scored, at = models.margin_scores(fitted, rows, rows)
+    found = {r.event_id: r.score for r in scored.collect()}
+    margins = {r.event_id: r.z for r in rows.select("event_id", fitted.margin().alias("z")).collect()}
+    assert all((found[i] >= at) == (z >= 0) for i, z in margins.items() if abs(z) > 1e-9)
+    assert sum((found[i] >= 0.5) == t for i, t in enumerate(y)) < sum((found[i] >= at) == t for i, t in enumerate(y))
+    assert found == {r.event_id: r.score for r in models.fit_and_score(rows, rows, NAMES, "linear_svm")[0].collect()}
