@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import parsing as P
 from ..functions.ids import event_id
 from ..schemas import EVENT_VERSION, ZEEK_EVENTS
-from ..store import measured
+from ..store import made_once, measured
 from .binetflow import conform
 from .lines import numbered_lines, require_accepted
 
@@ -36,11 +36,13 @@ def parse(spark: SparkSession, path: str | list[str], scenario: str | None, inge
     body = lines.where(~F.col("value").startswith("#") & (P.strip(F.col("value")) != ""))
     rows = body.join(ruled, (F.col("file") == F.col("of")) & (F.col("line_no") > F.col("since")) & (F.col("line_no") < F.col("until")), "left").drop("of", "since", "until")
     values = F.split("value", F.concat(F.lit("\\Q"), F.coalesce("sep", F.lit("\t")), F.lit("\\E")), -1)
-    rows = rows.withColumn("v", values).withColumn("shape", F.when(~F.col("decoded"), "invalid_encoding").when(F.col("fields").isNull(), "missing_fields").when(F.size("fields") != F.size("v"), "malformed_row"))
+    rows = rows.withColumn("v", values).withColumn("shape", F.when(~F.col("decoded"), "invalid_encoding").when(F.col("fields").isNull(), "missing_fields").when(F.size("fields") != F.size("v"), "malformed_row")).withColumn("_back", F.reverse("fields"))
+    rows = made_once(rows)  # each step's columns are read many times by the next
     # the last column of a name counts, where a name is repeated; position 0 (no such column) gives null
-    place = lambda name: F.size("fields") - F.nullif(F.array_position(F.reverse("fields"), name), F.lit(0)).cast("int")
+    place = lambda name: F.size("fields") - F.nullif(F.array_position("_back", name), F.lit(0)).cast("int")
     get = lambda name: P.clean(F.when(F.col("shape").isNull(), F.get("v", place(name))), P.ZEEK_MISSING, stripped=False)
     rows = rows.withColumns({f"raw_{n}": get(n) for n in ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "conn_state", "history", "tunnel_parents", "label", "detailed-label", *_COUNTS]} )
+    rows = made_once(rows.drop("_back"))
     r = lambda n: F.col(f"`raw_{n}`")
     rows = rows.withColumns(
         {
@@ -48,6 +50,7 @@ def parse(spark: SparkSession, path: str | list[str], scenario: str | None, inge
             "session_duration_seconds": P.to_float(r("duration")), **{f"n_{n}": P.to_int(r(n)) for n in _COUNTS},
         }
     )
+    rows = made_once(rows)
     wrong = lambda raw, made: F.coalesce((r(raw).isNotNull() & F.col(made).isNull()) | (F.col(made) < 0), F.lit(False))
     bad = F.col("observed_at").isNull()
     for raw, made in (("id.orig_p", "src_port"), ("id.resp_p", "dst_port"), ("duration", "session_duration_seconds"), *[(n, f"n_{n}") for n in _COUNTS]):

@@ -123,3 +123,13 @@ def test_directives_change_across_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want and issues.isEmpty()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_zeek_columns_are_made_once(spark, tmp_path):
+    """Each step's columns stand behind a barrier, so that the plan doesn't make a field again wherever it is read."""
+    from flowscope.sources import zeek
+
+    (tmp_path / "conn.log").write_text("#separator \\x09\n#fields\tts\tuid\tid.orig_p\n1.0\tC1\t80\n")
+    rows = zeek.parse(spark, str(tmp_path / "conn.log"), "z", "2024-01-01 00:00:00")[2]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(array(struct(") >= 3
+    assert rows.select("src_port", "source_event_id").first() == (80, "C1")
