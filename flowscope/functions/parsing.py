@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 BLANK = " \t\n\r\x0b\x0c"
 #: Texts that stand for a missing value.
@@ -41,20 +38,45 @@ def to_float(c: Column) -> Column:
     return F.when(c.rlike(_FLOAT), F.trim(c).try_cast("double"))
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6(texts: pd.Series) -> pd.Series:
-    def canonical(t):
-        try:
-            return str(ipaddress.ip_address(t))
-        except ValueError:
-            return None
+_HEX = "[0-9A-Fa-f]{1,4}"
+_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
+
+
+def made_with(c: Column, made) -> Column:
+    """``made`` of ``c``, which is made once."""
+    return F.transform(F.array(c), made)[0]
+
+
+def _shortened(groups: Column) -> Column:
+    """Eight groups as text: the first of the longest runs of two zeros or more is left out; a mapped IPv4 address is written with dots."""
+    marked = [F.when(groups.rlike(zeros), F.regexp_replace(groups, zeros, "$1z$2")) for zeros in (rf"^(|.*?:)0(?::0){{{k - 1}}}(|:.*)$" for k in range(8, 1, -1))]
+    octets = [x for g in (6, 7) for n in [F.conv(F.split(groups, ":")[g], 16, 10).cast("int")] for x in (F.shiftright(n, 8), n.bitwiseAND(255))]
+    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[x.cast("string") for x in octets]))
+    return F.when(groups.startswith("0:0:0:0:0:ffff:"), mapped).otherwise(F.regexp_replace(F.coalesce(*marked, groups), "(?:^|:)z(?:$|:)", "::"))
+
+
+def _ipv6(c: Column) -> Column:
+    """Canonical text of an IPv6 address as the standard library's ``ipaddress`` writes it, null for any other text; stays in the JVM, so that no row waits for Python."""
+
+    def parsed(address: Column) -> Column:
+        """Eight groups in lower case without leading zeros."""
+        sides = F.split(address, "::")
+        of = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        high, low = of(sides[0]), of(F.coalesce(F.get(sides, 1), F.lit("")))
+        groups = F.concat(high, F.array_repeat(F.lit("0"), 8 - F.size(high) - F.size(low)), low)
+        whole, cut = rf"{_HEX}(:{_HEX}){{7}}", rf"({_HEX}(:{_HEX})*)?::({_HEX}(:{_HEX})*)?"
+        good = address.rlike(rf"^({whole}|{cut})\z") & (~address.contains("::") | (F.size(high) + F.size(low) < 8))
+        return F.when(good, F.array_join(F.transform(groups, lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", ""))), ":"))
 
-    return texts.map(canonical, na_action="ignore")
+    hex_of = lambda t, i: F.lower(F.hex(F.regexp_extract(t, _TAIL, i).cast("long") * 256 + F.regexp_extract(t, _TAIL, i + 1).cast("long")))
+    dotted = lambda t: F.when(t.rlike(_TAIL), F.concat(F.regexp_extract(t, _TAIL, 1), hex_of(t, 2), F.lit(":"), hex_of(t, 4))).otherwise(t)
+    address = F.regexp_extract(c, "^[^%]*", 0)
+    return F.when(c.rlike(r"^[0-9A-Fa-f:.]+(%[^%/]+)?\z"), F.concat(made_with(made_with(made_with(address, dotted), parsed), _shortened), F.regexp_extract(c, r"%[^%/]+\z", 0)))
 
 
 def to_ip(c: Column) -> Column:
-    """Canonical address text; only texts with a colon leave the JVM."""
-    return F.when(c.rlike(_IPV4), c).when(c.contains(":"), _ipv6(F.when(c.contains(":"), c)))
+    """Canonical address text."""
+    return F.when(c.rlike(_IPV4), c).when(c.contains(":"), made_with(c, _ipv6))
 
 
 def to_utc(c: Column, zone: str) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import event_id
-from ..functions.parsing import strip, to_ip
+from ..functions.parsing import made_with, strip, to_ip
 
 ZONE = r"(?i)(Z|[+-]\d{2}:?\d{2})$"
 
@@ -101,21 +101,25 @@ class Walked:
             for f in self.listed
         ])
 
-        def of(raw: Column, i: Column) -> Column:
+        def found(raw: Column, i: Column, text: Column) -> Column:
             s, kind = F.get(F.col("_spec"), i), F.get(F.col("_kinds"), i)
-            what, gone, text = s["kind"], raw.isNull(), _text(raw, kind)
-            here = ~gone & (kind != "VOID")
+            what, here = s["kind"], kind != "VOID"
             number, time, texts = _number(raw, kind), _time(raw, kind), _texts(raw, kind)
             own = F.when(what.isin("text", "time", "address"), kind == "STRING").when(what == "object", kind.startswith("OBJECT")).when(what == "texts", kind.startswith("ARRAY")).when(what == "whole", _whole(raw, kind).isNotNull()).when(what == "number", number.isNotNull()).otherwise(True)
             plain = (what == "text") & (F.size(s["values"]) == 0) & s["pattern"].isNull()
             wrong = (F.size(s["values"]) > 0) & ~F.array_contains(s["values"], text) | ~F.rlike(text, s["pattern"])
-            found = {
-                "missing": gone & F.get(must, i), "null": ~gone & (kind == "VOID") & ~s["nullable"], "type": here & ~own, "empty": plain & (F.length(text) == 0),
+            checks = {
+                "null": ~here & ~s["nullable"], "type": here & ~own, "empty": plain & (F.length(text) == 0),
                 "value": F.coalesce(text.isNotNull() & wrong, F.lit(False)) | F.coalesce((what == "texts") & F.exists(texts, lambda t: t.isNull()), F.lit(False)) | F.coalesce((what == "time") & text.rlike(ZONE) & time.isNull(), F.lit(False)),
                 "length": F.char_length(text) > s["longest"], "without_zone": (what == "time") & ~text.rlike(ZONE),
-                "range": own & what.isin("whole", "number") & s["low"].isNotNull() & ((number < s["low"]) | (number > s["high"]) | F.isnan(number)),
+                "range": what.isin("whole", "number") & s["low"].isNotNull() & own & ((number < s["low"]) | (number > s["high"]) | F.isnan(number)),
             }
-            return F.array_compact(F.array(*[F.when(c, F.concat(s["name"], F.lit(f"_{k}"))) for k, c in found.items()]))
+            return F.array_compact(F.array(*[F.when(c, F.concat(s["name"], F.lit(f"_{k}"))) for k, c in checks.items()]))
+
+        def of(raw: Column, i: Column) -> Column:
+            # most fields of a record are not there, and need one check only
+            missing = F.when(F.get(must, i), F.array(F.concat(F.get(F.col("_spec"), i)["name"], F.lit("_missing")))).otherwise(F.array().cast("array<string>"))
+            return F.when(raw.isNull(), missing).otherwise(made_with(_text(raw, F.get(F.col("_kinds"), i)), lambda text: found(raw, i, text)))
 
         self.rows = _made(self.rows).withColumn("_spec", spec)
         return F.flatten(F.transform("_raw", of))
@@ -182,7 +186,14 @@ NEEDED = {"details.source_label": "ctu13_flow", "details.command": "command"}
 
 
 def canonical_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Valid events and rejected records (``value``, violations) of canonical event JSON, one record a row.
+    """Valid events and rejected records (``value``, violations) of canonical event JSON, one record a row; what needs both reads ``judged_events`` once."""
+    rows = judged_events(lines, value)
+    good = F.size("violations") == 0
+    return rows.where(good).drop("_value", "violations"), rows.where(~good).select(F.col("_value").alias(value), "violations")
+
+
+def judged_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``_value``, violations, and the columns of an event, which are null where there are violations; a row for each record.
 
     A record that gives no event_id gets the one of its source reference; one that gives another is rejected. Events have the fields of network flows as columns,
     lists as JSON text, and ``details_kind``; details of other kinds are ``details_json``.
@@ -209,17 +220,17 @@ def canonical_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame,
         F.when((F.col("_label") == "unknown") & w.value("attack_category").isNotNull(), F.lit("unknown_label_with_category")),
     ]
     checked = w.judged(w.broken(F.col("_must")), more)
-    plain = lambda fields, *left: [w.value(f.path).alias(f.name) for f in fields if f.name not in left]
-    listed = lambda path: F.to_json(F.coalesce(w.value(path), F.array().cast("array<string>"))).alias(path.rsplit(".", 1)[-1])
+    plain = lambda fields, *left: {f.name: w.value(f.path) for f in fields if f.name not in left}
+    listed = lambda path: F.to_json(F.coalesce(w.value(path), F.array().cast("array<string>")))
     details = F.col("_raw")[w.fields["details"]]
-    good = checked.where(F.size("violations") == 0).select(
-        F.col("_made").alias("event_id"), *plain(SOURCE, "raw_checksum"), F.lower(w.value("source.raw_checksum")).alias("raw_checksum"),
-        F.coalesce(w.value("schema_version"), F.lit("1.0.0")).alias("schema_version"), *[w.value(c).alias(c) for c in ("observed_at", "ingested_at", "event_type", "session_id")],
-        F.col("_kind").alias("details_kind"), *plain([*_NETWORK, *_FLOW], "tunnel_parents"), listed("details.tunnel_parents"),
-        F.when(~F.col("_kind").isin("network", "ctu13_flow"), F.to_json(details)).alias("details_json"), F.col("_label").alias("ground_truth_label"), w.value("label_source").alias("label_source"), w.value("attack_category").alias("attack_category"),
-        *plain(PROVENANCE, "quality_flags"), listed("provenance.quality_flags"),
-    )
-    return good, checked.where(F.size("violations") > 0).select(F.col("_value").alias(value), "violations")
+    event = {
+        "event_id": F.col("_made"), **plain(SOURCE, "raw_checksum"), "raw_checksum": F.lower(w.value("source.raw_checksum")),
+        "schema_version": F.coalesce(w.value("schema_version"), F.lit("1.0.0")), **{c: w.value(c) for c in ("observed_at", "ingested_at", "event_type", "session_id")},
+        "details_kind": F.col("_kind"), **plain([*_NETWORK, *_FLOW], "tunnel_parents"), "tunnel_parents": listed("details.tunnel_parents"),
+        "details_json": F.when(~F.col("_kind").isin("network", "ctu13_flow"), F.to_json(details)), "ground_truth_label": F.col("_label"), "label_source": w.value("label_source"), "attack_category": w.value("attack_category"),
+        **plain(PROVENANCE, "quality_flags"), "quality_flags": listed("provenance.quality_flags"),
+    }
+    return checked.select("_value", "violations", *[F.when(F.size("violations") == 0, c).alias(k) for k, c in event.items()])
 
 
 # -- detections --

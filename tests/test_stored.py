@@ -1,11 +1,13 @@
 """Guards, stored tables and sources in their odd cases."""
 
 import hashlib
+import ipaddress
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowscope.functions.parsing import to_ip
 from flowscope.operators import contracts, evaluate as E, models, rules, sinks, studies, windows
 from flowscope.plans.flows import flows_from_events
 from flowscope.schemas import FLOW_FEATURES
@@ -233,3 +235,20 @@ def test_empty_addresses_are_missing(spark, flows):
     rows = flows.limit(20).withColumns({"source_src_address": F.lit(""), "protocol": F.lit("")})
     out = windows.prior_features(rows.withColumn("observed_at", F.col("observed_at").cast("timestamp")))
     assert out.agg(F.max("prior_source_connections_300s")).first()[0] == 0
+
+
+def test_addresses_stay_in_the_jvm(spark):
+    """Rows with all of a record's fields would wait for Python, and be spilled."""
+    texts = ["::", "::1", "1::", "2001:DB8::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "1:::2", "1::2::3", ":1:2:3:4:5:6:7", "::ffff:1.2.3.4", "::FFFF:102:304", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.256", "fe80::1%eth0", "::1%", "::1/64"]
+    texts += ["0:0:1:0:0:1:1:1", "0:0:0:1:0:0:0:1", "1:0:0:2:0:0:0:3", "0001:0:2:0:3:0:4:0", "00001::", "g::", "::1\n", "1.2.3.4:80", "1.2.3.4", "1.2.3", ""]
+
+    def expected(text):
+        try:
+            return str(ipaddress.ip_address(text))
+        except ValueError:
+            return None
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_ip(F.col("t")).alias("ip"))
+    assert {r.t: r.ip for r in rows.collect()} == {t: expected(t) for t in texts}
+    events, wrong = records.canonical_events(spark.createDataFrame([(json.dumps(EVENT),)], "value string"))
+    assert not any("EvalPython" in t._jdf.queryExecution().executedPlan().toString() for t in (rows, events, wrong))
