@@ -208,7 +208,7 @@ class Boosted:
                 raw = base + sum((np.array(t.value)[t.route(x)] for t in trees), np.zeros(len(x)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-raw)))], names=["event_id", "label", "score"])
 
-        return rows.select("event_id", F.col("ground_truth_label").alias("label"), *names).mapInArrow(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
+        return packed.spread(rows.select("event_id", F.col("ground_truth_label").alias("label"), *names)).mapInArrow(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:

@@ -169,7 +169,7 @@ class Forest:
                     total += t.value.take(t.route(flat, first, depth))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total / len(trees))], names=["event_id", "label", "score"])
 
-        return rows.select("event_id", F.col("ground_truth_label").alias("label"), *names).mapInArrow(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
+        return packed.spread(rows.select("event_id", F.col("ground_truth_label").alias("label"), *names)).mapInArrow(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
 
 
 def fit(train: DataFrame, names: list[str], balanced: bool = True, trees: int = 200, depth: int = 12, seed: int = 42, parts: int | None = None) -> Forest:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -200,13 +201,21 @@ class Tree:
     value: np.ndarray
 
     def route(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        while len(rows := rows[self.feature[node[rows]] >= 0]):
-            at = node[rows]
-            node[rows] = self.left[at] + (x[rows, self.feature[at]] > self.threshold[at])
+        """The leaf of each row; ``x`` lies row by row."""
+        leaf = self.feature < 0
+        feature, cut, left = np.where(leaf, 0, self.feature), np.where(leaf, np.inf, self.threshold), np.where(leaf, np.arange(len(leaf)), self.left)
+        flat, first, node = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), np.int64)
+        for _ in range(self.levels()):
+            node = left.take(node) + (flat.take(first + feature.take(node)) > cut.take(node))
         return node
 
+    def levels(self) -> int:
+        """Steps to the deepest leaf."""
+        nodes, n = np.zeros(1, np.int64), 0
+        while len(inner := nodes[self.feature[nodes] >= 0]):
+            nodes, n = np.concatenate((self.left[inner], self.left[inner] + 1)), n + 1
+        return n
+
 
 @dataclass
 class Growth:
@@ -220,14 +229,14 @@ class Growth:
         """Weight of each (node, candidate, side, class)."""
         place = np.full(len(tree.feature), -1)
         place[self.nodes] = np.arange(len(self.nodes))
-        at = place[tree.route(x)]
+        at = place.take(tree.route(x))
         rows = np.flatnonzero(at >= 0)
-        at, y, w, tries = at[rows], y[rows], w[rows], self.feature.shape[1]
-        out = np.zeros(len(self.nodes) * tries * 4)
-        for c in range(tries):
-            right = x[rows, self.feature[at, c]] > self.cut[at, c]
-            out += np.bincount(((at * tries + c) * 2 + right) * 2 + y, weights=w, minlength=len(out))
-        return out.reshape(-1, tries, 2, 2)
+        at, y, w, flat, first, n = at[rows], y[rows], w[rows], x.ravel(), rows * x.shape[1], len(self.nodes)
+        out = np.zeros((n, self.feature.shape[1], 2, 2))
+        for c in range(self.feature.shape[1]):
+            right = flat.take(first + self.feature[:, c].take(at)) > self.cut[:, c].take(at)
+            out[:, c] = np.bincount((at * 2 + right) * 2 + y, weights=w, minlength=4 * n).reshape(n, 2, 2)
+        return out
 
     def best(self, sums: np.ndarray) -> np.ndarray:
         """candidate, l0, l1, r0, r1 of the best split of each node, and -1 for a node without a gain."""
@@ -287,7 +296,7 @@ def _forest_of_a_small_pool(pool: DataFrame, names: list[str], growing: list[Gro
     """Each tree grows in a task of its own, on a pool of ``boosting.ONE_PART`` values at most, which is broadcast."""
     spark = pool.sparkSession
     rows = pool.toPandas()
-    held = spark.sparkContext.broadcast((rows[names].to_numpy(float), rows["_y"].to_numpy(int), rows["_w"].to_numpy(float), growing))
+    held = spark.sparkContext.broadcast((np.ascontiguousarray(rows[names].to_numpy(float)), rows["_y"].to_numpy(int), rows["_w"].to_numpy(float), growing))
 
     def run(batches):
         x, y, w, growing = held.value
@@ -305,7 +314,7 @@ def _forest_of_a_small_pool(pool: DataFrame, names: list[str], growing: list[Gro
     return [Tree(np.array(r.f, np.int64), np.array(r.c), np.array(r.l, np.int64), np.array(r.v)) for r in sorted(made, key=lambda r: r.id)]
 
 
-def _forest_by_levels(pool: DataFrame, names: list[str], growing: list[Growing], depth: int) -> list[Tree]:
+def _forest_by_levels(pool: packed.Pool, names: list[str], growing: list[Growing], depth: int) -> list[Tree]:
     """Class weights of all (tree, node, candidate split) are summed on executors, which choose the best split of each node.
 
     A task sends one array of sums a tree and level; the driver gets five numbers a node.
@@ -318,19 +327,20 @@ def _forest_by_levels(pool: DataFrame, names: list[str], growing: list[Growing],
 
         def sums(batches, forest=forest, plan=plan):
             total = {}
-            for pdf in batches:
-                x, y, w = pdf[names].to_numpy(float), pdf["_y"].to_numpy(int), pdf["_w"].to_numpy()
+            for x, y, w in packed.arrays(batches, len(names)):
+                y = y.astype(np.int64)
                 for t, growth in plan.items():
                     part = growth.sums(forest[t], x, y, w)
                     total[t] = total[t] + part if t in total else part
-            yield pd.DataFrame({"t": list(total), "x": [x.tobytes() for x in total.values()]})
+            for t, x in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([x.tobytes()])], names=["t", "x"])
 
         def choose(key, pdf):  # it runs before the next level is planned
             t = int(key[0])
             whole = sum(np.frombuffer(x) for x in pdf["x"]).reshape(-1, plan[t].feature.shape[1], 2, 2)
             return pd.DataFrame({"t": [t], "x": [plan[t].best(whole).tobytes()]})
 
-        for t, x in pool.mapInPandas(sums, "t int, x binary").groupBy("t").applyInPandas(choose, "t int, x binary").collect():
+        for t, x in pool.rows.mapInArrow(sums, "t int, x binary").groupBy("t").applyInPandas(choose, "t int, x binary").collect():
             growing[t].split(np.frombuffer(x).reshape(-1, 5))
     return [g.tree for g in growing]
 
@@ -338,21 +348,22 @@ def _forest_by_levels(pool: DataFrame, names: list[str], growing: list[Growing],
 def extra_trees(train: DataFrame, rows: DataFrame, names: list[str], trees: int = 200, depth: int = 12, seed: int = SEED, one_part: int = boosting.ONE_PART) -> DataFrame:
     """Trees with random thresholds, without bootstrap. Pools of up to ``one_part`` values grow their trees side by side, larger ones level by level; the trees are the same."""
     s = packed.summary(train, names)
-    good, bad = s.weights(True)
-    weight = F.when(F.col("ground_truth_label") == BAD, bad).otherwise(good)
-    pool = known(train).select(*names, target().alias("_y"), weight.alias("_w")).cache()
+    weights = s.weights(True)
     growing = [Growing(seed, t, s.low, s.high) for t in range(trees)]
-    grow = _forest_of_a_small_pool if (s.good + s.bad) * len(names) <= one_part else _forest_by_levels
-    forest = grow(pool, names, growing, depth)
-    pool.unpersist()
+    if (s.good + s.bad) * len(names) <= one_part:
+        weight = F.when(F.col("ground_truth_label") == BAD, weights[1]).otherwise(weights[0])
+        forest = _forest_of_a_small_pool(known(train).select(*names, target().alias("_y"), weight.alias("_w")), names, growing, depth)
+    else:
+        with packed.pack(train, names, lambda x: x, weights, packed.parts_of(train, s)) as pool:
+            forest = _forest_by_levels(pool, names, growing, depth)
     held = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
         for pdf in batches:
-            x = pdf[names].to_numpy(float)
+            x = np.ascontiguousarray(pdf[names].to_numpy(float))
             yield pd.DataFrame({"event_id": pdf["event_id"], "label": pdf["ground_truth_label"], "score": np.mean([t.value[t.route(x)] for t in held.value], axis=0)})
 
-    return rows.select("event_id", "ground_truth_label", *names).mapInPandas(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
+    return packed.spread(rows.select("event_id", "ground_truth_label", *names)).mapInPandas(run, f"event_id {dict(rows.dtypes)['event_id']}, label string, score double")
 
 
 # -- isolation forest: each tree from a bounded random sample --
@@ -413,5 +424,5 @@ def isolation_forest(train: DataFrame, rows: DataFrame, names: list[str], trees:
             yield pd.DataFrame({"event_id": pdf["event_id"], "label": pdf["ground_truth_label"], "score": score})
 
     schema = f"event_id {dict(rows.dtypes)['event_id']}, label string, score double"
-    raw = lambda t: t.select("event_id", "ground_truth_label", *names).mapInPandas(run, schema)
+    raw = lambda t: packed.spread(t.select("event_id", "ground_truth_label", *names)).mapInPandas(run, schema)
     return normalise_range(raw(rows), raw(pool))

@@ -90,6 +90,11 @@ def parts_of(train: DataFrame, s: Summary) -> int:
     return max(train.sparkSession.sparkContext.defaultParallelism, -(-(s.good + s.bad) * len(s.mean) // PART_VALUES))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by their ids to all cores: scoring by many trees takes far longer than a shuffle, and a table of few splits would lie in few tasks."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "event_id")
+
+
 def arrays(batches: Iterator[pa.RecordBatch], features: int, kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """x, y, w of a task's pool rows."""
     for b in batches:

@@ -292,3 +292,11 @@ def test_margins_beside_outliers(spark):
     assert all((found[i] >= at) == (z >= 0) for i, z in margins.items() if abs(z) > 1e-9)
     assert sum((found[i] >= 0.5) == t for i, t in enumerate(y)) < sum((found[i] >= at) == t for i, t in enumerate(y))
     assert found == {r.event_id: r.score for r in models.fit_and_score(rows, rows, NAMES, "linear_svm")[0].collect()}
+
+
+def test_scoring_by_trees_is_dealt_to_all_cores(spark):
+    """A table of one split would be scored in one task."""
+    x, _, label = table(200, seed=11)
+    df = frame(spark, x, label).coalesce(1)
+    made = [models.extra_trees(df, df, NAMES, trees=2, depth=2), models.isolation_forest(df, df, NAMES, trees=2), *[models.fit_and_score(df, df, NAMES, m, **o)[0] for m, o in (("random_forest", {"trees": 2, "depth": 2}), ("gradient_boosting", {"iterations": 2}))]]
+    assert all(m.rdd.getNumPartitions() > 1 for m in made)
