@@ -71,16 +71,21 @@ def comparison(train: DataFrame, rows: DataFrame, feature_sets: dict[str, list[s
     return _union(all_together(rows.sparkSession, [lambda v=v, n=n: one(v, n) for v, n in feature_sets.items()], 2))
 
 
-def ablation(train: DataFrame, rows: DataFrame, names: list[str], options: dict, threshold: float = 0.2, groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """Metrics with all features, and without each group of them; the pool is prepared once, and the fits run side by side."""
+def ablation(train: DataFrame, rows: DataFrame, names: list[str], options: dict, threshold: float = 0.2, groups: dict[str, list[str]] | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """Metrics with all features, and without each group of them; the pool is prepared once, and the fits run side by side.
+
+    ``whole``: the scores of the model with all features, where they are there already; it is not fitted again then.
+    """
+    groups = FEATURE_GROUPS if groups is None else groups
     kept = ["event_id", "ground_truth_label", *names]
-    train, rows = staged(models.known(train).select(kept), "pool"), staged(rows.select("scenario_id", *kept), "rows")
+    if groups or whole is None:
+        train, rows = staged(models.known(train).select(kept), "pool"), staged(rows.select("scenario_id", *kept), "rows")
 
     def one(group: str, dropped: list[str]) -> DataFrame:
-        scores, _ = detector_scores(train, rows, [n for n in names if n not in set(dropped)], {"model": options})
+        scores = whole if group == "none" and whole is not None else detector_scores(train, rows, [n for n in names if n not in set(dropped)], {"model": options})[0]
         return E.binary_metrics(scores, threshold).drop("detector").withColumn("without", F.lit(group))
 
-    runs = {"none": [], **(FEATURE_GROUPS if groups is None else groups)}
+    runs = {"none": [], **groups}
     return _union(all_together(rows.sparkSession, [lambda g=g, d=d: one(g, d) for g, d in runs.items()]))
 
 
@@ -141,7 +146,7 @@ def hardening(train: DataFrame, rows: DataFrame, names: list[str], options: dict
     scores, status = detector_scores(train, rows, names, {"raw": options, "sigmoid": {**options, "sigmoid": True}})
     raw = scores.where("detector = 'raw'")
     volume = E.alert_volumes(raw, thresholds)
-    return {"status": status, "ablation": ablation(train, rows, names, options, threshold, groups), "calibration": E.calibration_scores(scores), "volume": volume, "metrics": E.scenario_metrics(raw, threshold)}
+    return {"status": status, "ablation": ablation(train, rows, names, options, threshold, groups, raw), "calibration": E.calibration_scores(scores), "volume": volume, "metrics": E.scenario_metrics(raw, threshold)}
 
 
 def scenario_split(train: DataFrame, validation: DataFrame, test: DataFrame, names: list[str], detectors: dict[str, dict], flags: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:

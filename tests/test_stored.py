@@ -252,3 +252,12 @@ def test_addresses_stay_in_the_jvm(spark):
     assert {r.t: r.ip for r in rows.collect()} == {t: expected(t) for t in texts}
     events, wrong = records.canonical_events(spark.createDataFrame([(json.dumps(EVENT),)], "value string"))
     assert not any("EvalPython" in t._jdf.queryExecution().executedPlan().toString() for t in (rows, events, wrong))
+
+
+def test_hardening_fits_the_whole_model_once(spark, flows, monkeypatch):
+    """The model with all features, whose scores are there, is not fitted again for the ablation."""
+    rows, fits, fit = windows.features(flows, "1.0.0"), [], studies._score
+    monkeypatch.setattr(studies, "_score", lambda train, rows, names, **options: fits.append(len(names)) or fit(train, rows, names, **options))
+    out = studies.hardening(rows, rows, FLOW_FEATURES, {"model": "decision_tree"}, groups={"ports": FLOW_FEATURES[:1]})
+    assert sorted(fits) == [len(FLOW_FEATURES) - 1, len(FLOW_FEATURES), len(FLOW_FEATURES)]  # without a group, raw, and for the sigmoid
+    assert {r["without"] for r in out["ablation"].select("without").collect()} == {"none", "ports"}
