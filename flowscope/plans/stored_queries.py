@@ -223,6 +223,10 @@ def manifest(spark, sf):
     return made.select("record_count", label["malicious"].alias("malicious"), label["benign"].alias("benign"), stamp("observed_start").alias("start"), stamp("observed_end").alias("stop"), F.forall("files", lambda f: f["sha256"].rlike(contracts.SHA256)).alias("digests"))
 
 
+#: Flows of a state, about, where all flows come in one batch.
+STATE_ROWS = 5000
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
     """``make`` of a stream over ``rows``, run until all is read, as a table."""
     source, out, marks = (new_path(spark, f"stream-{x}") for x in ("in", "out", "marks"))
@@ -252,7 +256,8 @@ def stream_first_occurrences(spark, sf):
 def stream_prior_features(spark, sf):
     rows = _stamped(spark, sf)
     last = rows.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "observed_at": F.expr("timestamp'2100-01-01'")})  # moves the watermark past all flows
-    out = _streamed(spark, rows.unionByName(last), lambda s: S.prior_features(s, DAY, WEEK))
+    groups = max(1, rows.count() // STATE_ROWS)
+    out = _streamed(spark, rows.unionByName(last), lambda s: S.prior_features(s, DAY, WEEK, groups=groups))
     return out.where("event_id >= 0").select("event_id", *_BEHAVIOUR, *[c for c in _CAUSAL if c not in _LAST])
 
 

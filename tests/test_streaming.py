@@ -61,3 +61,26 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert sum(r.late for r in late) == 7 and all(r.watermark >= "2024" for r in late)
     assert spark.table("late").where("event_id < -1000 AND event_id > -2000").isEmpty()
     assert {r.event_id for r in spark.table("late").where("event_id >= 0").collect()} == {r.event_id for r in df.collect()}
+
+
+def test_states_of_many_hosts(spark, tmp_path):
+    """Hosts that share a few states, in batches that leave flows waiting and windows open: the same features, and no more states than groups."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    df = flows_from_events(events, ties=True).drop("k").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    df = df.withColumn("network_bytes", F.when(F.col("network_bytes").isNotNull(), F.col("network_bytes") + F.lit(2**53)))  # no double holds these
+    low, high = (r.timestamp() for r in df.agg(F.min("observed_at"), F.max("observed_at")).first())
+    part = F.least(F.floor((F.col("observed_at").cast("double") - low) / (high - low + 1) * 3), F.lit(2))
+    for k in range(3):
+        df.where(part == k).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.limit(1).withColumns({"observed_at": F.expr("timestamp'2030-01-01'"), "event_id": F.lit(-1).cast("long")}).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = S.prior_features(stream, 7200, 86400, groups=5).writeStream.format("memory").queryName("grouped").start()
+    q.processAllAvailable()
+    states = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    q.stop()
+    assert max(states) <= 5
+    got = {r.event_id: r for r in spark.table("grouped").where("event_id >= 0").collect()}
+    want = {r.event_id: r for r in windows.prior_features(df, 7200, 86400).collect()}
+    assert set(got) == set(want)
+    for column in S.prior_columns(7200, 86400):
+        assert all(got[k][column] == pytest.approx(want[k][column], rel=1e-12) for k in want), column
