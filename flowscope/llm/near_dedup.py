@@ -3,10 +3,12 @@
 A document's set is its distinct word shingles. One hash of each shingle chooses both a bin and a value; a bin's least value is
 its minimum, and empty bins borrow from bins that a fixed hash sequence names (optimal densification). Bands of bins are
 buckets; in each bucket every member is joined to the bucket's smallest document only (a star), which bounds candidate
-pairs by bucket entries. Candidates are confirmed on full sets: first each document with the smallest of its centres, then
-the stars of buckets whose members are still in several components. A star could miss a link between two members that
+pairs by bucket entries. Candidates are confirmed on full sets: first each document with the smallest of its centres, then,
+in buckets whose members are still in several components, those outside the largest with a member drawn from it, anew in each pass
+while a pass joins many. A star could miss a link between two members that
 its centre is too far from; so a last pass confirms pairs across the components that a bucket still holds, in blocks of ``BLOCK`` members,
-so that a large bucket is spread over tasks. Equal sets are one vertex throughout, so copies are never paired.
+so that a large bucket is spread over tasks. Links are kept as edges between components, so a group of texts that are all alike
+leaves few. Equal sets are one vertex throughout, so copies are never paired.
 
 A bitmap of ``BITS`` bits, each the parity of the shingles that fall on it, differs in at most as many places as two sets
 differ in shingles; so pairs whose bitmaps differ too much are discarded without loss before sets are fetched. With the
@@ -34,6 +36,8 @@ BITS = 2048
 BLOCK = 512
 #: Rows (of two or three numbers) that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Passes with a drawn centre at most, and the share of documents that a pass must join for another one. What passes leave, pairs across components find.
+PASSES, SETTLED = 8, 0.005
 _KEY = ["doc_id", "h1", "h2"]
 _U = np.uint64
 
@@ -146,6 +150,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _united(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """``labels`` after ``links`` (a, b) were added, and how many components they join: all links between two components are one edge."""
+    ends = {x: labels.select(F.col("id").alias(f"{x}_id"), F.col("label").alias(f"{x}_label")) for x in "ab"}
+    rows = links.join(ends["a"], F.col("a") == F.col("a_id"), "left").join(ends["b"], F.col("b") == F.col("b_id"), "left")
+    edges = staged(rows.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "confirmed")
+    if edges.isEmpty():
+        return labels, 0
+    merged = components(edges)
+    known = labels.join(merged.select(F.col("id").alias("was"), F.col("label").alias("now")), F.col("label") == F.col("was"), "left").select("id", F.coalesce("now", "label").alias("label"))
+    return staged(known.union(merged.join(labels.select("id"), "id", "left_anti").select("id", "label")), "labels"), merged.where("id != label").count()
+
+
 def _far(rule: Rule, x: str, y: str):
     """Whether sizes or bitmaps prove that two documents are not linked."""
     differing = sum((F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(BITS // 64)), F.lit(0))
@@ -213,16 +229,21 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     sets = staged(texts.mapInArrow(codes, "id long, codes binary").dropDuplicates(["id"]), "sets")
     # first every member with the smallest of its centres only: as many pairs as documents at most
     tried = staged(near(members.where("id != centre").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")), "candidates")
-    linked = staged(_confirm(tried, sets, rule), "confirmed")
-    labels = components(linked)
-
-    # then the centres of buckets that are still in several components
-    mixed = marked(labels)
-    centres = _counted(mixed.where("id = centre").select(F.col("bucket").alias("of"), F.col("label").alias("centre_label")), "centres")
-    star = mixed.join(centres, F.col("bucket") == F.col("of")).where("label != centre_label").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    more = staged(near(star.join(tried, ["a", "b"], "left_anti")), "candidates")
-    tried, linked = tried.union(more), staged(linked.union(_confirm(more, sets, rule)), "confirmed")
-    labels = components(linked)
+    labels = components(staged(_confirm(tried, sets, rule), "confirmed"))
+
+    # then, in buckets that are still in several components, the members outside the largest with one drawn from it
+    least = SETTLED * sets.count()
+    for k in range(PASSES):
+        mixed = marked(labels)
+        held = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"].alias("drawn"))
+        centres = held.groupBy(F.col("bucket").alias("of")).agg(F.max_by(F.struct("label", "drawn"), F.struct("n", -F.col("label"))).alias("top"))
+        centres = _counted(centres.select("of", F.col("top.label").alias("centre_label"), F.col("top.drawn").alias("drawn")), "centres")
+        star = mixed.join(centres, F.col("bucket") == F.col("of")).where("label != centre_label").select(F.least("drawn", "id").alias("a"), F.greatest("drawn", "id").alias("b")).distinct()
+        more = staged(near(star.join(tried, ["a", "b"], "left_anti")), "candidates")
+        tried = tried.union(more)
+        labels, joined = _united(labels, _confirm(more, sets, rule))
+        if joined < least:
+            break
 
     # then pairs across the components of a bucket, but for those already tried; members of a large bucket meet in blocks
     mixed = marked(labels)
@@ -242,8 +263,7 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     first = F.array_position(F.zip_with("p_bands", "q_bands", lambda x, y: x == y), True) == F.col("p_band") + 1  # a pair counts in the first bucket that it shares
     pair = across("p", "q").where("p_label != p_most").join(across("q", "p"), meet & apart & ~_far(rule, "p_", "q_") & first)
     more = pair.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    linked = staged(linked.union(_confirm(more, sets, rule)), "all-links")
-    labels = components(linked)
+    labels, _ = _united(labels, _confirm(more, sets, rule))
 
     vertex = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "row", "id").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
     vertex = vertex.select("c1", "c2", "cn", "row", F.coalesce("label", "id").alias("label"))

@@ -248,3 +248,28 @@ def test_marks_in_texts_can_be_read_back(spark):
     rows = df.select("t", "p", chat.restored(F.col("p")).alias("back")).collect()
     assert all(r.back == r.t for r in rows) and len({r.p for r in rows}) == len(texts)
     assert not any("<|im_" in r.p for r in rows)
+
+
+def test_near_copies_leave_few_edges(spark, monkeypatch):
+    """Of a group of texts that differ in up to three words, what is joined over and over is an edge for two components, not every link; components are those of all pairs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(148)]
+    texts = set()
+    while len(texts) < 240:
+        words = list(base)
+        for i in rng.sample(range(148), rng.choice([2, 3, 3, 3])):
+            words[i] = f"x{rng.randrange(10**6)}"
+        texts.add(" ".join(words))
+    texts, edges, whole = sorted(texts), [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda rows: (edges.append(rows.count()), whole(rows))[1])
+    got = {r.doc_id: r.component_id for r in near_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(146)} for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    assert got == dict(enumerate(want))
+    assert sum(edges) <= 2 * len(texts), edges
