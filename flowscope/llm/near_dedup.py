@@ -242,7 +242,7 @@ def _grouped(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
         more = staged(near(star.join(tried, ["a", "b"], "left_anti")), "candidates")
         tried = tried.union(more)
         labels, joined = _united(labels, _confirm(more, sets, rule))
-        if joined < least:
+        if joined <= least:
             break
 
     # then pairs across the components of a bucket, but for those already tried; members of a large bucket meet in blocks
