@@ -23,6 +23,8 @@ END = 50_256
 FIRST_BATCH, LAST_BATCH, GROW = 24, 256, 12_000
 #: Decay of the mean gradient and of its square.
 MEAN, SQUARE = np.float32(0.9), np.float32(0.99)
+#: Windows whose attention a step works on at once, and numbers that Adam moves at once, so that they stay in a core's cache.
+PART, BLOCK = 128, 16_384
 
 
 @lru_cache(maxsize=1)
@@ -46,7 +48,7 @@ def _within(x: np.ndarray, some: np.ndarray) -> np.ndarray:
 def _total(x: np.ndarray) -> np.ndarray:
     """Exponentials in place; their sums over the last axis."""
     np.exp(x, out=x)
-    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(x.shape[:-1])
+    return x @ np.ones(x.shape[-1], np.float32)
 
 
 def _softmax(x: np.ndarray, some: np.ndarray, scale: np.ndarray | float = 1) -> np.ndarray:
@@ -66,26 +68,32 @@ class Adam:
     def step(self, grads: dict[str, np.ndarray], rows: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
         root = np.sqrt(1 - float(SQUARE) ** self.t)
-        rate = np.float32(rate * min(1, self.t / 20) * root / (1 - float(MEAN) ** self.t))
+        rate, least = np.float32(rate * min(1, self.t / 20) * root / (1 - float(MEAN) ** self.t)), np.float32(1e-8 * root)
         for name, g in grads.items():
             at = rows.get(name)
-            m, s = self.m[name], self.s[name]
-            mean, square = (m, s) if at is None else (m[at], s[at])
-            mean *= MEAN
-            mean += (1 - MEAN) * g
-            square *= SQUARE
-            g *= g
-            g *= 1 - SQUARE
-            square += g
-            np.sqrt(square, out=g)
-            g += np.float32(1e-8 * root)
-            np.divide(mean, g, out=g)
-            g *= rate
-            if at is None:
-                self.p[name] -= g
-            else:
-                m[at], s[at] = mean, square
-                self.p[name][at] -= g
+            if at is not None:
+                mean, square, moved = (x[name][at] for x in (self.m, self.s, self.p))
+                self._move(moved, g, mean, square, rate, least)
+                self.m[name][at], self.s[name][at], self.p[name][at] = mean, square, moved
+                continue
+            whole = [x.reshape(-1) for x in (self.p[name], g, self.m[name], self.s[name])]
+            for a in range(0, g.size, BLOCK):
+                self._move(*(x[a : a + BLOCK] for x in whole), rate, least)
+
+    @staticmethod
+    def _move(p: np.ndarray, g: np.ndarray, mean: np.ndarray, square: np.ndarray, rate: np.float32, least: np.float32) -> None:
+        """All in place; ``g`` is overwritten."""
+        mean *= MEAN
+        mean += (1 - MEAN) * g
+        square *= SQUARE
+        g *= g
+        g *= 1 - SQUARE
+        square += g
+        np.sqrt(square, out=g)
+        g += least
+        np.divide(mean, g, out=g)
+        g *= rate
+        p -= g
 
 
 class Model:
@@ -221,18 +229,23 @@ class Model:
         by = np.argsort(self.klass[aim].astype(np.int16), kind="stable")
         aim, good = aim[by], good[by]
         y, z, n = self.klass[aim], self.member[aim], np.float32(1 / len(aim))
+        # Queries meet keys by one matrix, and values are projected after they are weighed: neither has rows of its own for a window's context.
+        fold, bias, alone = (p["q"] @ p["k"].T) * root, self.bias(), first[w]
         x = p["E"].take(u, axis=0)
-        wide, own = x.reshape(-1, WIDTH), x[:, CONTEXT:].reshape(-1, WIDTH)
-        q = (own @ (p["q"] * root)).reshape(len(w), STEP, WIDTH)
-        both = np.concatenate((p["k"], p["v"]), axis=1)  # keys and values by one product
-        kv = (wide @ both).reshape(len(w), SPAN, 2 * WIDTH)
-        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-        att = np.matmul(q, k.transpose(0, 2, 1))
-        att += self.bias()
-        att[first[w], :, :CONTEXT] = -1e9
-        _softmax(att, att[:, here, CONTEXT + here])
-        h = np.matmul(att, v).reshape(-1, WIDTH)
-        h += own
+        # By window, above each other: weights and their gradient; and what each is multiplied by for the gradient of the inputs.
+        weights, sides = np.empty((len(w), 2 * STEP, SPAN), np.float32), np.empty((len(w), 2 * STEP, WIDTH), np.float32)
+        mixed, h = (np.empty((len(w), STEP, WIDTH), np.float32) for _ in range(2))
+        parts = [slice(a, a + PART) for a in range(0, len(w), PART)]
+        for part in parts:
+            own, att, query = x[part, CONTEXT:], weights[part, :STEP], sides[part, STEP:]
+            query[:] = (own.reshape(-1, WIDTH) @ fold).reshape(own.shape)
+            np.matmul(query, x[part].transpose(0, 2, 1), out=att)
+            att += bias
+            att[alone[part], :, :CONTEXT] = -1e9
+            _softmax(att, att[:, here, CONTEXT + here])
+            np.matmul(att, x[part], out=mixed[part])
+            np.add(own, (mixed[part].reshape(-1, WIDTH) @ p["v"]).reshape(own.shape), out=h[part])
+        h = h.reshape(-1, WIDTH)
         h = h.take(good, axis=0)
         e = h @ p["U"]
         e += p["b"]
@@ -253,22 +266,24 @@ class Model:
             back[i:j] += f[i:j] @ p["M"][c].T
         dh = np.zeros((len(w) * STEP, WIDTH), np.float32)
         dh[good] = back
-        seen = dh.reshape(len(w), STEP, WIDTH)
-        dkv = np.empty_like(kv)
-        np.matmul(att.transpose(0, 2, 1), seen, out=dkv[:, :, WIDTH:])
-        ds = np.matmul(seen, v.transpose(0, 2, 1))
-        ds -= np.einsum("wij,wij->wi", ds, att)[:, :, None]
-        ds *= att
-        g["r"] = np.bincount(self.back.ravel(), weights=np.where(self.ahead, 0, ds.sum(0)).ravel(), minlength=SPAN).astype(np.float32)
-        dq = np.matmul(ds, k).reshape(-1, WIDTH)
-        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-        dq *= root
-        dkv = dkv.reshape(-1, 2 * WIDTH)
-        g["q"], own_kv = own.T @ dq, wide.T @ dkv
-        g["k"], g["v"] = own_kv[:, :WIDTH].copy(), own_kv[:, WIDTH:].copy()
-        dx = dkv @ both.T
-        dh += dq @ p["q"].T
-        dx.reshape(x.shape)[:, CONTEXT:] += dh.reshape(len(w), STEP, WIDTH)
+        dh = dh.reshape(len(w), STEP, WIDTH)
+        dx, far, between, g["v"] = np.empty_like(x), np.zeros((STEP, SPAN), np.float32), np.zeros_like(fold), np.zeros_like(p["v"])
+        for part in parts:
+            own, att, ds, dmixed = x[part, CONTEXT:].reshape(-1, WIDTH), weights[part, :STEP], weights[part, STEP:], sides[part, :STEP]
+            seen = dh[part].reshape(-1, WIDTH)
+            g["v"] += mixed[part].reshape(-1, WIDTH).T @ seen
+            dmixed[:] = (seen @ p["v"].T).reshape(dmixed.shape)
+            np.matmul(dmixed, x[part].transpose(0, 2, 1), out=ds)
+            ds -= np.einsum("wij,wij->wi", dmixed, mixed[part])[:, :, None]
+            ds *= att
+            far += ds.sum(0)
+            dq = np.matmul(ds, x[part]).reshape(-1, WIDTH)
+            between += own.T @ dq
+            np.matmul(weights[part].transpose(0, 2, 1), sides[part], out=dx[part])
+            dx[part, CONTEXT:] += (seen + dq @ fold.T).reshape(dmixed.shape)
+        g["r"] = np.bincount(self.back.ravel(), weights=np.where(self.ahead, 0, far).ravel(), minlength=SPAN).astype(np.float32)
+        between *= root
+        g["q"], g["k"] = between @ p["k"], between.T @ p["q"]
         flat = u.ravel()
         touched = np.flatnonzero(np.bincount(flat, minlength=len(p["E"])))
         place = np.empty(len(p["E"]), np.int64)

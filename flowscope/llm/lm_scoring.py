@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..together import all_together
 from .attention import CONTEXT, Model
 from .store import new_path, staged
 from .subwords import default_path, encoder
@@ -213,7 +214,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     whole = totals.where("piece = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     base = totals.where("piece >= 0").select("piece", "bucket", "t").groupBy("piece").cogroup(pairs.select("piece", "a", "b", "c").groupBy("piece")).applyInPandas(_base(whole["n"], whole["v"]), "piece long, pos long, n_tokens long, n_known long, base_score double")
 
-    model = _fit(subwords.select("piece", "a", "b", "c", "docs"), tokenizer)
+    # Side by side, so that the base is summed on cores that the warm-up and the ends of the passes leave idle.
+    base, model = all_together(spark, [lambda: staged(base, "lm-base"), lambda: _fit(subwords.select("piece", "a", "b", "c", "docs"), tokenizer)])
     fitted = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -223,7 +225,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
                 yield pa.RecordBatch.from_arrays([pa.array([piece] * n, pa.int64()), pa.array(np.arange(n)), pa.array(docs_, pa.int64()), pa.array(out), pa.array(fitted.value.score(ids, sizes))], names=["p", "i", "doc_id", "held_out", "score"])
 
     scored = subwords.select("piece", "a", "b", "c", "docs").mapInArrow(run, "p long, i long, doc_id long, held_out boolean, score double")
-    return scored.join(base, (F.col("p") == F.col("piece")) & (F.col("i") == F.col("pos"))).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.join(base.hint("merge"), (F.col("p") == F.col("piece")) & (F.col("i") == F.col("pos"))).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def digest(docs: DataFrame) -> DataFrame:

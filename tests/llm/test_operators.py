@@ -310,6 +310,49 @@ def test_model_learns_by_the_gradient():
     assert m.train([(ids, sizes)], 0.02) == 5000 - int((ids == m.end).sum()) and m.score(ids, sizes).mean() > before + 5
 
 
+def test_a_step_of_training_follows_the_loss(monkeypatch):
+    """Gradients of every parameter against differences of the loss; windows of several parts, with and without a context before them."""
+    monkeypatch.setattr(attention, "PART", 2)
+    m, rng = small_model(scale=0.3), np.random.default_rng(4)
+    sizes = np.array([0, 3, 31, 70, 100], np.uint32)
+    ids, found = rng.integers(0, 40, int(sizes.sum())).astype(np.uint16), {}
+
+    class Kept:
+        def step(self, grads, rows, rate):
+            found.update({k: (g.astype(np.float64), rows.get(k)) for k, g in grads.items()})
+
+    source, target, begin, stop, first, _ = m.windows(ids, sizes)
+    m._step(Kept(), np.arange(len(begin)), source, target, begin, stop, first, 0.0)
+    whole = found["E"][0]
+    found["E"] = (np.zeros(m.p["E"].shape), None)
+    found["E"][0][np.unique(source)] = whole
+    loss = lambda: -m.score(ids, sizes).sum() * np.log(10) / len(target)
+    for name, (g, _) in found.items():
+        way = (g + rng.standard_normal(g.shape) * np.abs(g).max() * 0.1 * (m.p[name] > -1e8)).astype(np.float32)
+        way *= 0.02 / max(np.abs(way).max(), 1e-9)
+        kept, ends = m.p[name], []
+        for side in (1, -1):
+            m.p[name] = kept + side * way
+            ends.append(loss())
+        m.p[name] = kept
+        assert np.isclose((ends[0] - ends[1]) / 2, (g * way).sum(), rtol=0.02, atol=2e-5), name
+
+
+def test_adam_moves_large_arrays_as_small_ones(monkeypatch):
+    rng, ends = np.random.default_rng(5), []
+    start, grads = rng.standard_normal((7, 11)).astype(np.float32), rng.standard_normal((4, 7, 11)).astype(np.float32)
+    for block in (5, 1000):
+        monkeypatch.setattr(attention, "BLOCK", block)
+        p = {"a": start.copy(), "b": start.copy()}
+        adam = attention.Adam(p)
+        for g in grads:
+            adam.step({"a": g.copy(), "b": g[[1, 4]]}, {"b": np.array([1, 4])}, 0.1)
+        ends.append(p)
+    for k in "ab":
+        assert np.array_equal(ends[0][k], ends[1][k]) and not np.array_equal(ends[0][k], start)
+    assert np.array_equal(ends[0]["b"][[0, 2, 3, 5, 6]], start[[0, 2, 3, 5, 6]])
+
+
 def test_language_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sums = lm_scoring.digest(docs).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
