@@ -2,8 +2,11 @@
 
 The pool is binned once and lies packed in parts. A leaf's children need one histogram, that of the smaller one; the other is the difference. Where the best leaf's
 children are not known yet, those of all leaves that may be split before the tree is full are summed in the same pass over the pool: about as many passes a tree as it
-has levels, and the order stays best first. A pass is one job that gives the driver a histogram for each such leaf, of bounded size. A worker keeps the margins of the
-parts it has seen and only adds the trees that are new; where it has none, it adds all, so lost executors cost time only.
+has levels, and the order stays best first; the leaves of a full tree need no histograms. A pass is one job that gives the driver a histogram for each such leaf, of bounded
+size. There are many passes and each does little, so parts are kept as arrays and a pass is a job without a query plan. A worker keeps the margins and leaves of the
+parts it has seen and only adds what is new; where it has none, it adds all, so lost executors cost time only.
+
+Features of few bins share a code, whose cells are counted at once and then added up for each of them.
 
 A pool of ``ONE_PART`` values at most is one part, and its passes then need no jobs: the part's task makes the same sums and choices by itself.
 """
@@ -11,14 +14,15 @@ A pool of ``ONE_PART`` values at most is one part, and its passes then need no j
 from __future__ import annotations
 
 import heapq
+import pickle
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import packed
@@ -28,6 +32,8 @@ ONE_PART = 1_000_000
 #: Pools above this many rows hold some back and stop when their loss no longer falls.
 EARLY_ROWS, EARLY_SHARE, EARLY_TRIES, EARLY_LEAST = 10_000, 0.1, 10, 1e-7
 LEAST_CURVATURE = 1e-3
+#: Cells of a code, and rows that are counted at once.
+CELLS, ROWS = 256, 65_536
 
 
 @dataclass
@@ -42,7 +48,8 @@ class Options:
 @dataclass
 class Leaf:
     node: int
-    sums: np.ndarray  # slope, curvature and rows of each bin of each feature
+    whole: np.ndarray  # slope, curvature and rows
+    sums: np.ndarray | None = None  # the same of each bin of each feature
     split: tuple[float, int, int] | None = None  # gain, feature, bin
     children: tuple[Leaf, Leaf] | None = None
 
@@ -70,36 +77,92 @@ class Tree:
         return node
 
 
-class Part:
-    """Rows of one part of the pool, with the margins that the trees so far give them."""
+class Codes:
+    """Which features share a code; the bin of each feature in each cell, and what adds cells up to bins."""
+
+    def __init__(self, sizes: np.ndarray):
+        groups, room = [], 0
+        for f in np.argsort(sizes, kind="stable").tolist():
+            if room < sizes[f]:
+                groups.append([])
+                room = CELLS
+            groups[-1].append(f)
+            room //= int(sizes[f])
+        first = np.cumsum(sizes) - sizes
+        self.sizes, self.groups, self.group = sizes, groups, np.empty(len(sizes), np.int64)
+        self.bins = np.zeros((len(sizes), CELLS), np.uint8)
+        self.cells, self.places, self.adds = [], [], []
+        for k, group in enumerate(groups):
+            n = int(np.prod(sizes[group]))
+            for f, bins in zip(group, np.unravel_index(np.arange(n), sizes[group])):
+                self.group[f], self.bins[f, :n] = k, bins
+            self.cells.append(n)
+            self.places.append(np.concatenate([np.arange(first[f], first[f] + sizes[f]) for f in group]))
+            self.adds.append(np.concatenate([self.bins[f, :n] == np.arange(sizes[f])[:, None] for f in group]).astype(float))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The codes of rows of bins, a code after the other."""
+        return np.stack([np.ravel_multi_index(tuple(x[:, f] for f in group), self.sizes[group]).astype(np.uint8) for group in self.groups])
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, sizes: np.ndarray, base: float, kept: tuple[int, np.ndarray] | None = None):
-        self.x, self.y, self.w, self.held, self.total, self.wide = x, (y & 1).astype(float), w, y > 1, int(sizes.sum()), len(sizes)
-        self.own = np.flatnonzero(~self.held)
-        self.codes = x.astype(np.int32) + (np.cumsum(sizes) - sizes).astype(np.int32)
-        self.done, self.raw = kept or (-1, np.full(len(x), base))
 
-    def advance(self, trees: list[Tree]) -> None:
+class Part:
+    """Rows of one part of the pool, with the margins that the trees so far give them, and their leaves in the tree that grows."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, sizes: np.ndarray, base: float):
+        self.codes = Codes(sizes)
+        self.x, self.y, self.w, self.own = self.codes.of(x), (y & 1).astype(bool), w, y <= 1
+        self.done, self.raw, self.node = -1, np.full(len(y), base), np.zeros(len(y), np.int32)
+
+    def state(self) -> tuple[int, np.ndarray, np.ndarray]:
+        return self.done, self.raw, self.node
+
+    def right(self, f: int, cut: int) -> np.ndarray:
+        """Whether each cell of the feature's code goes right."""
+        return self.codes.bins[f] > cut
+
+    def descend(self, tree: Tree) -> None:
+        """Each row goes on from where it is to its leaf."""
+        feature, left = np.array(tree.feature), np.array(tree.left, np.int32)
+        group, right = self.codes.group[feature], self.codes.bins[feature] > np.array(tree.bin)[:, None]
+        rows = np.flatnonzero((feature >= 0)[self.node])
+        while len(rows):
+            at = self.node[rows]
+            at = left[at] + right[at, self.x[group[at], rows]]
+            self.node[rows] = at
+            rows = rows[(feature >= 0)[at]]
+
+    def advance(self, trees: list[Tree | bytes]) -> None:
+        """Adds the trees that are new; they may be pickled."""
         if self.done < len(trees):
             for tree in trees[max(self.done, 0) :]:
-                self.raw = self.raw + np.array(tree.value)[tree.route(self.x)]
+                tree = pickle.loads(tree) if isinstance(tree, bytes) else tree
+                self.descend(tree)
+                self.raw = self.raw + np.array(tree.value)[self.node]
+                self.node = np.zeros(len(self.y), np.int32)
             self.done = len(trees)
         p = 1 / (1 + np.exp(-self.raw))
         self.slope, self.curve = self.w * (p - self.y), self.w * p * (1 - p)
 
     def loss(self) -> float:
-        out = np.flatnonzero(self.held)
-        return float(self.w[out] @ np.logaddexp(0.0, np.where(self.y[out] > 0, -self.raw[out], self.raw[out])))
+        out = np.flatnonzero(~self.own)
+        return float(self.w[out] @ np.logaddexp(0.0, np.where(self.y[out], -self.raw[out], self.raw[out])))
 
     def histograms(self, tree: Tree, wanted: list[Wanted]) -> np.ndarray:
-        node = tree.route(self.x)[self.own] if len(tree.feature) > 1 else np.zeros(len(self.own), np.int64)
-        out = np.zeros((len(wanted), 3, self.total))
+        self.descend(tree)
+        out = np.zeros((len(wanted), 3, int(self.codes.sizes.sum())))
         for k, (at, f, cut, right) in enumerate(wanted):
-            rows = self.own[node == at]
+            rows = np.flatnonzero((self.node == at) & self.own)
             if f >= 0:
-                rows = rows[(self.x[rows, f] > cut) == right]
-            codes = self.codes[rows].ravel()
-            out[k] = [np.bincount(codes, np.repeat(self.slope[rows], self.wide), self.total), np.bincount(codes, np.repeat(self.curve[rows], self.wide), self.total), np.bincount(codes, minlength=self.total)]
+                rows = rows[self.right(f, cut)[self.x[self.codes.group[f]][rows]] == right]
+            cells = [np.zeros((3, n)) for n in self.codes.cells]
+            for a in range(0, len(rows), ROWS):
+                some = rows[a : a + ROWS]
+                slope, curve = self.slope[some], self.curve[some]
+                for sums, x, n in zip(cells, self.x, self.codes.cells):
+                    code = x[some].astype(np.intp)
+                    sums += [np.bincount(code, slope, n), np.bincount(code, curve, n), np.bincount(code, minlength=n)]
+            for sums, place, add in zip(cells, self.codes.places, self.codes.adds):
+                out[k][:, place] = sums @ add.T
         return out
 
 
@@ -117,7 +180,7 @@ class Grower:
         return sums[:, : self.sizes[0]].sum(1)
 
     def best(self, sums: np.ndarray) -> tuple[float, int, int] | None:
-        """The split of the most gain; of equal ones that of the first feature and bin."""
+        """The split of the most gain; of those that are equal but for rounding that of the first feature and bin."""
         o, all_ = self.options, self.whole(sums)
         upto = np.cumsum(sums, axis=1)
         left = upto - np.repeat(np.concatenate((np.zeros((3, 1)), upto[:, self.first[1:] - 1]), axis=1), self.sizes, axis=1)
@@ -126,9 +189,15 @@ class Grower:
         if not fine.any():
             return None
         gain = np.where(fine, left[0] ** 2 / (left[1] + o.l2) + right[0] ** 2 / (right[1] + o.l2) - all_[0] ** 2 / (all_[1] + o.l2), -np.inf)
-        at = int(gain.argmax())
+        at = int(np.argmax(gain >= gain.max() - max(1e-9, 1e-12 * gain.max())))
         return (float(gain[at]), int(self.owner[at]), int(at - self.first[self.owner[at]])) if gain[at] > 0 else None
 
+    def last_children(self, leaf: Leaf) -> tuple[Leaf, Leaf]:
+        """Children that will not be split: the leaf's own histogram has their sums."""
+        _, f, cut = leaf.split
+        left = leaf.sums[:, self.first[f] : self.first[f] + cut + 1].sum(1)
+        return Leaf(-1, left), Leaf(-1, leaf.whole - left)
+
     def expand(self, tree: Tree, leaves: list[Leaf]) -> None:
         """Children of ``leaves``, in one pass."""
         wanted = []
@@ -138,19 +207,22 @@ class Grower:
             wanted.append((leaf.node, f, cut, bool(n[: cut + 1].sum() > n[cut + 1 :].sum())))
         for leaf, (_, _, _, right), small in zip(leaves, wanted, self.ask(self.trees, tree, wanted)[1]):
             sums = (leaf.sums - small, small) if right else (small, leaf.sums - small)
-            leaf.children = tuple(Leaf(-1, s, self.best(s)) for s in sums)
+            leaf.children = tuple(Leaf(-1, self.whole(s), s, self.best(s)) for s in sums)
 
     def grow(self) -> tuple[Tree, float]:
         """The next tree, and the loss before it of the rows held back."""
         tree = Tree()
         loss, sums = self.ask(self.trees, tree, [(0, -1, 0, False)])
-        root = Leaf(0, sums[0], self.best(sums[0]))
+        root = Leaf(0, self.whole(sums[0]), sums[0], self.best(sums[0]))
         done, queue = ([], [(-root.split[0], 0, root)]) if root.split else ([root], [])
         while queue and len(queue) + len(done) < self.options.leaves:
             _, _, leaf = heapq.heappop(queue)
             if leaf.children is None:
                 room = self.options.leaves - len(queue) - len(done) - 2
-                self.expand(tree, [leaf, *[x for _, _, x in heapq.nsmallest(room, queue) if x.children is None]])
+                if room:
+                    self.expand(tree, [leaf, *[x for _, _, x in heapq.nsmallest(room, queue) if x.children is None]])
+                else:
+                    leaf.children = self.last_children(leaf)
             at = len(tree.feature)
             tree.feature[leaf.node], tree.bin[leaf.node], tree.left[leaf.node] = leaf.split[1], leaf.split[2], at
             for k, child in enumerate(leaf.children):
@@ -163,7 +235,7 @@ class Grower:
                     done.append(child)
             leaf.children = leaf.sums = None
         for leaf in done + [x for _, _, x in queue]:
-            slope, curve, _ = self.whole(leaf.sums)
+            slope, curve, _ = leaf.whole
             tree.value[leaf.node] = float(-self.options.rate * slope / (curve + self.options.l2))
         return tree, loss
 
@@ -179,14 +251,33 @@ def boost(sizes: np.ndarray, options: Options, early: bool, ask: Callable[[list[
     return grower.trees
 
 
-#: Margins that a worker keeps: of the parts of the last fit it saw.
-_KEPT: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
+#: Margins and leaves that a worker keeps: of the parts of the last fit it saw.
+_KEPT: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]] = {}
 
 
-def _part(batches, sizes: np.ndarray, base: float, key: tuple[str, int] | None = None) -> Part:
-    rows = list(packed.arrays(batches, len(sizes), np.uint8))
+@dataclass
+class Pass:
+    """What a task answers for its parts. Workers find this class in their own module, whose ``_KEPT`` lasts; a function made within another would bring an empty copy along."""
+
+    fit: str
+    trees: list[bytes]
+    tree: Tree
+    wanted: list[Wanted]
+
+    def __call__(self, rows: Iterator[tuple[int, Part]]) -> Iterator[np.ndarray]:
+        for number, part in rows:
+            for old in [k for k in _KEPT if k[0] != self.fit]:
+                del _KEPT[old]
+            part.done, part.raw, part.node = _KEPT.get((self.fit, number), part.state())
+            part.advance(self.trees)
+            found = part.histograms(self.tree, self.wanted)
+            _KEPT[self.fit, number] = part.state()
+            yield np.concatenate(([part.loss()], found.ravel()))
+
+
+def _part(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: np.ndarray, base: float) -> Part:
     x, y, w = (np.concatenate([r[i] for r in rows]) if rows else np.empty(shape, kind) for i, (shape, kind) in enumerate((((0, len(sizes)), np.uint8), (0, np.uint8), (0, float))))
-    return Part(x, y, w, sizes, base, _KEPT.get(key))
+    return Part(x, y, w, sizes, base)
 
 
 @dataclass
@@ -234,39 +325,42 @@ def fit(train: DataFrame, names: list[str], balanced: bool = False, early: bool
     if early and held is None:
         held = F.pmod(F.xxhash64(F.col("event_id"), F.lit("held")), F.lit(1000)) < int(1000 * EARLY_SHARE)
     values = (s.good + s.bad) * len(names)
-    parts = parts or (1 if values <= ONE_PART else packed.parts_of(train, s))
+    parts = parts or min(-(-values // ONE_PART), packed.parts_of(train, s))  # smaller parts would cost more to start than they save
     weights = s.weights(balanced)
     base = float(np.log(s.bad * weights[1] / (s.good * weights[0])))
     name, scale = uuid.uuid4().hex, 1.0 / (s.good + s.bad)
 
-    def answer(part: Part, trees: list[Tree], tree: Tree, wanted: list[Wanted]) -> tuple[float, np.ndarray]:
-        part.advance(trees)
-        return part.loss() * scale, part.histograms(tree, wanted)
-
-    with packed.pack(train, names, lambda x: binned(x, edges), weights, parts, held if early else None) as pool:
-        if parts == 1:
-            def alone(batches):
-                part = _part(batches, sizes, base)
-                trees = boost(sizes, options, early, lambda *a: answer(part, *a))
-                yield pa.RecordBatch.from_pandas(pd.concat([pd.DataFrame(t.__dict__).assign(tree=i) for i, t in enumerate(trees)]).astype(_TREE), preserve_index=False)
-
-            grown = pool.rows.mapInArrow(alone, "feature int, bin int, left int, value double, tree int").toPandas()  # a row a node, in order
-            return Boosted(names, edges, base, [Tree(*[g[c].tolist() for c in ("feature", "bin", "left", "value")]) for _, g in grown.groupby("tree")])
-
-        def ask(trees: list[Tree], tree: Tree, wanted: list[Wanted]) -> tuple[float, np.ndarray]:
-            def sums(batches):
-                key = (name, TaskContext.get().partitionId())
-                part = _part(batches, sizes, base, key)
-                loss, found = answer(part, trees, tree, wanted)
-                for old in [k for k in _KEPT if k[0] != name]:
-                    del _KEPT[old]
-                _KEPT[key] = (part.done, part.raw)
-                return np.concatenate(([loss], found.ravel()))
-
-            whole = packed.total(pool, sums, 1 + len(wanted) * 3 * int(sizes.sum()))
-            return whole[0], whole[1:].reshape(len(wanted), 3, -1)
+    rows = packed.pack(train, names, lambda x: binned(x, edges), weights, parts, held if early else None).rows
+    if parts == 1:
+        def alone(batches):
+            part = _part(list(packed.arrays(batches, len(sizes), np.uint8)), sizes, base)
+
+            def ask(trees: list[Tree], tree: Tree, wanted: list[Wanted]) -> tuple[float, np.ndarray]:
+                part.advance(trees)
+                return part.loss() * scale, part.histograms(tree, wanted)
+
+            trees = boost(sizes, options, early, ask)
+            yield pa.RecordBatch.from_pandas(pd.concat([pd.DataFrame(t.__dict__).assign(tree=i) for i, t in enumerate(trees)]).astype(_TREE), preserve_index=False)
+
+        grown = rows.mapInArrow(alone, "feature int, bin int, left int, value double, tree int").toPandas()  # a row a node, in order
+        return Boosted(names, edges, base, [Tree(*[g[c].tolist() for c in ("feature", "bin", "left", "value")]) for _, g in grown.groupby("tree")])
+
+    def made(number: int, found):
+        yield number, _part([packed.row(r, len(sizes), np.uint8) for r in found], sizes, base)
+
+    kept = rows.rdd.mapPartitionsWithIndex(made).persist(StorageLevel.MEMORY_AND_DISK)
+    sent: list[bytes] = []
+
+    def ask(trees: list[Tree], tree: Tree, wanted: list[Wanted]) -> tuple[float, np.ndarray]:
+        sent.extend(map(pickle.dumps, trees[len(sent) :]))
+        found = kept.mapPartitions(Pass(name, sent, tree, wanted))
+        whole = sum(found.collect()) if parts <= packed.PARTS else found.treeReduce(np.add)
+        return whole[0] * scale, whole[1:].reshape(len(wanted), 3, -1)
 
+    try:
         return Boosted(names, edges, base, boost(sizes, options, early, ask))
+    finally:
+        kept.unpersist()
 
 
 _TREE = {"feature": "int32", "bin": "int32", "left": "int32", "tree": "int32"}

@@ -98,8 +98,14 @@ def spread(rows: DataFrame) -> DataFrame:
 def arrays(batches: Iterator[pa.RecordBatch], features: int, kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """x, y, w of a task's pool rows."""
     for b in batches:
-        for n, x, y, w in zip(*[c.to_pylist() for c in b.columns]):
-            yield np.frombuffer(x, kind).reshape(n, features), np.frombuffer(y, np.uint8), np.frombuffer(w)
+        for r in zip(*[c.to_pylist() for c in b.columns]):
+            yield row(r, features, kind)
+
+
+def row(r: tuple, features: int, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, w of a pool row."""
+    n, x, y, w = r
+    return np.frombuffer(x, kind).reshape(n, features), np.frombuffer(y, np.uint8), np.frombuffer(w)
 
 
 def total(pool: Pool, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:

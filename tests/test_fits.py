@@ -147,6 +147,34 @@ def test_boosting_in_parts_equals_one_part(spark):
     assert auc["b"] > auc["t"] and scores.where("score NOT BETWEEN 0 AND 1").isEmpty()
 
 
+def test_boosting_workers_keep_margins(spark):
+    """A worker that has seen a part adds only the trees that are new; it formerly added all of them in every pass."""
+    x, y, label = table(2000, seed=5)
+    boosting.fit(frame(spark, x, label), NAMES, early=False, options=boosting.Options(iterations=4), parts=2)
+    kept = spark.sparkContext.parallelize(range(16), 16).mapPartitions(lambda _: [max((k[0] for k in boosting._KEPT.values()), default=-1)]).collect()
+    assert max(kept) == 3 and not boosting._KEPT
+
+
+def test_boosting_codes_hold_all_bins():
+    rng = np.random.default_rng(8)
+    sizes = np.array([3, 255, 1, 7, 3, 256, 2, 3, 3, 3, 3])
+    x = np.column_stack([rng.integers(0, n, 70_000) for n in sizes]).astype(np.uint8)
+    x[:256, 5] = np.arange(256)
+    y, w = (rng.random(70_000) < 0.4).astype(np.uint8), rng.random(70_000)
+    part = boosting.Part(x, y + 2 * (rng.random(70_000) < 0.1), w, sizes, 0.3)
+    part.advance([])
+    tree = boosting.Tree([1, -1, 8, -1, -1], [90, 0, 1, 0, 0], [1, 0, 3, 0, 0], [0.0, 0.5, 0.0, -0.2, 0.1])
+    at = tree.route(x)
+    found = part.histograms(tree, [(1, -1, 0, False), (3, 5, 17, True)])
+    for got, rows in zip(found, ((at == 1) & part.own, (at == 3) & part.own & (x[:, 5] > 17))):
+        for values, sums in zip((part.slope, part.curve, np.ones(70_000)), got):
+            want = np.concatenate([np.bincount(x[rows, f], values[rows], n) for f, n in enumerate(sizes)])
+            assert sums == pytest.approx(want, abs=1e-8)
+    part.advance([tree])
+    assert part.raw == pytest.approx(0.3 + np.array(tree.value)[at], abs=1e-12)
+    assert len(part.x) < len(sizes)
+
+
 def test_boosting_stops_early(spark):
     rng = np.random.default_rng(2)
     x, label = rng.random((1500, 3)), np.where(rng.random(1500) < 0.5, "malicious", "benign")
