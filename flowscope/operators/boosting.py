@@ -98,7 +98,7 @@ class Codes:
                 self.group[f], self.bins[f, :n] = k, bins
             self.cells.append(n)
             self.places.append(np.concatenate([np.arange(first[f], first[f] + sizes[f]) for f in group]))
-            self.adds.append(np.concatenate([self.bins[f, :n] == np.arange(sizes[f])[:, None] for f in group]).astype(float))
+            self.adds.append(np.concatenate([self.bins[f, :n] == np.arange(sizes[f])[:, None] for f in group]).astype(float) if len(group) > 1 else None)
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """The codes of rows of bins, a code after the other."""
@@ -111,7 +111,15 @@ class Part:
     def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, sizes: np.ndarray, base: float):
         self.codes = Codes(sizes)
         self.x, self.y, self.w, self.own = self.codes.of(x), (y & 1).astype(bool), w, y <= 1
-        self.done, self.raw, self.node = -1, np.full(len(y), base), np.zeros(len(y), np.int32)
+        self.base = base
+        self.begin()
+
+    def begin(self) -> None:
+        self.done, self.raw, self.node = -1, np.full(len(self.y), self.base), np.zeros(len(self.y), np.int32)
+
+    def __getstate__(self) -> dict:
+        """Without what each row starts with: a part travels to a worker in every pass."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("done", "raw", "node")}
 
     def state(self) -> tuple[int, np.ndarray, np.ndarray]:
         return self.done, self.raw, self.node
@@ -162,7 +170,7 @@ class Part:
                     code = x[some].astype(np.intp)
                     sums += [np.bincount(code, slope, n), np.bincount(code, curve, n), np.bincount(code, minlength=n)]
             for sums, place, add in zip(cells, self.codes.places, self.codes.adds):
-                out[k][:, place] = sums @ add.T
+                out[k][:, place] = sums if add is None else sums @ add.T
         return out
 
 
@@ -268,7 +276,10 @@ class Pass:
         for number, part in rows:
             for old in [k for k in _KEPT if k[0] != self.fit]:
                 del _KEPT[old]
-            part.done, part.raw, part.node = _KEPT.get((self.fit, number), part.state())
+            if (self.fit, number) in _KEPT:
+                part.done, part.raw, part.node = _KEPT[self.fit, number]
+            else:
+                part.begin()
             part.advance(self.trees)
             found = part.histograms(self.tree, self.wanted)
             _KEPT[self.fit, number] = part.state()
@@ -325,7 +336,8 @@ def fit(train: DataFrame, names: list[str], balanced: bool = False, early: bool
     if early and held is None:
         held = F.pmod(F.xxhash64(F.col("event_id"), F.lit("held")), F.lit(1000)) < int(1000 * EARLY_SHARE)
     values = (s.good + s.bad) * len(names)
-    parts = parts or min(-(-values // ONE_PART), packed.parts_of(train, s))  # smaller parts would cost more to start than they save
+    cores = spark.sparkContext.defaultParallelism
+    parts = parts or min(-(-values // ONE_PART), -(-packed.parts_of(train, s) // cores) * cores)  # smaller parts would cost more to start than they save; cores end together
     weights = s.weights(balanced)
     base = float(np.log(s.bad * weights[1] / (s.good * weights[0])))
     name, scale = uuid.uuid4().hex, 1.0 / (s.good + s.bad)

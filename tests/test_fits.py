@@ -1,6 +1,7 @@
 """Fits against dense and naive twins; running sums and adaptive buckets against plain ones."""
 
 import math
+import pickle
 import random
 
 import numpy as np
@@ -173,6 +174,12 @@ def test_boosting_codes_hold_all_bins():
     part.advance([tree])
     assert part.raw == pytest.approx(0.3 + np.array(tree.value)[at], abs=1e-12)
     assert len(part.x) < len(sizes)
+    sent = pickle.dumps(boosting.Part(x, y, w, sizes, 0.3))
+    assert len(sent) < 20 * 70_000 + 100_000  # codes, labels and weights alone travel
+    new = pickle.loads(sent)
+    new.begin()
+    new.advance([pickle.dumps(tree)])
+    assert (new.raw == part.raw).all()
 
 
 def test_boosting_stops_early(spark):
